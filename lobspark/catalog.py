@@ -5,7 +5,183 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
+from lobspark.operators import stats
+from lobspark.operators.asof import HORIZONS, labelled
+from lobspark.operators.folds import folded
+from lobspark.plans import views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "ic_flagship"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query over `events` that names no view in the session."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.sql(text.replace(" from events", " from {events}"), events=table(spark, sf_dir, "events"))
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, views.ticks("spark"))
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, views.bars("spark"))
+
+
+def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show; -0.0 is 0.0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
+
+
+# --- Indicators -----------------------------------------------------------------------------------
+
+def _frame_query(name: str) -> Query:
+    return lambda spark, sf_dir: rounded(sql(spark, sf_dir, framed_sql(views.bars("spark"), [name])))
+
+
+def _fold_query(name: str) -> Query:
+    return lambda spark, sf_dir: rounded(folded(bars(spark, sf_dir), (name,)))
+
+
+for _name in FRAME:
+    QUERIES[f"ind_{_name}"] = _frame_query(_name)
+    ORACLE_SQL[f"ind_{_name}"] = f"select symbol, ts_us, seq, round({_name}, 6) + 0.0 as {_name} from ({framed_sql(views.bars('duckdb'), [_name])})"
+for _name in FOLDED:
+    QUERIES[f"ind_{_name}"] = _fold_query(_name)
+
+_RUN = "over (partition by symbol order by ts_us, seq)"
+_B = (
+    f"with b0 as (select *, row_number() {_RUN} as rn, lag(p) {_RUN} as p1, lag(h) {_RUN} as h1, lag(l) {_RUN} as l1 from ({views.bars('duckdb')})), "
+    "b as (select *, case when rn = 1 then h - l else greatest(h - l, abs(h - p1), abs(l - p1)) end as tr, coalesce((p - p1) * v, 0) as f, "
+    "greatest(p - p1, 0) as g, greatest(p1 - p, 0) as s, case when h - h1 > l1 - l and h - h1 > 0 then h - h1 else 0 end as dp, case when l1 - l > h - h1 and l1 - l > 0 then l1 - l else 0 end as dm from b0)"
+)
+
+
+def _weights(x: str, first: int, n: int, k: str, keep: str, out: str, source: str = "b", seed: str = "avg") -> str:
+    """A CTE (symbol, rn, out): y = keep * y' + k * x from row first + n on, seeded at row first + n - 1 with the
+    mean (or sum) of the n rows from `first`; as one weighted sum, not as a recursion."""
+    return (
+        f"{out} as (select t.symbol, t.rn, sum(case when j.rn >= {first + n} then ({k}) * {x.replace('@', 'j.')} * pow({keep}, t.rn - j.rn) "
+        f"else {x.replace('@', 'j.')} * pow({keep}, t.rn - {first + n - 1}) {f'/ {n}' if seed == 'avg' else ''} end) as {out} "
+        f"from {source} t join {source} j on j.symbol = t.symbol and j.rn between {first} and t.rn where t.rn >= {first + n - 1} group by t.symbol, t.rn)"
+    )
+
+
+def _ema(n: int, out: str, x: str = "@p", first: int = 1, source: str = "b") -> str:
+    return _weights(x, first, n, f"2.0::double / {n + 1}", f"(1 - 2.0::double / {n + 1})", out, source)
+
+
+def _wilder(n: int, out: str, x: str, first: int = 1) -> str:
+    return _weights(x, first, n, f"1.0::double / {n}", f"(1 - 1.0::double / {n})", out)
+
+
+def _oracle(name: str, ctes: list[str], value: str, joins: list[str]) -> None:
+    using = " ".join(f"left join {j} using (symbol, rn)" for j in joins)
+    ORACLE_SQL[f"ind_{name}"] = f"{', '.join([_B, *ctes])} select symbol, ts_us, seq, round({value}, 6) + 0.0 as {name} from b {using}"
+
+
+for _n in (5, 12, 20, 26, 50, 200):
+    _oracle(f"ema_{_n}", [_ema(_n, "e")], "e", ["e"])
+_E2 = [_ema(20, "e"), _ema(20, "ee", "@e", 20, "e")]
+_oracle("dema_20", _E2, "2 * e - ee", ["e", "ee"])
+_oracle("tema_20", [*_E2, _ema(20, "eee", "@ee", 39, "ee")], "3 * e - 3 * ee + eee", ["e", "ee", "eee"])
+_MACD = [_ema(12, "e12"), _ema(26, "e26"), "ln as (select symbol, rn, e12 - e26 as line from e12 join e26 using (symbol, rn))", _ema(9, "sg", "@line", 26, "ln")]
+_oracle("macd_line", _MACD[:3], "line", ["ln"])
+_oracle("macd_signal", _MACD, "sg", ["sg"])
+_oracle("macd_hist", _MACD, "line - sg", ["ln", "sg"])
+_oracle("force_index_13", [_ema(13, "e", "@f")], "e", ["e"])
+for _n in (7, 14, 21):
+    _oracle(f"rsi_{_n}", [_wilder(_n, "gg", "@g", 2), _wilder(_n, "ss", "@s", 2)], "100 - 100 / (1 + case when ss > 1e-12 then gg / ss else 100 end)", ["gg", "ss"])
+_oracle("atr_14", [_wilder(14, "a", "@tr")], "a", ["a"])
+_oracle("natr_14", [_wilder(14, "a", "@tr")], "100 * a / p", ["a"])
+_KELTNER = [_wilder(20, "a", "@tr"), _ema(20, "e")]
+_oracle("keltner_width_20", _KELTNER, "3 * a / e", ["a", "e"])
+_oracle("squeeze_signal", [*_KELTNER, "sd as (select symbol, rn, 4 * stddev_pop(p) over w / avg(p) over w as width from b window w as (partition by symbol order by rn rows between 19 preceding and current row))"], "case when a is not null then case when width < 3 * a / e then 1.0 else 0.0 end end", ["a", "e", "sd"])
+for _name, _sign in (("golden_cross", "f > s and f1 <= s1"), ("death_cross", "f < s and f1 >= s1")):
+    _oracle(_name, [_ema(5, "f"), _ema(20, "s"), "c as (select symbol, rn, f, s, lag(f) over (partition by symbol order by rn) as f1, lag(s) over (partition by symbol order by rn) as s1 from f join s using (symbol, rn))"], f"case when f1 is null or s1 is null then null when {_sign} then 1.0 else 0.0 end", ["(select symbol, rn, f, s, f1, s1 from c) c"])
+_DI = [_weights(f"@{x}", 2, 14, "1", "(1 - 1.0::double / 14)", y, "b", "sum") for x, y in (("tr", "wt"), ("dp", "wp"), ("dm", "wm"))]
+# The first 14 rows are summed as they are.
+_DI += ["di as (select symbol, rn, case when wt > 0 then 100 * wp / wt else 0 end as pdi, case when wt > 0 then 100 * wm / wt else 0 end as mdi from wt join wp using (symbol, rn) join wm using (symbol, rn))",
+        "dx as (select symbol, rn, pdi, mdi, case when rn >= 28 then avg(case when pdi + mdi > 0 then 100 * abs(pdi - mdi) / (pdi + mdi) else 0 end) over (partition by symbol order by rn rows between 13 preceding and current row) end as adx from di)"]
+for _name, _col in (("adx_14", "adx"), ("pdi_14", "pdi"), ("mdi_14", "mdi")):
+    _oracle(_name, _DI, _col, ["dx"])
+_oracle("cci_20", [
+    "tp as (select symbol, rn, (h + l + p) / 3 as tp, avg((h + l + p) / 3) over (partition by symbol order by rn rows between 19 preceding and current row) as m from b)",
+    "md as (select t.symbol, t.rn, any_value(t.tp) as tp, any_value(t.m) as m, avg(abs(j.tp - t.m)) as d from tp t join tp j on j.symbol = t.symbol and j.rn between t.rn - 19 and t.rn where t.rn >= 20 group by t.symbol, t.rn)",
+], "case when d > 1e-12 then (tp - m) / (0.015 * d) end", ["md"])
+_oracle("hurst_100", [
+    "mm as (select symbol, rn, p, avg(p) over w as m, stddev_pop(p) over w as sd, sum(p) over (partition by symbol order by rn) as c from b window w as (partition by symbol order by rn rows between 99 preceding and current row))",
+    # Partial sums of deviations: c_j - c_before - (j's place) * mean.
+    "rs as (select t.symbol, t.rn, any_value(t.sd) as sd, max(j.c - t.c + 100 * t.m - (j.rn - t.rn + 100) * t.m) - min(j.c - t.c + 100 * t.m - (j.rn - t.rn + 100) * t.m) as r from mm t join mm j on j.symbol = t.symbol and j.rn between t.rn - 99 and t.rn where t.rn >= 100 group by t.symbol, t.rn)",
+], "case when sd > 1e-12 and r > 0 then ln(r / sd) / ln(100) end", ["rs"])
+
+
+# --- Labels and information coefficients ------------------------------------------------------------
+
+#: Rows of one instrument lie minutes apart in the test tables; horizons are stretched to match.
+STRETCHED = {h: us * 1000 for h, us in HORIZONS.items()}
+
+
+def _labels(spark: SparkSession, sf_dir: str, horizons: dict[str, int]) -> DataFrame:
+    t = ticks(spark, sf_dir).select("symbol", "ts_us", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread"))
+    return labelled(t, horizons=horizons)
+
+
+def _labels_sql(horizons: dict[str, int]) -> str:
+    base = f"with t as (select symbol, ts_us, seq, (bid + ask) / 2 as mid, ask - bid as spread from ({views.ticks('duckdb')}))"
+    joins = " ".join(f"asof left join t f{h} on f{h}.symbol = t.symbol and t.ts_us + {us} <= f{h}.ts_us" for h, us in horizons.items())
+    rets = ", ".join(f"round((f{h}.mid - t.mid) / t.mid, 9) + 0.0 as r_{h}" for h in horizons)
+    signs = ", ".join(f"(case when f{h}.mid is null then null when (f{h}.mid - t.mid) / t.mid > 0.5 * t.spread / t.mid then 1 when (f{h}.mid - t.mid) / t.mid < -0.5 * t.spread / t.mid then -1 else 0 end)::tinyint as sign_{h}" for h in ("1s", "5s"))
+    return f"{base} select t.symbol, t.ts_us, t.seq, round(t.mid, 9) as mid, round(t.spread, 9) as spread, {rets}, {signs} from t {joins}"
+
+
+QUERIES["labels"] = lambda spark, sf_dir: rounded(_labels(spark, sf_dir, HORIZONS), 9)
+ORACLE_SQL["labels"] = _labels_sql(HORIZONS)
+QUERIES["labels_stretched"] = lambda spark, sf_dir: rounded(_labels(spark, sf_dir, STRETCHED), 9)
+ORACLE_SQL["labels_stretched"] = _labels_sql(STRETCHED)
+
+
+def _signals(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """Indicators with the four forward returns."""
+    frame = sql(spark, sf_dir, framed_sql(views.bars("spark"), [n for n in names if n in FRAME]))
+    out = frame.join(_labels(spark, sf_dir, STRETCHED).select("symbol", "ts_us", "seq", *[f"r_{h}" for h in HORIZONS]), ["symbol", "ts_us", "seq"])
+    folds = tuple(n for n in names if n in FOLDED)
+    return out.join(folded(bars(spark, sf_dir), folds), ["symbol", "ts_us", "seq"]) if folds else out
+
+
+def _ic(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    return stats.ic_table(_signals(spark, sf_dir, names), ["symbol"], names, [f"r_{h}" for h in HORIZONS])
+
+
+def _ic_sql(names: list[str]) -> str:
+    long = " union all ".join(f"select symbol, '{n}' as indicator, 'r_{h}' as horizon, round({n}, 9) as x, round(r_{h}, 9) as y from s" for n in names for h in HORIZONS)
+    return (
+        f"with l as ({_labels_sql(STRETCHED)}), i as ({framed_sql(views.bars('duckdb'), names)}), s as (select * from i join l using (symbol, ts_us, seq)), "
+        f"long as (select * from ({long}) where x is not null and y is not null), "
+        "k as (select symbol, indicator, horizon, rank() over (partition by symbol, indicator, horizon order by x) + (count(*) over (partition by symbol, indicator, horizon, x) - 1) / 2.0 as rx, "
+        "rank() over (partition by symbol, indicator, horizon order by y) + (count(*) over (partition by symbol, indicator, horizon, y) - 1) / 2.0 as ry from long) "
+        "select symbol, indicator, horizon, case when count(*) >= 10 and var_pop(rx) * var_pop(ry) > 0 then round(covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)), 6) + 0.0 end as ic, count(*) as n from k group by all"
+    )
+
+
+QUERIES["ic_flagship"] = lambda spark, sf_dir: rounded(_ic(spark, sf_dir, ["pivot_dist", "zscore_10"]))
+ORACLE_SQL["ic_flagship"] = _ic_sql(["pivot_dist", "zscore_10"])
+
+
+def _techanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 87 indicators at four horizons, averaged over instruments, best 5 s mean first."""
+    ic = _ic(spark, sf_dir, list(NAMES))
+    mean = ic.groupBy("indicator").agg(*[F.avg(F.when(F.col("horizon") == f"r_{h}", F.col("ic"))).alias(f"avg_{h}") for h in HORIZONS])
+    return rounded(mean).orderBy(F.abs("avg_5s").desc_nulls_last(), "indicator")
+
+
+QUERIES["techanalysis"] = _techanalysis
