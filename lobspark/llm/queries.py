@@ -31,10 +31,10 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {
     "op5_covertree": """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), ok AS (
   SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.93
@@ -83,7 +83,7 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
     "op10_quality": rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
 ), g AS (
   SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
 ), twice AS (
@@ -94,7 +94,7 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    len(list_filter(w, x -> regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id)
 ), f AS (
   SELECT *, {' + '.join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, (_, rule) in enumerate(quality.RULES))} AS bits FROM m
