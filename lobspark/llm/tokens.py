@@ -7,8 +7,8 @@ with cycle-walking maps the n numbers one to one onto n slots, the training orde
 be inverted. Sequences are shuffled once, by shard (a range of slots), and each shard is one file of
 equal strides, so that slot s is at byte s * stride and a reader resumes anywhere.
 
-The byte encoding (ids 0-247 are UTF-8 bytes, which never reach 248; 254 pads, 255 ends a document) is
-the default; a byte-pair vocabulary in the public rank format may be named instead, in 16 or 32 bits.
+A byte-pair vocabulary in the public rank format gives ids of 16 or 32 bits; the driver reads its file and
+tasks get its contents. Without one, ids are bytes (UTF-8 never reaches 248; 254 pads, 255 ends a document).
 
 Null and empty texts have only their end mark. Repeated rows are separate documents. Other columns are
 ignored. If a second read of the input deals its rows otherwise than the first, the job stops.
@@ -32,6 +32,7 @@ from lobspark.llm.common import arrow_batches, fresh_dir
 from lobspark.llm.files import opened, written
 
 KEY = 0x5EED_0F_0D_E5
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ROUNDS = 6
 SHARD_BYTES = 1 << 24
 
@@ -65,14 +66,13 @@ def permuted(x: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np
     return out.astype(np.int64)
 
 
-def encoder(ranks: str | None) -> tuple[Callable[[str], np.ndarray], np.dtype, int, int]:
-    """How a text becomes ids; their type; the end mark; the padding."""
+def encoder(ranks: bytes | None) -> tuple[Callable[[str], np.ndarray], np.dtype, int, int]:
+    """How a text becomes ids, by the contents of a rank file; their type; the end mark; the padding."""
     if ranks is None:
         return lambda t: np.frombuffer(t.encode("utf-8", "replace"), np.uint8), np.dtype("u1"), 255, 254
     import tiktoken
 
-    with open(ranks, "rb") as lines:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     look = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     full = tiktoken.Encoding("full", pat_str=look, mergeable_ranks=table, special_tokens={})
     # Without two blanks in a row the look-ahead changes nothing, and without it splitting is faster.
@@ -83,7 +83,7 @@ def encoder(ranks: str | None) -> tuple[Callable[[str], np.ndarray], np.dtype, i
     return lambda t: np.array((full if twice.search(t) else fast).encode_ordinary(t), kind), kind, end, end + 1
 
 
-def materialised(docs: DataFrame, folder: str, text: str = "text", id: str = "doc_id", seq_len: int = 2048, key: int = KEY, ranks: str | None = None) -> DataFrame:
+def materialised(docs: DataFrame, folder: str, text: str = "text", id: str = "doc_id", seq_len: int = 2048, key: int = KEY, vocabulary: str | None = None) -> DataFrame:
     """Writes the shards and manifest.json; a row a sequence: seq, slot, shard, offset (bytes), n_tokens, first_id, first_at, crc32.
     first_id is the document that the sequence begins in, first_at the token of it that comes first."""
     spark = docs.sparkSession
@@ -92,6 +92,10 @@ def materialised(docs: DataFrame, folder: str, text: str = "text", id: str = "do
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     base = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ranks = None
+    if vocabulary:
+        with open(vocabulary, "rb") as file:
+            ranks = file.read()
     _, kind, end, pad = encoder(ranks)
     if ranks is None:
         sizes = base.select(F.spark_partition_id().alias("part"), (F.octet_length("text") + 1).cast("long").alias("n"), F.xxhash64("id").alias("sum"))
@@ -190,5 +194,5 @@ def sequences(folder: str, start: int = 0, stop: int | None = None) -> Iterator[
         start = last
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return materialised(docs.select("doc_id", "text"), fresh_dir(docs.sparkSession, "tokens"))
+def digest(docs: DataFrame, vocabulary: str = RANKS) -> DataFrame:
+    return materialised(docs.select("doc_id", "text"), fresh_dir(docs.sparkSession, "tokens"), seq_len=1024, vocabulary=vocabulary)
