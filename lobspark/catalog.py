@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
-from lobspark.operators import stats
+from lobspark.operators import backtest, book, features, stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.folds import folded
 from lobspark.plans import views
@@ -185,3 +185,125 @@ def _techanalysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["techanalysis"] = _techanalysis
+
+
+# --- Books and features -----------------------------------------------------------------------------
+
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, views.deltas("spark"))
+
+
+_TOP = [f"{s}_{w}{i}" for s in ("bid", "ask") for i in range(1, 4) for w in ("p", "q")]
+
+
+def _flat(books: DataFrame) -> DataFrame:
+    cols = [F.get(F.col(f"top_{s}s"), F.lit(i - 1))[f].alias(f"{s}_{w}{i}") for s in ("bid", "ask") for i in range(1, 4) for w, f in (("p", "price"), ("q", "qty"))]
+    return books.select("symbol", "ts_us", "seq", *cols, F.coalesce(F.size("top_bids"), F.lit(0)).alias("n_bids"), F.coalesce(F.size("top_asks"), F.lit(0)).alias("n_asks"))
+
+
+_HELD = f"""with d as (select *, row_number() over (partition by symbol order by ts_us, seq) as rn from ({views.deltas('duckdb')})),
+s as (select symbol, side, price, qty, rn as a, coalesce(lead(rn) over (partition by symbol, side, price order by rn), 1e18::bigint) as z from d),
+h as (select d.symbol, d.ts_us, d.seq, d.rn, s.side, s.price, s.qty, row_number() over (partition by d.symbol, d.rn, s.side order by case when s.side = 'bid' then -s.price else s.price end) as lvl
+from d join s on s.symbol = d.symbol and s.a <= d.rn and d.rn < s.z where s.qty > 2.2e-16)"""
+_TOPS = ", ".join(f"max(case when side = '{s}' and lvl = {i} then {f} end) as {s}_{w}{i}" for s in ("bid", "ask") for i in range(1, 4) for w, f in (("p", "price"), ("q", "qty")))
+_BOOK_SQL = f"{_HELD}, t as (select symbol, rn, {_TOPS}, count(*) filter (side = 'bid' and lvl <= 10) as n_bids, count(*) filter (side = 'ask' and lvl <= 10) as n_asks from h group by symbol, rn) select d.symbol, d.ts_us, d.seq, {', '.join(f'round({c}, 6) as {c}' for c in _TOP)}, coalesce(n_bids, 0)::int as n_bids, coalesce(n_asks, 0)::int as n_asks from d left join t using (symbol, rn)"
+QUERIES["book_fold"] = lambda spark, sf_dir: rounded(_flat(book.reconstructed(deltas(spark, sf_dir))))
+QUERIES["book_intervals"] = lambda spark, sf_dir: rounded(_flat(book.intervals(deltas(spark, sf_dir))))
+ORACLE_SQL["book_fold"] = ORACLE_SQL["book_intervals"] = _BOOK_SQL
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.extracted(book.reconstructed(deltas(spark, sf_dir)))
+
+
+QUERIES["features"] = lambda spark, sf_dir: rounded(_features(spark, sf_dir).select("symbol", "ts_us", "seq", "mid", *[n for n in features.NAMES if n not in ("trade_intensity", "price_impact")]))
+ORACLE_SQL["features"] = f"""{_HELD}, t as (select symbol, rn, max(case when side = 'bid' and lvl = 1 then price end) as bp, max(case when side = 'bid' and lvl = 1 then qty end) as bq, max(case when side = 'ask' and lvl = 1 then price end) as ap,
+max(case when side = 'ask' and lvl = 1 then qty end) as aq, {', '.join(f"sum(case when side = '{s}' and lvl <= {n} then qty end) as {s}{n}" for s in ('bid', 'ask') for n in (1, 5, 10))} from h group by symbol, rn),
+pair as (select b.symbol, b.rn, sum((a.price - b.price) / 2 / (b.lvl * (a.qty + b.qty) / 2)) / sum(1 / (b.lvl * (a.qty + b.qty) / 2)) as slope from h b join h a on a.symbol = b.symbol and a.rn = b.rn and a.lvl = b.lvl and a.side = 'ask' and b.side = 'bid' where b.lvl <= 5 group by b.symbol, b.rn),
+f as (select d.symbol, d.ts_us, d.seq, d.rn, t.* exclude (symbol, rn), case when bp is not null and ap is not null then slope end as slope from d left join t using (symbol, rn) left join pair using (symbol, rn)),
+g as (select *, bid1 - ask1 as n1, bid5 - ask5 as n5, bid10 - ask10 as n10 from f)
+select symbol, ts_us, seq, round((bp + ap) / 2, 6) as mid, {', '.join(f"round(n{n} - lag(n{n}) over w, 6) + 0.0 as ofi_{n}" for n in (1, 5, 10))},
+round((bid5 - ask5) / (bid5 + ask5), 6) + 0.0 as depth_imb, round((aq * bp + bq * ap) / (aq + bq) - (bp + ap) / 2, 6) + 0.0 as microprice_dev, round(bq / (bq + aq), 6) as queue_imb, round(ap - bp, 6) as spread,
+round((lag(bq) over w - bq) / ((ts_us - lag(ts_us) over w) * 1e-6), 6) + 0.0 as level_drain, round(slope, 6) as weighted_mid_slope from g window w as (partition by symbol order by ts_us, seq)"""
+
+
+def _market_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a market buy of each event's quantity times three would get from its book."""
+    d = deltas(spark, sf_dir)
+    b = book.reconstructed(d).join(d.select("symbol", "ts_us", "seq", (F.col("qty") * 3).alias("want")), ["symbol", "ts_us", "seq"])
+    return rounded(b.select("symbol", "ts_us", "seq", book.filled("top_asks", F.col("want")).alias("x")).select("symbol", "ts_us", "seq", "x.avg_price", "x.filled"))
+
+
+QUERIES["market_orders"] = _market_orders
+ORACLE_SQL["market_orders"] = f"""{_HELD}, a as (select h.symbol, h.rn, h.price, h.qty, 3 * d.qty as want, coalesce(sum(h.qty) over (partition by h.symbol, h.rn order by lvl rows between unbounded preceding and 1 preceding), 0) as before
+from h join d using (symbol, rn) where h.side = 'ask' and lvl <= 10), t as (select symbol, rn, sum(price * greatest(least(qty, want - before), 0)) as cost, sum(greatest(least(qty, want - before), 0)) as got from a group by symbol, rn)
+select d.symbol, d.ts_us, d.seq, round(coalesce(case when got > 0 then cost / got else 0 end, 0), 6) as avg_price, round(coalesce(got, 0), 6) + 0.0 as filled from d left join t using (symbol, rn)"""
+
+
+def _trade_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade intensity and price impact on quotes, with a decay slow enough for rows minutes apart."""
+    t = ticks(spark, sf_dir)
+    level = lambda s: F.array(F.struct(F.col(s).alias("price"), F.col(f"{s}_qty").alias("qty")))
+    b = t.select("symbol", "ts_us", "seq", level("bid").alias("top_bids"), level("ask").alias("top_asks"))
+    trades = t.where("is_buy").select("symbol", "ts_us", "seq", F.col("price") * 1.001, "qty").toDF("symbol", "ts_us", "seq", "price", "qty")
+    return rounded(features.extracted(b, trades, beta=0.6).select("symbol", "ts_us", "seq", "trade_intensity", "price_impact"))
+
+
+QUERIES["trade_features"] = _trade_features
+ORACLE_SQL["trade_features"] = f"""with t as ({views.ticks('duckdb')}), tr as (select symbol, ts_us, seq, price * 1.001 as price, qty from t where is_buy),
+n as (select t.symbol, t.ts_us, t.seq, 1 + sum(coalesce(0.5 * exp(-0.6::double * (t.ts_us - tr.ts_us) * 1e-6::double), 0)) as i from t left join tr on tr.symbol = t.symbol and tr.ts_us between t.ts_us - 60000000 and t.ts_us and (tr.ts_us, tr.seq) <= (t.ts_us, t.seq) group by all)
+select t.symbol, t.ts_us, t.seq, round(n.i, 6) as trade_intensity, round((tr.price - (t.bid + t.ask) / 2) / tr.qty, 6) + 0.0 as price_impact from t join n using (symbol, ts_us, seq) asof left join tr on tr.symbol = t.symbol and tr.ts_us <= t.ts_us"""
+
+
+# --- Statistics -------------------------------------------------------------------------------------
+
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of ticks with forward returns."""
+    f = sql(spark, sf_dir, views.feature_rows("spark"))
+    return labelled(f, horizons=STRETCHED)
+
+
+_FT = f"with l as ({_labels_sql(STRETCHED).replace('round(', '(').replace(', 9)', ')')}), r as ({views.feature_rows('duckdb')}), ft as (select r.*, l.* exclude (symbol, ts_us, seq, mid, spread) from r join l using (symbol, ts_us, seq))"
+
+
+def _stat(name: str, query: Callable[[DataFrame], DataFrame], text: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(query(feature_table(spark, sf_dir)))
+    if text:
+        ORACLE_SQL[name] = f"{_FT} {text}"
+
+
+_RANKS = "rank() over (partition by {k} order by {x}) + (count(*) over (partition by {k}, {x}) - 1) / 2.0::double"
+
+
+def _spearman_sql(source: str, keys: str, x: str, y: str, out: str) -> str:
+    rx, ry = (_RANKS.format(k=keys, x=c) for c in (x, y))
+    return f"rk as (select {keys}, {rx} as rx, {ry} as ry from {source} where {x} is not null and {y} is not null) select {keys}, {out} from rk group by {keys}"
+
+
+_IC = "round(case when count(*) >= 2 and var_pop(rx) * var_pop(ry) > 0 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end, 6) + 0.0 as ic"
+_stat("stat_rank", lambda d: d.select("symbol", "ts_us", "seq", stats.average_rank("ofi_1", ["symbol"]).alias("r")), f"select symbol, ts_us, seq, {_RANKS.format(k='symbol', x='ofi_1')} as r from (select * replace (case when ofi_1 is null then -1e300 else ofi_1 end as ofi_1) from ft)")
+_stat("stat_spearman", lambda d: stats.spearman(d, ["symbol"], "ofi_1", "r_300s"), f", {_spearman_sql('ft', 'symbol', 'ofi_1', 'r_300s', _IC + ', count(*) as n')}")
+_stat("stat_pearson", lambda d: stats.pearson(d, ["symbol"], "ofi_1", "r_300s"), "select symbol, round(corr(ofi_1, r_300s), 6) + 0.0 as r, count(*) as n from ft where ofi_1 is not null and r_300s is not null group by symbol")
+_WIN = ", fp as (select *, row_number() over (partition by symbol order by ts_us, seq) - 1 as i, count(*) over (partition by symbol) as n from ft where ofi_1 is not null and r_300s is not null), wn as (select symbol, w.range as window_idx, fp.ofi_1, fp.r_300s from fp join range(0, 100000) w on fp.i between w.range * 63 and w.range * 63 + 251 and w.range * 63 + 252 <= fp.n)"
+_stat("stat_rolling_ic", lambda d: stats.rolling_ic(d, ["symbol"], ["ts_us", "seq"], "ofi_1", "r_300s", 252, 63), f"{_WIN}, {_spearman_sql('wn', 'symbol, window_idx', 'ofi_1', 'r_300s', _IC)}".replace("select symbol, window_idx, round", "select symbol, window_idx::int as window_idx, (window_idx * 63 + 126)::int as center, round"))
+_stat("stat_icir", lambda d: stats.icir(stats.rolling_ic(d, ["symbol"], ["ts_us", "seq"], "ofi_1", "r_300s", 252, 63), ["symbol"]), f"{_WIN}, ri as (with {_spearman_sql('wn', 'symbol, window_idx', 'ofi_1', 'r_300s', _IC.replace('round(', '(').replace(', 6)', ')'))}) select symbol, round(avg(ic) / stddev_samp(ic), 6) + 0.0 as icir, count(*) as n from ri group by symbol")
+_stat("stat_ols", lambda d: stats.ols(d, ["symbol"], "r_300s", ["queue_imb"]).select("symbol", "n", (F.element_at("beta", 1) * 1e3).alias("alpha"), (F.element_at("beta", 2) * 1e3).alias("beta")), "select symbol, count(*) as n, round(regr_intercept(r_300s, queue_imb) * 1e3, 6) + 0.0 as alpha, round(regr_slope(r_300s, queue_imb) * 1e3, 6) + 0.0 as beta from ft where r_300s is not null group by symbol")
+_stat("stat_regime_ic", lambda d: stats.regime_ic(d, ["symbol"], "spread", "ofi_1", "r_300s"), f", q as (select *, row_number() over (partition by symbol order by spread, ts_us, seq) - 1 as i, count(*) over (partition by symbol) as n from ft where ofi_1 is not null and r_300s is not null), qq as (select *, least(i // (n // 4), 3)::int + 1 as quartile from q), {_spearman_sql('qq', 'symbol, quartile', 'ofi_1', 'r_300s', _IC + ', count(*) as n')}")
+_LAGS = ", ".join(f"sum(c * c{k}) as g{k}" for k in range(1, 21))
+_stat("stat_ljung_box", lambda d: stats.ljung_box(d, ["symbol"], ["ts_us", "seq"], "r_300s"), f", c as (select symbol, ts_us, seq, r_300s - avg(r_300s) over (partition by symbol) as c from ft where r_300s is not null), cl as (select *, {', '.join(f'lag(c, {k}) over (partition by symbol order by ts_us, seq) as c{k}' for k in range(1, 21))} from c), g as (select symbol, count(*) as n, sum(c * c) as v, {_LAGS} from cl group by symbol) select symbol, n, round(n * (n + 2) * ({' + '.join(f'pow(g{k} / v, 2) / (n - {k})' for k in range(1, 21))}), 6) as q from g")
+_stat("stat_vif", lambda d: stats.vif(d, ["symbol"], ["ofi_1", "spread"]), ", c as (select symbol, 1 / (1 - pow(corr(ofi_1, spread), 2)) as v from ft where ofi_1 is not null group by symbol) select symbol, unnest(['ofi_1', 'spread']) as feature, round(v, 6) as vif from c")
+
+
+def _decay(d: DataFrame) -> DataFrame:
+    ic = stats.ic_table(d, ["symbol"], ["ofi_1"], [f"r_{h}" for h in HORIZONS]).withColumn("tau", F.regexp_extract("horizon", "([0-9]+)", 1).cast("double"))
+    return stats.ic_decay(ic, ["symbol"])
+
+
+_stat("stat_ic_decay", _decay)
+
+
+# --- Backtests --------------------------------------------------------------------------------------
+
+CONFIG = backtest.Config(train_days=8, test_days=4, resample_s=1.0)
+QUERIES["backtest"] = lambda spark, sf_dir: rounded(backtest.backtested(feature_table(spark, sf_dir), CONFIG))
+QUERIES["backtest_summary"] = lambda spark, sf_dir: rounded(backtest.summarised(backtest.backtested(feature_table(spark, sf_dir), CONFIG)))
