@@ -59,7 +59,7 @@ def _measured(docs: DataFrame, text: str) -> DataFrame:
     return df.withColumns(
         {
             "n_words": F.expr("bigint(size(__w))"),
-            "word_chars": F.expr("bigint(length(translate(__t, ' \\t\\n\\u000B\\f\\r', '')))"),
+            "word_chars": F.expr("bigint(length(translate(__t, ' \\t\\n\\u000B\\u000C\\r', '')))"),
             "n_symbols": F.expr("bigint(length(__t) - length(translate(__t, '#*$%&|<>', '')))"),
             "n_lines": F.expr("bigint(size(__l))"),
             "n_dup_lines": F.expr("bigint(size(__l) - size(array_distinct(__l)))"),
