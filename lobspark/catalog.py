@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
-from lobspark.operators import backtest, book, features, stats
+from lobspark.operators import backtest, book, features, simulate, stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.folds import folded
-from lobspark.plans import views
+from lobspark.plans import report, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,3 +307,27 @@ _stat("stat_ic_decay", _decay)
 CONFIG = backtest.Config(train_days=8, test_days=4, resample_s=1.0)
 QUERIES["backtest"] = lambda spark, sf_dir: rounded(backtest.backtested(feature_table(spark, sf_dir), CONFIG))
 QUERIES["backtest_summary"] = lambda spark, sf_dir: rounded(backtest.summarised(backtest.backtested(feature_table(spark, sf_dir), CONFIG)))
+
+
+# --- Report and simulation --------------------------------------------------------------------------
+
+_FEATURES = ["ofi_1", "depth_imb", "microprice_dev", "queue_imb", "spread", "trade_intensity"]
+_RETURNS = list(report.HORIZON_S)
+_SECTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "summary": report.summary,
+    "ic": lambda f: report.ic_section(f, _FEATURES, _RETURNS),
+    "decay": lambda f: report.decay_section(report.ic_section(f, _FEATURES, _RETURNS)),
+    "adf": lambda f: report.adf_section(f, _FEATURES),
+    "vif": lambda f: report.vif_section(f, _FEATURES),
+    "ljung_box": lambda f: report.ljung_box_section(f, ["ofi_1", "queue_imb"]),
+    "regimes": report.regime_section,
+    "partial_r2": report.partial_r2,
+    "sign_accuracy": report.sign_accuracy,
+    "hypotheses": lambda f: report.sections(f, _FEATURES)["hypotheses"],
+}
+for _name, _section in _SECTIONS.items():
+    QUERIES[f"report_{_name}"] = (lambda s: lambda spark, sf_dir: rounded(s(feature_table(spark, sf_dir))))(_section)
+ORACLE_SQL["report_summary"] = f"{_FT} select symbol, count(*) as n, min(ts_us) as first_ts, max(ts_us) as last_ts from ft group by symbol"
+ORACLE_SQL["report_sign_accuracy"] = f"{_FT} select symbol, round(avg((sign(microprice_dev) = sign(r_1s))::int), 6) as sign_accuracy from ft where microprice_dev <> 0 and r_1s <> 0 group by symbol"
+ORACLE_SQL["report_regimes"] = ORACLE_SQL["stat_regime_ic"]
+QUERIES["simulation"] = lambda spark, sf_dir: rounded(simulate.feature_table(spark, 2, simulate.Params(duration_s=120.0)))
