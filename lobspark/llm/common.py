@@ -45,11 +45,11 @@ def arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", rows: int = SMALL_ROWS) -> DataFrame:
     """df joined with a table that is as a rule small. It is broadcast if its counted rows are
     few, and otherwise left to a shuffled join, whose skewed partitions AQE splits."""
     side = settled(side)
-    return df.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side, on, how)
+    return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)
 
 
 def min_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -4,9 +4,14 @@ A document's size is its number of words. Sources, by code point with null last,
 turn and share all words; a source's target stops at `most` times its size, and what is over goes to
 the others by weight until none is above. That fixed point is min(most * size, level * weight) for one
 level, found from sums over the sources in order of most * size / weight: a window over one row a source.
-A document is emitted floor(rate) times, plus once if a hash of its id and the seed, as a uniform
-number, is below the fraction. Reruns agree; no random state is kept; the only shuffle is one row a
-source and task.
+
+A document is emitted floor(rate) times, plus a hash-seeded Bernoulli copy with probability equal to the
+fraction. Independent draws would leave a source with few or very long texts far from its target, so the
+draws of a source are coupled. Its texts are grouped by size (to three digits) and a few bits of a hash of
+their id; along the groups, longest first, one offset hashed from the source says how many texts of each get
+their copy (systematic sampling), and within a group hashes of the ids choose. Every text's probability
+stays the fraction; a source's words miss its target by about one text. Reruns agree; no random state is
+kept; all that is shuffled is a count for each source and group.
 
 Null texts have size 0; documents of size 0 are taken as often as others, which adds no words. A source
 without words has target 0 and rate 0. Repeated ids draw alike, and a null id takes no extra copy. Other columns stay.
@@ -14,22 +19,36 @@ without words has target 0 and rate 0. Repeated ids draw alike, and a null id ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import WORD, joined_small
+from lobspark.llm.common import WORD, joined_small, settled
 
 SEED = 20_251
+#: Rows (a source has at most 16 for each of some 3,000 sizes) up to which the quotas are broadcast; some tens of bytes each.
+QUOTA_ROWS = 400_000
 
 
 def sized(docs: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
     return docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(source, source_size, target) from (source, size)."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+def grouped(df: DataFrame, id: str) -> DataFrame:
+    """df with the group of each document: `__class`, its size to three digits, and `__bits` of its id."""
+    step = F.pow(F.lit(10), F.greatest(F.length(F.col("size").cast("string")) - 3, F.lit(0))).cast("long")
+    bits = F.conv(F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), 14, 1), 16, 10).cast("int")
+    return df.withColumns({"__class": F.col("size") - F.col("size") % step, "__bits": bits})
+
+
+def counted(groups: DataFrame) -> DataFrame:
+    """(source, __class, __bits, m, words): documents and words of each group of each source."""
+    return groups.groupBy("source", "__class", "__bits").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("words"))
+
+
+def targets(counts: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(source, source_size, target) from counts (source, words)."""
+    per = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
     per = per.withColumn("cap", F.lit(most) * F.col("source_size"))
@@ -45,23 +64,38 @@ def targets(sizes: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3
     level = F.min(F.when(F.col("__left") * F.col("weight") <= F.col("cap") * F.col("__weight"), F.struct((F.col("cap") / F.col("weight")).alias("r"), F.col("source").isNull().alias("z"), F.col("source").alias("s"), "__left", "__weight"))).over(everything)
     per = per.withColumn("__level", level)
     target = F.least(F.col("cap").cast("double"), F.col("__level.__left") * F.col("weight") / F.col("__level.__weight"))
-    return per.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"), (F.col("source").isNull()).alias("__none"))
+    return per.select("source", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
+
+
+def uniform(*parts) -> Column:
+    """52 bits of a hash of the parts, as a number in [0, 1)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def quotas(counts: DataFrame, per: DataFrame, seed: int) -> DataFrame:
+    """For each source and group: source_size, target, rate, m and the `extra` copies that its m documents get."""
+    longer = W.partitionBy("source").orderBy(F.col("__class").desc(), "__bits").rowsBetween(W.unboundedPreceding, -1)
+    ranked = counts.withColumn("__r", F.coalesce(F.sum("m").over(longer), F.lit(0)))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    out = ranked.join(per, F.expr("source <=> source_")).drop("source_").withColumn("rate", rate)
+    part, offset = F.col("rate") - F.floor("rate"), uniform(F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"))
+    extra = F.floor((F.col("__r") + F.col("m")) * part + offset) - F.floor(F.col("__r") * part + offset)
+    return out.withColumn("extra", extra).drop("__r")
 
 
 def mixed(docs: DataFrame, text: str = "text", id: str = "doc_id", seed: int = SEED, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """docs with size, source_size, target, copies and taken. Their own columns of these names are replaced."""
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
-    base = sized(docs.select(*own), text)
-    per = targets(base.select("source", "size"), most, weights)
+    base = grouped(sized(docs.select(*own), text), id)
+    counts = settled(counted(base.select("source", "size", "__class", "__bits")))
+    quota = quotas(counts, targets(counts, most, weights).withColumnRenamed("source", "source_"), seed)
     # A null source must find its row: join on (is null, or '').
+    null, name = F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__s")
     left = base.withColumns({"__none": F.col("source").isNull(), "__s": F.coalesce("source", F.lit(""))})
-    per = per.select("__none", F.coalesce("source", F.lit("")).alias("__s"), "source_size", "target")
-    out = joined_small(left, per, ["__none", "__s"]).drop("__none", "__s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # 52 bits of a keyed hash as a number in [0, 1).
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    copies = F.floor(rate) + F.coalesce(u < rate - F.floor(rate), F.lit(False)).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    out = joined_small(left, quota.select(null, name, "__class", "__bits", "source_size", "target", "rate", "m", "extra"), ["__none", "__s", "__class", "__bits"], rows=QUOTA_ROWS)
+    drawn = F.coalesce(uniform(F.lit(str(seed)), F.col(id).cast("string")) * F.col("m") < F.col("extra"), F.lit(False))
+    copies = F.floor("rate") + drawn.cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*own, "size", "source_size", "target", "copies", "taken")
 
 
 def emitted(mix: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ FROM f
 """,
     "op9_mixing": rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents
+  SELECT *, size - size % pow(10, greatest(length(size::VARCHAR) - 3, 0))::BIGINT AS class, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 14, 1))::INT AS bits
+  FROM (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents)
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM d GROUP BY source
 ), o AS (
@@ -71,12 +72,19 @@ WITH RECURSIVE d AS (
   SELECT remaining, rest FROM o WHERE remaining * weight <= cap * rest ORDER BY cap::DOUBLE / weight, source NULLS LAST LIMIT 1
 ), t AS (
   SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT remaining FROM l)::BIGINT * weight / (SELECT rest FROM l)::BIGINT), cap::DOUBLE) AS target FROM o
-), r AS (
-  SELECT d.doc_id, d.size, d.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT source, class, bits, count(*) AS m FROM d GROUP BY source, class, bits
+), x AS (
+  SELECT c.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    coalesce(sum(m) OVER (PARTITION BY c.source ORDER BY class DESC, bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(c.source, '') || ':' || (c.source IS NULL)::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS start
+  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+), y AS (
+  SELECT *, floor((before + m) * (rate - floor(rate)) + start)::BIGINT - floor(before * (rate - floor(rate)) + start)::BIGINT AS extra FROM x
 ), k AS (
-  SELECT *, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT AS copies FROM r
+  SELECT d.doc_id, d.size, d.source, y.source_size, y.target,
+    floor(y.rate)::BIGINT + (('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * y.m < y.extra)::BIGINT AS copies
+  FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source AND d.class = y.class AND d.bits = y.bits
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM k
 """,

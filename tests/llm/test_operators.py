@@ -408,7 +408,7 @@ def test_mixing_targets(spark):
     for i, s in enumerate(sources):
         assert got[i].source_size == sizes[s] and got[i].target == pytest.approx(want[s], rel=1e-12)
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
-    assert abs(taken["a"] - want["a"]) < 0.2 * want["a"] and taken["b"] == want["b"]
+    assert abs(taken["a"] - want["a"]) < 0.05 * want["a"] and taken["b"] == want["b"]
     assert mixing.emitted(mixing.mixed(df)).count() == sum(r.copies for r in got.values())
     assert rows(mixing.mixed(df)) == got
     assert mixing.mixed(df.limit(0)).count() == 0

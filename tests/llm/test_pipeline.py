@@ -22,13 +22,23 @@ def test_pipeline(spark):
     for _, t, s in docs:
         sizes[s] += len(WORD.findall(t))
     target = slow_targets(sizes)
-    want = Counter()
+    want, taken = Counter(), Counter()
+    unit = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:13], 16) / 2**52
+    group = lambda i, n: (n - n % 10 ** max(len(str(n)) - 3, 0), int(hashlib.md5(str(i).encode()).hexdigest()[13], 16))
+    members = Counter((s, *group(i, len(WORD.findall(t)))) for i, t, s in docs)
     for i, t, s in docs:
-        rate = target[s] / sizes[s]
-        u = int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) / 2**52
         n = len(WORD.findall(t))
+        size, bits = group(i, n)
+        rate, m = target[s] / sizes[s], members[s, size, bits]
+        before = sum(c for (o, k, b), c in members.items() if o == s and (-k, b) < (-size, bits))
+        part, start = rate - int(rate), unit(f"{mixing.SEED}:{s}:false")
+        extra = int((before + m) * part + start) - int(before * part + start)
+        copies = int(rate) + (unit(f"{mixing.SEED}:{i}") * m < extra)
+        taken[s] += copies * n
         for k in range(-(-n // 2048)):
-            want[i, k, min(2048, n - 2048 * k)] += int(rate) + (u < rate - int(rate))
+            want[i, k, min(2048, n - 2048 * k)] += copies
+    longest = {s: max(len(WORD.findall(t)) for _, t, o in docs if o == s) for s in sizes}
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in sizes)
     got = Counter((r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect())
     assert got == +want
     assert texts_of() and packing.boundaries(Counter(k[2] for k in got.elements()), 16)
