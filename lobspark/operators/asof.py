@@ -34,8 +34,8 @@ def labelled(df: DataFrame, mid: str = "mid", spread: str | None = "spread", hor
     """df with forward returns r_<h> and sign labels sign_<h>. Rows whose mid is not positive get no labels but still serve others."""
     found = forward_asof(df, {"__mid": F.col(mid)}, horizons)
     usable = F.col(mid) > 0
-    out = found.withColumns({f"r_{h}": F.when(usable, (F.col(f"__mid_{h}") - F.col(mid)) / F.col(mid)) for h in horizons})
+    out = found.withColumns({f"r_{h}": F.when(usable, F.try_divide(F.col(f"__mid_{h}") - F.col(mid), F.col(mid))) for h in horizons})
     if spread:
-        limit = 0.5 * F.col(spread) / F.col(mid)
+        limit = F.try_divide(0.5 * F.col(spread), F.col(mid))
         out = out.withColumns({f"sign_{h}": F.when(F.col(f"r_{h}") > limit, 1).when(F.col(f"r_{h}") < -limit, -1).when(F.col(f"r_{h}").isNotNull(), 0).cast("byte") for h in signs if h in horizons})
     return out.drop(*[f"__mid_{h}" for h in horizons])
