@@ -45,6 +45,19 @@ WITH RECURSIVE v AS (
 )
 SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) c USING (vec_id)
+""",
+    # The article as these pages mark it; the operator itself does not rely on the mark.
+    "op7_html": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(h1|p)>'), lambda x: regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*(>|$)', '', 'g')) AS blocks FROM a
+), c AS (
+  SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM b
+), t AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM c
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM t
 """,
     "op8_warc": """
 WITH p AS (
