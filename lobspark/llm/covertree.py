@@ -1,10 +1,12 @@
 """Exact near-duplicate vectors by dual traversal of cover trees.
 
-Vectors are compared within their label (and number of components) only. A label is dealt by hash into
-blocks of about `block` rows; every two blocks of a label, and each block with itself, are one task, so
-that no label, however large, is gathered in one place. In a task each block becomes a cover tree of
-nested levels whose radii halve: every node covers its rows within its level's radius of a centre row, and
-keeps the exact covering radius. The two trees are walked together, level by level, from the roots:
+Vectors are compared within their label (and number of components) only. The top of a label's tree is
+one level of at most CELLS cells about rows that hashes pick; every row goes to its nearest, and every
+cell keeps its exact covering radius. Pairs of cells that those radii keep apart are dropped. Cells are
+dealt by hash into blocks of about `block` rows; two blocks that may link, and each block with itself, are
+one task, so that no label or cell, however large, is gathered in one place. In a task each block becomes a
+cover tree of nested levels whose radii halve: every node covers its rows within its level's radius of a
+centre row, and keeps the exact covering radius. The two trees are walked together, level by level:
 a pair of nodes is dropped if their centres are farther apart than the threshold and both covering radii
 allow a link, taken whole if every row of one must link with every row of the other, and otherwise
 split into its children. Leaves are so small that their rows all link; what is left between leaves is
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobspark.llm.common import arrow_batches, joined_small, min_components, settled
@@ -34,6 +37,9 @@ COSINE = 0.93
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 MARGIN = 1e-6
 BLOCK = 4096
+CELLS = 64
+#: Bits of a block's number in its cell.
+SUB = 32
 
 
 class Tree:
@@ -191,15 +197,72 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, label string, dim long, unit binary")
 
 
+def celled(units: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """label, dim, cell, row, unit and far, the distance from the cell's centre; and the centres (label, dim, cell, centre)."""
+    keys = ["label", "dim"]
+    sizes = settled(units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    sizes = sizes.withColumns({"cells": F.least(F.lit(CELLS), F.ceil(F.col("n") / block)), "blocks": F.ceil(F.col("n") / block)})
+    sized = joined_small(units, sizes, keys, "inner")
+    # Some 16 times as many rows as cells, whatever the label's size; of these the first by hash.
+    u = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(1 << 30)) / float(1 << 30)
+    some = sized.where(u * F.col("n") < 16 * F.col("cells")).withColumn("cell", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(1), "row"), "row")) - 1)
+    centres = settled(some.where("cell < cells").select(*keys, "cell", F.col("unit").alias("centre")))
+    dealt = sized.select(*keys, F.pmod(F.xxhash64("row"), F.col("blocks")).alias("part"), "row", "unit")
+    each = centres.join(sizes.select(*keys, "blocks"), keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+    def nearest(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip(names, kinds, strict=True)})
+        dim = rows.column("dim")[0].as_py()
+        # A label of which no row was picked is one cell that is near to all.
+        cell, far = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, 4.0)
+        if heads.num_rows:
+            heads = heads.sort_by("cell")
+            c = np.frombuffer(b"".join(heads.column("centre").to_pylist()), np.float64).reshape(-1, dim)
+            for k in range(0, rows.num_rows, 4096):
+                x = np.frombuffer(b"".join(rows.column("unit").slice(k, 4096).to_pylist()), np.float64).reshape(-1, dim)
+                dot = x @ c.T
+                best = dot.argmax(axis=1)
+                cell[k : k + 4096] = heads.column("cell").to_numpy()[best]
+                far[k : k + 4096] = chord(dot[np.arange(len(x)), best])
+        return pa.table([rows.column("label"), rows.column("dim"), pa.array(cell), rows.column("row"), rows.column("unit"), pa.array(far)], names=names)
+
+    names, kinds = ["label", "dim", "cell", "row", "unit", "far"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64()]
+    by = [*keys, "part"]
+    each = each.select(*[F.col(c).alias(c) for c in each.columns])  # columns of its own, not those that it shares with the rows
+    out = dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(nearest, "label string, dim long, cell long, row long, unit binary, far double")
+    return settled(out), centres
+
+
+def paired(cells: DataFrame, centres: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(label, dim, cell, blocks, other, other_blocks): for each cell those that it may link with, itself among them."""
+    keys = ["label", "dim"]
+    stats = cells.groupBy(*keys, "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.max("far").alias("radius")).join(centres, [*keys, "cell"], "left")
+    limit = np.sqrt(2.0 - 2.0 * cosine) + MARGIN
+
+    def near(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cell")
+        n, raw = t.num_rows, t.column("centre").to_pylist()
+        c = [None if x is None else np.frombuffer(x, np.float64) for x in raw]
+        r, cell, blocks = (t.column(x).to_numpy() for x in ("radius", "cell", "blocks"))
+        at = [(i, j) for i in range(n) for j in range(n) if i == j or c[i] is None or c[j] is None or chord(c[i] @ c[j]) - r[i] - r[j] <= limit]
+        i, j = (np.array(x) for x in zip(*at, strict=True))
+        return pa.table([t.column("label").take(pa.array(i)), t.column("dim").take(pa.array(i)), pa.array(cell[i]), pa.array(blocks[i]), pa.array(cell[j]), pa.array(blocks[j])], names=["label", "dim", "cell", "blocks", "other", "other_blocks"])
+
+    return stats.groupBy(*keys).applyInArrow(near, "label string, dim long, cell long, blocks long, other long, other_blocks long")
+
+
 def linked(units: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(row, n, root): partial link counts of rows, each tied to a root; from units (row, label, dim, unit)."""
     if np.sqrt(2 - 2 * cosine) - MARGIN < 2 * RADII[-1]:
         raise ValueError("the last level is too coarse for this threshold")
-    units = units.where("unit is not null")
-    blocks = units.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = joined_small(units, blocks, ["label", "dim"], "inner").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pairs = pairs.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "unit")
+    cells, centres = celled(units.where("unit is not null"), block)
+    keys = ["label", "dim", "cell"]
+    pairs = joined_small(cells.drop("far"), paired(cells, centres, cosine, block), keys, "inner")
+    own = F.shiftleft("cell", SUB).bitwiseOR(F.pmod(F.xxhash64(F.lit(2), "row"), F.col("blocks")))
+    pairs = pairs.withColumn("own", own).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
+    pairs = pairs.withColumn("__o", F.shiftleft("other", SUB).bitwiseOR(F.col("__k")))
+    pairs = pairs.select("label", "dim", F.least("own", "__o").alias("i"), F.greatest("own", "__o").alias("j"), "own", "row", "unit")
 
     def meet(key: tuple, t: pa.Table) -> pa.Table:
         dim, i, j = (k.as_py() for k in key[1:])

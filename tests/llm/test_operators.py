@@ -293,6 +293,20 @@ def test_covertree(spark):
     assert covertree.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_cells_that_lie_apart_are_not_compared(spark):
+    rng = np.random.default_rng(7)
+    base = np.eye(8)[rng.integers(0, 8, 400)] + 0.05 * rng.normal(size=(400, 8))
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int")
+    units = covertree.prepared(df).withColumnRenamed("vec_id", "row")
+    cells, centres = covertree.celled(units, 20)
+    pairs = covertree.paired(cells, centres, 0.93, 20).collect()
+    n = cells.select("cell").distinct().count()
+    assert n > 8 and len(pairs) < n * n / 2 and {(p.cell, p.cell) for p in pairs} <= {(p.cell, p.other) for p in pairs}
+    x = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in df.collect()}
+    got = rows(covertree.near_duplicates(df, block=20), "vec_id")
+    assert all(got[i].n_links == sum(j != i and x[i] @ x[j] >= 0.93 for j in x) for i in x)
+
+
 # --- 6 -----------------------------------------------------------------------------------------------
 
 def test_permutation():
