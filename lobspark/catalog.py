@@ -44,17 +44,21 @@ def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataF
 
 # --- Indicators -----------------------------------------------------------------------------------
 
+#: Means of 200 prices of four decimals can lie on halves of the sixth.
+DIGITS = {"sma_200": 8, "ema_200": 8}
+
+
 def _frame_query(name: str) -> Query:
-    return lambda spark, sf_dir: rounded(sql(spark, sf_dir, framed_sql(views.bars("spark"), [name])))
+    return lambda spark, sf_dir: rounded(sql(spark, sf_dir, framed_sql(views.bars("spark"), [name])), DIGITS.get(name, 6))
 
 
 def _fold_query(name: str) -> Query:
-    return lambda spark, sf_dir: rounded(folded(bars(spark, sf_dir), (name,)))
+    return lambda spark, sf_dir: rounded(folded(bars(spark, sf_dir), (name,)), DIGITS.get(name, 6))
 
 
 for _name in FRAME:
     QUERIES[f"ind_{_name}"] = _frame_query(_name)
-    ORACLE_SQL[f"ind_{_name}"] = f"select symbol, ts_us, seq, round({_name}, 6) + 0.0 as {_name} from ({framed_sql(views.bars('duckdb'), [_name])})"
+    ORACLE_SQL[f"ind_{_name}"] = f"select symbol, ts_us, seq, round({_name}, {DIGITS.get(_name, 6)}) + 0.0 as {_name} from ({framed_sql(views.bars('duckdb'), [_name])})"
 for _name in FOLDED:
     QUERIES[f"ind_{_name}"] = _fold_query(_name)
 
@@ -86,7 +90,7 @@ def _wilder(n: int, out: str, x: str, first: int = 1) -> str:
 
 def _oracle(name: str, ctes: list[str], value: str, joins: list[str]) -> None:
     using = " ".join(f"left join {j} using (symbol, rn)" for j in joins)
-    ORACLE_SQL[f"ind_{name}"] = f"{', '.join([_B, *ctes])} select symbol, ts_us, seq, round({value}, 6) + 0.0 as {name} from b {using}"
+    ORACLE_SQL[f"ind_{name}"] = f"{', '.join([_B, *ctes])} select symbol, ts_us, seq, round({value}, {DIGITS.get(name, 6)}) + 0.0 as {name} from b {using}"
 
 
 for _n in (5, 12, 20, 26, 50, 200):
@@ -100,14 +104,14 @@ _oracle("macd_signal", _MACD, "sg", ["sg"])
 _oracle("macd_hist", _MACD, "line - sg", ["ln", "sg"])
 _oracle("force_index_13", [_ema(13, "e", "@f")], "e", ["e"])
 for _n in (7, 14, 21):
-    _oracle(f"rsi_{_n}", [_wilder(_n, "gg", "@g", 2), _wilder(_n, "ss", "@s", 2)], "100 - 100 / (1 + case when ss > 1e-12 then gg / ss else 100 end)", ["gg", "ss"])
+    _oracle(f"rsi_{_n}", [_wilder(_n, "gg", "@g", 2), _wilder(_n, "ss", "@s", 2)], "case when gg is not null then 100 - 100 / (1 + case when ss > 1e-12 then gg / ss else 100 end) end", ["gg", "ss"])
 _oracle("atr_14", [_wilder(14, "a", "@tr")], "a", ["a"])
 _oracle("natr_14", [_wilder(14, "a", "@tr")], "100 * a / p", ["a"])
 _KELTNER = [_wilder(20, "a", "@tr"), _ema(20, "e")]
 _oracle("keltner_width_20", _KELTNER, "3 * a / e", ["a", "e"])
 _oracle("squeeze_signal", [*_KELTNER, "sd as (select symbol, rn, 4 * stddev_pop(p) over w / avg(p) over w as width from b window w as (partition by symbol order by rn rows between 19 preceding and current row))"], "case when a is not null then case when width < 3 * a / e then 1.0 else 0.0 end end", ["a", "e", "sd"])
-for _name, _sign in (("golden_cross", "f > s and f1 <= s1"), ("death_cross", "f < s and f1 >= s1")):
-    _oracle(_name, [_ema(5, "f"), _ema(20, "s"), "c as (select symbol, rn, f, s, lag(f) over (partition by symbol order by rn) as f1, lag(s) over (partition by symbol order by rn) as s1 from f join s using (symbol, rn))"], f"case when f1 is null or s1 is null then null when {_sign} then 1.0 else 0.0 end", ["(select symbol, rn, f, s, f1, s1 from c) c"])
+for _name, _sign in (("golden_cross", "fast > slow and f1 <= s1"), ("death_cross", "fast < slow and f1 >= s1")):
+    _oracle(_name, [_ema(5, "fast"), _ema(20, "slow"), "c as (select symbol, rn, fast, slow, lag(fast) over (partition by symbol order by rn) as f1, lag(slow) over (partition by symbol order by rn) as s1 from fast join slow using (symbol, rn))"], f"case when f1 is null or s1 is null then null when {_sign} then 1.0 else 0.0 end", ["c"])
 _DI = [_weights(f"@{x}", 2, 14, "1", "(1 - 1.0::double / 14)", y, "b", "sum") for x, y in (("tr", "wt"), ("dp", "wp"), ("dm", "wm"))]
 # The first 14 rows are summed as they are.
 _DI += ["di as (select symbol, rn, case when wt > 0 then 100 * wp / wt else 0 end as pdi, case when wt > 0 then 100 * wm / wt else 0 end as mdi from wt join wp using (symbol, rn) join wm using (symbol, rn))",
