@@ -112,6 +112,13 @@ _oracle("keltner_width_20", _KELTNER, "3 * a / e", ["a", "e"])
 _oracle("squeeze_signal", [*_KELTNER, "sd as (select symbol, rn, 4 * stddev_pop(p) over w / avg(p) over w as width from b window w as (partition by symbol order by rn rows between 19 preceding and current row))"], "case when a is not null then case when width < 3 * a / e then 1.0 else 0.0 end end", ["a", "e", "sd"])
 for _name, _sign in (("golden_cross", "fast > slow and f1 <= s1"), ("death_cross", "fast < slow and f1 >= s1")):
     _oracle(_name, [_ema(5, "fast"), _ema(20, "slow"), "c as (select symbol, rn, fast, slow, lag(fast) over (partition by symbol order by rn) as f1, lag(slow) over (partition by symbol order by rn) as s1 from fast join slow using (symbol, rn))"], f"case when f1 is null or s1 is null then null when {_sign} then 1.0 else 0.0 end", ["c"])
+_oracle("kama_10", [
+    "er as (select symbol, rn, p, abs(p - lag(p, 10) over (partition by symbol order by rn)) as way, sum(abs(p - p1)) over (partition by symbol order by rn rows between 9 preceding and current row) as path from b)",
+    "co as (select symbol, rn, p, case when rn > 11 then pow(case when path > 1e-12 then way / path else 0 end * (2.0::double / 3 - 2.0::double / 31) + 2.0::double / 31, 2) end as c from er)",
+    # Products of 1 - c as sums of logarithms, so that the recursion is one weighted sum.
+    "lo as (select symbol, rn, p, case when rn = 11 then 1.0::double else c end as c, sum(case when rn > 11 then ln(1 - c) else 0 end) over (partition by symbol order by rn) as lg from co where rn >= 11)",
+    "ka as (select t.symbol, t.rn, sum(j.c * j.p * exp(t.lg - j.lg)) as k from lo t join lo j on j.symbol = t.symbol and j.rn <= t.rn group by t.symbol, t.rn)",
+], "k", ["ka"])
 _DI = [_weights(f"@{x}", 2, 14, "1", "(1 - 1.0::double / 14)", y, "b", "sum") for x, y in (("tr", "wt"), ("dp", "wp"), ("dm", "wm"))]
 # The first 14 rows are summed as they are.
 _DI += ["di as (select symbol, rn, case when wt > 0 then 100 * wp / wt else 0 end as pdi, case when wt > 0 then 100 * wm / wt else 0 end as mdi from wt join wp using (symbol, rn) join wm using (symbol, rn))",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 EPS = 2.220446049250313e-16
 LEVELS = "array<struct<price:double,qty:double>>"
+STRETCH = 64
 _LEVELS = pa.list_(pa.struct([("price", pa.float64()), ("qty", pa.float64())]))
 
 
@@ -113,9 +114,12 @@ def reconstructed(events: DataFrame, depth: int = 10, mode: str = "delta") -> Da
 def intervals(deltas: DataFrame, depth: int = 10) -> DataFrame:
     """top_bids and top_asks after each level change, from the intervals in which each level holds a quantity."""
     w = W.partitionBy("symbol").orderBy("ts_us", "seq")
-    placed = deltas.withColumn("__at", F.row_number().over(w))
-    spans = placed.select("symbol", "side", "price", "qty", F.col("__at").alias("__from"), F.lead("__at", 1, (1 << 31) - 1).over(W.partitionBy("symbol", "side", "price").orderBy("__at")).alias("__to")).where(F.col("qty") >= EPS)
-    held = placed.select("symbol", "ts_us", "seq", "__at").join(spans, "symbol").where("__from <= __at and __at < __to")
+    placed = deltas.withColumns({"__at": F.row_number().over(w), "__n": F.count(F.lit(1)).over(W.partitionBy("symbol"))})
+    until = F.coalesce(F.lead("__at").over(W.partitionBy("symbol", "side", "price").orderBy("__at")), F.col("__n") + 1)
+    spans = placed.withColumn("__to", until).where(F.col("qty") >= EPS)
+    # Events meet the levels held by stretches of STRETCH events, not by instrument, which would be quadratic in its events.
+    spans = spans.select("symbol", "side", "price", "qty", F.col("__at").alias("__from"), "__to", F.explode(F.sequence(F.floor(F.col("__at") / STRETCH), F.floor((F.col("__to") - 1) / STRETCH))).alias("__s"))
+    held = placed.select("symbol", "ts_us", "seq", "__at", F.floor(F.col("__at") / STRETCH).alias("__s")).join(spans, ["symbol", "__s"]).where("__from <= __at and __at < __to")
     key = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
     sides = [F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct(key.alias("k"), F.col("price").alias("price"), F.col("qty").alias("qty"))))), 1, depth) for s in ("bid", "ask")]
     tops = held.groupBy("symbol", "ts_us", "seq").agg(*[F.transform(x, lambda v: F.struct(v["price"].alias("price"), v["qty"].alias("qty"))).alias(n) for x, n in zip(sides, ("top_bids", "top_asks"), strict=True)])
