@@ -17,6 +17,8 @@ def written(uri: str):
     try:
         with system.open_output_stream(part) as out:
             yield out
+        if system.get_file_info(path).type != fs.FileType.NotFound:  # an earlier attempt's, with the same bytes
+            system.delete_file(path)
         system.move(part, path)
     except BaseException:
         if system.get_file_info(part).type != fs.FileType.NotFound:
