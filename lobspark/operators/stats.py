@@ -37,10 +37,36 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2, dig
 
 
 def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[str], least: int = 10, digits: int | None = 9) -> DataFrame:
-    """(keys, indicator, horizon, ic, n) for every signal and return: one long table, ranked in one pass a side."""
-    long = df.unpivot([*keys, *returns], signals, "indicator", "__x") if len(signals) > 1 else df.select(*keys, *returns, F.lit(signals[0]).alias("indicator"), F.col(signals[0]).alias("__x"))
-    long = long.where("__x is not null").unpivot([*keys, "indicator", "__x"], returns, "horizon", "__y")
-    return spearman(long, [*keys, "indicator", "horizon"], "__x", "__y", least, digits).where("n > 0")
+    """(keys, indicator, horizon, ic, n) for every signal and return that have pairs; null for fewer than `least`.
+
+    Rows are shuffled once for each signal, with all returns, and not for each pair of them; a task ranks one signal of
+    one key's rows, held as columns of doubles.
+    """
+    r = (lambda c: F.round(finite(c), digits)) if digits is not None else finite
+    wide = df.select(*keys, *[r(c).alias(c) for c in dict.fromkeys([*returns, *signals])])
+    long = wide.unpivot([*keys, *returns], signals, "indicator", "__x").where("__x is not null")
+    names, types = [*keys, "indicator", "horizon", "ic", "n"], {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def ranked(v: np.ndarray) -> np.ndarray:
+        _, at, count = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(count) - (count - 1) / 2)[at]
+
+    def score(key: tuple, t: pa.Table) -> pa.Table:
+        x, out = t.column("__x").to_numpy(), []
+        for h in returns:
+            y = t.column(h).to_numpy()  # null as NaN
+            ok = ~np.isnan(y)
+            n = int(ok.sum())
+            if n:
+                a, b = ranked(x[ok]), ranked(y[ok])
+                a, b = a - a.mean(), b - b.mean()
+                var = (a @ a) * (b @ b)
+                out.append((*(k.as_py() for k in key), h, float(a @ b / np.sqrt(var)) if n >= max(least, 2) and var > 0 else None, n))
+        fields = [pa.field(c, t.schema.field(c).type) for c in [*keys, "indicator"]] + [pa.field("horizon", pa.string()), pa.field("ic", pa.float64()), pa.field("n", pa.int64())]
+        return pa.table([pa.array([o[i] for o in out], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "indicator string, horizon string, ic double, n long"])
+    return long.groupBy(*keys, "indicator").applyInArrow(score, schema).select(*names)
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
