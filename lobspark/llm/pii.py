@@ -2,8 +2,8 @@
 character came from, identifiers are found in the normalised text, and spans are mapped back.
 
 Base kinds (email, ip, card, phone) are found in the text as it is. The transducers then rewrite
-homoglyphs and foreign digits to ASCII, drop invisible characters, turn spelled digits into digits and
-at/dot disguises into @ and dots. An identifier in the rewritten text that touches a rewritten part and
+homoglyphs and foreign digits to ASCII and drop invisible characters; of the result, they turn spelled
+digits into digits and marked at/dot disguises into @ and dots; and of that, plain at and dot. An identifier in the rewritten text that touches a rewritten part and
 is not within a base span of its kind is added, as a span of the source text.
 
 Null texts count as empty. Whole texts are read, in time linear in their length. Repeated rows stay;
@@ -59,19 +59,20 @@ DIGITS = {
 }
 JOINERS = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "plus": "+", "dash": "-"}
 SPELLED = "|".join(sorted(DIGITS, key=len, reverse=True))
-ITEM = rf"(?:(?:double |triple )?(?:{SPELLED})|[0-9]+|{'|'.join(JOINERS)})"
-#: Seven or more in a row, so that prose with a number word or two is left alone.
-SPELLING = re.compile(rf"(?<![^\W_])(?:plus[ ,-]{{1,2}})?(?:double |triple )?(?:{SPELLED})(?![^\W_])(?:[ ,.-]{{1,2}}{ITEM}(?![^\W_])){{6,}}+", re.I)
-MIXED = re.compile(rf"(double |triple )?({SPELLED}|[0-9]+|{'|'.join(JOINERS)})(?![^\W_])", re.I)
+ITEM = rf"(?:(?:double |triple )?(?:{SPELLED})++|[0-9]+|{'|'.join(JOINERS)})"
+#: Seven or more in a row, so that prose with a number word or two is left alone. Words run together where an invisible character stood.
+SPELLING = re.compile(rf"(?<![^\W_])(?:(?:plus[ ,-]{{1,2}})?(?:double |triple )?(?:{SPELLED})++(?![^\W_])(?:[ ,.-]{{1,2}}{ITEM}(?![^\W_])){{6,}}+|(?:{SPELLED}){{7,}}+(?![^\W_]))", re.I)
+MIXED = re.compile(rf"(double |triple )?({SPELLED}|[0-9]+|{'|'.join(JOINERS)})", re.I)
 #: john (at) mail (dot) org, john[at]mail.org, john &#64; mail, john at mail dot org
 AT = re.compile(r" ?[\[({<] ?(?:at|@|arroba|ät) ?[\])}>] ?| ?&#(?:64|x40); ?|%40", re.I)
 DOT = re.compile(r" ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?| ?&#(?:46|x2e); ?", re.I)
-SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at )[A-Za-z0-9-]++((?: dot [A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+)", re.I)
-SAID_DOT = re.compile(r" dot ", re.I)
+SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at | ?@ ?)[A-Za-z0-9-]++((?: dot [A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+)", re.I)
+SAID_LABEL = re.compile(r"( dot |\.)([A-Za-z0-9-]+)", re.I)
 #: Without brackets, only with a usual last label: "look at the dot there" is prose.
 LAST = frozenset("com org net edu gov mil int info biz name io ai app dev me tv co uk us ca au nz ie eu de at ch fr be nl es pt it se no dk fi pl cz ru ua cn jp kr in br mx ar cl za example test".split())
 
 Span = tuple[int, int, int]
+Edit = tuple[int, int, str]
 
 
 def luhn(digits: str) -> bool:
@@ -111,7 +112,7 @@ def identifiers(text: str) -> list[Span]:
     return out
 
 
-def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
+def _spelled(m: re.Match) -> list[Edit]:
     """Edits that turn a run of spelled digits into digits: each item, and what separates them."""
     edits, last = [], m.start()
     for x in MIXED.finditer(m[0]):
@@ -126,64 +127,99 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return edits
 
 
-def edits(text: str) -> list[tuple[int, int, str]]:
-    """What the transducers rewrite: (start, end, new), in order, not overlapping."""
-    found: list[tuple[int, int, str]] = []
-    if not text.isascii():
-        for m in GLYPH.finditer(text):
-            c = m[0]
-            found.append((*m.span(), GLYPHS[c] if c in GLYPHS else str(int(c))))
-    for m in SPELLING.finditer(text):
-        found += _spelled(m)
-    if "(" in text or "[" in text or "{" in text or "<" in text or "&#" in text or "%40" in text:
-        found += [(*m.span(), "@") for m in AT.finditer(text)]
-        found += [(*m.span(), ".") for m in DOT.finditer(text)]
-    if " at " in text or " AT " in text:
-        for m in SAID.finditer(text):
-            if SAID_DOT.search(m[2]) and re.split("[. ]", m[2])[-1].lower() in LAST:
-                found.append((*m.span(1), "@"))
-                found += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in SAID_DOT.finditer(m[2])]
-    found.sort()
-    out, last = [], 0
-    for s, e, new in found:
-        if s >= last:
-            out.append((s, e, new))
-            last = e
-    return out
-
+class Rewritten:
+    """A text with edits (start, end, new) of it, in order and not overlapping, made."""
 
-def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that only the normalised text shows, as spans of the source."""
-    changes = edits(text)
-    if not changes:
-        return []
-    parts, begins, ends, sources, last, at = [], [], [], [], 0, 0
-    for s, e, new in changes:
-        parts += [text[last:s], new]
-        begins.append(at + s - last)
-        at = begins[-1] + len(new)
-        ends.append(at)
-        sources.append((s, e))
-        last = e
-    parts.append(text[last:])
-    plain = "".join(parts)
+    def __init__(self, text: str, changes: list[Edit]):
+        self.text, self.changes, self.begins, self.ends = text, changes, [], []
+        parts, last, at = [], 0, 0
+        for s, e, new in changes:
+            parts += [text[last:s], new]
+            self.begins.append(at + s - last)
+            at = self.begins[-1] + len(new)
+            self.ends.append(at)
+            last = e
+        self.plain = "".join([*parts, text[last:]]) if changes else text
 
-    def back(x: int, end: bool) -> int:
+    def back(self, x: int, end: bool) -> int:
         """The source place of a boundary; within a rewritten part, that part's own boundary."""
-        i = bisect_right(begins, x - end) - 1
+        i = bisect_right(self.begins, x - end) - 1
         if i < 0:
             return x
-        s, e = sources[i]
-        if x < ends[i] or end and x == ends[i] > begins[i]:
+        s, e, _ = self.changes[i]
+        if x < self.ends[i] or end and x == self.ends[i] > self.begins[i]:
             return e if end else s
-        return e + x - ends[i]
+        return e + x - self.ends[i]
+
+    def touched(self, s: int, e: int) -> bool:
+        """Whether the plain text from s to e holds a rewritten part."""
+        i = bisect_right(self.begins, e - 1) - 1
+        return i >= 0 and self.ends[i] >= s and not (self.ends[i] == s and self.begins[i] < s)
+
+    def then(self, found: list[Edit]) -> Rewritten:
+        """With edits of the plain text made as well; of those that overlap the first holds."""
+        fresh, last = [], 0
+        for s, e, new in sorted(found):
+            if s >= last:
+                fresh.append((self.back(s, False), self.back(e, True), new))
+                last = e
+        if not fresh:
+            return self
+        out, i = [], 0
+        for s, e, new in fresh:
+            while i < len(self.changes) and self.changes[i][1] <= s:
+                out.append(self.changes[i])
+                i += 1
+            while i < len(self.changes) and self.changes[i][0] < e:
+                i += 1
+            out.append((s, e, new))
+        return Rewritten(self.text, out + self.changes[i:])
+
+
+def _said(r: Rewritten) -> list[Edit]:
+    """Edits that turn plain at and dot into @ and dots, where a dot at least is disguised."""
+    found = []
+    for m in SAID.finditer(r.plain):
+        dots, most = [], 0
+        for d in SAID_LABEL.finditer(m[2]):
+            s = m.start(2) + d.start()
+            dots.append((s, m.start(2) + d.end(1), d[1] != "."))
+            if d[2].lower() in LAST and any(said or r.touched(a, b) for a, b, said in dots):
+                most = len(dots)
+        if most:
+            if m[1] != "@":
+                found.append((*m.span(1), "@"))
+            found += [(a, b, ".") for a, b, said in dots[:most] if said]
+    return found
 
+
+def normalised(text: str) -> Rewritten:
+    """The text as the transducers leave it, each reading what those before it wrote."""
+    r = Rewritten(text, [])
+    if not text.isascii():
+        r = r.then([(*m.span(), GLYPHS[m[0]] if m[0] in GLYPHS else str(int(m[0]))) for m in GLYPH.finditer(text)])
+    plain, found = r.plain, []
+    for m in SPELLING.finditer(plain):
+        found += _spelled(m)
+    marked = False
+    if "(" in plain or "[" in plain or "{" in plain or "<" in plain or "&#" in plain or "%40" in plain:
+        found += [(*m.span(), "@") for m in AT.finditer(plain)]
+        dots = [(*m.span(), ".") for m in DOT.finditer(plain)]
+        found, marked = found + dots, bool(dots)
+    r = r.then(found)
+    return r.then(_said(r)) if marked or " dot " in r.plain.lower() else r
+
+
+def disguised(text: str, base: list[Span]) -> list[Span]:
+    """Identifiers that only the normalised text shows, as spans of the source."""
+    r = normalised(text)
+    if not r.changes:
+        return []
     out = []
-    for kind, s, e in identifiers(plain):
-        i = bisect_right(begins, e - 1) - 1
-        if i < 0 or ends[i] < s or (ends[i] == s and begins[i] < s):
-            continue  # nothing rewritten in it
-        a, b = back(s, False), back(e, True)
+    for kind, s, e in identifiers(r.plain):
+        if not r.touched(s, e):
+            continue
+        a, b = r.back(s, False), r.back(e, True)
         if not any(k == kind and x <= a and b <= y for k, x, y in base):
             out.append((kind, a, b))
     return out
