@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but these six characters.
 SPACE = r"\x20\x09-\x0D"
@@ -18,11 +21,13 @@ SMALL_ROWS = 20_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests, a single machine), a new temporary one, which then becomes the checkpoint folder."""
+    on a single machine (tests), a new temporary one, which then becomes the checkpoint folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lobspark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -39,10 +44,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Long texts: few rows in an Arrow batch, and few bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = 512) -> DataFrame:
+    """df.mapInArrow with at most `rows` rows a batch, so that long texts fit; the session's settings stay as they are."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return df.mapInArrow(cut, schema)
 
 
 def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", rows: int = SMALL_ROWS) -> DataFrame:
@@ -52,22 +60,23 @@ def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left
     return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)
 
 
-def min_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def min_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (u, v), both long.
 
-    Contraction: every node takes the smallest neighbour, chains of such choices are shortened by
-    pointer jumping, and the edges are renamed to their new ends. Each round at least halves the
-    nodes that still have edges. Minima are map-side combined, so that a hub node shuffles one row
-    a task; nothing is gathered on the driver but counts.
+    Contraction: in each round every node takes the neighbour of the least hash, if that is below its own,
+    with hashes new in each round; chains of such choices are shortened by pointer jumping, and the edges are
+    renamed to their new ends. As a node's hash is above that of some neighbour in half of all cases at
+    least, each round is expected to halve the nodes that still have edges, whatever the graph. Minima are
+    map-side combined, so that a hub node shuffles one row a task; nothing is gathered on the driver but counts.
     """
     edges = settled(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    parents = None
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    parents, turn = None, 0
+    while not edges.isEmpty():
+        turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = settled(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("up")))
-        step = _jumped(step)
+        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        least = both.groupBy(F.col("u").alias("node")).agg(F.min(drawn("v")).alias("m"))
+        step = _jumped(settled(least.select("node", F.least(drawn("node"), "m")["n"].alias("up"))))
         # Named by two joins whose right side has one row a node; AQE splits a hub's edges.
         name_u = step.select(F.col("node").alias("u"), F.col("up").alias("cu"))
         name_v = step.select(F.col("node").alias("v"), F.col("up").alias("cv"))
@@ -80,11 +89,10 @@ def min_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:
             above = step.select(F.col("node").alias("up"), F.col("up").alias("top"))
             parents = settled(parents.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up")))
-    else:
-        raise RuntimeError("components did not settle")
     if parents is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return parents.select("node", F.col("up").alias("component"))
+    least = parents.groupBy("up").agg(F.min("node").alias("component"))
+    return parents.join(least, "up").select("node", "component")
 
 
 def _jumped(step: DataFrame) -> DataFrame:

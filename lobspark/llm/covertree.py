@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import arrow_batches, joined_small, min_components, settled
+from lobspark.llm.common import in_batches, joined_small, min_components, settled
 from lobspark.llm.forest import labels
 
 COSINE = 0.93
@@ -193,8 +193,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 units.append(None if x is None else (x / np.sqrt(x @ x)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "label", "dim", "unit"])
 
-    arrow_batches(vectors.sparkSession)
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, label string, dim long, unit binary")
+    return in_batches(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")), run, "vec_id long, label string, dim long, unit binary")
 
 
 def celled(units: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:

@@ -1,71 +1,108 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into tags and text. Each text goes to its root-to-leaf tag path (tags with their class or
-id). Per path the length of the text, its punctuation and the length within links are summed; the ratio
-of a path is text and punctuation against the times the path occurs. Ratios are smoothed with the paths
-that stand next to it in page order, then fused upwards: every ancestor of a path collects its paths'
-ratios, and the region of the article is the deepest ancestor that holds nearly all of what is best.
-Paths in the region are kept if their own ratio, or that of a neighbour of the same parent, passes a
-threshold relative to the page, which drops link lists and labels but not short headings or paragraphs.
-Paths under tags or names that say what they hold (nav, footer, aside, form, script, ads, comments) are
-never content.
-
-Null or empty pages give an empty text. Every page gives one row; nothing is shuffled; tag soup, unclosed
-tags and cut-off pages are read as far as they go; time is linear in the page. Other columns are ignored.
+A page is cut into tags and text. Each text goes to its root-to-leaf tag path (block tags with their class
+and id); paths are nodes of a trie with links to their parents. Per path the length of the text, its
+punctuation, the length within links and the number of texts are summed; the ratio of a path is text and
+punctuation outside links against its texts. Names and tags that tell what a part is for only weigh: the
+weights of a path's steps multiply. Weighed ratios are fused upwards, so that every node knows what its
+paths hold, and the region of the content is the deepest node that holds nearly all of it, or the article
+or main element on the way there; a headline next to the region opens it by one level or more. In the region
+weights count from the region down, so a wrapper's name has no say. A path is content if its smoothed ratio
+(its own, or a share of its neighbours', halved with each step in page order) times its weight reaches a
+share of the region's mean: adverts, comments, forms and link lists fall below it, short headings, bylines and
+paragraphs do not.
+
+Null or empty pages give an empty text. Every page gives one row, repeated rows too; an empty table gives an
+empty result; nothing is shuffled. Tag soup, unclosed tags and cut-off pages are read as far as they go. Time is
+linear in the page, however deep its tags are nested. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import arrow_batches
+from lobspark.llm.common import in_batches
 
+#: Quotes count only at the start of a value, as in browsers.
 MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Tags whose content is text up to their end tag.
-RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes", "template", "svg", "math")}
+NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Tags whose content is text up to their end tag, none of it content.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes", "template", "svg")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that stand for a block of text of their own.
 BLOCK = frozenset("html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre section summary table caption tbody td tfoot th thead tr ul".split())
-#: Tags that hold no main text.
-NEVER = frozenset("head nav footer aside form button select script style noscript iframe object dialog menu template svg math header".split())
-#: Names of parts that hold no main text, as whole words of a class, id or role.
-ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?s?|comments?|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login"
-    r"|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|widget|related|recommended|share|sharing|social|footer|header|masthead|copyright|legal|pagination|pager|toolbar|skip|search|contentinfo|complementary)(?=$|[\s_-])",
-    re.I,
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Tags without text for a reader.
+NEVER = frozenset("head select button object".split())
 #: p ends at these, which cannot stand inside it.
 ENDS_P = BLOCK - {"html", "head", "body", "option", "optgroup", "legend", "summary", "caption"}
+HOLDS_P = ("table", "td", "th", "button", "object", "div", "section", "article")
 #: A start tag that ends an open one of the same group, up to the given holder.
-SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+SAME = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 BLANK = re.compile(r"\s+")
 
-#: Share of the best region's ratio that a deeper region must keep, and of the page's mean that a path must reach.
+#: What tags weigh; others 1. The header of an article is part of it.
+TAG_WEIGHTS = {"nav": 0.02, "footer": 0.02, "aside": 0.05, "form": 0.05, "header": 0.05, "menu": 0.05, "dialog": 0.02}
+#: What words in a class, id or role weigh: as a name of their own, and as a part of a longer name.
+WORDS = {
+    (0.02, 0.1): "ad ads advert advertisement advertising advertorial sponsor sponsored comments comment disqus replies cookie cookies consent gdpr popup modal newsletter subscribe signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar footer masthead copyright pagination pager toolbar contentinfo complementary",
+    (0.1, 0.5): "banner promo promos promotion promotions reply respond notice widget related recommended share sharing social header legal skip search",
+}
+NAME_WEIGHTS = {w: weights for weights, words in WORDS.items() for w in words.split()}
+#: Whole names that a longer one may end in and still mean the same.
+TAILS = frozenset("area bar bars block box container content footer form header holder inner item items link links list main panel section slot slots text title top unit units wrap wrapper zone 1 2 3".split())
+PARTS = re.compile(r"[-_]+")
+
+#: Share of a node's ratio that a deeper region must hold; how much more the article and main elements count for that.
 KEEP_REGION = 0.8
-LEAST_RATIO = 0.02
+MARKED = 3.0
+#: Weight of what stands beside the region that a headline opened, and of link lists.
+BESIDE = 0.25
+LINKS = 0.05
+#: Share of the region's mean ratio that a path must reach, and of a neighbour's ratio that smoothing hands on.
+LEAST_RATIO = 0.1
+HAND_ON = 0.5
+
+
+@lru_cache(maxsize=1 << 14)
+def weight(tag: str, names: str) -> float:
+    """What a step of a path weighs by its tag and names."""
+    w = TAG_WEIGHTS.get(tag, 1.0)
+    if names and tag not in ("html", "body", "main", "article"):
+        for name in names.lower().split():
+            parts = PARTS.split(name)
+            known = [NAME_WEIGHTS[p] for p in parts if p in NAME_WEIGHTS]
+            if known:
+                whole = all(p in NAME_WEIGHTS or p in TAILS for p in parts) and parts[0] in NAME_WEIGHTS
+                w = min(w, *(k[0 if whole else 1] for k in known))
+    return w
 
 
 class Page:
-    """Texts of a page: blocks in order, each with its path."""
+    """Texts of a page: blocks in order, each with its path; and the trie of paths, parents first."""
 
     def __init__(self, html: str) -> None:
-        self.stack: list[tuple[str, str]] = []  # tag, name in the path
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []  # path, text, characters within links
+        self.parent, self.tag, self.weight = [0], [""], [1.0]
+        self.child: dict[tuple[int, str, str], int] = {}
+        self.stack: list[tuple[str, int, bool]] = []  # tag, path, whether it hides its text
+        self.places: dict[str, list[int]] = {}  # where in the stack a tag is open
+        self.holders: list[int] = []  # where in the stack a block is open
+        self.blocks: list[tuple[int, str, int]] = []  # path, text, characters within links
         self.open: list[str] = []
-        self.path: tuple[str, ...] | None = None
-        self.linked = self.links = self.hidden = 0
+        self.path: int | None = None
+        self.linked = self.hidden = 0
         self._read(html)
 
     def _flush(self) -> None:
@@ -81,48 +118,57 @@ class Page:
         text = unescape(raw) if "&" in raw else raw
         self.open.append(text)
         if self.path is None and not text.isspace():
-            self.path = tuple(n for t, n in self.stack if t in BLOCK)
-        if self.links:
+            self.path = self.stack[-1][1] if self.stack else 0
+        if self.places.get("a"):
             self.linked += len(text.strip())
 
     def _pop(self) -> None:
-        tag, name = self.stack.pop()
-        self.links -= tag == "a"
-        self.hidden -= name == "!"
+        tag, _, hides = self.stack.pop()
+        self.places[tag].pop()
+        self.hidden -= hides
         if tag in BLOCK:
+            self.holders.pop()
             self._flush()
 
-    def _close(self, tags: set[str] | frozenset[str], within: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t in tags:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if t in within:
-                return
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def _close(self, tags: tuple[str, ...], above: int) -> None:
+        """Closes the innermost of the tags, with all in it, if it is open above a place of the stack."""
+        at = self._last(tags)
+        if at > above:
+            while len(self.stack) > at:
+                self._pop()
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in BLOCK:
             self._flush()
-        if tag in ENDS_P:
-            self._close({"p"}, {"table", "td", "th", "button", "object", "div", "section", "article"})
+        if tag in ENDS_P and self.places.get("p"):
+            self._close(("p",), self._last(HOLDS_P))
         if tag in SAME:
-            self._close(*SAME[tag])
+            tags, within = SAME[tag]
+            self._close(tags, self._last(within))
         if tag == "br":
             self._text(" ")
         if tag in VOID:
             return
         names = " ".join(next(filter(None, m.groups()), "") for m in NAMES.finditer(attrs)) if "=" in attrs else ""
-        # The header of an article is part of it.
-        never = tag in NEVER and not (tag == "header" and any(t in ("article", "main") for t, _ in self.stack))
-        if never or names and tag not in ("html", "body", "main", "article") and ASIDE.search(names):
-            name = "!"
-            self.hidden += 1
-        else:
-            name = f"{tag}.{names}" if names else tag
-        self.links += tag == "a"
-        self.stack.append((tag, name))
+        path, hides = self.stack[-1][1] if self.stack else 0, tag in NEVER
+        if tag in BLOCK:
+            step = (path, tag, names)
+            if step not in self.child:
+                self.child[step] = len(self.parent)
+                own = 1.0 if tag == "header" and not names and (self.places.get("article") or self.places.get("main")) else weight(tag, names)
+                self.parent.append(path)
+                self.tag.append(tag)
+                self.weight.append(own)
+            path = self.child[step]
+            self.holders.append(len(self.stack))
+        elif names and not hides:  # part of a block, so no ratio of its own can tell
+            hides = weight(tag, names) <= 0.02
+        self.hidden += hides
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, path, hides))
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -140,7 +186,7 @@ class Page:
                 if m["end"]:
                     if tag in BLOCK:
                         self._flush()
-                    self._close({tag}, set() if tag in BLOCK else BLOCK)
+                    self._close((tag,), -1 if tag in BLOCK or not self.holders else self.holders[-1])
                 elif tag in RAW:
                     at = RAW[tag].search(html, at).end()
                 else:
@@ -148,43 +194,84 @@ class Page:
         self._flush()
 
 
-def content(html: str | None) -> list[str]:
+def content(html: str | None, least: float = LEAST_RATIO) -> list[str]:
     """The blocks of main text, in page order."""
     if not html:
         return []
-    blocks = Page(html).blocks
-    if not blocks:
+    page = Page(html)
+    if not page.blocks:
         return []
-    # Ratios by path, in order of first occurrence.
-    stats: dict[tuple[str, ...], list[float]] = {}
-    for path, text, linked in blocks:
-        s = stats.setdefault(path, [0, 0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += min(linked, len(text))
-        s[3] += 1
-    paths = list(stats)
-    raw = [max(0.0, (n - link) + 10 * p * (n - link) / n) / k for n, p, link, k in stats.values()]
-    smooth = [sum(raw[max(0, i - 1) : i + 2]) / len(raw[max(0, i - 1) : i + 2]) for i in range(len(raw))]
-    # Fused upwards: what every region holds in all.
-    mass: dict[tuple[str, ...], float] = {}
-    for path, r in zip(paths, raw, strict=True):
-        for d in range(len(path) + 1):
-            mass[path[:d]] = mass.get(path[:d], 0.0) + r * stats[path][3]
-    region: tuple[str, ...] = ()
-    articles = [p for p in mass if p and p[-1].split(".")[0] in ("article", "main") and not any(x.split(".")[0] in ("article", "main") for x in p[:-1])]
-    if articles and mass[best := max(articles, key=lambda p: mass[p])] > 0:
-        region = best
-    else:
-        while True:
-            below = [p for p in mass if len(p) == len(region) + 1 and p[: len(region)] == region and p not in stats]
-            top = max(below, key=lambda p: mass[p], default=None)
-            if top is None or mass[top] < KEEP_REGION * mass[region]:
+    parent, tag, n = page.parent, page.tag, len(page.parent)
+    chars, marks, linked, times = ([0] * n for _ in range(4))
+    order: dict[int, None] = {}  # paths with text, as they come
+    for path, text, link in page.blocks:
+        chars[path] += len(text)
+        marks[path] += len(PUNCTUATION.findall(text))
+        linked[path] += min(link, len(text))
+        times[path] += 1
+        order[path] = None
+    ratio = [0.0] * n
+    for i in order:
+        free = (chars[i] - linked[i]) / chars[i]
+        ratio[i] = free * (chars[i] + 10 * marks[i]) / times[i]
+    # Fused upwards: what every node's paths hold, by weight; children come after their parents.
+    total = [1.0] * n
+    for i in range(1, n):
+        total[i] = max(1e-30, total[parent[i]] * page.weight[i])
+    mass = [ratio[i] * times[i] * total[i] for i in range(n)]
+    heavy = [0] * n
+    for i in range(n - 1, 0, -1):
+        if tag[i] in ("article", "main"):
+            mass[i] *= MARKED
+        p = parent[i]
+        mass[p] += mass[i]
+        if not heavy[p] or mass[i] >= mass[heavy[p]]:
+            heavy[p] = i
+    region, article, main = 0, 0, 0
+    while heavy[region] and mass[heavy[region]] >= KEEP_REGION * mass[region] and mass[region] > 0 and tag[heavy[region]] not in ("p", *HEADINGS):
+        region = heavy[region]
+        article = article or (region if tag[region] == "article" else 0)
+        main = region if tag[region] == "main" else main
+    core = region = article or main or region
+    if not (article or main):  # a headline beside the region belongs to it
+        for i in order:
+            if tag[i] in ("h1", "h2") and total[i] >= BESIDE * total[core]:
+                up = i
+                above = set()
+                while up:
+                    above.add(up)
+                    up = parent[up]
+                top = core
+                while top and top not in above:
+                    top = parent[top]
+                region = top
                 break
-            region = top
-    least = LEAST_RATIO * sum(raw) / len(raw)
-    good = {p for p, r, s in zip(paths, raw, smooth, strict=True) if p[: len(region)] == region and max(r, s) >= least and 2 * stats[p][2] <= stats[p][0]}
-    return [text for path, text, _ in blocks if path in good]
+    leads, up = {region}, core  # on the way from the region to its core names have no say
+    while up != region:
+        leads.add(up)
+        up = parent[up]
+    inside, within, scale = [False] * n, [False] * n, [1.0] * n
+    for i in range(n):
+        p = parent[i]
+        inside[i] = i == region or i > 0 and inside[p]
+        within[i] = i == core or i > 0 and within[p]
+        if inside[i] and i not in leads:
+            scale[i] = max(1e-30, scale[p] * page.weight[i])
+    places = [i for i in order if inside[i]]
+    for i in places:
+        if not within[i] and tag[i] not in HEADINGS:
+            scale[i] *= BESIDE
+        if 2 * linked[i] > chars[i] and not (article or main) and tag[i] not in HEADINGS:
+            scale[i] *= LINKS
+    own = [scale[i] * ratio[i] for i in places]
+    smooth = list(own)
+    for k in range(1, len(places)):
+        smooth[k] = max(smooth[k], HAND_ON * smooth[k - 1])
+    for k in range(len(places) - 2, -1, -1):
+        smooth[k] = max(smooth[k], HAND_ON * smooth[k + 1])
+    mean = sum(o * chars[i] for o, i in zip(own, places, strict=True)) / sum(chars[i] for i in places) if places else 0.0
+    good = {i for i, o, s in zip(places, own, smooth, strict=True) if max(o, scale[i] * s) >= least * mean}
+    return [text for path, text, _ in page.blocks if path in good]
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -195,5 +282,4 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
             texts = ["\n".join(content(h)) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    arrow_batches(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col(html).cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col(html).cast("string")), run, "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lobspark.llm.common import arrow_batches
+from lobspark.llm.common import in_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -250,9 +250,8 @@ def digest(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names)
 
     names = [id, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_disguised"]
-    arrow_batches(docs.sparkSession)
     schema = f"{id} long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_disguised long"
-    return docs.select(F.col(id).cast("long").alias(id), text).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id).cast("long").alias(id), text), run, schema)
 
 
 def redact(text: str | None) -> str | None:
@@ -278,7 +277,6 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = None) ->
             at = b.schema.get_field_index(text)
             yield b.set_column(at, b.schema.field(at), pa.array([redact(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 
-    arrow_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    out = docs.mapInArrow(run, schema)
+    out = in_batches(docs, run, schema)
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars else out

@@ -3,20 +3,25 @@
 Two fingerprints that differ in at most r bits have a common variant that differs from either in at
 most r/2 bits. Every fingerprint therefore emits its ball of variants, and fingerprints meet on equal
 variants. A ball of radius 2 has 2081 variants; to ship them all would multiply the corpus, so a
-fingerprint is shipped once for each value that the leading `route_bits` bits of its variants take
-(29 for 7 bits), and the rest of the ball is emitted where the variants of that route meet.
+fingerprint is shipped once for each value that the leading bits of its variants take, and the rest of
+the ball is emitted where the variants of that route meet. With n fingerprints the routes have about
+log2(n) - 14 bits, l of them make 1 + l + l(l-1)/2 rows a fingerprint: 11 up to some 400,000 fingerprints,
+56 for 15 million, 254 for 50 billion. Routes that are still too full, as where a third of all
+fingerprints are much alike, are split by further bits; a variant has at most 2081 fingerprints within reach,
+so that ends.
 All that meet on one variant are within r of one another by the triangle inequality, so a star to one
 of them links the group; every star link is verified on the fingerprints all the same. No pair list is
 made, and a task emits at most one link for each fingerprint that it holds.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other;
-repeated doc_ids are kept row by row; an empty table gives an empty result; further columns are ignored.
+repeated doc_ids are kept row by row; null doc_ids link like others, but are no component's name unless it
+has no other; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import arrow_batches, min_components, settled
+from lobspark.llm.common import in_batches, joined_small, min_components, settled
 from lobspark.llm.forest import labels
 
 SEED = 42
 BITS = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
-#: Fingerprints that a route holds on average, for the choice of route_bits.
-ROUTE_ROWS = 1 << 15
+#: Rows that a route holds on average, for the choice of route_bits; routes of four times as many are split by so many further bits.
+ROUTE_ROWS = 1 << 18
+SPLIT = 4
+#: Bits that routes may have: as many as leave room for the table in a long.
+MOST_LEAD = 56
 #: Variants that are sorted at once.
 SORT_ROWS = 1 << 21
 
@@ -64,8 +72,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", width:
             fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    arrow_batches(docs.sparkSession)
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
+    return in_batches(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, fp long")
 
 
 def flips(width: int, most: int) -> np.ndarray:
@@ -80,9 +87,12 @@ def flips(width: int, most: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def route_bits(n: int) -> int:
+def route_bits(n: int, half: int = 2) -> int:
     """Leading bits by which n fingerprints are dealt out."""
-    return min(24, max(4, math.ceil(math.log2(max(1, n / ROUTE_ROWS))) + 4))
+    lead = 4
+    while lead < MOST_LEAD and n * sum(math.comb(lead, c) for c in range(half + 1)) > ROUTE_ROWS << lead:
+        lead += 1
+    return lead
 
 
 def met(fps: np.ndarray, flipped: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,44 +146,72 @@ def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: i
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(reps: DataFrame, radius: int = 4, lead: int | None = None) -> DataFrame:
-    """(u, v): links between the nodes of reps (node, fp), fp all different, that hold each group
-    of fingerprints together that chains of at most `radius` differing bits connect."""
+def routed(rows: DataFrame, old: int, new: int, bits: int, half: int) -> DataFrame:
+    """rows (route, used, node, fp) of routes by `old` leading bits, dealt by `new` ones; used: bits flipped so far."""
+    masks = flips(new - old, half)
+    costs = np.bitwise_count(masks).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            route, used, node = (b.column(i).to_numpy() for i in range(3))
+            fp = b.column(3).to_numpy().view(np.uint64)
+            own = (fp >> np.uint64(bits - new)) & np.uint64((1 << (new - old)) - 1)
+            for m, c in zip(masks, costs, strict=True):
+                at = np.flatnonzero(used + c <= half)
+                if len(at):
+                    to = route[at] << (new - old) | (own[at] ^ m).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(used[at] + c), pa.array(node[at]), pa.array(fp[at].view(np.int64))], ["route", "used", "node", "fp"])
+
+    return in_batches(rows.select("route", "used", "node", "fp"), run, "route long, used long, node long, fp long", 1 << 14)
+
+
+def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int = BITS, forest: bool = True) -> DataFrame:
+    """(u, v): links between the nodes of reps (node, fp, and table if there are several), a table's fp all
+    different, that hold each group of fingerprints together that chains of at most `radius` differing bits
+    connect. Without forest all star links, not only as many as connect."""
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
-    lead = route_bits(reps.count()) if lead is None else lead
-    heads = flips(lead, half)
-    width = BITS - lead
-    shift = np.uint64(width)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
-            for m in heads:
-                yield pa.RecordBatch.from_arrays([pa.array(((fp >> shift) ^ m).view(np.int64)), pa.array(node), pa.array(fp.view(np.int64))], ["route", "node", "fp"])
-
-    def meet(key: tuple, t: pa.Table) -> pa.Table:
-        fp, node = t.column("fp").to_numpy().view(np.uint64), t.column("node").to_numpy()
-        head = np.uint64(key[0].as_py())
-        used = np.bitwise_count((fp >> shift) ^ head).astype(np.int64)
-        low = fp & np.uint64((1 << width) - 1)
-        u, v = met(low, half - used, width, half)
-        near = np.bitwise_count(fp[u] ^ fp[v]) <= radius
-        lab = labels(len(fp), u[near], v[near])
-        tied = lab != np.arange(len(fp))
-        return pa.table({"u": node[tied], "v": node[lab[tied]]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-    return reps.select("node", "fp").mapInArrow(route, "route long, node long, fp long").groupBy("route").applyInArrow(meet, "u long, v long")
+    table = F.col("table").cast("long") if "table" in reps.columns else F.lit(0).cast("long")
+    lead = route_bits(reps.count(), half) if lead is None else lead
+
+    def meet(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
+        def run(key: tuple, t: pa.Table) -> pa.Table:
+            used, node, fp = (t.column(c).to_numpy() for c in ("used", "node", "fp"))
+            fp = fp.view(np.uint64)
+            u, v = met(fp & np.uint64((1 << (bits - level)) - 1), half - used, bits - level, half)
+            near = np.bitwise_count(fp[u] ^ fp[v]) <= radius
+            if forest:
+                lab = labels(len(fp), u[near], v[near])
+                u = np.flatnonzero(lab != np.arange(len(fp)))
+                v = lab[u]
+            else:
+                u, v = np.unique(np.stack([u[near], v[near]]), axis=1)
+            return pa.table({"u": node[u], "v": node[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+        return run
+
+    rows, level, out = routed(reps.select(table.alias("route"), F.lit(0).cast("long").alias("used"), "node", "fp"), 0, lead, bits, half), lead, None
+    while True:
+        full = rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * ROUTE_ROWS).select("route")
+        full = settled(full) if level < min(bits, MOST_LEAD) else None
+        more = full is not None and not full.isEmpty()
+        here = joined_small(rows, full, ["route"], "left_anti") if more else rows
+        found = here.groupBy("route").applyInArrow(meet(level), "u long, v long")
+        out = found if out is None else out.unionByName(found)
+        if not more:
+            return out
+        step = min(level + SPLIT, bits, MOST_LEAD)
+        rows, level = settled(routed(joined_small(rows, full, ["route"], "left_semi"), level, step, bits, half)), step
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 4, radius: int = 4) -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    arrow_batches(docs.sparkSession)
     prints = settled(fingerprints(docs, text, id, width))
-    reps = settled(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    comps = min_components(links(reps, radius))
-    named = reps.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(
+    reps = settled(prints.groupBy("fp").agg(F.min("id").alias("id")))
+    comps = min_components(links(reps.select(F.col("fp").alias("node"), "fp"), radius)).withColumnRenamed("node", "fp")
+    named = settled(reps.join(comps, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("root")))
+    first = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return prints.join(named.join(first, "root").select("fp", "component_id"), "fp").select(
         F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

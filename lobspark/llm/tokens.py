@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import arrow_batches, fresh_dir
+from lobspark.llm.common import fresh_dir, in_batches
 from lobspark.llm.files import opened, written
 
 KEY = 0x5EED_0F_0D_E5
@@ -87,7 +87,6 @@ def materialised(docs: DataFrame, folder: str, text: str = "text", id: str = "do
     """Writes the shards and manifest.json; a row a sequence: seq, slot, shard, offset (bytes), n_tokens, first_id, first_at, crc32.
     first_id is the document that the sequence begins in, first_at the token of it that comes first."""
     spark = docs.sparkSession
-    arrow_batches(spark)
     # Splits of files depend on the cores at hand unless this is set; both passes must see the same ones.
     if not spark.conf.get("spark.sql.files.minPartitionNum", None):
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
@@ -108,7 +107,7 @@ def materialised(docs: DataFrame, folder: str, text: str = "text", id: str = "do
                 n = [len(encode(t)) + 1 for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(n, pa.int64()), b.column(0)], ["part", "n", "sum"])
 
-        sizes = base.mapInArrow(measure, "part int, n long, sum long")
+        sizes = in_batches(base, measure, "part int, n long, sum long")
     # A row for each input partition: bounded by the number of tasks, not by their rows.
     parts = sorted(tuple(r) for r in sizes.groupBy("part").agg(F.sum("n"), F.count(F.lit(1))).collect())
     first, total, expected = {}, 0, {}
@@ -174,7 +173,7 @@ def materialised(docs: DataFrame, folder: str, text: str = "text", id: str = "do
         return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, pa.int64()) for x in cols], names=out_names)
 
     out_names = ["seq", "slot", "shard", "offset", "n_tokens", "first_id", "first_at", "crc32"]
-    cuts = base.mapInArrow(cut, "shard long, slot long, seq long, n_tokens long, first_id long, first_at long, data binary")
+    cuts = in_batches(base, cut, "shard long, slot long, seq long, n_tokens long, first_id long, first_at long, data binary")
     with written(f"{folder}/manifest.json") as out:
         out.write(json.dumps({"sequences": total, "seq_len": seq_len, "dtype": kind.str, "stride": stride, "per_shard": per_shard, "end": end, "pad": pad, "key": key}).encode())
     return cuts.groupBy("shard").applyInArrow(store, ", ".join(f"{n} long" for n in out_names))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lobspark.llm.common import arrow_batches, fresh_dir, settled
+from lobspark.llm.common import fresh_dir, in_batches, settled
 from lobspark.llm.files import opened, written
 
 #: Fixed values of the formats.
@@ -162,9 +162,8 @@ def archived(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*entries[i : i + 4096], strict=True)], names)
 
     names = ["page_id", "record_type", "bundle", "frame", "frame_offset", "offset", "bytes"]
-    arrow_batches(pages.sparkSession)
     plan = planned(pages, least).select("page_id", "url", "html", "digest", "size", "refers_to")
-    return settled(plan.mapInArrow(write, "page_id long, record_type string, bundle string, frame long, frame_offset long, offset long, bytes long"))
+    return settled(in_batches(plan, write, "page_id long, record_type string, bundle string, frame long, frame_offset long, offset long, bytes long"))
 
 
 def read(index: DataFrame) -> DataFrame:
