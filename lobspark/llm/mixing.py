@@ -5,16 +5,17 @@ turn and share all words; a source's target stops at `most` times its size, and
 the others by weight until none is above. That fixed point is min(most * size, level * weight) for one
 level, found from sums over the sources in order of most * size / weight: a window over one row a source.
 
-A document is emitted floor(rate) times, plus a hash-seeded Bernoulli copy with probability equal to the
-fraction. Independent draws would leave a source with few or very long texts far from its target, so the
-draws of a source are coupled. Its texts are grouped by size (to three digits) and a few bits of a hash of
-their id; along the groups, longest first, one offset hashed from the source says how many texts of each get
-their copy (systematic sampling), and within a group hashes of the ids choose. Every text's probability
-stays the fraction; a source's words miss its target by about one text. Reruns agree; no random state is
-kept; all that is shuffled is a count for each source and group.
+A document is emitted floor(rate) times, plus one Bernoulli copy with probability equal to the fraction: its
+draw, hashed from its own id, is below its source's threshold. With the fraction itself as threshold a source of
+few or very unequal texts would end far from its target; so the threshold is the one of BINS that brings the
+source's words nearest to it, read from a histogram of words by draw. It is near the fraction, the nearer the more
+texts there are, and every draw still depends on the document and one number of its source: a source's words
+miss its target by half a text or so. Reruns agree; no random state is kept; all that is shuffled is a histogram
+a source.
 
 Null texts have size 0; documents of size 0 are taken as often as others, which adds no words. A source
-without words has target 0 and rate 0. Repeated ids draw alike, and a null id takes no extra copy. Other columns stay.
+without words has target 0 and rate 0. Repeated ids draw alike, and so do null ids. An empty table gives an
+empty result. Other columns stay.
 """
 
 from __future__ import annotations
@@ -26,26 +27,14 @@ from pyspark.sql import functions as F
 from lobspark.llm.common import WORD, joined_small, settled
 
 SEED = 20_251
-#: Rows (a source has at most 16 for each of some 3,000 sizes) up to which the quotas are broadcast; some tens of bytes each.
-QUOTA_ROWS = 400_000
+#: Bins of the draws.
+BINS = 4096
 
 
 def sized(docs: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
     return docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
 
 
-def grouped(df: DataFrame, id: str) -> DataFrame:
-    """df with the group of each document: `__class`, its size to three digits, and `__bits` of its id."""
-    step = F.pow(F.lit(10), F.greatest(F.length(F.col("size").cast("string")) - 3, F.lit(0))).cast("long")
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))), 14, 1), 16, 10).cast("int")
-    return df.withColumns({"__class": F.col("size") - F.col("size") % step, "__bits": bits})
-
-
-def counted(groups: DataFrame) -> DataFrame:
-    """(source, __class, __bits, m, words): documents and words of each group of each source."""
-    return groups.groupBy("source", "__class", "__bits").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("words"))
-
-
 def targets(counts: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(source, source_size, target) from counts (source, words)."""
     per = counts.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -72,29 +61,28 @@ def uniform(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def quotas(counts: DataFrame, per: DataFrame, seed: int) -> DataFrame:
-    """For each source and group: source_size, target, rate, m and the `extra` copies that its m documents get."""
-    longer = W.partitionBy("source").orderBy(F.col("__class").desc(), "__bits").rowsBetween(W.unboundedPreceding, -1)
-    ranked = counts.withColumn("__r", F.coalesce(F.sum("m").over(longer), F.lit(0)))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    out = ranked.join(per, F.expr("source <=> source_")).drop("source_").withColumn("rate", rate)
-    part, offset = F.col("rate") - F.floor("rate"), uniform(F.lit(str(seed)), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"))
-    extra = F.floor((F.col("__r") + F.col("m")) * part + offset) - F.floor(F.col("__r") * part + offset)
-    return out.withColumn("extra", extra).drop("__r")
+def cuts(narrow: DataFrame, per: DataFrame) -> DataFrame:
+    """(__none, __s, cut): of each source's BINS bins of draws those below cut give a copy; from narrow (__none, __s, size, __u)."""
+    keys = ["__none", "__s"]
+    bins = narrow.groupBy(*keys, F.floor(F.col("__u") * BINS).alias("bin")).agg(F.sum("size").alias("words"))
+    none = per.select(*keys, F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("words"))
+    bins = bins.unionByName(none).join(per.select(*keys, "source_size", "rate"), keys)
+    upto = F.sum("words").over(W.partitionBy(*keys).orderBy("bin"))
+    off = F.abs(upto - (F.col("rate") - F.floor("rate")) * F.col("source_size"))
+    return bins.select(*keys, off.alias("off"), (F.col("bin") + 1).alias("cut")).groupBy(*keys).agg(F.min(F.struct("off", "cut"))["cut"].alias("cut"))
 
 
 def mixed(docs: DataFrame, text: str = "text", id: str = "doc_id", seed: int = SEED, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """docs with size, source_size, target, copies and taken. Their own columns of these names are replaced."""
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
-    base = grouped(sized(docs.select(*own), text), id)
-    counts = settled(counted(base.select("source", "size", "__class", "__bits")))
-    quota = quotas(counts, targets(counts, most, weights).withColumnRenamed("source", "source_"), seed)
     # A null source must find its row: join on (is null, or '').
-    null, name = F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__s")
-    left = base.withColumns({"__none": F.col("source").isNull(), "__s": F.coalesce("source", F.lit(""))})
-    out = joined_small(left, quota.select(null, name, "__class", "__bits", "source_size", "target", "rate", "m", "extra"), ["__none", "__s", "__class", "__bits"], rows=QUOTA_ROWS)
-    drawn = F.coalesce(uniform(F.lit(str(seed)), F.col(id).cast("string")) * F.col("m") < F.col("extra"), F.lit(False))
-    copies = F.floor("rate") + drawn.cast("long")
+    keys = {"__none": F.col("source").isNull(), "__s": F.coalesce("source", F.lit(""))}
+    base = sized(docs.select(*own), text).withColumns({**keys, "__u": uniform(F.lit(str(seed)), F.coalesce(F.col(id).cast("string"), F.lit("")))})
+    narrow = settled(base.select("source", "__none", "__s", "size", "__u"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per = settled(targets(narrow.groupBy("source").agg(F.sum("size").alias("words")), most, weights).withColumns({**keys, "rate": rate}).drop("source"))
+    out = joined_small(base, per.join(cuts(narrow, per), list(keys)), list(keys))
+    copies = F.floor("rate") + (F.floor(F.col("__u") * BINS) < F.col("cut")).cast("long")
     return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*own, "size", "source_size", "target", "copies", "taken")
 
 

@@ -72,8 +72,7 @@ FROM f
 """,
     "op9_mixing": rf"""
 WITH RECURSIVE d AS (
-  SELECT *, size - size % pow(10, greatest(length(size::VARCHAR) - 3, 0))::BIGINT AS class, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 14, 1))::INT AS bits
-  FROM (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents)
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS u FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM d GROUP BY source
 ), o AS (
@@ -85,21 +84,21 @@ WITH RECURSIVE d AS (
   SELECT remaining, rest FROM o WHERE remaining * weight <= cap * rest ORDER BY cap::DOUBLE / weight, source NULLS LAST LIMIT 1
 ), t AS (
   SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT remaining FROM l)::BIGINT * weight / (SELECT rest FROM l)::BIGINT), cap::DOUBLE) AS target FROM o
-), c AS (
-  SELECT source, class, bits, count(*) AS m FROM d GROUP BY source, class, bits
+), r AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t
 ), x AS (
-  SELECT c.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    coalesce(sum(m) OVER (PARTITION BY c.source ORDER BY class DESC, bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
-    ('0x' || substr(md5('{mixing.SEED}:' || coalesce(c.source, '') || ':' || (c.source IS NULL)::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496 AS start
-  FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-), y AS (
-  SELECT *, floor((before + m) * (rate - floor(rate)) + start)::BIGINT - floor(before * (rate - floor(rate)) + start)::BIGINT AS extra FROM x
+  SELECT d.*, r.source_size, r.target, r.rate FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), b AS (
+  SELECT source, floor(u * {mixing.BINS})::BIGINT AS bin, sum(size)::BIGINT AS words FROM x GROUP BY ALL
+  UNION ALL SELECT source, -1, 0 FROM r
+), c AS (
+  SELECT b.source, b.bin + 1 AS cut, abs((sum(b.words) OVER (PARTITION BY b.source ORDER BY b.bin))::BIGINT - (r.rate - floor(r.rate)) * r.source_size) AS off FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 ), k AS (
-  SELECT d.doc_id, d.size, d.source, y.source_size, y.target,
-    floor(y.rate)::BIGINT + (('0x' || substr(md5('{mixing.SEED}:' || d.doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * y.m < y.extra)::BIGINT AS copies
-  FROM d JOIN y ON d.source IS NOT DISTINCT FROM y.source AND d.class = y.class AND d.bits = y.bits
+  SELECT source, arg_min(cut, (off, cut)) AS cut FROM c GROUP BY source
 )
-SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM k
+SELECT x.doc_id, x.size, x.source_size, x.target, (floor(x.rate)::BIGINT + (floor(u * {mixing.BINS}) < k.cut)::BIGINT) * x.size AS taken, x.source,
+  floor(x.rate)::BIGINT + (floor(u * {mixing.BINS}) < k.cut)::BIGINT AS copies
+FROM x JOIN k ON x.source IS NOT DISTINCT FROM k.source
 """,
     "op10_quality": rf"""
 WITH d AS (

@@ -100,6 +100,23 @@ def test_simhash_of_nothing_and_repeats(spark):
     assert sorted(r.doc_id for r in simhash.near_duplicates(two).collect()) == [0, 0, 1]
 
 
+def test_full_routes_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUTE_ROWS", 20)
+    rng = random.Random(4)
+    one = rng.getrandbits(64)
+    fps = sorted({one ^ sum(1 << k for k in rng.sample(range(64), d)) for d in (0, 2, 4, 6, 8, 10) for _ in range(40)} | {rng.getrandbits(64) for _ in range(60)})
+    signed = [int(x) for x in np.array(fps, np.uint64).view(np.int64)]
+    found = simhash.links(spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "node long, fp long"), lead=4)
+    got = {r.node: r.component for r in min_components(found).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == slow_components(fps)
+
+
+def test_simhash_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "f g h i j"), (None, "k l m n o"), (3, None), (3, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 7), (None, None), (3, 3), (3, 3)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(1)
     path = [(i, i + 1) for i in range(0, 60)]
@@ -422,7 +439,7 @@ def test_mixing_targets(spark):
     for i, s in enumerate(sources):
         assert got[i].source_size == sizes[s] and got[i].target == pytest.approx(want[s], rel=1e-12)
     assert sum(want.values()) == pytest.approx(sum(sizes.values()))
-    assert abs(taken["a"] - want["a"]) < 0.05 * want["a"] and taken["b"] == want["b"]
+    assert abs(taken["a"] - want["a"]) < 0.02 * want["a"] and taken["b"] == want["b"]
     assert mixing.emitted(mixing.mixed(df)).count() == sum(r.copies for r in got.values())
     assert rows(mixing.mixed(df)) == got
     assert mixing.mixed(df.limit(0)).count() == 0

@@ -6,7 +6,8 @@ from collections import Counter
 import corpus_pipeline
 from lobspark.llm import mixing, packing, pii, quality
 
-from tests.llm.test_operators import SF, WORD, slow_components, slow_fingerprint, slow_targets, texts_of
+from tests.llm.test_neardup import near
+from tests.llm.test_operators import SF, WORD, slow_targets, texts_of
 
 
 def test_pipeline(spark):
@@ -15,8 +16,8 @@ def test_pipeline(spark):
     docs = duckdb.sql(f"select doc_id, text, source from '{SF}/documents.parquet' order by doc_id").fetchall()
     kept = {r.doc_id for r in quality.ledger(spark.read.parquet(f"{SF}/documents.parquet")).where(quality.kept(quality.POLICIES[1])).collect()}
     docs = [d for d in docs if d[0] in kept]
-    comp = slow_components([slow_fingerprint(t) for _, t, _ in docs])
-    docs = [d for i, d in enumerate(docs) if comp[i] == i]
+    top = near({i: x for i, x, _ in docs})
+    docs = [d for d in docs if top[d[0]] == d[0]]
     docs = [(i, pii.redact(t), s) for i, t, s in docs]
     sizes = Counter()
     for _, t, s in docs:
@@ -24,16 +25,14 @@ def test_pipeline(spark):
     target = slow_targets(sizes)
     want, taken = Counter(), Counter()
     unit = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:13], 16) / 2**52
-    group = lambda i, n: (n - n % 10 ** max(len(str(n)) - 3, 0), int(hashlib.md5(str(i).encode()).hexdigest()[13], 16))
-    members = Counter((s, *group(i, len(WORD.findall(t)))) for i, t, s in docs)
+    part = {s: target[s] / n - int(target[s] / n) for s, n in sizes.items()}
+    draws = {s: Counter() for s in sizes}
+    for i, t, s in docs:
+        draws[s][int(unit(f"{mixing.SEED}:{i}") * mixing.BINS)] += len(WORD.findall(t))
+    cut = {s: min((abs(sum(n for b, n in draws[s].items() if b < c) - part[s] * sizes[s]), c) for c in {0, *(b + 1 for b in draws[s])})[1] for s in sizes}
     for i, t, s in docs:
         n = len(WORD.findall(t))
-        size, bits = group(i, n)
-        rate, m = target[s] / sizes[s], members[s, size, bits]
-        before = sum(c for (o, k, b), c in members.items() if o == s and (-k, b) < (-size, bits))
-        part, start = rate - int(rate), unit(f"{mixing.SEED}:{s}:false")
-        extra = int((before + m) * part + start) - int(before * part + start)
-        copies = int(rate) + (unit(f"{mixing.SEED}:{i}") * m < extra)
+        copies = int(target[s] / sizes[s]) + (int(unit(f"{mixing.SEED}:{i}") * mixing.BINS) < cut[s])
         taken[s] += copies * n
         for k in range(-(-n // 2048)):
             want[i, k, min(2048, n - 2048 * k)] += copies
@@ -48,3 +47,12 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_take_nulls_repeats_and_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = docs.limit(1).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as long) as n_chars")
+    some = docs.union(docs).union(odd.to(docs.schema)).union(odd.to(docs.schema))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, some, SF).count() >= 0 and stage(spark, docs.where("false"), SF).count() == 0
+    assert corpus_pipeline.distinct(spark, some, SF).where("text is not null").count() == corpus_pipeline.distinct(spark, docs, SF).count()
