@@ -107,7 +107,7 @@ def reconstructed(events: DataFrame, depth: int = 10, mode: str = "delta") -> Da
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
 
     names = ["symbol", "ts_us", "seq", "kind", "book_ts", "top_bids", "top_asks", "dq_error", "crossed", "gap_id"]
-    schema = f"symbol string, ts_us long, seq long, kind string, book_ts long, top_bids {LEVELS}, top_asks {LEVELS}, dq_error string, crossed boolean, gap_id long"
+    schema = f"symbol string, ts_us long, seq {base.schema['seq'].dataType.simpleString()}, kind string, book_ts long, top_bids {LEVELS}, top_asks {LEVELS}, dq_error string, crossed boolean, gap_id long"
     return base.repartition("symbol").sortWithinPartitions("symbol", "ts_us", "seq").mapInArrow(run, schema)
 
 

@@ -187,5 +187,5 @@ def folded(bars: DataFrame, names: tuple[str, ...], partitions: int | None = Non
 
     base = bars.select(*INPUTS)
     dealt = base.repartition(partitions, "symbol") if partitions else base.repartition("symbol")
-    schema = "symbol string, ts_us long, seq long, " + ", ".join(f"{n} double" for n in names)
+    schema = f"symbol string, ts_us long, seq {base.schema['seq'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
     return dealt.sortWithinPartitions("symbol", "ts_us", "seq").mapInArrow(run, schema)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LEVELS = "array<struct<price:double,qty:double>>"
 EVENT = f"struct<symbol:string,kind:string,ts_us:bigint,side:string,price:double,qty:double,is_buy:boolean,bids:{LEVELS},asks:{LEVELS},is_imputed:boolean,gap_flag:boolean>"
 FIELDS = ("symbol", "kind", "ts_us", "side", "price", "qty", "is_buy", "bids", "asks", "is_imputed", "gap_flag")
-#: Places of a message's events in seq; a message has fewer.
-STEP = 1 << 20
-
 
 def _event(kind: str, symbol: Column, ts_us: Column, **fields: Column) -> Column:
     lost = kind in ("gap", "disconnected")
@@ -73,18 +74,40 @@ def with_line(raw: DataFrame) -> DataFrame:
     return raw if "line" in raw.columns else raw.withColumn("line", F.monotonically_increasing_id())
 
 
-def emitted(raw: DataFrame, events: Column, exchange: str) -> DataFrame:
-    """One row for each event of each message: exchange, the event's fields, seq."""
-    out = raw.select("line", F.posexplode(events).alias("__pos", "e"))
-    return out.select(F.lit(exchange).alias("exchange"), "e.*", (F.col("line") * STEP + F.col("__pos")).alias("seq"))
-
-
-def gaps_marked(events: DataFrame, ok: Column) -> DataFrame:
-    """events (with ok's columns) where each message whose sequence is broken becomes one gap event."""
-    first = F.col("seq") % STEP == 0
-    lost = events.where(first & ~ok).withColumns({"kind": F.lit("gap"), "is_imputed": F.lit(True), "gap_flag": F.lit(True), **{c: F.lit(None).cast(events.schema[c].dataType) for c in ("side", "price", "qty", "is_buy", "bids", "asks")}})
-    return events.where(ok).unionByName(lost)
+def flat(groups: Column) -> Column:
+    """The events of array<array<event>>, in order; of null none."""
+    return F.coalesce(F.flatten(groups), none())
 
 
-def previous(x: str, keys: list[str]) -> Column:
-    return F.lag(x).over(W.partitionBy(*keys).orderBy("line"))
+def emitted(raw: DataFrame, events: Column, exchange: str) -> DataFrame:
+    """One row for each event of each message: exchange, the event's fields, and seq: the message's line and the
+    event's place in it. Neither is packed into the other, so neither has a limit."""
+    out = raw.select("line", F.posexplode(events).alias("__pos", "e"))
+    return out.select(F.lit(exchange).alias("exchange"), "e.*", F.struct(F.col("line").cast("bigint").alias("line"), F.col("__pos").alias("pos")).alias("seq"))
+
+
+def sequenced(m: DataFrame, key: str) -> DataFrame:
+    """m (line, value, first, since, until, and key) with `before`: the largest `until` of earlier messages with the key,
+    for feeds whose numbers only grow, or the last one. Batches look back by a window over one key's messages; streams keep the
+    number in a state for each key, so a message that comes after later ones is held against those."""
+    if m.isStreaming:
+        return _stateful(m, key)
+    w = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    return m.withColumn("before", F.when(F.col("grows"), F.max("until").over(w)).otherwise(F.last("until", ignorenulls=True).over(w)))
+
+
+def _stateful(m: DataFrame, key: str) -> DataFrame:
+    need = m.select("line", "value", F.col(key).alias("__key"), "until", "grows")
+
+    def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("line", kind="stable")
+        last, before = state.get[0] if state.exists else None, []
+        for until, grows in zip(rows["until"], rows["grows"], strict=True):
+            before.append(last)
+            if not pd.isna(until):
+                last = int(until) if last is None or not grows else max(last, int(until))
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({"line": rows["line"], "value": rows["value"], "before": pd.array(before, dtype="Int64")})
+
+    return need.groupBy("__key").applyInPandasWithState(fold, "line long, value string, before long", "last long", "append", GroupStateTimeout.NoTimeout)

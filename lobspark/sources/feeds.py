@@ -1,7 +1,8 @@
 """Parsers of market feeds: raw messages (a `value` column of text, and `line` for their order) to events.
 
 Each is a DataFrame transformation, the same for files and streams; messages that cannot be read give no
-event. The rules of sequence numbers look at the message before and are for batches (streaming has its own state).
+event, and a message may hold any number of events. Rules of sequence numbers look at the message before: by a
+window in batches, by a state for each instrument in streams.
 """
 
 from __future__ import annotations
@@ -9,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobspark.sources.events import deltas_of, delta, emitted, gap, held, level, none, number, pairs, previous, snapshot, trade, with_line
+from lobspark.sources.events import deltas_of, delta, emitted, flat, gap, held, level, none, number, pairs, sequenced, snapshot, trade, with_line
 
 Parser = Callable[..., DataFrame]
 
@@ -21,6 +21,12 @@ def _json(raw: DataFrame, schema: str) -> DataFrame:
     return with_line(raw).withColumn("m", F.from_json("value", schema, {"mode": "PERMISSIVE"})).where("m is not null")
 
 
+def _ruled(raw: DataFrame, parse: Callable[[DataFrame], DataFrame], key: str = "s") -> DataFrame:
+    """Messages as parse reads them (line, value, key, until, grows, and what it needs), with `before`."""
+    m = sequenced(parse(with_line(raw)), key)
+    return parse(m) if raw.isStreaming else m
+
+
 def _ms(x: Column) -> Column:
     return F.coalesce(x.try_cast("bigint"), F.lit(0)) * 1000
 
@@ -82,10 +88,13 @@ def dukascopy(raw: DataFrame, symbol: str, clamp: bool = True) -> DataFrame:
     at = lambda i: F.trim(F.get(c, F.lit(i)))
     iso = F.regexp_replace(F.regexp_replace(at(0), r"^(\d{4})[.-](\d{2})[.-](\d{2})", "$1-$2-$3"), r"^(\d{2})\.(\d{2})\.(\d{4})", "$3-$2-$1")
     iso = F.regexp_replace(iso, " ", "T")
-    f = with_line(raw).select("line", F.unix_micros(F.try_to_timestamp(F.concat(F.regexp_replace(iso, "Z$", ""), F.lit("Z")))).alias("ts"), number(at(1)).alias("ask"), number(at(2)).alias("bid"), F.coalesce(number(at(3)), F.lit(1.0)).alias("aq"), F.coalesce(number(at(4)), number(at(3)), F.lit(1.0)).alias("bq"))
-    f = f.where("ts is not null and bid > 0 and ask > bid")
-    if clamp:
-        f = f.withColumn("ts", F.max("ts").over(W.orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
+
+    def parse(m: DataFrame) -> DataFrame:
+        f = m.withColumns({"until": F.unix_micros(F.try_to_timestamp(F.concat(F.regexp_replace(iso, "Z$", ""), F.lit("Z")))), "ask": number(at(1)), "bid": number(at(2)), "aq": F.coalesce(number(at(3)), F.lit(1.0)), "bq": F.coalesce(number(at(4)), number(at(3)), F.lit(1.0)), "s": F.lit(symbol), "grows": F.lit(True)})
+        return f.where("until is not null and bid > 0 and ask > bid")
+
+    f = _ruled(raw, parse) if clamp else parse(with_line(raw)).withColumn("before", F.lit(None).cast("bigint"))
+    f = f.withColumn("ts", F.greatest("until", "before"))
     s = F.lit(symbol)
     return emitted(f, F.array(delta(s, F.col("ts"), "bid", F.col("bid"), F.col("bq")), delta(s, F.col("ts"), "ask", F.col("ask"), F.col("aq"))), "dukascopy")
 
@@ -93,43 +102,55 @@ def dukascopy(raw: DataFrame, symbol: str, clamp: bool = True) -> DataFrame:
 def binance(raw: DataFrame) -> DataFrame:
     """Depth updates and aggregate trades, alone or in a stream's envelope; symbols in upper case. Depth follows
     U <= last u + 1 <= u; older updates are dropped, jumps are gaps."""
-    m = with_line(raw).select("line", F.coalesce(F.get_json_object("value", "$.data"), "value").alias("d"), F.get_json_object("value", "$.stream").alias("stream"))
     # Names of fields differ by case alone, so each is taken by its path.
-    fields = {"kind": "e", "event_ms": "E", "s": "s", "first_id": "U", "last_id": "u", "b": "b", "a": "a", "trade_ms": "T", "p": "p", "q": "q", "maker": "m"}
-    m = m.select("line", "stream", *[F.get_json_object("d", f"$.{path}").alias(n) for n, path in fields.items()])
-    levels = {c: F.from_json(c, "array<array<string>>") for c in ("b", "a")}
-    m = m.withColumns({"s": F.upper(F.coalesce("s", F.split("stream", "@")[0])), **{c: F.col(c).try_cast("bigint") for c in ("first_id", "last_id")}, **levels})
-    depth = m.where("b is not null or a is not null").withColumn("__last", F.max("last_id").over(W.partitionBy("s").orderBy("line").rowsBetween(W.unboundedPreceding, -1)))
-    depth = depth.where("__last is null or last_id is null or last_id > __last")
-    lost = F.col("__last").isNotNull() & (F.col("first_id") > F.col("__last") + 1)
-    ts, s = _ms(F.col("event_ms")), F.col("s")
+    fields = {"kind": "e", "event_ms": "E", "s": "s", "first_id": "U", "until": "u", "b": "b", "a": "a", "trade_ms": "T", "p": "p", "q": "q", "maker": "m"}
+
+    def parse(m: DataFrame) -> DataFrame:
+        m = m.withColumns({"d": F.coalesce(F.get_json_object("value", "$.data"), "value"), "stream": F.get_json_object("value", "$.stream")})
+        m = m.withColumns({n: F.get_json_object("d", f"$.{path}") for n, path in fields.items()})
+        levels = {c: F.from_json(c, "array<array<string>>") for c in ("b", "a")}
+        m = m.withColumns({"s": F.upper(F.coalesce("s", F.split("stream", "@")[0])), **{c: F.col(c).try_cast("bigint") for c in ("first_id", "until")}, "grows": F.lit(True), **levels})
+        return m.withColumn("until", F.when(F.col("b").isNotNull() | F.col("a").isNotNull(), F.col("until")))
+
+    m = _ruled(raw, parse)
+    ts, s, before = _ms(F.col("event_ms")), F.col("s"), F.col("before")
+    lost = F.coalesce(before.isNotNull() & (F.col("first_id") > before + 1), F.lit(False))
+    old = F.coalesce(F.col("until") <= before, F.lit(False))
     change = F.concat(deltas_of(pairs(F.col("b")), s, ts, "bid"), deltas_of(pairs(F.col("a")), s, ts, "ask"))
-    books = emitted(depth, F.when(F.coalesce(lost, F.lit(False)), F.concat(F.array(gap(s, ts)), change)).otherwise(change), "binance")
+    book = F.when(old, none()).when(lost, F.concat(F.array(gap(s, ts)), change)).otherwise(change)
     price, qty = number(F.col("p")), number(F.col("q"))
-    deals = m.where("kind = 'aggTrade' or (p is not null and b is null)").where((price > 0) & (qty > 0))
-    return books.unionByName(emitted(deals, F.array(trade(s, _ms(F.col("trade_ms")), price, qty, ~F.coalesce(F.col("maker") == "true", F.lit(False)))), "binance"))
+    is_deal = ((F.col("kind") == "aggTrade") | (F.col("p").isNotNull() & F.col("b").isNull())) & (price > 0) & (qty > 0)
+    deal = F.when(F.coalesce(is_deal, F.lit(False)), F.array(trade(s, _ms(F.col("trade_ms")), price, qty, ~F.coalesce(F.col("maker") == "true", F.lit(False))))).otherwise(none())
+    return emitted(m, F.concat(F.when(F.col("b").isNotNull() | F.col("a").isNotNull(), book).otherwise(none()), deal), "binance")
 
 
 def binance_klines(raw: DataFrame, symbol: str) -> DataFrame:
     """Bars: a trade at the close, buy if it is not below the open, and a book around it."""
-    m = with_line(raw).withColumn("rows", F.from_json("value", "array<array<string>>")).select(F.col("line").alias("__l"), F.posexplode("rows").alias("__p", "k"))
-    at = lambda i: number(F.get("k", F.lit(i)))
-    m = m.select((F.col("__l") * (1 << 12) + F.col("__p")).alias("line"), at(1).alias("open"), at(4).alias("close"), at(5).alias("volume"), F.get("k", F.lit(6)).try_cast("bigint").alias("t")).where("close is not null and open is not null and volume is not null and t is not null")
-    half, size, s, ts, c = F.greatest(F.col("close") * 1e-4, F.lit(0.01)), F.greatest(F.col("volume") / 1000, F.lit(1.0)), F.lit(symbol.upper()), F.col("t") * 1000, F.col("close")
-    return emitted(m, F.array(trade(s, ts, c, F.col("volume"), F.col("close") >= F.col("open")), snapshot(s, ts, F.array(level(c - half, size)), F.array(level(c + half, size)))), "binance_rest")
+    m, s = with_line(raw).withColumn("rows", F.from_json("value", "array<array<string>>")), F.lit(symbol.upper())
+
+    def bar(k: Column) -> Column:
+        at = lambda i: number(F.get(k, F.lit(i)))
+        o, c, v, ms = at(1), at(4), at(5), F.get(k, F.lit(6)).try_cast("bigint")
+        half, size, ts = F.greatest(c * 1e-4, F.lit(0.01)), F.greatest(v / 1000, F.lit(1.0)), ms * 1000
+        both = F.array(trade(s, ts, c, v, c >= o), snapshot(s, ts, F.array(level(c - half, size)), F.array(level(c + half, size))))
+        return F.when(o.isNotNull() & c.isNotNull() & v.isNotNull() & ms.isNotNull(), both).otherwise(none())
+
+    return emitted(m, flat(F.transform("rows", bar)), "binance_rest")
 
 
 def coinbase(raw: DataFrame) -> DataFrame:
     """Channel l2_data; the message's own time, where it has one."""
     m = _json(raw, "channel string, timestamp string, events array<struct<type:string,product_id:string,updates:array<struct<side:string,price_level:string,new_quantity:string,event_time:string>>>>").where("m.channel = 'l2_data'")
-    m = m.select(F.col("line").alias("__l"), micros(F.col("m.timestamp")).alias("ts"), F.posexplode("m.events").alias("__p", "e")).withColumn("line", F.col("__l") * (1 << 8) + F.col("__p"))
-    ups = F.transform("e.updates", lambda x: F.struct(F.when(x["side"] == "bid", "bid").when(x["side"].isin("offer", "ask"), "ask").alias("side"), number(x["price_level"]).alias("price"), number(x["new_quantity"]).alias("qty")))
-    ups = F.filter(ups, lambda x: x["side"].isNotNull() & (x["price"] > 0) & (x["qty"] >= 0))
-    m = m.withColumn("u", F.coalesce(ups, F.array().cast("array<struct<side:string,price:double,qty:double>>")))
-    side = lambda n: F.transform(F.filter("u", lambda x: x["side"] == n), lambda x: level(x["price"], x["qty"]))
-    s = F.col("e.product_id")
-    change = F.transform("u", lambda x: delta(s, F.col("ts"), x["side"], x["price"], x["qty"]))
-    return emitted(m, F.when(F.col("e.type") == "snapshot", F.array(snapshot(s, F.col("ts"), side("bid"), side("ask")))).otherwise(change), "coinbase")
+    ts = micros(F.col("m.timestamp"))
+
+    def one(e: Column) -> Column:
+        ups = F.transform(e["updates"], lambda x: F.struct(F.when(x["side"] == "bid", "bid").when(x["side"].isin("offer", "ask"), "ask").alias("side"), number(x["price_level"]).alias("price"), number(x["new_quantity"]).alias("qty")))
+        ups = F.coalesce(F.filter(ups, lambda x: x["side"].isNotNull() & (x["price"] > 0) & (x["qty"] >= 0)), F.array().cast("array<struct<side:string,price:double,qty:double>>"))
+        side = lambda n: F.transform(F.filter(ups, lambda x: x["side"] == n), lambda x: level(x["price"], x["qty"]))
+        s = e["product_id"]
+        return F.when(e["type"] == "snapshot", F.array(snapshot(s, ts, side("bid"), side("ask")))).otherwise(F.transform(ups, lambda x: delta(s, ts, x["side"], x["price"], x["qty"])))
+
+    return emitted(m, flat(F.transform("m.events", one)), "coinbase")
 
 
 def kraken(raw: DataFrame) -> DataFrame:
@@ -144,9 +165,9 @@ def kraken(raw: DataFrame) -> DataFrame:
 
 def gemini(raw: DataFrame, symbol: str) -> DataFrame:
     """Market data, version 1: a batch of initial changes is a snapshot; a socket_sequence that is not the one after the last is a gap."""
-    m = _json(raw, "type string, timestampms bigint, socket_sequence bigint, events array<struct<type:string,reason:string,price:string,remaining:string,side:string>>").withColumn("n", F.col("m.socket_sequence"))
-    m = m.withColumn("__prev", F.last("n", ignorenulls=True).over(W.orderBy("line").rowsBetween(W.unboundedPreceding, -1)))
-    lost = F.col("n").isNotNull() & F.col("__prev").isNotNull() & (F.col("n") != F.col("__prev") + 1)
+    schema = "type string, timestampms bigint, socket_sequence bigint, events array<struct<type:string,reason:string,price:string,remaining:string,side:string>>"
+    m = _ruled(raw, lambda r: _json(r, schema).withColumns({"until": F.col("m.socket_sequence"), "s": F.lit(symbol), "grows": F.lit(False)}))
+    lost = F.coalesce(F.col("until") != F.col("before") + 1, F.lit(False))
     ups = F.transform("m.events", lambda x: F.struct((x["reason"] == "initial").alias("initial"), x["side"].alias("side"), number(x["price"]).alias("price"), F.coalesce(number(x["remaining"]), F.lit(0.0)).alias("qty"), (x["type"] == "change").alias("change")))
     ups = F.filter(ups, lambda x: x["change"] & (x["price"] > 0) & x["side"].isin("bid", "ask"))
     m = m.withColumn("u", F.coalesce(ups, F.array().cast("array<struct<initial:boolean,side:string,price:double,qty:double,change:boolean>>")))
@@ -170,56 +191,65 @@ def bitstamp(raw: DataFrame) -> DataFrame:
 
 def okx(raw: DataFrame) -> DataFrame:
     """Channel books: an update's prevSeqId must be the instrument's last seqId."""
-    m = _json(raw, "event string, action string, arg struct<channel:string,instId:string>, data array<struct<bids:array<array<string>>,asks:array<array<string>>,ts:string,seqId:bigint,prevSeqId:bigint>>").where("m.event is null and m.data is not null")
-    m = m.select(F.col("line").alias("__l"), "m", F.posexplode("m.data").alias("__p", "d")).withColumns({"line": F.col("__l") * (1 << 8) + F.col("__p"), "s": F.coalesce("m.arg.instId", F.lit("")), "id": F.col("d.seqId")})
-    m = m.withColumn("__prev", previous("id", ["s"]))
-    first = F.col("m.action") == "snapshot"
-    lost = ~first & F.col("__prev").isNotNull() & F.col("d.prevSeqId").isNotNull() & (F.col("d.prevSeqId") != F.col("__prev"))
-    ts, s, b, a = _ms(F.col("d.ts")), F.col("s"), pairs(F.col("d.bids")), pairs(F.col("d.asks"))
-    return emitted(m, F.when(F.coalesce(lost, F.lit(False)), F.array(gap(s, ts))).when(first, F.array(snapshot(s, ts, held(b), held(a)))).otherwise(F.concat(deltas_of(b, s, ts, "bid"), deltas_of(a, s, ts, "ask"))), "okx")
+    schema = "event string, action string, arg struct<channel:string,instId:string>, data array<struct<bids:array<array<string>>,asks:array<array<string>>,ts:string,seqId:bigint,prevSeqId:bigint>>"
+    m = _ruled(raw, lambda r: _json(r, schema).where("m.event is null and m.data is not null").withColumns({"s": F.coalesce("m.arg.instId", F.lit("")), "until": F.element_at(F.filter("m.data.seqId", lambda x: x.isNotNull()), -1), "grows": F.lit(False)}))
+    first, s = F.col("m.action") == "snapshot", F.col("s")
+
+    def one(d: Column, i: Column) -> Column:
+        last = F.when(i == 0, F.col("before")).otherwise(F.get("m.data", i - 1)["seqId"])
+        ts, b, a = _ms(d["ts"]), pairs(d["bids"]), pairs(d["asks"])
+        lost = F.coalesce(~first & (d["prevSeqId"] != last), F.lit(False))
+        return F.when(lost, F.array(gap(s, ts))).when(first, F.array(snapshot(s, ts, held(b), held(a)))).otherwise(F.concat(deltas_of(b, s, ts, "bid"), deltas_of(a, s, ts, "ask")))
+
+    return emitted(m, flat(F.transform("m.data", one)), "okx")
 
 
 def bybit(raw: DataFrame) -> DataFrame:
     """Order book topics: an update's u must be the one after the symbol's last."""
-    m = _json(raw, "topic string, type string, op string, ts bigint, data struct<s:string,b:array<array<string>>,a:array<array<string>>,u:bigint,seq:bigint>").where("m.op is null and m.data is not null").withColumns({"s": F.col("m.data.s"), "u": F.col("m.data.u")})
-    m = m.withColumn("__prev", previous("u", ["s"]))
+    schema = "topic string, type string, op string, ts bigint, data struct<s:string,b:array<array<string>>,a:array<array<string>>,u:bigint,seq:bigint>"
+    m = _ruled(raw, lambda r: _json(r, schema).where("m.op is null and m.data is not null").withColumns({"s": F.col("m.data.s"), "until": F.col("m.data.u"), "grows": F.lit(False)}))
     first = F.col("m.type") == "snapshot"
-    lost = ~first & F.col("__prev").isNotNull() & F.col("u").isNotNull() & (F.col("u") != F.col("__prev") + 1)
+    lost = ~first & (F.col("until") != F.col("before") + 1)
     ts, s, b, a = _ms(F.col("m.ts")), F.col("s"), pairs(F.col("m.data.b")), pairs(F.col("m.data.a"))
     return emitted(m, F.when(F.coalesce(lost, F.lit(False)), F.array(gap(s, ts))).when(first, F.array(snapshot(s, ts, held(b), held(a)))).otherwise(F.concat(deltas_of(b, s, ts, "bid"), deltas_of(a, s, ts, "ask"))), "bybit")
 
 
-def _listed(raw: DataFrame, **paths: str) -> DataFrame:
-    """A row for each element of messages that are arrays, with fields by path: their names may differ by case alone."""
-    m = with_line(raw).withColumn("ms", F.from_json("value", "array<string>")).select(F.col("line").alias("__l"), F.posexplode("ms").alias("__p", "k"))
-    return m.select((F.col("__l") * (1 << 10) + F.col("__p")).alias("line"), *[F.get_json_object("k", f"$.{p}").alias(n) for n, p in paths.items()])
+def _listed(raw: DataFrame, exchange: str, one: Callable[..., Column], source: Column | str = "value", **paths: str) -> DataFrame:
+    """Events of messages that are arrays; one() makes an element's from fields taken by path, as names may differ by case alone."""
+    m = with_line(raw).withColumn("ms", F.from_json(source, "array<string>"))
+    return emitted(m, flat(F.transform("ms", lambda k: one(**{n: F.get_json_object(k, f"$.{p}") for n, p in paths.items()}))), exchange)
+
+
+_STOCK = {"p": "p", "s": "s", "t": "t", "bp": "bp", "bs": "bs", "ap": "ap", "aq": "as"}
+
+
+def _stock(symbol: Column, ts: Column, is_trade: Column, is_quote: Column, buy: bool, f: dict[str, Column]) -> Column:
+    p, q = number(f["p"]), number(f["s"])
+    deal = F.when((p > 0) & (q > 0), F.array(trade(symbol, ts, p, q, buy)))
+    return F.when(is_trade, F.coalesce(deal, none())).when(is_quote, _quote(symbol, ts, *[number(f[c]) for c in ("bp", "bs", "ap", "aq")])).otherwise(none())
 
 
 def alpaca(raw: DataFrame) -> DataFrame:
     """Trades (t) and quotes (q)."""
-    m = _listed(raw, kind="T", sym="S", p="p", s="s", t="t", bp="bp", bs="bs", ap="ap", aq="as")
-    ts, s, p, q = micros(F.col("t")), F.col("sym"), number(F.col("p")), number(F.col("s"))
-    deal = F.when((p > 0) & (q > 0), F.array(trade(s, ts, p, q, True)))
-    return emitted(m, F.when(F.col("kind") == "t", F.coalesce(deal, none())).when(F.col("kind") == "q", _quote(s, ts, *[number(F.col(c)) for c in ("bp", "bs", "ap", "aq")])).otherwise(none()), "alpaca")
+    return _listed(raw, "alpaca", lambda kind, sym, **f: _stock(sym, micros(f["t"]), kind == "t", kind == "q", True, f), kind="T", sym="S", **_STOCK)
 
 
 def polygon(raw: DataFrame) -> DataFrame:
     """Quotes (Q) and trades (T); aggregates and status are ignored."""
-    m = _listed(raw, kind="ev", sym="sym", p="p", s="s", t="t", bp="bp", bs="bs", ap="ap", aq="as")
-    ts, s, p, q = _ms(F.col("t")), F.coalesce("sym", F.lit("")), number(F.col("p")), number(F.col("s"))
-    deal = F.when((p > 0) & (q > 0), F.array(trade(s, ts, p, q, False)))
-    return emitted(m, F.when(F.col("kind") == "T", F.coalesce(deal, none())).when(F.col("kind") == "Q", _quote(s, ts, *[number(F.col(c)) for c in ("bp", "bs", "ap", "aq")])).otherwise(none()), "polygon")
+    return _listed(raw, "polygon", lambda kind, sym, **f: _stock(F.coalesce(sym, F.lit("")), _ms(f["t"]), kind == "T", kind == "Q", False, f), kind="ev", sym="sym", **_STOCK)
 
 
 def polygon_rest(raw: DataFrame) -> DataFrame:
     """Snapshots of tickers: last quote and last trade, in nanoseconds."""
-    # Bid and ask price differ from their sizes by case alone, so fields are taken by path.
-    m = with_line(raw).withColumn("ts_", F.from_json(F.get_json_object("value", "$.tickers"), "array<string>")).select(F.col("line").alias("__l"), F.posexplode("ts_").alias("__p", "k"))
-    at = lambda path: number(F.get_json_object("k", path))
-    us = lambda path: F.floor(F.coalesce(F.get_json_object("k", path).try_cast("bigint"), F.lit(0)) / 1000)
-    m = m.select((F.col("__l") * (1 << 10) + F.col("__p")).alias("line"), F.get_json_object("k", "$.ticker").alias("s"), at("$.lastQuote.p").alias("bp"), at("$.lastQuote.s").alias("bs"), at("$.lastQuote.P").alias("ap"), at("$.lastQuote.S").alias("as_"), us("$.lastQuote.t").alias("qt"), at("$.lastTrade.p").alias("p"), at("$.lastTrade.s").alias("q"), us("$.lastTrade.t").alias("tt"))
-    deal = F.when((F.col("p") > 0) & F.col("q").isNotNull(), F.array(trade(F.col("s"), F.col("tt"), F.col("p"), F.col("q"), False)))
-    return emitted(m, F.concat(_quote(F.col("s"), F.col("qt"), F.col("bp"), F.col("bs"), F.col("ap"), F.col("as_")), F.coalesce(deal, none())), "polygon_rest")
+
+    def one(s: Column, **f: Column) -> Column:
+        us = lambda c: F.floor(F.coalesce(f[c].try_cast("bigint"), F.lit(0)) / 1000)
+        p, q = number(f["p"]), number(f["q"])
+        deal = F.when((p > 0) & q.isNotNull(), F.array(trade(s, us("tt"), p, q, False)))
+        return F.concat(_quote(s, us("qt"), *[number(f[c]) for c in ("bp", "bq", "ap", "aq")]), F.coalesce(deal, none()))
+
+    last = {"bp": "lastQuote.p", "bq": "lastQuote.s", "ap": "lastQuote.P", "aq": "lastQuote.S", "qt": "lastQuote.t", "p": "lastTrade.p", "q": "lastTrade.s", "tt": "lastTrade.t"}
+    return _listed(raw, "polygon_rest", one, F.get_json_object("value", "$.tickers"), s="ticker", **last)
 
 
 def tiingo(raw: DataFrame) -> DataFrame:

@@ -16,6 +16,25 @@ def read(spark, feed, *messages, **options):
     return [r.asDict(recursive=True) for r in df.orderBy("seq").collect()]
 
 
+def test_any_number_of_partitions_and_events(spark, tmp_path):
+    """Messages come from many files without a line, and one has thousands of events."""
+    rows = [[{"T": "t", "S": f"S{k}", "p": 1 + i, "s": 2, "t": "2023-01-01T15:00:00Z"} for i in range(5000 if k == 3 else 2)] for k in range(8)]
+    for k, m in enumerate(rows):
+        (tmp_path / f"{k}.txt").write_text(json.dumps(m))
+    raw = spark.read.text(str(tmp_path)).repartition(8)
+    got = FEEDS["alpaca"](raw).groupBy("symbol").agg({"*": "count", "price": "sum"}).collect()
+    assert {r["symbol"]: (r["count(1)"], r["sum(price)"]) for r in got} == {f"S{k}": (len(m), sum(e["p"] for e in m)) for k, m in enumerate(rows)}
+    assert FEEDS["alpaca"](raw).select("seq").distinct().count() == sum(map(len, rows))
+    for feed in FEEDS:
+        if feed != "lobster_book":
+            FEEDS[feed](raw, *(["X"] if feed in OF_ONE_SYMBOL else [])).count()
+    up = {"side": "bid", "price_level": "1", "new_quantity": "2"}
+    many = {"channel": "l2_data", "timestamp": "2023-01-01T15:00:00Z", "events": [{"type": "update", "product_id": f"P{i}", "updates": [up] * 20} for i in range(400)]}
+    assert len(read(spark, "coinbase", many)) == 8000
+    bars = [[i, "10", "12", "9", "11", "5000", 60_000 * i, "0"] for i in range(5000)]
+    assert len(read(spark, "binance_klines", bars)) == 10_000
+
+
 def brief(events):
     return [(e["kind"], e["symbol"], e["ts_us"], e["side"], e["price"], e["qty"]) for e in events]
 
