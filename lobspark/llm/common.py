@@ -63,18 +63,19 @@ def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left
 def min_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (u, v), both long.
 
-    Contraction: in each round every node takes the neighbour of the least hash, if that is below its own,
-    with hashes new in each round; chains of such choices are shortened by pointer jumping, and the edges are
-    renamed to their new ends. As a node's hash is above that of some neighbour in half of all cases at
-    least, each round is expected to halve the nodes that still have edges, whatever the graph. Minima are
-    map-side combined, so that a hub node shuffles one row a task; nothing is gathered on the driver but counts.
+    Contraction: in each round every node takes its least neighbour, if that is below itself; chains of such
+    choices are shortened by pointer jumping, and the edges are renamed to their new ends. Odd rounds go by the
+    ids, so that stars about their smallest node, as tasks make them, end at once; even rounds go by hashes that
+    are new in each: a node's hash is above that of some neighbour in half of all cases at least, so two rounds are
+    expected to halve the nodes that still have edges, whatever the graph. Minima are map-side combined, so
+    that a hub node shuffles one row a task; nothing is gathered on the driver but counts.
     """
     edges = settled(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     parents, turn = None, 0
     while not edges.isEmpty():
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        drawn = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        drawn = lambda c: F.struct((F.lit(0).cast("long") if turn % 2 else F.xxhash64(F.lit(turn), c)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         least = both.groupBy(F.col("u").alias("node")).agg(F.min(drawn("v")).alias("m"))
         step = _jumped(settled(least.select("node", F.least(drawn("node"), "m")["n"].alias("up"))))
         # Named by two joins whose right side has one row a node; AQE splits a hub's edges.
