@@ -1,22 +1,29 @@
-"""Books and labels on streams: the same results as in batches, row by row as events come in.
+"""Books and labels on streams: the same results as in batches, in event time.
 
-State is kept by instrument: the levels of its book, and the rows whose labels are still open. Events of
-a micro-batch are put in order first; an event older than the last one is taken at that one's time.
+Events of an instrument wait in its state until the watermark has passed them and are then taken in order of
+time and sequence, whatever order they came in; an event that comes later than `delay` is late, and Spark drops
+it. So a book or label never has to be taken back. State is kept by instrument: the events that wait, the
+levels of its book, and the rows whose labels are still open. Spark runs one such operator in a query: books of a
+feed with sequence rules (which keep a state too) read the events that a first query wrote.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lobspark.operators.asof import HORIZONS
 from lobspark.operators.book import Book
 
 LEVELS = "array<struct<price:double,qty:double>>"
+#: Takes what was kept, an instrument's rows (ts, line, place, fields...) in order, and whether no more will come; gives what to keep, and rows.
+Fold = Callable[[object, list[list], bool], tuple[object, list[tuple]]]
 
 
 def replayed(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -25,68 +32,101 @@ def replayed(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return raw.selectExpr("cast(split(value, '\t', 2)[0] as bigint) as line", "split(value, '\t', 2)[1] as value")
 
 
-def books(events: DataFrame, depth: int = 10) -> DataFrame:
-    """symbol, ts_us, seq, top_bids, top_asks after each book event; a gap empties nothing, a snapshot replaces."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book, last = Book(), None
-        if state.exists:
-            bids, asks, last = state.get
-            as_levels = lambda x: [{"price": a, "qty": b} for a, b in json.loads(x)]
-            book.apply("snapshot", None, None, None, last, as_levels(bids), as_levels(asks))
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "seq"], kind="stable")
+def _plain(x: object) -> object:
+    """A value that JSON keeps: levels as pairs, missing as None."""
+    if x is None or isinstance(x, str):
+        return x
+    if hasattr(x, "__len__"):
+        return [(v["price"], v["qty"]) for v in x]
+    return None if pd.isna(x) else x.item() if hasattr(x, "item") else x
+
+
+def in_order(rows: DataFrame, fields: list[str], fold: Fold, out: str, delay: str, idle_us: int | None = None) -> DataFrame:
+    """symbol, ts_us, seq and `out` of fold over each instrument's rows in order of event time. With idle_us an
+    instrument whose last row the watermark has passed by so much ends: fold is told so, and its state goes."""
+    nested = isinstance(rows.schema["seq"].dataType, T.StructType)
+    place = [F.col("seq.line").alias("line"), F.col("seq.pos").alias("pos")] if nested else [F.col("seq").alias("line"), F.lit(0).alias("pos")]
+    timed = rows.where("symbol is not null and ts_us is not null").withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
+    schema = f"symbol string, ts_us long, line long, pos int, {out}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, kept, last, taken = (json.loads(state.get[0]), json.loads(state.get[1]), *state.get[2:]) if state.exists else ([], None, 0, 0)
+        if not state.hasTimedOut:
+            for b in batches:  # Spark lets events pass that are late since the batch before
+                new = ([int(r[0]), int(r[1]), int(r[2]), *map(_plain, r[3:])] for r in b[["ts_us", "line", "pos", *fields]].itertuples(index=False))
+                waiting += [r for r in new if r[0] > taken]
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted((r for r in waiting if r[0] <= passed), key=lambda r: r[:3])
+        waiting = [r for r in waiting if r[0] > passed]
+        last = max([last, *(r[0] for r in ready)])
+        ends = idle_us is not None and not waiting and last + idle_us <= passed
+        kept, found = fold(kept, ready, ends)
+        if ends:
+            state.remove()
+        else:
+            state.update((json.dumps(waiting), json.dumps(kept), last, max(passed, taken)))
+            wake = min((r[0] for r in waiting), default=None if idle_us is None else last + idle_us)
+            if wake is not None:
+                state.setTimeoutTimestamp(max(-(-wake // 1000), passed // 1000 + 1))
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=names)
+
+    need = timed.select("symbol", "event_time", "ts_us", *place, *fields)
+    done = need.groupBy("symbol").applyInPandasWithState(run, schema, "waiting string, kept string, last long, taken long", "append", GroupStateTimeout.EventTimeTimeout)
+    seq = F.struct("line", "pos") if nested else F.col("line")
+    return done.select("symbol", "ts_us", seq.alias("seq"), *names[4:])
+
+
+def books(events: DataFrame, depth: int = 10, delay: str = "0 seconds", mode: str = "delta") -> DataFrame:
+    """symbol, ts_us, seq, top_bids, top_asks, gap_id (gaps so far) after each book event; a gap empties nothing but
+    starts features anew, a snapshot replaces."""
+
+    def fold(kept: object, rows: list[list], ends: bool) -> tuple[object, list[tuple]]:
+        levels = lambda x: None if x is None else [{"price": p, "qty": q} for p, q in x]
+        book, gaps = Book(), 0
+        if kept:
+            bids, asks, ts, gaps = kept
+            book.apply("snapshot", None, None, None, ts, levels(bids), levels(asks))
         out = []
-        for kind, ts, seq, side, price, qty, bids, asks in rows[["kind", "ts_us", "seq", "side", "price", "qty", "bids", "asks"]].itertuples(index=False):
-            if pd.isna(ts):
-                continue
-            last = int(ts) if last is None else max(last, int(ts))
-            levels = [None if x is None or isinstance(x, float) else [{"price": v["price"], "qty": v["qty"]} for v in x] for x in (bids, asks)]
-            if kind in ("delta", "snapshot") and book.apply(kind, side, price, qty, last, *levels) is None:
-                out.append((key[0], last, int(seq), book.bids.top(depth), book.asks.top(depth)))
-        dump = lambda s: json.dumps([(s.sign * k, s.qty[k]) for k in s.keys])
-        state.update((dump(book.bids), dump(book.asks), last if last is not None else 0))
-        yield pd.DataFrame(out, columns=["symbol", "ts_us", "seq", "top_bids", "top_asks"])
+        for ts, line, pos, kind, side, price, qty, bids, asks in rows:
+            gaps += kind in ("gap", "disconnected")
+            if kind in ("delta", "snapshot") and book.apply(kind, side, price, qty, ts, levels(bids), levels(asks), mode == "l1_replace") is None:
+                out.append((ts, line, pos, book.bids.top(depth), book.asks.top(depth), gaps))
+        return [*([(s.sign * k, s.qty[k]) for k in s.keys] for s in (book.bids, book.asks)), book.ts, gaps], out
 
-    need = events.select("symbol", "kind", "ts_us", "seq", "side", "price", "qty", "bids", "asks")
-    return need.groupBy("symbol").applyInPandasWithState(fold, f"symbol string, ts_us long, seq long, top_bids {LEVELS}, top_asks {LEVELS}", "bids string, asks string, last long", "append", GroupStateTimeout.NoTimeout)
+    return in_order(events, ["kind", "side", "price", "qty", "bids", "asks"], fold, f"top_bids {LEVELS}, top_asks {LEVELS}, gap_id long", delay)
 
 
-def labels(rows: DataFrame, horizons: dict[str, int] = HORIZONS) -> DataFrame:
+def labels(rows: DataFrame, horizons: dict[str, int] = HORIZONS, delay: str = "0 seconds", idle_us: int | None = None) -> DataFrame:
     """symbol, ts_us, seq, mid and forward returns, each row once a later row of its instrument is past its longest
-    horizon. Rows still open when a stream ends stay in the state, as nothing says that no more will come."""
+    horizon. Open rows leave with what they have once the instrument is idle for idle_us; else they wait."""
     order = sorted(horizons.items(), key=lambda x: x[1])
-    names = [f"r_{h}" for h, _ in order]
     longest = order[-1][1]
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Open rows: [ts, seq, mid, returns by horizon]; done[h]: how many of them have that horizon's return.
-        waiting, done = (json.loads(state.get[0]), list(json.loads(state.get[1]))) if state.exists else ([], [0] * len(order))
-        new = pd.concat(list(batches)).sort_values(["ts_us", "seq"], kind="stable")
+    def fold(kept: object, rows: list[list], ends: bool) -> tuple[object, list[tuple]]:
+        # Open rows: [ts, line, place, mid, returns by horizon]; done[h]: how many of them have that horizon's return.
+        waiting, done = kept or ([], [0] * len(order))
         out = []
-        for ts, seq, mid in new[["ts_us", "seq", "mid"]].itertuples(index=False):
-            if pd.isna(mid):
+        for ts, line, pos, mid in rows:
+            if mid is None:
                 continue
-            ts, mid = int(ts), float(mid)
-            if waiting:
-                ts = max(ts, waiting[-1][0])
             if mid > 0:
-                waiting.append([ts, int(seq), mid, [None] * len(order)])
+                waiting.append([ts, line, pos, mid, [None] * len(order)])
             # Rows are in order of time, so each horizon's open rows start where its last ones ended.
             for i, (_, us) in enumerate(order):
                 while done[i] < len(waiting) and waiting[done[i]][0] + us <= ts:
                     row = waiting[done[i]]
-                    row[3][i] = (mid - row[2]) / row[2]
+                    row[4][i] = (mid - row[3]) / row[3]
                     done[i] += 1
             ready = 0
             while ready < len(waiting) and waiting[ready][0] + longest <= ts:
-                w = waiting[ready]
-                out.append((key[0], w[0], w[1], w[2], *w[3]))
                 ready += 1
-            if ready:
-                del waiting[:ready]
-                done = [d - ready for d in done]
-        state.update((json.dumps(waiting), json.dumps(done)))
-        yield pd.DataFrame(out, columns=["symbol", "ts_us", "seq", "mid", *names])
-
-    schema = "symbol string, ts_us long, seq long, mid double, " + ", ".join(f"{n} double" for n in names)
-    return rows.select("symbol", "ts_us", "seq", "mid").groupBy("symbol").applyInPandasWithState(fold, schema, "waiting string, done string", "append", GroupStateTimeout.NoTimeout)
+            out += [(*w[:4], *w[4]) for w in waiting[:ready]]
+            del waiting[:ready]
+            done = [d - ready for d in done]
+        if ends:
+            out += [(*w[:4], *w[4]) for w in waiting]
+            waiting, done = [], [0] * len(order)
+        return [waiting, done], out
+
+    return in_order(rows, ["mid"], fold, "mid double, " + ", ".join(f"r_{h} double" for h, _ in order), delay, idle_us)

@@ -1,8 +1,11 @@
 """Streams give what batches give."""
 
 import json
+import os
 import random
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from lobspark.operators import book
@@ -19,7 +22,7 @@ def messages(n=120):
         bids = lv()
         s = False
         asks = lv()
-        out.append({"channel": "book", "type": "snapshot" if i in (0, 70) else "update", "data": [{"symbol": rng.choice(["A", "B"]), "timestamp_ms": i * 7000, "bids": bids, "asks": asks, "checksum": 0}]})
+        out.append({"channel": "book", "type": "snapshot" if i in (0, 70) else "update", "data": [{"symbol": rng.choice(["A", "B"]), "timestamp_ms": 1_000_000 + i * 7000, "bids": bids, "asks": asks, "checksum": 0}]})
     return [json.dumps(m) for m in out]
 
 
@@ -30,27 +33,76 @@ def run(query, name):
     return query.sparkSession.table(name)
 
 
-def test_books_and_labels(spark, tmp_path):
+def replay(tmp_path, lines, order, end=10**9):
+    """Files of messages that a stream reads in this order, and last one far ahead in time, so that the watermark passes all."""
+    parts = [[*enumerate(lines)][k * 40 : (k + 1) * 40] for k in range(3)]
+    last = json.dumps({"channel": "book", "type": "update", "data": [{"symbol": "END", "timestamp_ms": end, "bids": [{"price": 1, "qty": 1}], "asks": [], "checksum": 0}]})
+    for at, rows in enumerate([*(parts[k] for k in order), [(len(lines), last)]]):
+        path = tmp_path / f"{at}.txt"
+        path.write_text("".join(f"{i}\t{m}\n" for i, m in rows))
+        os.utime(path, (1_700_000_000 + at, 1_700_000_000 + at))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
+def test_books_in_any_order(spark, tmp_path, order):
     lines = messages()
-    for k in range(3):
-        (tmp_path / f"{k}.txt").write_text("".join(f"{i}\t{m}\n" for i, m in list(enumerate(lines))[k * 40 : (k + 1) * 40]))
     batch = feeds.kraken(spark.createDataFrame(list(enumerate(lines)), "line long, value string"))
-    whole = book.reconstructed(batch).where("kind in ('delta', 'snapshot') and dq_error is null").select("symbol", "ts_us", "seq", "top_bids", "top_asks")
-    streamed = run(streams.books(feeds.kraken(streams.replayed(spark, str(tmp_path)))), "books_out")
+    want = book.reconstructed(batch).where("kind in ('delta', 'snapshot') and dq_error is null").select("symbol", "ts_us", "seq", "top_bids", "top_asks", "gap_id")
+    replay(tmp_path, lines, order)
+    got = run(streams.books(feeds.kraken(streams.replayed(spark, str(tmp_path))), delay="1 hour"), f"books_{order[0]}").where("symbol != 'END'")
     key = ["symbol", "ts_us", "seq"]
-    want = [r.asDict(True) for r in whole.orderBy(*key).collect()]
-    assert [r.asDict(True) for r in streamed.orderBy(*key).collect()] == want and len(want) > 100
+    want = [r.asDict(True) for r in want.orderBy(*key).collect()]
+    assert [r.asDict(True) for r in got.orderBy(*key).collect()] == want and len(want) > 100
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """The watermark of the first file is known in the third batch: the file there is late, and changes no book."""
+    lines = messages()
+    replay(tmp_path, lines, (2, 0, 1))
+    got = run(streams.books(feeds.kraken(streams.replayed(spark, str(tmp_path))), delay="0 seconds"), "books_late").where("symbol != 'END'")
+    batch = feeds.kraken(spark.createDataFrame([(i, m) for i, m in enumerate(lines) if not 40 <= i < 80], "line long, value string"))
+    want = book.reconstructed(batch).where("kind in ('delta', 'snapshot') and dq_error is null").select("symbol", "ts_us", "seq", "top_bids", "top_asks", "gap_id")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
+
+def test_labels(spark, tmp_path):
+    batch = feeds.kraken(spark.createDataFrame(list(enumerate(messages())), "line long, value string"))
+    key = ["symbol", "ts_us", "seq"]
+    whole = book.reconstructed(batch).where("kind in ('delta', 'snapshot') and dq_error is null")
     rows = whole.withColumn("mid", F.get("top_bids", F.lit(0))["price"] + F.get("top_asks", F.lit(0))["price"]).where("mid is not null").select(*key, "mid")
-    (tmp_path / "rows").mkdir()
-    rows.orderBy("ts_us", "seq").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "rows"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
     rows = spark.read.parquet(str(tmp_path / "rows"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))
-    got = run(streams.labels(stream), "labels_out").orderBy(*key).collect()
+    rows.limit(1).selectExpr("'END' as symbol", "1000000000000 as ts_us", "seq", "mid").coalesce(1).write.parquet(str(tmp_path / "end"))
+    for name, at in (("rows", 0), ("end", 1)):
+        for f in (tmp_path / name).glob("*.parquet"):
+            (tmp_path / "all").mkdir(exist_ok=True)
+            shutil.copy(f, tmp_path / "all" / f"{name}.parquet")
+            os.utime(tmp_path / "all" / f"{name}.parquet", (1_700_000_000 + at,) * 2)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
     names = [f"r_{h}" for h in HORIZONS]
-    want = {tuple(r[c] for c in key): r for r in labelled(rows, spread=None).collect()}
-    assert len(got) > 50
-    for r in got:
-        assert [r[n] for n in names] == [want[r.symbol, r.ts_us, r.seq][n] for n in names]
-    closed = {k for k, r in want.items() if r.r_300s is not None}
-    assert {(r.symbol, r.ts_us, r.seq) for r in got} == closed
+    want = {tuple(r[c] for c in key): [r[n] for n in names] for r in labelled(rows, spread=None).collect()}
+    for idle, name in ((None, "labels_open"), (1_000_000, "labels_flushed")):
+        got = {tuple(r[c] for c in key): [r[n] for n in names] for r in run(streams.labels(stream, delay="1 hour", idle_us=idle), name).where("symbol != 'END'").collect()}
+        assert got == {k: v for k, v in want.items() if idle or v[-1] is not None} and len(got) > 50
+
+
+def test_sequence_rules_on_streams(spark, tmp_path):
+    """Every feed starts as a stream, and gaps are found as in batches."""
+    m = lambda a, s, p: json.dumps({"action": a, "arg": {"channel": "books", "instId": "BTC-USDT"}, "data": [{"bids": [["1", "2"]], "asks": [], "ts": "5", "seqId": s, "prevSeqId": p}]})
+    lines = [m("snapshot", 1, -1), m("update", 2, 1), m("update", 9, 7), m("update", 10, 9)]
+    for k, line in enumerate(lines):
+        (tmp_path / f"{k}.txt").write_text(f"{k}\t{line}\n")
+        os.utime(tmp_path / f"{k}.txt", (1_700_000_000 + k,) * 2)
+    batch = feeds.okx(spark.createDataFrame(list(enumerate(lines)), "line long, value string"))
+    got = run(feeds.okx(streams.replayed(spark, str(tmp_path))), "okx_out")
+    assert [r.kind for r in got.orderBy("seq").collect()] == [r.kind for r in batch.orderBy("seq").collect()] == ["snapshot", "delta", "gap", "delta"]
+    for name, parser in feeds.FEEDS.items():
+        if name != "lobster_book":
+            out = run(parser(streams.replayed(spark, str(tmp_path)), *(["X"] if name in feeds.OF_ONE_SYMBOL else [])), f"start_{name}")
+            assert (out.count() > 0) == (name == "okx")
+    # One query holds one stateful operator, so books of such a feed read what a first query wrote.
+    q = feeds.okx(streams.replayed(spark, str(tmp_path))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "events"))
+    q.awaitTermination(120)
+    events = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "events"))
+    rows = run(streams.books(events), "okx_books")
+    assert [r.gap_id for r in rows.orderBy("seq").collect()] == [0, 0, 1]
