@@ -11,7 +11,7 @@ from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
 from lobspark.operators import backtest, book, features, simulate, stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.folds import folded
-from lobspark.plans import report, views
+from lobspark.plans import recorded, report, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,13 @@ def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataF
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes])
 
 
+# --- Feeds ------------------------------------------------------------------------------------------
+
+for _feed in recorded.MESSAGES:
+    QUERIES[f"feed_{_feed}"] = (lambda feed: lambda spark, sf_dir: rounded(recorded.read_back(spark, ticks(spark, sf_dir), feed), 9))(_feed)
+    ORACLE_SQL[f"feed_{_feed}"] = recorded.expected(_feed)
+
+
 # --- Indicators -----------------------------------------------------------------------------------
 
 #: Means of 200 prices of four decimals can lie on halves of the sixth.

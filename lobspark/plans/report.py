@@ -167,18 +167,11 @@ def sections(f: DataFrame, features: list[str] | None = None, returns: list[str]
     return {"summary": summary(f), "ic": ic, "decay": decay, "adf": adf_section(f, features), "vif": vif_section(f, features), "ljung_box": ljung_box_section(f, features), "regimes": regimes, "hypotheses": hypotheses(f, ic, decay, regimes)}
 
 
-def text(parts: dict[str, DataFrame], most: int = 200) -> str:
-    """The sections as text: they hold a few rows an instrument, of which `most` are shown each."""
-    out = []
+def text(parts: dict[str, DataFrame]) -> Iterator[str]:
+    """The report's lines, section by section; rows come to the driver one partition at a time."""
     for i, (name, df) in enumerate(parts.items(), 1):
-        rows = df.orderBy(*[c for c in ("symbol", "feature", "horizon", "quartile", "k") if c in df.columns]).limit(most).collect()
-        out.append(f"{i}. {name}\n" + "  ".join(df.columns))
-        out += ["  ".join("N/A" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows]
-        out.append("")
-    return "\n".join(out) if out else "no data"
-
-
-def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row by time of each key."""
-    w = W.partitionBy(*keys).orderBy(F.col("ts_us").desc(), F.col("seq").desc())
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+        yield f"{i}. {name}"
+        yield "  ".join(df.columns)
+        for r in df.orderBy(*[c for c in ("symbol", "feature", "horizon", "quartile", "k") if c in df.columns]).toLocalIterator():
+            yield "  ".join("N/A" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r)
+        yield ""

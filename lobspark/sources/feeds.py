@@ -27,6 +27,11 @@ def _ruled(raw: DataFrame, parse: Callable[[DataFrame], DataFrame], key: str = "
     return parse(m) if raw.isStreaming else m
 
 
+def _whole(ns: Column) -> Column:
+    """Nanoseconds to microseconds in whole numbers: as doubles they would lose the last ones."""
+    return F.call_function("div", ns, F.lit(1000))
+
+
 def _ms(x: Column) -> Column:
     return F.coalesce(x.try_cast("bigint"), F.lit(0)) * 1000
 
@@ -75,7 +80,7 @@ def iex(raw: DataFrame) -> DataFrame:
     clean = with_line(raw).withColumn("value", F.regexp_replace(F.trim("value"), r"^data:\s*", "")).where("value != '' and not startswith(value, '#')")
     m = _json(clean, "messageType string, type string, symbol string, bidSize double, bidPrice double, askPrice double, askSize double, price double, size double, flags bigint, lastUpdated bigint, timestamp bigint")
     kind, s = F.coalesce("m.messageType", "m.type"), F.col("m.symbol")
-    us = lambda a, b: F.floor(F.coalesce(F.col(a), F.col(b), F.lit(0)) / 1000)
+    us = lambda a, b: _whole(F.coalesce(F.col(a), F.col(b), F.lit(0)))
     tq, tt = us("m.lastUpdated", "m.timestamp"), us("m.timestamp", "m.lastUpdated")
     quote = F.filter(F.array(F.when((F.col("m.bidPrice") > 0) & (F.col("m.bidSize") >= 0), delta(s, tq, "bid", F.col("m.bidPrice"), F.col("m.bidSize"))), F.when((F.col("m.askPrice") > 0) & (F.col("m.askSize") >= 0), delta(s, tq, "ask", F.col("m.askPrice"), F.col("m.askSize")))), lambda x: x.isNotNull())
     deal = F.when((F.col("m.price") > 0) & (F.col("m.size") > 0), F.array(trade(s, tt, F.col("m.price"), F.col("m.size"), F.coalesce(F.col("m.flags").bitwiseAND(1) == 1, F.lit(False)))))
@@ -243,7 +248,7 @@ def polygon_rest(raw: DataFrame) -> DataFrame:
     """Snapshots of tickers: last quote and last trade, in nanoseconds."""
 
     def one(s: Column, **f: Column) -> Column:
-        us = lambda c: F.floor(F.coalesce(f[c].try_cast("bigint"), F.lit(0)) / 1000)
+        us = lambda c: _whole(F.coalesce(f[c].try_cast("bigint"), F.lit(0)))
         p, q = number(f["p"]), number(f["q"])
         deal = F.when((p > 0) & q.isNotNull(), F.array(trade(s, us("tt"), p, q, False)))
         return F.concat(_quote(s, us("qt"), *[number(f[c]) for c in ("bp", "bq", "ap", "aq")]), F.coalesce(deal, none()))

@@ -134,7 +134,7 @@ def test_files_round_trip_and_analysis(spark, tmp_path):
     sinks.write_ic(ic, str(tmp_path / "ic"))
     assert app.ic_summary(ic).count() == ic.select("indicator").distinct().count()
     ic.unpersist()
-    text = report.text(app.analyze(f))
+    text = "\n".join(report.text(app.analyze(f)))
     assert all(f"{i}. " in text for i in (1, 2, 8))
     sinks.write_parquet(df, str(tmp_path / "pq"))
     assert spark.read.parquet(str(tmp_path / "pq")).where("symbol = 'S_Y' and date = '1970-01-01'").count() == 250
