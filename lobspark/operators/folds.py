@@ -2,188 +2,283 @@
 
 Rows are dealt by instrument and sorted within their partition; one pass reads them batch by batch and
 keeps a fixed state per instrument, so memory does not grow with an instrument's history and no
-instrument is gathered whole. Nulls in a row's inputs leave its outputs null and the state as it was.
+instrument is gathered whole. Within a batch numpy works on whole columns: averages with a memory are affine
+recursions, solved in blocks; moving frames reach back into the last rows of the batch before. Only what the
+named indicators need is worked out. Nulls in a row's inputs leave its outputs null and the state as it was.
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 INPUTS = ("symbol", "ts_us", "seq", "p", "h", "l", "v")
+#: Rows of a block of a recursion.
+BLOCK = 64
 
 
-class Ema:
-    """Seeded with the mean of the first n values."""
+@lru_cache(maxsize=64)
+def _powers(a: float) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.arange(BLOCK)
+    return np.tril(a ** np.maximum(steps[:, None] - steps[None, :], 0)).T, a ** (steps + 1.0)
+
+
+def affine(b: np.ndarray, a: float, y: float) -> np.ndarray:
+    """y[t] = a y[t-1] + b[t], from y before the first."""
+    n = len(b)
+    rows = np.zeros((-(-n // BLOCK), BLOCK))
+    rows.ravel()[:n] = b
+    inner, fade = _powers(a)
+    rows = rows @ inner
+    for r in rows:
+        r += fade * y
+        y = r[-1]
+    return rows.ravel()[:n]
+
+
+def faded(p: np.ndarray, c: np.ndarray, y: float) -> np.ndarray:
+    """y[t] = y[t-1] + c[t] (p[t] - y[t-1]), from y before the first; c below 0.5 or so."""
+    out = np.empty(len(p))
+    for k in range(0, len(p), BLOCK // 2):
+        keep = np.cumprod(1 - c[k : k + BLOCK // 2])
+        out[k : k + BLOCK // 2] = keep * (y + np.cumsum(c[k : k + BLOCK // 2] * p[k : k + BLOCK // 2] / keep))
+        y = out[min(len(p), k + BLOCK // 2) - 1]
+    return out
+
+
+class Smooth:
+    """y = a y + gain x, seeded with the sum of the first n values times `seed`; leading NaNs are passed over."""
+
+    def __init__(self, n: int, a: float, gain: float, seed: float) -> None:
+        self.n, self.a, self.gain, self.seed, self.seen, self.y = n, a, gain, seed, 0, 0.0
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        at = np.flatnonzero(~np.isnan(x))
+        v = x[at]
+        if self.seen < self.n:
+            take = min(self.n - self.seen, len(v))
+            self.y, self.seen = self.y + float(v[:take].sum()), self.seen + take
+            if self.seen == self.n and take:
+                self.y *= self.seed
+                out[at[take - 1]] = self.y
+            at, v = at[take:], v[take:]
+        if len(v):
+            out[at] = affine(v * self.gain, self.a, self.y)
+            self.y = float(out[at[-1]])
+        return out
+
+
+def ema(n: int) -> Smooth:
+    return Smooth(n, 1 - 2 / (n + 1), 2 / (n + 1), 1 / n)
+
+
+def wilder(n: int) -> Smooth:
+    return Smooth(n, 1 - 1 / n, 1 / n, 1 / n)
+
+
+class Frame:
+    """The last n values of every row, itself among them; NaN where there are fewer. Leading NaNs count as none."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.k, self.seen, self.sum, self.y = n, 2 / (n + 1), 0, 0.0, None
-
-    def __call__(self, x: float | None) -> float | None:
-        if x is None:
-            return None
-        self.seen += 1
-        if self.seen <= self.n:
-            self.sum += x
-            if self.seen == self.n:
-                self.y = self.sum / self.n
-        else:
-            self.y = x * self.k + self.y * (1 - self.k)
-        return self.y
-
-
-class Rsi:
-    def __init__(self, n: int) -> None:
-        self.n, self.seen, self.gain, self.loss = n, 0, 0.0, 0.0
-
-    def __call__(self, d: float | None) -> float | None:
-        if d is None:
-            return None
-        n, self.seen = self.n, self.seen + 1
-        up, down = max(d, 0.0), max(-d, 0.0)
-        if self.seen <= n:
-            self.gain, self.loss = self.gain + up, self.loss + down
-            if self.seen < n:
-                return None
-            self.gain, self.loss = self.gain / n, self.loss / n
-        else:
-            self.gain, self.loss = (self.gain * (n - 1) + up) / n, (self.loss * (n - 1) + down) / n
-        # A fixed value of the definition followed here: without losses the ratio is 100, not infinite.
-        rs = self.gain / self.loss if self.loss > 1e-12 else 100.0
-        return 100 - 100 / (1 + rs)
+        self.n, self.last = n, np.full(n - 1, np.nan)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        whole = np.concatenate([self.last, x])
+        self.last = whole[len(whole) - self.n + 1 :]
+        return sliding_window_view(whole, self.n)
 
 
 class Instrument:
-    """State of one instrument; step() gives a row's values in the order of FOLDED."""
+    """State of one instrument. `of` gives a named column of the rows at hand, made at most once."""
 
     def __init__(self) -> None:
-        self.emas = [Ema(n) for n in (5, 12, 20, 26, 50, 200)]
-        self.double, self.triple, self.signal, self.force = Ema(20), Ema(20), Ema(9), Ema(13)
-        self.rsis = [Rsi(n) for n in (7, 14, 21)]
-        self.p: deque[float] = deque(maxlen=100)
-        self.tp: deque[float] = deque(maxlen=20)
-        self.dx: deque[float] = deque(maxlen=14)
-        self.h = self.l = self.kama = None
-        self.i = -1
-        self.wilder = [0.0, 0.0, 0.0]
-        self.atr14 = self.atr20 = 0.0
-        self.trend, self.upper, self.lower = 1.0, 0.0, 0.0
-        self.cross = None
-
-    def step(self, p: float, h: float, l: float, v: float) -> list[float | None]:
-        self.i += 1
-        i, past = self.i, self.p
-        c1 = past[-1] if i else None
-        d = p - c1 if i else None
-        tr = max(h - l, abs(h - c1), abs(l - c1)) if i else h - l
-        e5, e12, e20, e26, e50, e200 = (e(p) for e in self.emas)
-        dd = self.double(e20)
-        ddd = self.triple(dd)
-        dema = 2 * e20 - dd if dd is not None else None
-        tema = 3 * e20 - 3 * dd + ddd if ddd is not None else None
-        # Crossings of the 5- and 20-row averages.
-        now = None if e20 is None else (e5, e20)
-        gold = death = None
-        if now and self.cross:
-            gold = float(self.cross[0] <= self.cross[1] and e5 > e20)
-            death = float(self.cross[0] >= self.cross[1] and e5 < e20)
-        self.cross = now
-        line = e12 - e26 if e26 is not None else None
-        signal = self.signal(line)
-        hist = line - signal if signal is not None else None
-        force = self.force(d * v if i else 0.0)
-        rsi = [r(d) for r in self.rsis]
-        # Adaptive average over ten rows.
-        if i == 10:
-            self.kama = p
-        elif i > 10:
-            last = [past[k] for k in range(len(past) - 10, len(past))] + [p]
-            path = sum(abs(b - a) for a, b in zip(last, last[1:], strict=False))
-            ratio = abs(p - last[0]) / path if path > 1e-12 else 0.0
-            self.kama += (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2 * (p - self.kama)
-        # True range averages.
-        atr14 = atr20 = None
-        self.atr14 = self.atr14 + tr / 14 if i < 14 else (self.atr14 * 13 + tr) / 14
-        self.atr20 = self.atr20 + tr / 20 if i < 20 else (self.atr20 * 19 + tr) / 20
-        if i >= 13:
-            atr14 = self.atr14
-        if i >= 19:
-            atr20 = self.atr20
-        # Directional movement.
-        adx = pdi = mdi = None
-        if i:
-            up, down = h - self.h, self.l - l
-            moves = (tr, up if up > down and up > 0 else 0.0, down if down > up and down > 0 else 0.0)
-            keep = 1.0 if i <= 14 else 1 - 1 / 14
-            self.wilder = [s * keep + x for s, x in zip(self.wilder, moves, strict=True)]
-            if i >= 14:
-                s, a, b = self.wilder
-                pdi, mdi = (100 * a / s, 100 * b / s) if s > 0 else (0.0, 0.0)
-                self.dx.append(100 * abs(pdi - mdi) / (pdi + mdi) if pdi + mdi > 0 else 0.0)
-                if len(self.dx) == 14:
-                    adx = sum(self.dx) / 14
-        # Bands that only tighten until the close breaks them.
-        trend = None
-        if atr14 is not None:
-            top, bottom = (h + l) / 2 + 3 * atr14, (h + l) / 2 - 3 * atr14
-            if i == 13:
-                self.upper, self.lower = top, bottom
-            else:
-                self.upper = top if top < self.upper or c1 > self.upper else self.upper
-                self.lower = bottom if bottom > self.lower or c1 < self.lower else self.lower
-            self.trend = 1.0 if p > self.upper else -1.0 if p < self.lower else self.trend
-            trend = self.trend
-        past.append(p)
-        self.tp.append((h + l + p) / 3)
-        self.h, self.l = h, l
-        cci = squeeze = hurst = None
-        keltner = 3 * atr20 / e20 if atr20 is not None and e20 > 1e-12 else None
-        if len(self.tp) == 20:
-            mean = sum(self.tp) / 20
-            spread = sum(abs(x - mean) for x in self.tp) / 20
-            cci = (self.tp[-1] - mean) / (0.015 * spread) if spread > 1e-12 else None
-            last = [past[k] for k in range(len(past) - 20, len(past))]
-            mean = sum(last) / 20
-            sd = math.sqrt(sum((x - mean) ** 2 for x in last) / 20)
-            if keltner is not None and abs(mean) > 1e-12:
-                squeeze = float(4 * sd / mean < keltner)
-        if len(past) == 100:
-            mean = sum(past) / 100
-            at = low = high = None
-            total, sq = 0.0, 0.0
-            for x in past:
-                total += x - mean
-                sq += (x - mean) ** 2
-                low = total if low is None or total < low else low
-                high = total if high is None or total > high else high
-            sd = math.sqrt(sq / 100)
-            if sd > 1e-12 and high > low:
-                hurst = math.log((high - low) / sd) / math.log(100)
-        natr = 100 * atr14 / p if atr14 is not None and p > 1e-12 else None
-        return [e5, e12, e20, e26, e50, e200, dema, tema, self.kama, gold, death, adx, pdi, mdi, trend, *rsi, line, signal, hist, cci, keltner, atr14, natr, squeeze, force, hurst]
+        self.kept: dict[str, object] = {}
+
+    def run(self, names: tuple[str, ...], **inputs: np.ndarray) -> list[np.ndarray]:
+        self.now = dict(inputs)
+        with np.errstate(all="ignore"):
+            return [self.of(n) for n in names]
+
+    def of(self, name: str) -> np.ndarray:
+        if name not in self.now:
+            self.now[name] = RULES[name](self)
+        return self.now[name]
+
+    def by(self, key: str, make: Callable[[], Callable], name: str) -> np.ndarray:
+        """What the kept operator `key` makes of a column."""
+        if key not in self.kept:
+            self.kept[key] = make()
+        return self.kept[key](self.of(name))
+
+    def before(self, name: str) -> np.ndarray:
+        """A column's values one row earlier."""
+        return self.by(f"before {name}", lambda: Frame(2), name)[:, 0]
+
+
+def _tr(s: Instrument) -> np.ndarray:
+    h, l, c = s.of("h"), s.of("l"), s.of("before p")
+    return np.where(np.isnan(c), h - l, np.maximum(h - l, np.maximum(np.abs(h - c), np.abs(l - c))))
+
+
+def _cross(s: Instrument, sign: int) -> np.ndarray:
+    now, was = sign * (s.of("ema_5") - s.of("ema_20")), sign * s.of("before gap")
+    return np.where(np.isnan(now) | np.isnan(was), np.nan, (was <= 0) & (now > 0))
+
+
+def _rsi(n: int) -> Callable[[Instrument], np.ndarray]:
+    def rule(s: Instrument) -> np.ndarray:
+        gain, loss = s.by(f"gain {n}", lambda: wilder(n), "up"), s.by(f"loss {n}", lambda: wilder(n), "down")
+        # A fixed value of the definition followed here: without losses the ratio is 100, not infinite.
+        return 100 - 100 / (1 + np.where(np.isnan(gain), np.nan, np.where(loss > 1e-12, gain / loss, 100.0)))
+
+    return rule
+
+
+def _kama(s: Instrument) -> np.ndarray:
+    w, p = s.by("kama frame", lambda: Frame(11), "p"), s.of("p")
+    path = np.abs(np.diff(w, axis=1)).sum(axis=1)
+    ratio = np.where(path > 1e-12, np.abs(w[:, -1] - w[:, 0]) / path, 0.0)
+    c = (ratio * (2 / 3 - 2 / 31) + 2 / 31) ** 2
+    out = np.full(len(p), np.nan)
+    at = np.flatnonzero(~np.isnan(w[:, 0]))
+    if len(at):
+        y = s.kept.get("kama")
+        if y is None:  # starts at the price itself
+            out[at[0]] = y = p[at[0]]
+            at = at[1:]
+        if len(at):
+            out[at] = faded(p[at], c[at], y)
+            y = out[at[-1]]
+        s.kept["kama"] = y
+    return out
+
+
+def _di(way: str) -> Callable[[Instrument], np.ndarray]:
+    def rule(s: Instrument) -> np.ndarray:
+        total, moves = s.of("moved tr"), s.of(f"moved {way}")
+        return np.where(np.isnan(total), np.nan, np.where(total > 0, 100 * moves / total, 0.0))
+
+    return rule
+
+
+def _moved(name: str) -> Callable[[Instrument], np.ndarray]:
+    return lambda s: s.by(f"sum {name}", lambda: Smooth(14, 1 - 1 / 14, 1.0, 1.0), name)
+
+
+def _dx(s: Instrument) -> np.ndarray:
+    p, m = s.of("pdi_14"), s.of("mdi_14")
+    return np.where(p + m > 0, 100 * np.abs(p - m) / (p + m), np.where(np.isnan(p), np.nan, 0.0))
+
+
+def _supertrend(s: Instrument) -> np.ndarray:
+    """Bands that only tighten until the close breaks them: a rule of each row's own, so row by row."""
+    p, c, atr, mid = s.of("p"), s.of("before p"), s.of("atr_14"), (s.of("h") + s.of("l")) / 2
+    out = np.full(len(p), np.nan)
+    upper, lower, trend = s.kept.get("bands", (None, None, 1.0))
+    for i in np.flatnonzero(~np.isnan(atr)):
+        top, bottom = mid[i] + 3 * atr[i], mid[i] - 3 * atr[i]
+        upper = top if upper is None or top < upper or c[i] > upper else upper
+        lower = bottom if lower is None or bottom > lower or c[i] < lower else lower
+        trend = 1.0 if p[i] > upper else -1.0 if p[i] < lower else trend
+        out[i] = trend
+    s.kept["bands"] = (upper, lower, trend)
+    return out
+
+
+def _cci(s: Instrument) -> np.ndarray:
+    w = s.by("cci frame", lambda: Frame(20), "typical")
+    mean = w.mean(axis=1)
+    spread = np.abs(w - mean[:, None]).mean(axis=1)
+    return np.where(spread > 1e-12, (s.of("typical") - mean) / (0.015 * spread), np.nan)
+
+
+def _squeeze(s: Instrument) -> np.ndarray:
+    w, k = s.by("squeeze frame", lambda: Frame(20), "p"), s.of("keltner_width_20")
+    mean, sd = w.mean(axis=1), w.std(axis=1)
+    return np.where(np.isnan(k) | ~(np.abs(mean) > 1e-12), np.nan, 4 * sd / mean < k)
+
+
+def _hurst(s: Instrument) -> np.ndarray:
+    w = s.by("hurst frame", lambda: Frame(100), "p")
+    out = np.full(len(w), np.nan)
+    for k in range(0, len(w), 1024):
+        off = w[k : k + 1024] - w[k : k + 1024].mean(axis=1, keepdims=True)
+        sums, sd = off.cumsum(axis=1), np.sqrt((off * off).mean(axis=1))
+        reach = sums.max(axis=1) - sums.min(axis=1)
+        out[k : k + 1024] = np.where((sd > 1e-12) & (reach > 0), np.log(reach / sd) / np.log(100), np.nan)
+    return out
+
+
+def _after_first(name: str, value: Callable[[Instrument], np.ndarray]) -> Callable[[Instrument], np.ndarray]:
+    """A column that an instrument's first row has not."""
+    return lambda s: np.where(np.isnan(s.of("before p")), np.nan, value(s))
+
+
+RULES: dict[str, Callable[[Instrument], np.ndarray]] = {
+    **{f"before {c}": (lambda c: lambda s: s.before(c))(c) for c in ("p", "h", "l", "gap")},
+    "change": lambda s: s.of("p") - s.of("before p"),
+    "up": lambda s: np.maximum(s.of("change"), 0.0),
+    "down": lambda s: np.maximum(-s.of("change"), 0.0),
+    "gap": lambda s: s.of("ema_5") - s.of("ema_20"),
+    "tr": _tr,
+    "tr2": _after_first("tr2", lambda s: s.of("tr")),
+    "rise": _after_first("rise", lambda s: np.where((s.of("h") - s.of("before h") > s.of("before l") - s.of("l")) & (s.of("h") > s.of("before h")), s.of("h") - s.of("before h"), 0.0)),
+    "fall": _after_first("fall", lambda s: np.where((s.of("before l") - s.of("l") > s.of("h") - s.of("before h")) & (s.of("before l") > s.of("l")), s.of("before l") - s.of("l"), 0.0)),
+    "moved tr": _moved("tr2"), "moved rise": _moved("rise"), "moved fall": _moved("fall"),
+    "dx": _dx,
+    "force": lambda s: np.where(np.isnan(s.of("before p")), 0.0, s.of("change") * s.of("v")),
+    "typical": lambda s: (s.of("h") + s.of("l") + s.of("p")) / 3,
+    "double": lambda s: s.by("double", lambda: ema(20), "ema_20"),
+    "triple": lambda s: s.by("triple", lambda: ema(20), "double"),
+    "atr_20": lambda s: s.by("atr_20", lambda: wilder(20), "tr"),
+    **{f"ema_{n}": (lambda n: lambda s: s.by(f"ema_{n}", lambda: ema(n), "p"))(n) for n in (5, 12, 20, 26, 50, 200)},
+    "dema_20": lambda s: 2 * s.of("ema_20") - s.of("double"),
+    "tema_20": lambda s: 3 * s.of("ema_20") - 3 * s.of("double") + s.of("triple"),
+    "kama_10": _kama,
+    "golden_cross": lambda s: _cross(s, 1),
+    "death_cross": lambda s: _cross(s, -1),
+    "adx_14": lambda s: s.by("adx frame", lambda: Frame(14), "dx").mean(axis=1),
+    "pdi_14": _di("rise"),
+    "mdi_14": _di("fall"),
+    "supertrend_14": _supertrend,
+    **{f"rsi_{n}": _rsi(n) for n in (7, 14, 21)},
+    "macd_line": lambda s: s.of("ema_12") - s.of("ema_26"),
+    "macd_signal": lambda s: s.by("macd_signal", lambda: ema(9), "macd_line"),
+    "macd_hist": lambda s: s.of("macd_line") - s.of("macd_signal"),
+    "cci_20": _cci,
+    "keltner_width_20": lambda s: np.where(s.of("ema_20") > 1e-12, 3 * s.of("atr_20") / s.of("ema_20"), np.nan),
+    "atr_14": lambda s: s.by("atr_14", lambda: wilder(14), "tr"),
+    "natr_14": lambda s: np.where(s.of("p") > 1e-12, 100 * s.of("atr_14") / s.of("p"), np.nan),
+    "squeeze_signal": _squeeze,
+    "force_index_13": lambda s: s.by("force_index", lambda: ema(13), "force"),
+    "hurst_100": _hurst,
+}
 
 
 def folded(bars: DataFrame, names: tuple[str, ...], partitions: int | None = None) -> DataFrame:
     """symbol, ts_us, seq and the named fold indicators, for every row of bars."""
-    from lobspark.functions.indicators import FOLDED
-
-    at = [FOLDED.index(n) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, state = None, None
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in (0, 3, 4, 5, 6)), strict=True)
-            out = []
-            for s, p, h, l, v in rows:
-                if state is None or s != symbol:
-                    symbol, state = s, Instrument()
-                out.append([None] * 28 if None in (p, h, l, v) else state.step(p, h, l, v))
-            cols = [pa.array([r[i] for r in out], pa.float64()) for i in at]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["symbol", "ts_us", "seq", *names])
+            s = b.column(0).to_pandas().to_numpy()
+            cols = {c: b.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(INPUTS) if i >= 3}  # null as NaN
+            out = np.full((len(names), len(s)), np.nan)
+            cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1), len(s)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a < z:
+                    if state is None or s[a] != symbol:
+                        symbol, state = s[a], Instrument()
+                    at = a + np.flatnonzero(~np.isnan(sum(c[a:z] for c in cols.values())))
+                    if len(at):
+                        out[:, at] = state.run(names, **{n: c[at] for n, c in cols.items()})
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, pa.float64(), from_pandas=True) for x in out)], ["symbol", "ts_us", "seq", *names])
 
     base = bars.select(*INPUTS)
     dealt = base.repartition(partitions, "symbol") if partitions else base.repartition("symbol")
