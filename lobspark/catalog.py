@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
-from lobspark.operators import backtest, book, features, simulate, stats
+from lobspark.operators import backtest, book, features, signals, simulate, stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.folds import folded
 from lobspark.plans import recorded, report, views
@@ -143,6 +143,16 @@ _oracle("hurst_100", [
 ], "case when sd > 1e-12 and r > 0 then ln(r / sd) / ln(100) end", ["rs"])
 
 
+_oracle("supertrend_14", [
+    _wilder(14, "a", "@tr"),
+    "x as (select symbol, rn, p, p1, (h + l) / 2 + 3 * a as top, (h + l) / 2 - 3 * a as bottom from b join a using (symbol, rn))",
+    "bands as (select symbol, rn, p, top as u, bottom as w from x where rn = 14 union all select x.symbol, x.rn, x.p, case when x.top < bands.u or x.p1 > bands.u then x.top else bands.u end, "
+    "case when x.bottom > bands.w or x.p1 < bands.w then x.bottom else bands.w end from bands join x on x.symbol = bands.symbol and x.rn = bands.rn + 1)",
+    "st as (select symbol, rn, coalesce(last_value(case when p > u then 1.0 when p < w then -1.0 end ignore nulls) over (partition by symbol order by rn), 1.0)::double as trend from bands)",
+], "trend", ["st"])
+ORACLE_SQL["ind_supertrend_14"] = ORACLE_SQL["ind_supertrend_14"].replace("with b0", "with recursive b0", 1)
+
+
 # --- Labels and information coefficients ------------------------------------------------------------
 
 #: Rows of one instrument lie minutes apart in the test tables; horizons are stretched to match.
@@ -312,12 +322,47 @@ _stat("stat_ljung_box", lambda d: stats.ljung_box(d, ["symbol"], ["ts_us", "seq"
 _stat("stat_vif", lambda d: stats.vif(d, ["symbol"], ["ofi_1", "spread"]), ", c as (select symbol, 1 / (1 - pow(corr(ofi_1, spread), 2)) as v from ft where ofi_1 is not null group by symbol) select symbol, unnest(['ofi_1', 'spread']) as feature, round(v, 6) as vif from c")
 
 
-def _decay(d: DataFrame) -> DataFrame:
-    ic = stats.ic_table(d, ["symbol"], ["ofi_1"], [f"r_{h}" for h in HORIZONS]).withColumn("tau", F.regexp_extract("horizon", "([0-9]+)", 1).cast("double"))
-    return stats.ic_decay(ic, ["symbol"])
+def _ic_points(d: DataFrame) -> DataFrame:
+    return stats.ic_table(d, ["symbol"], ["ofi_1"], [f"r_{h}" for h in HORIZONS]).withColumn("tau", F.regexp_extract("horizon", "([0-9]+)", 1).cast("double"))
 
 
-_stat("stat_ic_decay", _decay)
+def _decay(d: DataFrame) -> DataFrame:
+    return stats.ic_decay(_ic_points(d), ["symbol"])
+
+
+_POINTS = f"""rr as (select * from ({" union all ".join(f"select symbol, '{h}' as h, {us / 1e6} as tau, round(ofi_1, 9) as x, round(r_{h}, 9) as y from ft" for h, us in HORIZONS.items())}) where x is not null and y is not null),
+rk as (select symbol, tau, {_RANKS.format(k='symbol, tau', x='x')} as rx, {_RANKS.format(k='symbol, tau', x='y')} as ry from rr),
+ic as (select symbol, tau, case when count(*) >= 10 and var_pop(rx) * var_pop(ry) > 0 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end as ic from rk group by symbol, tau)"""
+_GRID = """g as (select symbol, i.range * 0.5 as s, count(*) as n, var_pop(exp(-tau / (i.range * 0.5))) as vx, var_pop(ic) as vy, covar_pop(exp(-tau / (i.range * 0.5)), ic) as c, avg(exp(-tau / (i.range * 0.5))) as mx, avg(ic) as my
+from ic join range(1, 1201) i on true where ic is not null group by symbol, i.range),
+f as (select *, c * c / (vx * vy) as r2 from g where n >= 3 and vx > 1e-24 and vy > 0),
+fit as (select symbol, arg_max(struct_pack(s := s, c := c, vx := vx, mx := mx, my := my, r2 := r2), (r2, -s)) as b from f group by symbol)"""
+_stat("stat_ic_decay", _decay, f", {_POINTS}, {_GRID} select symbol, round(b.c / b.vx, 6) + 0.0 as a, round(b.s, 6)::double as tau_star, round(b.my - b.c / b.vx * b.mx, 6) + 0.0 as offset, round(b.r2, 6) as r2 from fit")
+_stat("stat_halflife", lambda d: signals.halflife(_ic_points(d), ["symbol"], 0.5), f", {_POINTS}, {_GRID} select symbol, any_value(case when b.r2 >= 0.5 then round(b.s, 6)::double end) as tau_star from (select distinct symbol from ic) left join fit using (symbol) group by symbol")
+_WF = ", fp as (select *, row_number() over (partition by symbol order by ts_us, seq) - 1 - 500 as i, count(*) over (partition by symbol) - 500 as n from ft), wn as (select *, (i // 250)::int as step from fp where i >= 0 and (i // 250 + 1) * 250 <= n)"
+_stat("stat_walk_forward_ic", lambda d: signals.walk_forward_ic(d, ["symbol"], ["ofi_1", "queue_imb"], "r_300s", 500, 250),
+      f"{_WF}, wl as (select symbol, step, 'ofi_1' as feature, ofi_1 as x, r_300s from wn union all select symbol, step, 'queue_imb', queue_imb, r_300s from wn), wi as (with {_spearman_sql('wl', 'symbol, step, feature', 'x', 'r_300s', _IC)}) select * from wi where ic is not null")
+
+_SIGNALS = ["ofi_1", "queue_imb"]
+
+
+def _signal(d: DataFrame) -> DataFrame:
+    """A signal of two features per instrument, smoothed, and the positions it asks for."""
+    fit = signals.weights(d, ["symbol"], _SIGNALS, "r_300s")
+    rows = signals.combined(d.select("symbol", "ts_us", "seq", *_SIGNALS), fit, ["symbol"], _SIGNALS, 50)
+    rows = signals.positions(signals.decayed(rows, ["symbol"], "signal", 30.0, 10.0), ["symbol"], "filtered", 1.0)
+    return rows.select("symbol", "ts_us", "seq", "signal", "filtered", "position")
+
+
+_Z = "case when {x} is not null and count({x}) over w{i} = 50 then case when stddev_pop({x}) over w{i} < 2.2e-16 then 0 else ({x} - avg({x}) over w{i}) / stddev_pop({x}) over w{i} end else 0 end"
+_WINDOWS = ", ".join(f"w{i} as (partition by symbol, {x} is not null order by ts_us, seq rows between 49 preceding and current row)" for i, x in enumerate(_SIGNALS))
+_stat("signal", _signal, f"""{', '.join(['', 'm as (select symbol, avg(r_300s) as my, avg(ofi_1) as m1, avg(queue_imb) as m2, covar_pop(ofi_1, ofi_1) as c11, covar_pop(ofi_1, queue_imb) as c12, covar_pop(queue_imb, queue_imb) as c22, covar_pop(ofi_1, r_300s) as c1, covar_pop(queue_imb, r_300s) as c2 from ft where ofi_1 is not null and queue_imb is not null and r_300s is not null group by symbol)'])},
+bt as (select symbol, (c1 * c22 - c2 * c12) / (c11 * c22 - c12 * c12) as b1, (c2 * c11 - c1 * c12) / (c11 * c22 - c12 * c12) as b2, my, m1, m2 from m),
+we as (select symbol, b1 / (abs(my - b1 * m1 - b2 * m2) + abs(b1) + abs(b2)) as w1, b2 / (abs(my - b1 * m1 - b2 * m2) + abs(b1) + abs(b2)) as w2 from bt),
+z as (select ft.symbol, ts_us, seq, row_number() over (partition by ft.symbol order by ts_us, seq) as rn, {_Z.format(x='ofi_1', i=0)} as z1, {_Z.format(x='queue_imb', i=1)} as z2 from ft window {_WINDOWS.replace('partition by symbol', 'partition by ft.symbol')}),
+sg as (select z.*, w1 * z1 + w2 * z2 as signal from z join we using (symbol)),
+fl as (select t.symbol, t.rn, sum(case when j.rn = 1 then j.signal else (1 - exp(-10.0::double / 30)) * j.signal end * exp(-10.0::double / 30 * (t.rn - j.rn))) as filtered from sg t join sg j on j.symbol = t.symbol and j.rn <= t.rn and j.rn > t.rn - 400 group by t.symbol, t.rn)
+select symbol, ts_us, seq, round(signal, 6) + 0.0 as signal, round(filtered, 6) + 0.0 as filtered, (case when filtered > stddev_pop(filtered) over (partition by symbol) then 1 when filtered < -stddev_pop(filtered) over (partition by symbol) then -1 else 0 end)::int as position from sg join fl using (symbol, rn)""")
 
 
 # --- Backtests --------------------------------------------------------------------------------------
