@@ -147,60 +147,79 @@ def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: i
 
 
 def routed(rows: DataFrame, old: int, new: int, bits: int, half: int) -> DataFrame:
-    """rows (route, used, node, fp) of routes by `old` leading bits, dealt by `new` ones; used: bits flipped so far."""
+    """rows (route, node, fp, mark) of routes by `old` leading bits, dealt by `new` ones. A route is its table and
+    the leading bits of the variants that meet there."""
     masks = flips(new - old, half)
     costs = np.bitwise_count(masks).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            route, used, node = (b.column(i).to_numpy() for i in range(3))
-            fp = b.column(3).to_numpy().view(np.uint64)
+            route, node, mark = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            fp = b.column(2).to_numpy().view(np.uint64)
+            used = spent(route, fp, old, bits)
             own = (fp >> np.uint64(bits - new)) & np.uint64((1 << (new - old)) - 1)
             for m, c in zip(masks, costs, strict=True):
                 at = np.flatnonzero(used + c <= half)
                 if len(at):
                     to = route[at] << (new - old) | (own[at] ^ m).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(used[at] + c), pa.array(node[at]), pa.array(fp[at].view(np.int64))], ["route", "used", "node", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(node[at]), pa.array(fp[at].view(np.int64)), mark.take(pa.array(at))], ["route", "node", "fp", "mark"])
 
-    return in_batches(rows.select("route", "used", "node", "fp"), run, "route long, used long, node long, fp long", 1 << 14)
+    return in_batches(rows.select("route", "node", "fp", "mark"), run, "route long, node long, fp long, mark long", 1 << 14)
 
 
-def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int = BITS, forest: bool = True) -> DataFrame:
+def spent(route: np.ndarray, fp: np.ndarray, level: int, bits: int) -> np.ndarray:
+    """The bits that a route of `level` leading bits flips of each fingerprint."""
+    head = route.view(np.uint64) & np.uint64((1 << level) - 1)
+    return np.bitwise_count((fp >> np.uint64(bits - level) if level else np.zeros_like(fp)) ^ head).astype(np.int64)
+
+
+def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int = BITS, tables: int = 1, out: str = "forest") -> DataFrame:
     """(u, v): links between the nodes of reps (node, fp, and table if there are several), a table's fp all
-    different, that hold each group of fingerprints together that chains of at most `radius` differing bits
-    connect. Without forest all star links, not only as many as connect."""
+    different, of star links between fingerprints that meet on a variant: as a forest, those that hold each group
+    together that chains of at most `radius` differing bits connect; as `first`, each node's link to the smallest
+    node that it met on a route; as `across`, all between nodes whose `mark` in reps differs."""
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
     table = F.col("table").cast("long") if "table" in reps.columns else F.lit(0).cast("long")
-    lead = route_bits(reps.count(), half) if lead is None else lead
+    mark = F.col("mark") if "mark" in reps.columns else F.lit(None).cast("long")
+    lead = route_bits(-(-reps.count() // tables), half) if lead is None else lead
 
     def meet(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
         def run(key: tuple, t: pa.Table) -> pa.Table:
-            used, node, fp = (t.column(c).to_numpy() for c in ("used", "node", "fp"))
+            t = t.sort_by("node")
+            route, node, fp = (t.column(c).to_numpy() for c in ("route", "node", "fp"))
             fp = fp.view(np.uint64)
-            u, v = met(fp & np.uint64((1 << (bits - level)) - 1), half - used, bits - level, half)
+            u, v = met(fp & np.uint64((1 << (bits - level)) - 1), half - spent(route, fp, level, bits), bits - level, half)
             near = np.bitwise_count(fp[u] ^ fp[v]) <= radius
-            if forest:
-                lab = labels(len(fp), u[near], v[near])
+            u, v = u[near], v[near]
+            if out == "forest":
+                lab = labels(len(fp), u, v)
                 u = np.flatnonzero(lab != np.arange(len(fp)))
                 v = lab[u]
+            elif out == "first":
+                first = np.arange(len(fp))
+                np.minimum.at(first, np.maximum(u, v), np.minimum(u, v))
+                u = np.flatnonzero(first != np.arange(len(fp)))
+                v = first[u]
             else:
-                u, v = np.unique(np.stack([u[near], v[near]]), axis=1)
+                marks = t.column("mark").to_numpy()
+                apart = marks[u] != marks[v]
+                u, v = np.unique(np.stack([u[apart], v[apart]]), axis=1)
             return pa.table({"u": node[u], "v": node[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
         return run
 
-    rows, level, out = routed(reps.select(table.alias("route"), F.lit(0).cast("long").alias("used"), "node", "fp"), 0, lead, bits, half), lead, None
+    rows, level, found = routed(reps.select(table.alias("route"), "node", "fp", mark.alias("mark")), 0, lead, bits, half), lead, None
     while True:
         full = rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * ROUTE_ROWS).select("route")
         full = settled(full) if level < min(bits, MOST_LEAD) else None
         more = full is not None and not full.isEmpty()
         here = joined_small(rows, full, ["route"], "left_anti") if more else rows
-        found = here.groupBy("route").applyInArrow(meet(level), "u long, v long")
-        out = found if out is None else out.unionByName(found)
+        here = here.groupBy("route").applyInArrow(meet(level), "u long, v long")
+        found = here if found is None else found.unionByName(here)
         if not more:
-            return out
+            return found
         step = min(level + SPLIT, bits, MOST_LEAD)
         rows, level = settled(routed(joined_small(rows, full, ["route"], "left_semi"), level, step, bits, half)), step
 
