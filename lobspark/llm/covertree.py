@@ -15,8 +15,9 @@ a large group of copies makes neither pairs nor rows.
 
 Distances are chords between unit vectors; bounds leave a margin of 1e-6, so that rounding never decides.
 Null vectors, zero vectors, vectors with null or non-finite components and rows without a label link with
-nothing and stay as their own components. A repeated vec_id is one more row that links like any other;
-its rows share a component. An empty table gives an empty result; other columns are ignored.
+nothing and stay as their own components. A repeated vec_id is one more vector that links like any other, and
+links are counted by rows; a row without a vec_id links too, but names a component only if no other row of it has an
+id (then component_id and kept are null). An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -289,13 +290,16 @@ def linked(units: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Data
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every vector."""
-    units = settled(prepared(vectors))
-    found = settled(linked(units.withColumnRenamed("vec_id", "row"), cosine, block))
-    links = found.groupBy(F.col("row").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    comps = min_components(found.select(F.col("row").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "vec_id")
-    out = units.select("vec_id").join(links, "vec_id", "left").join(comps, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    # Rows are told apart by a number of their own, checkpointed with them, as ids may be null or repeated.
+    units = settled(prepared(vectors).withColumn("row", F.monotonically_increasing_id()))
+    found = settled(linked(units, cosine, block))
+    links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
+    comps = min_components(found.select(F.col("row").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "row")
+    out = units.select("row", "vec_id").join(links, "row", "left").join(comps, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    # A component's name is its smallest id; its rows are counted apart from it, so that AQE may split a large one.
+    least = out.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    named = out.join(least, "component")
+    return named.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def digest(vectors: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ without payload, which refer to the record with the smallest id.
 
 Every row gives one record. Null or empty html is an empty payload, null urls leave out their header.
 Rows that repeat the smallest id with the same payload are all responses. Record identifiers are page ids;
-a repeated id has several index rows. Further columns are ignored. Bundles of failed attempts carry other
+a repeated id has several index rows, a null one stays null and is always a response that no revisit refers to.
+Further columns are ignored. Frames may be of any size. Bundles of failed attempts carry other
 names and are in no index.
 """
 
@@ -37,7 +38,7 @@ BUNDLE_BYTES = 1 << 28
 DATE = "2024-01-01T00:00:00Z"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """One record. Revisits keep the size of the payload that they leave out."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     body = http + payload if refers_to is None else http
@@ -50,6 +51,8 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, size: int
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(body)}",
     ]
+    if page_id is None:
+        head[2] = "WARC-Record-ID: <urn:page:>"
     if url is not None:
         head.insert(4, "WARC-Target-URI: " + "".join("%%%02X" % ord(c) if c < "!" else c for c in url))
     if refers_to is not None:
@@ -122,7 +125,7 @@ def frame(file, entry: tuple[int, int, int]) -> bytes:
 def read_record(bundle: str, frame_offset: int, frame_bytes: int, offset: int) -> tuple[dict[str, str], bytes]:
     """One record by its index entry."""
     with opened(bundle) as file:
-        data = zstandard.ZstdDecompressor().decompress(file.read_at(frame_bytes, frame_offset), max_output_size=1 << 31)
+        data = zstandard.ZstdDecompressor().decompress(file.read_at(frame_bytes, frame_offset))  # a frame says its size
     return parsed(data, offset)[:2]
 
 
@@ -178,7 +181,7 @@ def read(index: DataFrame) -> DataFrame:
                         yield decoded(frame(file, entry))
 
     def number(urn: str | None) -> int | None:
-        return int(urn[10:-1]) if urn else None
+        return int(urn[10:-1]) if urn and urn != "<urn:page:>" else None
 
     def decoded(data: bytes) -> pa.RecordBatch:
         rows, at = [], 0

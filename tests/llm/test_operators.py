@@ -492,3 +492,96 @@ def test_oracles(spark, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(str, (tuple(r[c] for c in names) for r in df.collect()))) == sorted(map(str, cur.fetchall()))
+
+
+# --- More rows than ids, batches, keys ------------------------------------------------------------------
+
+def test_vectors_with_repeated_and_null_ids(spark):
+    v, w, z = [1.0] * 8, [1.0] * 7 + [1.1], [0.0] * 7 + [1.0]
+    data = [(5, "a", v), (5, "a", v), (7, "a", w), (9, "a", z), (None, "a", v), (None, "b", v), (None, "b", v)]
+    got = covertree.digest(spark.createDataFrame(data, "vec_id long, label string, embedding array<float>")).collect()
+    want = [(5, 3, 5, True), (5, 3, 5, True), (7, 3, 5, False), (9, 0, 9, True), (None, 3, 5, None), (None, 1, None, None), (None, 1, None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_archives_with_null_ids(spark):
+    same = "x" * 200
+    df = spark.createDataFrame([(None, "u", same), (None, None, same), (3, "u", same), (4, "u", same), (None, "u", None)], "page_id long, url string, html string")
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(df).collect())
+    assert got == [("3", 200, "response", None), ("4", 200, "revisit", 3), ("None", 0, "response", None), ("None", 200, "response", None), ("None", 200, "response", None)]
+
+
+def test_batches_are_written(spark):
+    texts = ["a b c", None, "", "one two three four five six seven", "x " * 25, "x " * 25, "b"]
+    for options, cut in (({}, lambda t: WORD.findall(t or "")), ({"vocabulary": tokens.RANKS}, None)):
+        if cut is None:
+            with open(tokens.RANKS, "rb") as file:
+                encode = tokens.encoder(file.read())[0]
+            cut = lambda t, encode=encode: encode(t or "").tolist()
+        df = frame(spark, texts)
+        got = packing.batched(df.union(df), fresh_dir(spark, "batches"), max_len=10, buckets=3, budget=20, **options).collect()
+        back = Counter()
+        for r in got:
+            assert len(r.tokens) * r.bucket_len <= 20 and all(len(t) == r.bucket_len for t in r.tokens)
+            for i, p, n, t in zip(r.ids, r.pieces, r.lengths, r.tokens, strict=True):
+                assert t[:n] == cut(texts[i])[10 * p : 10 * p + n] and t[n:] == [None] * (r.bucket_len - n)
+                back[i] += n
+        assert back == Counter({i: 2 * len(cut(t)) for i, t in enumerate(texts) if cut(t)})
+
+
+def test_keys_are_found_wherever_they_are(spark):
+    """Random keys of every encoding, one to a document or sixty in one, among names that only look like them."""
+    rng = random.Random(11)
+    letters = string.ascii_letters + string.digits
+    names = [f"{rng.choice(WORDS)}{rng.choice(WORDS).title()}{rng.choice(WORDS).title()}{rng.choice(WORDS).title()}{rng.randrange(99)}" for _ in range(300)]
+    keys = ["".join(rng.choices(letters, k=32)) for _ in range(60)]
+    texts = [*(f"see {n} there" for n in names), " ".join(keys), *(f"key={k};" for k in keys), None, ""]
+    got = rows(secrets.scan(frame(spark, texts)))
+    found = [sum(s.kind == "random" for s in got[i].secrets) for i in range(len(texts))]
+    assert sum(found[:300]) <= 6 and found[300] >= 52 and sum(found[301:361]) >= 52
+    for i in range(301, 361):
+        assert all(texts[i][s.s : s.e] == keys[i - 301] for s in got[i].secrets)
+
+
+WORDS = "account order price index table window server client handler report house river winter street garden letter".split()
+
+
+@pytest.mark.parametrize("name", ["secrets", "pii", "quality", "packing", "mixing", "tokens"])
+def test_nothing_and_repeated_rows(spark, name):
+    run = {"secrets": secrets.digest, "pii": pii.digest, "quality": quality.digest, "packing": packing.digest, "mixing": mixing.digest, "tokens": tokens.digest}[name]
+    df = frame(spark, ["a b c d e f", "token = abcdefgh12", None, "x" * 40_000])
+    assert run(df.where("false")).count() == 0
+    once = run(df).collect()
+    twice = run(df.union(df)).collect()
+    if name in ("secrets", "pii", "quality"):
+        assert sorted(map(str, twice)) == sorted(map(str, once + once))
+    else:
+        assert len(twice) >= len(once)
+
+
+def test_statistics_of_the_battery(spark):
+    """The battery's p-value against its definition, in plain Python."""
+    rng = random.Random(5)
+    cases = ["".join(rng.choices(string.ascii_letters + string.digits, k=n)) for n in (16, 20, 33, 64)] + ["AAAAAAAAAAAAAAAA1", "abababababababab12", "getUserNameById1234"]
+
+    def tail(z):
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+    def slow(t):
+        abc = next(a for a in secrets.ALPHABETS.values() if set(t) <= set(a))
+        n, k, idx = len(t), len(abc), [abc.index(c) for c in t]
+        pairs = sum(c * (c - 1) for c in Counter(t).values())
+        z1 = (k * pairs / n + k - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
+        high = [2 * i >= k for i in idx]
+        runs, h = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False)), sum(high)
+        rm = 1 + 2 * h * (n - h) / n
+        z2 = 40 if rm <= 2 else abs(runs - rm) / math.sqrt((rm - 1) * (rm - 2) / (n - 1))
+        mean = sum(idx) / n
+        var, cov = sum((i - mean) ** 2 for i in idx), sum((a - mean) * (b - mean) for a, b in zip(idx, idx[1:], strict=False))
+        z3 = 40 if var <= 0 else abs(cov / var + 1 / n) * math.sqrt(n)
+        x = -sum(math.log(max(p, 1e-300)) for p in (tail(z1), min(1, 2 * tail(z2)), min(1, 2 * tail(z3))))
+        return math.exp(-x) * (1 + x + x * x / 2)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i long, t string").selectExpr("i", f"{secrets.battery('array(struct(0 as s, length(t) as e, t as t))')}[0].p_random as p")
+    for r in df.collect():
+        assert r.p == pytest.approx(slow(cases[r.i]), rel=1e-3, abs=1e-12)
