@@ -382,7 +382,7 @@ _SECTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "decay": lambda f: report.decay_section(report.ic_section(f, _FEATURES, _RETURNS)),
     "adf": lambda f: report.adf_section(f, _FEATURES),
     "vif": lambda f: report.vif_section(f, _FEATURES),
-    "ljung_box": lambda f: report.ljung_box_section(f, ["ofi_1", "queue_imb"]),
+    "ljung_box": lambda f: report.ljung_box_section(f, _FEATURES),
     "regimes": report.regime_section,
     "partial_r2": report.partial_r2,
     "sign_accuracy": report.sign_accuracy,
@@ -393,4 +393,34 @@ for _name, _section in _SECTIONS.items():
 ORACLE_SQL["report_summary"] = f"{_FT} select symbol, count(*) as n, min(ts_us) as first_ts, max(ts_us) as last_ts from ft group by symbol"
 ORACLE_SQL["report_sign_accuracy"] = f"{_FT} select symbol, round(avg((sign(microprice_dev) = sign(r_1s))::int), 6) as sign_accuracy from ft where microprice_dev <> 0 and r_1s <> 0 group by symbol"
 ORACLE_SQL["report_regimes"] = ORACLE_SQL["stat_regime_ic"]
+
+# queue_imb says the same as depth_imb, so the regressions leave it out.
+_CHOSEN = [c for c in _FEATURES if c != "queue_imb"]
+
+
+def _orthogonal(xs: list[str], y: str, out: str) -> str:
+    """CTEs that take from y and from each x, in turn, what the x before it explain; the last is `out`."""
+    ctes = [f"{out}_0 as (select symbol, ts_us, seq, {', '.join(f'{c} - avg({c}) over (partition by symbol) as {c}' for c in [*xs, y])} from whole)"]
+    for i, x in enumerate(xs):
+        later = [*xs[i + 1 :], y]
+        ctes.append(f"{out}_{i + 1} as (select symbol, ts_us, seq, {', '.join(f'{c} - {x} * sum({c} * {x}) over (partition by symbol) / sum({x} * {x}) over (partition by symbol) as {c}' for c in later)} from {out}_{i})")
+    return ", ".join([*ctes, f"{out} as (select symbol, ts_us, seq, {y} as e from {out}_{len(xs)})"])
+
+
+_WHOLE = f", whole as (select symbol, ts_us, seq, r_300s, {', '.join(_CHOSEN)} from ft where {' and '.join(f'{c} is not null' for c in [*_CHOSEN, 'r_300s'])})"
+_VIF = [f"select w.symbol, '{x}' as feature, var_pop(w.{x}) / var_pop(v{i}.e) as vif from whole w join v{i} using (symbol, ts_us, seq) group by w.symbol" for i, x in enumerate(_CHOSEN)]
+ORACLE_SQL["report_vif"] = f"{_FT}{_WHOLE}, {', '.join(_orthogonal([c for c in _CHOSEN if c != x], x, f'v{i}') for i, x in enumerate(_CHOSEN))} select symbol, feature, round(vif, 6) as vif from ({' union all '.join(_VIF)})"
+_BOX = ORACLE_SQL["stat_ljung_box"].split(", c as (", 1)[1].split(" from ft where r_300s is not null)", 1)
+ORACLE_SQL["report_ljung_box"] = f"with x as (with y as ({_FT}{_WHOLE}, {_orthogonal(_CHOSEN, 'r_300s', 'res')} select symbol, ts_us, seq, e as r_300s from res), c as ({_BOX[0]} from y){_BOX[1]}) select *, q > 31.41 as autocorrelated from x where n >= 25"
+_ALL = " union all ".join(f"select symbol, '{x}' as feature, 'r_{h}' as horizon, {us / 1e6} as tau, {x} as x, r_{h} as y from ft" for x in _FEATURES for h, us in HORIZONS.items())
+_IC_ALL = f"al as (select * from ({_ALL}) where x is not null and y is not null), rk as (select symbol, feature, horizon, tau, {_RANKS.format(k='symbol, feature, horizon', x='x')} as rx, {_RANKS.format(k='symbol, feature, horizon', x='y')} as ry from al), ic as (select symbol, feature, horizon, tau, case when count(*) >= 2 and var_pop(rx) * var_pop(ry) > 0 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end as ic from rk group by all)"
+_FITS = _GRID.replace("select symbol, i.range * 0.5", "select symbol, feature, i.range * 0.5").replace("group by symbol, i.range", "group by symbol, feature, i.range").replace("fit as (select symbol,", "fit as (select symbol, feature,").replace("from f group by symbol)", "from f group by symbol, feature)")
+ORACLE_SQL["report_decay"] = f"{_FT}, {_IC_ALL}, {_FITS} select symbol, feature, round(b.c / b.vx, 6) + 0.0 as a, round(b.s, 6)::double as tau_star, round(b.my - b.c / b.vx * b.mx, 6) + 0.0 as offset, round(b.r2, 6) as r2 from fit"
+_PARTIAL = "pr as (select symbol, corr(depth_imb, r_300s) as ry, corr(ofi_1, r_300s) as rx, corr(ofi_1, depth_imb) as rz from ft where ofi_1 is not null and depth_imb is not null and r_300s is not null group by symbol), pq as (select symbol, pow(ry - rx * rz, 2) / ((1 - rx * rx) * (1 - rz * rz)) as partial_r2 from pr)"
+ORACLE_SQL["report_partial_r2"] = f"{_FT}, {_PARTIAL} select symbol, round(partial_r2, 6) as partial_r2 from pq"
+ORACLE_SQL["report_hypotheses"] = f"""{_FT}, {_IC_ALL}, {_FITS}, {_PARTIAL}, sa as (select symbol, avg((sign(microprice_dev) = sign(r_1s))::int) as acc from ft where microprice_dev <> 0 and r_1s <> 0 group by symbol),
+rg as ({ORACLE_SQL['stat_regime_ic']}), rq as (select symbol, max(case when quartile = 1 then ic end) as q1, max(case when quartile = 4 then ic end) as q4 from rg group by symbol),
+h1 as (select symbol, bool_or(ic > 0.05) as h1 from ic group by symbol)
+select d.symbol, h1.h1, fit.b.s < 60 and fit.b.r2 > 0.9 as h2, pq.partial_r2 > 0.01 as h3, rq.q4 < rq.q1 as h4, sa.acc > 0.55 as h5
+from (select distinct symbol from ft) d left join h1 using (symbol) left join (select * from fit where feature = 'ofi_1') fit using (symbol) left join pq using (symbol) left join rq using (symbol) left join sa using (symbol)"""
 QUERIES["simulation"] = lambda spark, sf_dir: rounded(simulate.feature_table(spark, 2, simulate.Params(duration_s=120.0)))

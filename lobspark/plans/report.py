@@ -72,8 +72,8 @@ def adf_section(f: DataFrame, features: list[str]) -> DataFrame:
     return long.groupBy("symbol", "feature").applyInPandas(test, "symbol string, feature string, t double").withColumn("stationary", F.col("t") < ADF_CRITICAL)
 
 
-def vif_section(f: DataFrame, features: list[str]) -> DataFrame:
-    """(symbol, feature, vif): of features with enough finite values and variance; of two that say the same the later is left out."""
+def chosen_features(f: DataFrame, features: list[str]) -> DataFrame:
+    """(symbol, chosen): features with enough finite values and variance; of two that say the same the later is left out."""
     base = f.select("symbol", *[finite(c).alias(c) for c in features])
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a))
@@ -99,11 +99,26 @@ def vif_section(f: DataFrame, features: list[str]) -> DataFrame:
                 out.append((fact["symbol"], chosen))
             yield pd.DataFrame(out, columns=["symbol", "chosen"])
 
-    sets = facts.mapInPandas(choose, "symbol string, chosen array<string>")
-    rows = base.join(sets, "symbol")
-    whole = F.forall("chosen", lambda name: F.element_at(F.create_map(*[x for c in features for x in (F.lit(c), F.col(c))]), name).isNotNull())
-    rows = rows.where(whole & (F.size("chosen") >= 2))
-    sums = rows.groupBy("symbol", "chosen").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.covar_pop(F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(0.0))) for a in features for b in features]).alias("cov"))
+    return facts.mapInPandas(choose, "symbol string, chosen array<string>")
+
+
+def complete(f: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(symbol, ts_us, seq, features, target, chosen): rows with a target and all of their instrument's chosen features; the others are 0."""
+    base = f.select("symbol", "ts_us", "seq", *[finite(c).alias(c) for c in dict.fromkeys([*features, target])])
+    rows = base.where(F.col(target).isNotNull()).join(chosen_features(f, features), "symbol")
+    named = F.create_map(*[x for c in features for x in (F.lit(c), F.col(c))])
+    rows = rows.where(F.forall("chosen", lambda name: F.element_at(named, name).isNotNull()))
+    return rows.withColumns({c: F.when(F.array_contains("chosen", c), F.col(c)).otherwise(0.0) for c in features})
+
+
+def _whole_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
+    cols = [F.lit(1.0), *[F.col(c) for c in features]]
+    return rows.groupBy("symbol", "chosen").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.covar_pop(a, b) for a in features for b in features]).alias("cov"), F.array(*[F.covar_pop(a, F.col(target)) for a in features]).alias("cy"), F.array(*[F.avg(c) for c in [*cols[1:], F.col(target)]]).alias("means"))
+
+
+def vif_section(f: DataFrame, features: list[str], target: str = "r_300s") -> DataFrame:
+    """(symbol, feature, vif) of the chosen features, over the rows that the regression on them uses."""
+    rows = complete(f, features, target).where(F.size("chosen") >= 2)
     k = len(features)
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,14 +132,31 @@ def vif_section(f: DataFrame, features: list[str]) -> DataFrame:
                 out += [(symbol, x, None if inv is None else float(inv[i, i])) for i, x in enumerate(names)]
             yield pd.DataFrame(out, columns=["symbol", "feature", "vif"])
 
-    return sums.mapInPandas(invert, "symbol string, feature string, vif double")
+    return _whole_sums(rows, features, target).mapInPandas(invert, "symbol string, feature string, vif double")
 
 
 def residuals(f: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(symbol, ts_us, seq, e) of the complete rows."""
-    fits = stats.ols(f, ["symbol"], target, features).where("beta is not null").select("symbol", "beta")
-    rows = f.select("symbol", "ts_us", "seq", *[finite(c).alias(c) for c in dict.fromkeys([*features, target])]).na.drop(subset=[*features, target]).join(fits, "symbol")
-    hat = sum((F.element_at("beta", i + 2) * F.col(c) for i, c in enumerate(features)), F.element_at("beta", 1))
+    """(symbol, ts_us, seq, e) of the complete rows, by least squares on the chosen features and a constant."""
+    rows = complete(f, features, target).where(F.size("chosen") >= 1)
+    k = len(features)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for symbol, names, cov, cy, means in b[["symbol", "chosen", "cov", "cy", "means"]].itertuples(index=False):
+                at = [features.index(x) for x in names]
+                m, v = np.array(cov).reshape(k, k)[np.ix_(at, at)], np.array(cy)[at]
+                sd = np.sqrt(np.diag(m))
+                beta = stats.solved(m / np.outer(sd, sd), v / sd) if (sd > 0).all() else None
+                if beta is not None:
+                    full = np.zeros(k)
+                    full[at] = beta / sd
+                    out.append((symbol, float(means[k] - full @ np.array(means)[:k]), full.tolist()))
+            yield pd.DataFrame(out, columns=["symbol", "constant", "beta"])
+
+    fits = _whole_sums(rows, features, target).mapInPandas(fit, "symbol string, constant double, beta array<double>")
+    rows = rows.join(fits, "symbol")
+    hat = sum((F.element_at("beta", i + 1) * F.col(c) for i, c in enumerate(features)), F.col("constant"))
     return rows.select("symbol", "ts_us", "seq", (F.col(target) - hat).alias("e"))
 
 
