@@ -423,4 +423,27 @@ rg as ({ORACLE_SQL['stat_regime_ic']}), rq as (select symbol, max(case when quar
 h1 as (select symbol, bool_or(ic > 0.05) as h1 from ic group by symbol)
 select d.symbol, h1.h1, fit.b.s < 60 and fit.b.r2 > 0.9 as h2, pq.partial_r2 > 0.01 as h3, rq.q4 < rq.q1 as h4, sa.acc > 0.55 as h5
 from (select distinct symbol from ft) d left join h1 using (symbol) left join (select * from fit where feature = 'ofi_1') fit using (symbol) left join pq using (symbol) left join rq using (symbol) left join sa using (symbol)"""
+# By Frisch and Waugh a coefficient's robust error needs only its own regressor, orthogonal to the others: e, and the residuals u.
+_OF = "over (partition by symbol, feature, horizon)"
+_ROLL = "rw as (select a.symbol, a.feature, a.horizon, w.range as win, x, y from (select *, row_number() over (partition by symbol, feature, horizon order by ts_us, seq) - 1 as i, count(*) over (partition by symbol, feature, horizon) as n from al) a join range(0, 100000) w on a.i between w.range * 63 and w.range * 63 + 251 and w.range * 63 + 252 <= a.n)"
+_ROLL += f", rr as (select symbol, feature, horizon, win, {_RANKS.format(k='symbol, feature, horizon, win', x='x')} as rx, {_RANKS.format(k='symbol, feature, horizon, win', x='y')} as ry from rw), ri as (select symbol, feature, horizon, win, case when var_pop(rx) * var_pop(ry) > 0 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end as ic from rr group by all)"
+_ROLL += ", ir as (select symbol, feature, horizon, case when stddev_samp(ic) > 0 then avg(ic) / stddev_samp(ic) end as icir from ri where ic is not null group by all)"
+ORACLE_SQL["report_ic"] = f"""{_FT}, {_IC_ALL.replace(_ALL, _ALL.replace(' as feature,', ' as feature, ts_us, seq,'))}, {_ROLL},
+fx as (select *, x - avg(x) {_OF} as e, y - avg(y) {_OF} as c, row_number() over (partition by symbol, feature, horizon order by ts_us, seq) as i, count(*) {_OF} as n, 10 * tau as lags from al),
+fb as (select *, sum(c * e) {_OF} / sum(e * e) {_OF} as beta, sum(e * e) {_OF} as ee from fx),
+fz as (select symbol, feature, horizon, i, n, lags, beta, ee, e * (c - beta * e) as z from fb),
+fs as (select symbol, feature, horizon, any_value(n) as n, any_value(lags) as lags, any_value(beta) as beta, any_value(ee) as ee, sum(z * z) as own from fz group by all),
+fl as (select t.symbol, t.feature, t.horizon, sum((1 - (t.i - s.i) / (t.lags + 1)) * t.z * s.z) as cross_ from fz t join fz s on s.symbol = t.symbol and s.feature = t.feature and s.horizon = t.horizon and s.i between t.i - t.lags and t.i - 1 where t.n > 2 + t.lags group by all),
+nw as (select symbol, feature, horizon, n, beta, case when n > 2 + lags then beta / (sqrt(greatest(own + 2 * cross_, 0)) / ee) end as nw_t from fs left join fl using (symbol, feature, horizon))
+select symbol, feature, horizon, round(ic.ic, 6) + 0.0 as ic, n, round(icir, 6) + 0.0 as icir, round(beta, 6) + 0.0 as beta, round(nw_t, 6) + 0.0 as nw_t from ic join nw using (symbol, feature, horizon) left join ir using (symbol, feature, horizon)"""
+_DIFFS = ["d1", "d2", "d3", "d4", "d5", "y1"]
+_BY = "over (partition by symbol order by ts_us, seq)"
+_ADF_CHAIN = _orthogonal(_DIFFS, "d0", "od").replace("partition by symbol)", "partition by symbol, feature)").replace("select symbol, ts_us, seq,", "select symbol, feature, ts_us, seq,")
+_ADF_LONG = " union all ".join(f"select symbol, '{c}' as feature, ts_us, seq, {c} as x from ft where {c} is not null" for c in _FEATURES)
+ORACLE_SQL["report_adf"] = f"""{_FT}, lo as ({_ADF_LONG}), df as (select *, x - lag(x) {_BY.replace('symbol', 'symbol, feature', 1)} as d, lag(x) {_BY.replace('symbol', 'symbol, feature', 1)} as y1 from lo),
+whole as (select * from (select symbol, feature, ts_us, seq, y1, d as d0, {', '.join(f'lag(d, {k}) ' + _BY.replace('symbol', 'symbol, feature', 1) + f' as d{k}' for k in range(1, 6))} from df) where d5 is not null), {_ADF_CHAIN},
+uz as (select symbol, feature, ts_us, seq, y1 as e, sum(d0 * y1) over (partition by symbol, feature) / sum(y1 * y1) over (partition by symbol, feature) as beta, sum(y1 * y1) over (partition by symbol, feature) as ee, d0 from od_5),
+zz as (select symbol, feature, beta, ee, e * (d0 - beta * e) as z, {', '.join(f'lag(e * (d0 - beta * e), {k}) ' + _BY.replace('symbol', 'symbol, feature', 1) + f' as z{k}' for k in range(1, 6))} from uz),
+tt as (select symbol, feature, any_value(beta) / (sqrt(sum(z * z) + {' + '.join(f'{2 * (1 - k / 6)} * sum(coalesce(z * z{k}, 0))' for k in range(1, 6))}) / any_value(ee)) as t from zz group by all)
+select symbol, feature, round(t, 6) + 0.0 as t, t < -2.86 as stationary from tt"""
 QUERIES["simulation"] = lambda spark, sf_dir: rounded(simulate.feature_table(spark, 2, simulate.Params(duration_s=120.0)))
