@@ -74,7 +74,7 @@ def indicators(bars: DataFrame) -> DataFrame:
 def techanalysis(f: DataFrame) -> DataFrame:
     """(symbol, indicator, horizon, ic, n) of a feature table."""
     table = indicators(price_bars(f)).join(f.select("symbol", "ts_us", "seq", *RETURNS), ["symbol", "ts_us", "seq"])
-    return stats.ic_table(table, ["symbol"], list(NAMES), RETURNS)
+    return stats.ic_table(table, ["symbol"], list(NAMES), RETURNS, large=stats.large_keys(f, ["symbol"]))
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:

@@ -187,7 +187,8 @@ def _signals(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
 
 
 def _ic(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    return stats.ic_table(_signals(spark, sf_dir, names), ["symbol"], names, [f"r_{h}" for h in HORIZONS])
+    large = stats.large_keys(ticks(spark, sf_dir).select("symbol"), ["symbol"])
+    return stats.ic_table(_signals(spark, sf_dir, names), ["symbol"], names, [f"r_{h}" for h in HORIZONS], large=large)
 
 
 def _ic_sql(names: list[str]) -> str:

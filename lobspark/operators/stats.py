@@ -36,12 +36,45 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2, dig
     return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
-def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[str], least: int = 10, digits: int | None = 9) -> DataFrame:
+def large_keys(df: DataFrame, keys: list[str], rows: int = 4_000_000) -> DataFrame | None:
+    """The keys with more than `rows` rows, or None if there are none: what ic_table has to rank in parts. Takes a pass over df."""
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select(*keys)
+    return None if found.isEmpty() else found
+
+
+def rank_in_parts(df: DataFrame, keys: list[str], x: str, parts: int = 256) -> DataFrame:
+    """df with `r:<x>`, the average rank of x within keys, without any key in one task: rows are dealt by key and by which of
+    the key's approximate quantiles they lie between, ranked there, and moved up by the counts of the parts below."""
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("__cuts"))
+    rows = df.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    sizes = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__m"))
+    below = sizes.withColumn("__below", F.coalesce(F.sum("__m").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("__r", average_rank(x, [*keys, "__part"])).join(below.drop("__m"), [*keys, "__part"])
+    return rows.withColumn(f"r:{x}", F.col("__r") + F.col("__below")).drop("__part", "__r", "__below")
+
+
+def spearman_in_parts(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) -> DataFrame:
+    """(keys, ic, n) as spearman gives, for keys of any size."""
+    pairs = df.select(*keys, finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
+    ranked = rank_in_parts(rank_in_parts(pairs, keys, "x"), keys, "y")
+    out = ranked.groupBy(*keys).agg(correlation("`r:x`", "`r:y`").alias("ic"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
+
+
+def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[str], least: int = 10, digits: int | None = 9, large: DataFrame | None = None) -> DataFrame:
     """(keys, indicator, horizon, ic, n) for every signal and return that have pairs; null for fewer than `least`.
 
     Rows are shuffled once for each signal, with all returns, and not for each pair of them; a task ranks one signal of
-    one key's rows, held as columns of doubles.
+    one key's rows, held as columns of doubles. Keys in `large` (from large_keys) are ranked in parts instead, so that none is
+    gathered; the results are the same.
     """
+    if large is not None:
+        rounded = (lambda c: F.round(finite(c), digits)) if digits is not None else finite
+        some = df.join(F.broadcast(large), keys, "left_semi").select(*keys, *[rounded(c).alias(c) for c in dict.fromkeys([*returns, *signals])])
+        long = some.unpivot([*keys, *returns], signals, "indicator", "__x").where("__x is not null").unpivot([*keys, "indicator", "__x"], returns, "horizon", "__y")
+        split = spearman_in_parts(long, [*keys, "indicator", "horizon"], "__x", "__y", max(least, 2))
+        rest = ic_table(df.join(F.broadcast(large), keys, "left_anti"), keys, signals, returns, least, digits)
+        return rest.unionByName(split)
     r = (lambda c: F.round(finite(c), digits)) if digits is not None else finite
     wide = df.select(*keys, *[r(c).alias(c) for c in dict.fromkeys([*returns, *signals])])
     long = wide.unpivot([*keys, *returns], signals, "indicator", "__x").where("__x is not null")

@@ -146,3 +146,21 @@ def test_replay_to_features(spark, tmp_path):
     app.ingest(spark, "dukascopy", str(tmp_path / "ticks.csv"), out, "EURUSD", "l1_replace")
     r = spark.read.parquet(out).orderBy("ts_us", "seq").collect()
     assert len(r) == 79 and r[0].r_1s is not None and r[-1].r_1s is None and r[10].spread == pytest.approx(1e-4, abs=1.1e-4)
+
+
+def test_large_keys_are_ranked_in_parts(spark):
+    import random
+
+    from lobspark.operators import stats
+
+    rng = random.Random(2)
+    rows = [(f"s{i % 2}", rng.choice([None, float("nan"), rng.gauss(0, 1), float(rng.randrange(3))]), float(rng.randrange(9)), rng.choice([None, rng.random()])) for i in range(3000)]
+    rows += [("s2", 1.0, float(i), 0.5) for i in range(20)]
+    df = spark.createDataFrame(rows, "symbol string, a double, r1 double, r2 double")
+    large = stats.large_keys(df, ["symbol"], 100)
+    assert sorted(r.symbol for r in large.collect()) == ["s0", "s1"] and stats.large_keys(df, ["symbol"]) is None
+    key = lambda r: (r.symbol, r.indicator, r.horizon)
+    want = sorted(stats.ic_table(df, ["symbol"], ["a", "r2"], ["r1", "r2"]).collect(), key=key)
+    got = sorted(stats.ic_table(df, ["symbol"], ["a", "r2"], ["r1", "r2"], large=large).collect(), key=key)
+    assert [(*key(r), r.n) for r in got] == [(*key(r), r.n) for r in want] and len(got) == 12
+    assert all((a.ic is None) == (b.ic is None) and (a.ic is None or abs(a.ic - b.ic) < 1e-9) for a, b in zip(got, want, strict=True))
