@@ -46,7 +46,9 @@ def ingest(spark: SparkSession, feed: str, path: str, out: str, symbol: str | No
 def read_features(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Feature CSVs as a table with an order of rows; files without a symbol take it from their name."""
     f = files.feature_files(spark, path, recursive)
-    return f.withColumns({"symbol": F.coalesce("symbol", files.file_symbol()), "seq": F.monotonically_increasing_id()})
+    # Below a folder that is read as a tree, equal file names are told apart by their folders.
+    name = files.relative_symbol(path) if recursive else files.file_symbol()
+    return f.withColumns({"symbol": F.coalesce("symbol", name), "seq": F.monotonically_increasing_id()})
 
 
 def price_bars(f: DataFrame) -> DataFrame:
@@ -117,10 +119,15 @@ def main(args: list[str] | None = None) -> None:
             sinks.write_ic(ic, f"{a.out}/by_symbol")
             ic_summary(ic).write.mode("overwrite").option("header", True).csv(f"{a.out}/summary")
         elif a.command == "backtest":
-            backtest(f).write.mode("overwrite").option("header", True).csv(a.out)
+            results = backtest(f).persist()
+            results.write.mode("overwrite").option("header", True).csv(f"{a.out}/windows")
+            lines = report.backtest_text(results, bt.summarised(results))
+            sinks.write_lines(spark, lines, f"{a.out}/report.txt")
         else:
-            for name, df in analyze(f).items():
+            parts = analyze(f)
+            for name, df in parts.items():
                 df.write.mode("overwrite").json(f"{a.out}/{name}")
+            sinks.write_lines(spark, report.text(parts), f"{a.out}/report.txt")
 
 
 if __name__ == "__main__":

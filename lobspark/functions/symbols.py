@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 #: Quote currencies, in the order in which a name's end is tried.
 QUOTES = ("USDT", "USDC", "USD", "EUR", "GBP", "BTC", "ETH")
+#: Of other names the last three letters are the quote currency, if something is left before them.
+LAST = 3
 
 
 def _parted(symbol: Column, sep: str) -> Column:
     """BTCUSD as BTC<sep>USD; a name that has a separator keeps its parts."""
     s = F.regexp_replace(F.upper(symbol), "[-/_]", sep)
-    out = s
+    out = F.when(F.length(s) > LAST, F.concat(F.substring(s, F.lit(1), F.length(s) - LAST), F.lit(sep), F.right(s, F.lit(LAST)))).otherwise(s)
     for q in reversed(QUOTES):
         out = F.when(s.endswith(q) & (F.length(s) > len(q)), F.concat(F.substring(s, F.lit(1), F.length(s) - len(q)), F.lit(f"{sep}{q}"))).otherwise(out)
     return F.when(F.contains(s, F.lit(sep)), s).otherwise(out)
@@ -57,6 +59,9 @@ def subscription(feed: str, symbols: list[str], depth: int | None = None) -> str
         "bybit": {"op": "subscribe", "args": [f"orderbook.{depth or 200}.{s}" for s in symbols]},
         "coinbase": {"type": "subscribe", "channel": "level2", "product_ids": symbols},
         "alpaca": {"action": "subscribe", "trades": symbols, "quotes": symbols},
+        "bitstamp": [{"event": "bts:subscribe", "data": {"channel": f"order_book_{s.lower()}"}} for s in symbols],
+        "tiingo": {"eventName": "subscribe", "eventData": {"thresholdLevel": 5, "tickers": [s.lower() for s in symbols]}},
+        "finnhub": [{"type": "subscribe", "symbol": s} for s in symbols],
         "polygon": {"action": "subscribe", "params": ",".join(f"{k}.{s}" for s in symbols for k in ("Q", "T"))},
     }
     return json.dumps(forms[feed])

@@ -61,16 +61,32 @@ def extracted(books: DataFrame, trades: DataFrame | None = None, mu: float = MU,
 
 
 def _with_trades(b: DataFrame, trades: DataFrame, mu: float, alpha: float, beta: float) -> DataFrame:
-    """Trades and book rows in one sort: the last trade by a running last, the intensity by the trades of the last minute."""
+    """Trades and book rows in one sort: the last trade by a running last, the intensity by decayed sums over the last
+    minute. A trade's weight grows with its time since its own minute began, so that weights of one minute add up and a row
+    takes its own minute's sum and the one before, each faded to its time: even and odd minutes are summed apart."""
+    if beta * BUFFER_S > 600:
+        raise ValueError("beta is too large for weights of a minute")
+    minute = BUFFER_S * 1_000_000
     both = b.select("symbol", "ts_us", "seq", F.lit(1).alias("__q"), F.lit(None).cast("struct<price:double,qty:double,ts_us:bigint>").alias("__t")).unionByName(
         trades.select("symbol", "ts_us", "seq", F.lit(0).alias("__q"), F.struct(F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"), "ts_us").alias("__t"))
     )
     run = W.partitionBy("symbol").orderBy("ts_us", "seq", "__q").rowsBetween(W.unboundedPreceding, W.currentRow)
-    recent = W.partitionBy("symbol").orderBy("ts_us").rangeBetween(-BUFFER_S * 1_000_000, 0)
-    both = both.withColumns({"__last": F.last("__t", ignorenulls=True).over(run), "__near": F.collect_list(F.when(F.col("__q") == 0, F.struct("ts_us", "seq"))).over(recent)}).where("__q = 1")
-    mine = F.filter("__near", lambda x: F.struct(x["ts_us"], x["seq"]) <= F.struct(F.col("ts_us"), F.col("seq")))
-    intensity = mu + F.aggregate(mine, F.lit(0.0), lambda a, x: a + alpha * F.exp(-beta * (F.col("ts_us") - x["ts_us"]) * 1e-6))
-    seen = both.select("symbol", "ts_us", "seq", "__last", intensity.alias("trade_intensity"))
+    recent = W.partitionBy("symbol").orderBy("ts_us").rangeBetween(-minute, 0)
+    at = F.floor(F.col("ts_us") / F.lit(minute))
+    since = (F.col("ts_us") - at * minute) * 1e-6
+    both = both.withColumns({"__odd": at % 2 != 0, "__since": since, "__w": F.when(F.col("__q") == 0, F.exp(beta * since)).otherwise(0.0)})
+    # Trades of the same time that come after a row do not count.
+    after = W.partitionBy("symbol", "ts_us").orderBy("seq", "__q").rowsBetween(1, W.unboundedFollowing)
+    both = both.withColumns(
+        {
+            "__last": F.last("__t", ignorenulls=True).over(run),
+            "__later": F.coalesce(F.sum("__w").over(after), F.lit(0.0)),
+            **{f"__{n}": F.sum(F.when(F.col("__odd") == odd, F.col("__w")).otherwise(0.0)).over(recent) for n, odd in (("sum0", False), ("sum1", True))},
+        }
+    ).where("__q = 1")
+    own, before = F.when(F.col("__odd"), F.col("__sum1")).otherwise(F.col("__sum0")), F.when(F.col("__odd"), F.col("__sum0")).otherwise(F.col("__sum1"))
+    near = F.greatest(own - F.col("__later"), F.lit(0.0)) * F.exp(-beta * F.col("__since")) + before * F.exp(-beta * (F.col("__since") + BUFFER_S))
+    seen = both.select("symbol", "ts_us", "seq", "__last", (mu + alpha * near).alias("trade_intensity"))
     out = b.join(seen, ["symbol", "ts_us", "seq"], "left")
     t = F.col("__last")
     return out.withColumn("price_impact", F.when((t["qty"] >= EPS) & (F.col("mid") >= EPS), (t["price"] - F.col("mid")) / t["qty"])).drop("__last")

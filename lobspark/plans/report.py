@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobspark.operators import stats
@@ -207,3 +206,20 @@ def text(parts: dict[str, DataFrame]) -> Iterator[str]:
         for r in df.orderBy(*[c for c in ("symbol", "feature", "horizon", "quartile", "k") if c in df.columns]).toLocalIterator():
             yield "  ".join("N/A" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r)
         yield ""
+
+
+def backtest_text(results: DataFrame, summary: DataFrame) -> Iterator[str]:
+    """A backtest's lines: for each instrument its windows, what the thresholds make of them in all, and each window's rows."""
+    number = lambda v: "N/A" if v is None else f"{v:+.6f}" if isinstance(v, float) else str(v)
+    sections = (
+        ("Windows", results.groupBy("symbol", "window_idx").agg(F.first("test_rows").alias("test_rows"), F.first("oos_ic").alias("oos_ic"), F.array_sort(F.collect_list(F.struct("k", "total_pnl_net"))).alias("p"))
+         .select("symbol", "window_idx", "test_rows", "oos_ic", F.array_join(F.transform("p", lambda x: F.format_string("k=%.1f %+.6f", x["k"], x["total_pnl_net"])), "  ").alias("net_pnl_by_k")), ["symbol", "window_idx"]),
+        ("Thresholds", summary.select("symbol", "k", "n_windows", "avg_oos_ic", "total_pnl_net", "avg_sharpe", "max_drawdown", "avg_turnover", "n_trades"), ["symbol", "k"]),
+        ("Rows", results.select("symbol", "window_idx", "k", "n_trades", "total_pnl_net", "max_drawdown", "turnover"), ["symbol", "window_idx", "k"]),
+    )
+    for i, (name, df, order) in enumerate(sections, 1):
+        yield f"{i}. {name}"
+        yield "  ".join(df.columns)
+        for r in df.orderBy(*order).toLocalIterator():
+            yield "  ".join(number(v) for v in r)
+        yield ""

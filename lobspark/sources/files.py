@@ -23,27 +23,29 @@ DOUBLES = COLUMNS[1:16]
 
 
 def dukascopy_hours(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshots from files <symbol>/<year>/<month from 00>/<day>/<hour>h_ticks.bi5; an empty file is an hour without ticks."""
+    """Snapshots from files <symbol>/<year>/<month from 00>/<day>/<hour>h_ticks.bi5; an empty file is an hour without ticks.
+    Ticks without a price are dropped; a file that is no whole number of records stops the job."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bi5").option("recursiveFileLookup", "true").load(path).select("path", "content")
     at = F.regexp_extract_all("path", F.lit(r"([^/]+)/(\d{4})/(\d{2})/(\d{2})/(\d{2})h_ticks\.bi5"), F.lit(0))[0]
     part = F.split(at, "/")
     hour = F.unix_micros(F.make_timestamp(part[1].cast("int"), part[2].cast("int") + 1, part[3].cast("int"), F.substring(part[4], 1, 2).cast("int"), F.lit(0), F.lit(0.0), F.lit("UTC")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for symbol, start, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = lzma.decompress(raw) if raw else b""
-                t = np.frombuffer(data[: len(data) // TICK.itemsize * TICK.itemsize], TICK)
-                if not len(t):
-                    continue
-                us = start + t["ms"].astype(np.int64) * 1000
-                sides = []
-                for side in ("bid", "ask"):
-                    one = pa.StructArray.from_arrays([pa.array(t[side] * 1e-5), pa.array(np.maximum(t[f"{side}_qty"].astype(float), LEAST_QTY))], ["price", "qty"])
-                    sides.append(pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1), pa.int32()), one))
-                yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(t)), pa.array(us), pa.array((us << 8) | (np.arange(len(t)) & 255)), *sides], ["symbol", "ts_us", "seq", "bids", "asks"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        for symbol, start, raw in (tuple(c[i].as_py() for c in b.columns) for b in batches for i in range(b.num_rows)):
+            data = lzma.decompress(raw) if raw else b""
+            if len(data) % TICK.itemsize:
+                raise ValueError(f"a tick file of {symbol} is damaged: {len(data)} bytes are no whole records")
+            t = np.frombuffer(data, TICK)
+            t = t[(t["bid"] > 0) & (t["ask"] > 0)]
+            if not len(t):
+                continue
+            us = start + t["ms"].astype(np.int64) * 1000
+            sides = []
+            for side in ("bid", "ask"):
+                one = pa.StructArray.from_arrays([pa.array(t[side] * 1e-5), pa.array(np.maximum(t[f"{side}_qty"].astype(float), LEAST_QTY))], ["price", "qty"])
+                sides.append(pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1), pa.int32()), one))
+            yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(t)), pa.array(us), pa.array((us << 8) | (np.arange(len(t)) & 255)), *sides], ["symbol", "ts_us", "seq", "bids", "asks"])
+
     out = files.select(part[0].alias("symbol"), hour.alias("start"), "content").mapInArrow(decode, f"symbol string, ts_us long, seq long, bids {LEVELS}, asks {LEVELS}")
     return out.withColumns({"exchange": F.lit("dukascopy"), "kind": F.lit("snapshot")})
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lobspark.sources.files import COLUMNS, DOUBLES
@@ -34,3 +36,15 @@ def ic_rows(ic: DataFrame) -> DataFrame:
 
 def write_ic(ic: DataFrame, path: str) -> None:
     ic_rows(ic).write.mode("overwrite").option("header", True).partitionBy("symbol").csv(path)
+
+
+def write_lines(spark: SparkSession, lines: Iterable[str], path: str) -> None:
+    """Lines as one text file of any file system that the session opens."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for line in lines:
+            out.write(f"{line}\n".encode())
+    finally:
+        out.close()
