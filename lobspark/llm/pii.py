@@ -60,15 +60,16 @@ DIGITS = {
 JOINERS = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "plus": "+", "dash": "-"}
 SPELLED = "|".join(sorted(DIGITS, key=len, reverse=True))
 ITEM = rf"(?:(?:double |triple )?(?:{SPELLED})++|[0-9]+|{'|'.join(JOINERS)})"
-#: Seven or more in a row, so that prose with a number word or two is left alone. Words run together where an invisible character stood.
-SPELLING = re.compile(rf"(?<![^\W_])(?:(?:plus[ ,-]{{1,2}})?(?:double |triple )?(?:{SPELLED})++(?![^\W_])(?:[ ,.-]{{1,2}}{ITEM}(?![^\W_])){{6,}}+|(?:{SPELLED}){{7,}}+(?![^\W_]))", re.I)
+#: Seven or more in a row, so that prose with a number word or two is left alone, or four after "plus" and a number. Words run together where an invisible character stood.
+SPELLING = re.compile(rf"(?<![^\W_])(?:(?:plus[ ,-]{{1,2}})?(?:double |triple )?(?:{SPELLED})++(?![^\W_])(?:[ ,.-]{{1,2}}{ITEM}(?![^\W_])){{6,}}+|(?:{SPELLED}){{7,}}+(?![^\W_])|plus[ ,-]{{1,2}}[0-9]++(?![^\W_])(?:[ ,.-]{{1,2}}{ITEM}(?![^\W_])){{3,}}+)", re.I)
 MIXED = re.compile(rf"(double |triple )?({SPELLED}|[0-9]+|{'|'.join(JOINERS)})", re.I)
 #: john (at) mail (dot) org, john[at]mail.org, john &#64; mail, john at mail dot org
 AT = re.compile(r" ?[\[({<] ?(?:at|@|arroba|ät) ?[\])}>] ?| ?&#(?:64|x40); ?|%40", re.I)
 DOT = re.compile(r" ?[\[({<] ?(?:dot|\.|punkt|point|punto) ?[\])}>] ?| ?&#(?:46|x2e); ?", re.I)
 SAID = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( at | ?@ ?)[A-Za-z0-9-]++((?: dot [A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+)", re.I)
 SAID_LABEL = re.compile(r"( dot |\.)([A-Za-z0-9-]+)", re.I)
-#: Without brackets, only with a usual last label: "look at the dot there" is prose.
+#: Without brackets, only with a usual last label, or after a name that is no word: "look at the dot there" is prose.
+NO_WORD = re.compile(r"[._+0-9]")
 LAST = frozenset("com org net edu gov mil int info biz name io ai app dev me tv co uk us ca au nz ie eu de at ch fr be nl es pt it se no dk fi pl cz ru ua cn jp kr in br mx ar cl za example test".split())
 
 Span = tuple[int, int, int]
@@ -184,7 +185,8 @@ def _said(r: Rewritten) -> list[Edit]:
         for d in SAID_LABEL.finditer(m[2]):
             s = m.start(2) + d.start()
             dots.append((s, m.start(2) + d.end(1), d[1] != "."))
-            if d[2].lower() in LAST and any(said or r.touched(a, b) for a, b, said in dots):
+            usual = d[2].lower() in LAST or d[2].isalpha() and len(d[2]) > 1 and NO_WORD.search(m[0], 0, m.start(1) - m.start())
+            if usual and any(said or r.touched(a, b) for a, b, said in dots):
                 most = len(dots)
         if most:
             if m[1] != "@":

@@ -37,3 +37,10 @@ def test_cards():
 @pytest.mark.parametrize("prose", ["meet me at example.com today", "look at the dot there", "we met at noon (dot) then"])
 def test_prose_stays(prose):
     assert pii.redact(prose) == prose
+
+
+def test_numbers_after_plus_and_unusual_labels():
+    found = lambda t: [t[s:e] for _, s, e in pii.spans(t)[1]]
+    assert found("call plus 1 four one five 555 0199 now") == ["plus 1 four one five 555 0199"]
+    assert found("write john.doe at mail dot software today") == ["john.doe at mail dot software"]
+    assert found("look at the dot there") == [] and found("two plus 2 is four, and one more") == []
