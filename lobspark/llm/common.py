@@ -53,11 +53,11 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(cut, schema)
 
 
-def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", rows: int = SMALL_ROWS) -> DataFrame:
+def joined_small(df: DataFrame, side: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
     """df joined with a table that is as a rule small. It is broadcast if its counted rows are
-    few, and otherwise left to a shuffled join, whose skewed partitions AQE splits."""
+    few (SMALL_ROWS), and otherwise left to a shuffled join, whose skewed partitions AQE splits."""
     side = settled(side)
-    return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)
+    return df.join(F.broadcast(side) if side.count() <= (SMALL_ROWS if rows is None else rows) else side, on, how)
 
 
 def min_components(edges: DataFrame) -> DataFrame:

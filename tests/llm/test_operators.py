@@ -585,3 +585,18 @@ def test_statistics_of_the_battery(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i long, t string").selectExpr("i", f"{secrets.battery('array(struct(0 as s, length(t) as e, t as t))')}[0].p_random as p")
     for r in df.collect():
         assert r.p == pytest.approx(slow(cases[r.i]), rel=1e-3, abs=1e-12)
+
+
+def test_small_tables_may_be_shuffled(spark, monkeypatch):
+    """What is broadcast after a count gives the same where it is not."""
+    from lobspark.llm import common, neardup
+
+    texts, sources = list(texts_of().values())[:60], [f"s{i % 3}" if i % 7 else None for i in range(60)]
+    df = frame(spark, texts, sources)
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").limit(200)
+    pairs = df.selectExpr("doc_id as row", "text")
+    runs = [lambda: mixing.mixed(df), lambda: covertree.digest(vectors), lambda: neardup.components(pairs)]
+    want = [sorted(map(str, run().collect())) for run in runs]
+    monkeypatch.setattr(common, "SMALL_ROWS", -1)
+    monkeypatch.setattr(neardup, "PAIRS", -1)
+    assert [sorted(map(str, run().collect())) for run in runs] == want
