@@ -256,6 +256,31 @@ round((bid5 - ask5) / (bid5 + ask5), 6) + 0.0 as depth_imb, round((aq * bp + bq
 round((lag(bq) over w - bq) / ((ts_us - lag(ts_us) over w) * 1e-6), 6) + 0.0 as level_drain, round(slope, 6) as weighted_mid_slope from g window w as (partition by symbol order by ts_us, seq)"""
 
 
+#: Ticks as events of all kinds: every seventh a gap, every fifth a snapshot of one level a side, the others changes, some of which remove.
+_KINDS = """select symbol, ts_us, seq, rn, bid, bid_qty, ask, ask_qty, case when rn % 7 = 0 then 'gap' when rn % 5 = 0 then 'snapshot' else 'delta' end as kind, case when rn % 2 = 0 then 'bid' else 'ask' end as side,
+case when rn % 2 = 0 then bid - rn % 3 * 0.01e0 else ask + rn % 3 * 0.01e0 end as price, case when rn % 11 = 0 then 0e0 when rn % 2 = 0 then bid_qty else ask_qty end as qty
+from (select *, row_number() over (partition by symbol order by ts_us, seq) as rn from ({ticks}) t1) t2"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books and features over snapshots, which replace a book, and gaps, which features do not look across."""
+    e = spark.sql(_KINDS.format(ticks="select * from {t}"), t=ticks(spark, sf_dir))
+    levels = lambda s: F.when(F.col("kind") == "snapshot", F.array(F.struct(F.col(s).alias("price"), F.col(f"{s}_qty").alias("qty"))))
+    b = book.reconstructed(e.withColumns({"bids": levels("bid"), "asks": levels("ask")})).where("kind in ('delta', 'snapshot') and dq_error is null")
+    return rounded(features.extracted(b).select("symbol", "ts_us", "seq", "gap_id", "mid", "spread", "relative_spread", "ofi_1", "level_drain"))
+
+
+QUERIES["snapshots_and_gaps"] = _gaps
+ORACLE_SQL["snapshots_and_gaps"] = f"""with k as ({_KINDS.format(ticks=views.ticks('duckdb'))}), ev as (select *, sum((kind = 'snapshot')::int) over w as g, sum((kind = 'gap')::int) over w as gap_id from k window w as (partition by symbol order by rn)),
+lv as (select symbol, g, rn, side, price, qty from ev where kind = 'delta' union all select symbol, g, rn, 'bid', bid, bid_qty from ev where kind = 'snapshot' union all select symbol, g, rn, 'ask', ask, ask_qty from ev where kind = 'snapshot'),
+s as (select *, coalesce(lead(rn) over (partition by symbol, g, side, price order by rn), 1e18::bigint) as z from lv),
+h as (select ev.symbol, ev.rn, s.side, s.price, s.qty from ev join s on s.symbol = ev.symbol and s.g = ev.g and s.rn <= ev.rn and ev.rn < s.z where ev.kind <> 'gap' and s.qty > 0),
+t as (select symbol, rn, max(price) filter (side = 'bid') as bp, arg_max(qty, price) filter (side = 'bid') as bq, min(price) filter (side = 'ask') as ap, arg_min(qty, price) filter (side = 'ask') as aq from h group by symbol, rn),
+r as (select ev.symbol, ts_us, seq, gap_id, bp, bq, ap, aq, bq - aq as net from ev left join t using (symbol, rn) where kind <> 'gap')
+select symbol, ts_us, seq, gap_id::bigint as gap_id, round((bp + ap) / 2, 6) as mid, round(ap - bp, 6) + 0.0 as spread, round((ap - bp) / ((ap + bp) / 2), 6) + 0.0 as relative_spread, round(net - lag(net) over w, 6) + 0.0 as ofi_1,
+round((lag(bq) over w - bq) / ((ts_us - lag(ts_us) over w) * 1e-6), 6) + 0.0 as level_drain from r window w as (partition by symbol, gap_id order by ts_us, seq)"""
+
+
 def _market_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a market buy of each event's quantity times three would get from its book."""
     d = deltas(spark, sf_dir)

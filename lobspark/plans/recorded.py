@@ -25,6 +25,7 @@ _STEP = "(rn + rn div 7)"
 #: Messages of a tick, in order, as Spark SQL.
 MESSAGES: dict[str, list[str]] = {
     "lobster": ["concat_ws(',', cast(ts_us / 1000000D as decimal(20,6)), element_at(array(1, 3, 4, 7), int(seq % 4) + 1), seq, qty, bigint(round(price * 10000)), if(is_buy, 1, -1))"],
+    "lobster_book": ["concat_ws(',', bigint(round(ask * 10000)), ask_qty, bigint(round(bid * 10000)), bid_qty)"],
     "iex": [
         "to_json(named_struct('messageType', 'Q', 'symbol', symbol, 'bidPrice', bid, 'bidSize', bid_qty, 'askPrice', ask, 'askSize', ask_qty, 'lastUpdated', ts_us * 1000))",
         "concat('data: ', to_json(named_struct('type', 'T', 'symbol', symbol, 'price', price, 'size', qty, 'flags', if(is_buy, 1, 0), 'timestamp', ts_us * 1000)))",
@@ -58,7 +59,7 @@ def read_back(spark: SparkSession, ticks: DataFrame, feed: str) -> DataFrame:
     numbered = spark.sql(_NUMBERED.format(ticks="select * from {t}"), t=ticks)
     each = MESSAGES[feed]
     raw = numbered.select(F.col("seq").alias("s"), F.posexplode(F.array(*map(F.expr, each))).alias("p", "value")).select((F.col("s") * len(each) + F.col("p")).alias("line"), "value")
-    e = FEEDS[feed](raw, *(["X"] if feed in OF_ONE_SYMBOL else []))
+    e = FEEDS[feed](raw, *(["X"] if feed in OF_ONE_SYMBOL else []), **({"levels": 1} if feed == "lobster_book" else {}))
     best = {n: F.get(c, F.lit(0))[f] for n, c, f in (("bid", "bids", "price"), ("bid_qty", "bids", "qty"), ("ask", "asks", "price"), ("ask_qty", "asks", "qty"))}
     return e.withColumns(best).select(*_OUT)
 
@@ -91,6 +92,7 @@ def expected(feed: str) -> str:
     tenth = "round(price * 10000)::bigint / 10000.0::double"
     rows = {
         "lobster": [row("delta", x, "ts_us", "seq % 4 = 0", side=side, price=tenth, qty="qty"), row("delta", x, "ts_us", "seq % 4 = 1", side=side, price=tenth, qty="0"), row("trade", x, "ts_us", "seq % 4 = 2", price=tenth, qty="qty", is_buy="not is_buy"), row("gap", x, "ts_us", "seq % 4 = 3")],
+        "lobster_book": whole(x, "0", "every = 1", bid=tenth.replace("price", "bid"), ask=tenth.replace("price", "ask")),
         "iex": quote("symbol", "ts_us") + deal("symbol", "ts_us", "is_buy"),
         "dukascopy": quote(x, "max_ts"),
         "binance": [row("gap", up, ms, "rn > 1 and rn % 7 = 0"), *quote(up, ms), *deal(up, ms, "is_buy")],
