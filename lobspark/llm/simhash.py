@@ -96,8 +96,8 @@ def route_bits(n: int, half: int = 2) -> int:
 
 
 def met(fps: np.ndarray, flipped: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (positions in fps) between those that meet on a variant: `flipped` holds each one's
-    bits that this route has used; the lower `width` bits still vary, by at most `most` in all."""
+    """Star links (positions in fps: the smallest on a variant, another) between those that meet on it: `flipped` holds each
+    one's bits that this route has used; the lower `width` bits still vary, by at most `most` in all."""
     lead = 0
     while lead < width and len(fps) * sum(math.comb(width, c) for c in range(most + 1)) >> lead > SORT_ROWS:
         lead += 1
@@ -135,14 +135,13 @@ def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: i
         v, w = np.concatenate(vv), np.concatenate(ww)
         order = np.argsort(v)
         v, w = v[order], w[order]
-        same = np.flatnonzero(v[1:] == v[:-1])
-        if len(same):
-            first = np.concatenate(([True], v[1:] != v[:-1]))
-            head = np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
-            us.append(w[head[same + 1]])
-            vs.append(w[same + 1])
-            pairs = np.unique(np.stack([us[-1], vs[-1]]), axis=1)
-            us[-1], vs[-1] = pairs
+        if (v[1:] == v[:-1]).any():
+            begins = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            head = np.repeat(np.minimum.reduceat(w, begins), np.diff(np.append(begins, len(v))))
+            other = head != w
+            pairs = np.unique(np.stack([head[other], w[other]]), axis=1)
+            us.append(pairs[0])
+            vs.append(pairs[1])
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -167,6 +166,17 @@ def routed(rows: DataFrame, old: int, new: int, bits: int, half: int) -> DataFra
     return in_batches(rows.select("route", "node", "fp", "mark"), run, "route long, node long, fp long, mark long", 1 << 14)
 
 
+def middle(a: np.ndarray, b: np.ndarray, half: int) -> np.ndarray:
+    """A variant within half of both: a with so many of the lowest bits that differ flipped as b is too far."""
+    out, left = a.copy(), a ^ b
+    over = np.bitwise_count(left).astype(np.int64) - half
+    for k in range(half):
+        low = left & (~left + np.uint64(1))
+        out ^= np.where(over > k, low, np.uint64(0))
+        left ^= low
+    return out
+
+
 def spent(route: np.ndarray, fp: np.ndarray, level: int, bits: int) -> np.ndarray:
     """The bits that a route of `level` leading bits flips of each fingerprint."""
     head = route.view(np.uint64) & np.uint64((1 << level) - 1)
@@ -176,8 +186,8 @@ def spent(route: np.ndarray, fp: np.ndarray, level: int, bits: int) -> np.ndarra
 def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int = BITS, tables: int = 1, out: str = "forest") -> DataFrame:
     """(u, v): links between the nodes of reps (node, fp, and table if there are several), a table's fp all
     different, of star links between fingerprints that meet on a variant: as a forest, those that hold each group
-    together that chains of at most `radius` differing bits connect; as `first`, each node's link to the smallest
-    node that it met on a route; as `across`, all between nodes whose `mark` in reps differs."""
+    together that chains of at most `radius` differing bits connect; as `first`, each node's link to the
+    smallest node that it met; as `across`, all between nodes whose `mark` in reps differs."""
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -199,9 +209,12 @@ def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int =
                 v = lab[u]
             elif out == "first":
                 first = np.arange(len(fp))
-                np.minimum.at(first, np.maximum(u, v), np.minimum(u, v))
+                np.minimum.at(first, v, u)
                 u = np.flatnonzero(first != np.arange(len(fp)))
                 v = first[u]
+                # A pair meets on several routes; only that of its `middle` gives it, where a node's smallest is seen as such.
+                own = (middle(fp[v], fp[u], half) >> np.uint64(bits - level)).view(np.int64) == route[u] & ((1 << level) - 1)
+                u, v = u[own], v[own]
             else:
                 marks = t.column("mark").to_numpy()
                 apart = marks[u] != marks[v]

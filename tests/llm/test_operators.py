@@ -111,6 +111,31 @@ def test_full_routes_are_split(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(fps))] == slow_components(fps)
 
 
+def test_first_links_name_the_smallest_that_each_met(spark):
+    rng = random.Random(9)
+    bases = [rng.getrandbits(40) for _ in range(30)]
+    fps = list({b ^ sum(1 << k for k in rng.sample(range(40), d)) for b in bases for d in (0, 1, 1, 2, 2, 3, 4) for _ in range(2)})
+    rng.shuffle(fps)
+    reps = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    got = defaultdict(set)
+    for r in simhash.links(reps, bits=40, lead=5, out="first").collect():
+        got[r.u].add(r.v)
+    ball = {}
+    masks = [int(m) for m in simhash.flips(40, 2)]
+    for i, x in enumerate(fps):
+        for m in masks:
+            ball.setdefault(x ^ m, []).append(i)
+    want = {}
+    for members in ball.values():
+        for i in members:
+            if i != min(members):
+                want[i] = min(want.get(i, i), min(members))
+    assert set(got) == set(want) and all(want[i] in got[i] for i in want) and sum(map(len, got.values())) < 2 * len(got)
+    marked = reps.selectExpr("node", "fp", "node % 2 as mark")
+    across = {(r.u, r.v) for r in simhash.links(marked, bits=40, lead=5, out="across").collect()}
+    assert across == {(min(m), i) for m in ball.values() for i in m if (i - min(m)) % 2}
+
+
 def test_simhash_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (7, "a b c d e"), (7, "f g h i j"), (None, "k l m n o"), (3, None), (3, "")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
