@@ -68,7 +68,8 @@ def in_order(rows: DataFrame, fields: list[str], fold: Fold, out: str, delay: st
             state.update((json.dumps(waiting), json.dumps(kept), last, max(passed, taken)))
             wake = min((r[0] for r in waiting), default=None if idle_us is None else last + idle_us)
             if wake is not None:
-                state.setTimeoutTimestamp(max(-(-wake // 1000), passed // 1000 + 1))
+                # Spark wakes a state once the watermark is beyond its time, not at it.
+                state.setTimeoutTimestamp(max(-(-wake // 1000) - 1, passed // 1000 + 1))
         yield pd.DataFrame([(key[0], *r) for r in found], columns=names)
 
     need = timed.select("symbol", "event_time", "ts_us", *place, *fields)
