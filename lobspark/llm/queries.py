@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lobspark.llm import covertree, html, mixing, packing, pii, quality, secrets, simhash, tokens, warc
+from lobspark.llm import bmw, covertree, editwalk, hamerly, html, mixing, packing, pii, quality, secrets, simhash, tokens, warc
 
 
 def _over(table: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,11 +24,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": _over("pages", warc.digest),
     "op9_mixing": _over("documents", mixing.digest),
     "op10_quality": _over("documents", quality.digest),
+    "op11_hamerly": _over("embeddings", hamerly.digest),
+    "op12_editwalk": _over("documents", editwalk.digest),
+    "op13_bmw": lambda spark, sf_dir: bmw.digest(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))),
 }
 
+_SQUARED = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+
+
+def _clusters_sql() -> str:
+    """Lloyd's rounds, each vector held against every centroid."""
+    out = [f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({hamerly.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+WHERE len(embedding) = {hamerly.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+           f"c0 AS (SELECT k, e FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), e) - 1 AS k, e FROM kept) WHERE k < {hamerly.K})"]
+    for i in range(hamerly.ROUNDS + 1):
+        out.append(f"a{i} AS (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.r, c.k, {_SQUARED} AS d FROM kept v CROSS JOIN c{i} c) GROUP BY r)")
+        if i < hamerly.ROUNDS:
+            out.append(f"m{i} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS e FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT a.k, unnest(range({hamerly.COMPONENTS})) AS i, unnest(v.e) AS x FROM a{i} a JOIN kept v USING (r)) GROUP BY k, i) GROUP BY k)")
+            out.append(f"c{i + 1} AS (SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN m{i} m USING (k))")
+    last = hamerly.ROUNDS
+    return f"""WITH {', '.join(out)}
+SELECT v.vec_id, a.k::INT AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM kept v JOIN a{last} a USING (r) JOIN c{last} c ON c.k = a.k"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_hamerly": _clusters_sql(),
+    "op13_bmw": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents
+), dn AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0
+), t AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM dn
+), p AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term
+), q AS (
+  SELECT item, item_id, unnest(list_distinct(w)) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark)
+), f AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, t WHERE term IN (SELECT term FROM q) GROUP BY term, docs
+), s AS (
+  SELECT q.item, q.item_id, dn.doc_id, sum(f.weight * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * dn.n * t.docs) // t.terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN dn ON dn.r = p.r, t GROUP BY q.item, q.item_id, dn.r, dn.doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, (row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= {bmw.TOP}
+""",
     "op5_covertree": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
