@@ -84,22 +84,24 @@ class Book:
 
 def reconstructed(events: DataFrame, depth: int = 10, mode: str = "delta") -> DataFrame:
     """events (symbol, ts_us, seq, kind, side, price, qty, bids, asks) with the book after each: book_ts,
-    top_bids, top_asks, dq_error (why the event was refused), crossed, gap_id (gaps so far). mode l1_replace is for feeds of best prices."""
-    need = {"kind": F.lit("delta"), "bids": F.lit(None).cast(LEVELS), "asks": F.lit(None).cast(LEVELS)}
-    base = events.withColumns({c: v for c, v in need.items() if c not in events.columns}).select("symbol", "ts_us", "seq", "kind", "side", "price", "qty", "bids", "asks")
+    top_bids, top_asks, dq_error (why the event was refused), crossed, gap_id (gaps so far). mode l1_replace is for feeds of best prices.
+    With `conn`, the number of an event's connection, a change of it counts as a gap: a cut feed starts the features of all instruments anew."""
+    need = {"kind": F.lit("delta"), "bids": F.lit(None).cast(LEVELS), "asks": F.lit(None).cast(LEVELS), "conn": F.lit(0)}
+    base = events.withColumns({c: v for c, v in need.items() if c not in events.columns}).select("symbol", "ts_us", "seq", "kind", "side", "price", "qty", "bids", "asks", "conn")
     replace = mode == "l1_replace"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = book = None
+        symbol = book = last = None
         gaps = 0
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 b = whole.slice(i, 2048)
                 out: list[list] = [[] for _ in range(6)]
-                for s, ts, _, kind, side, price, qty, bids, asks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for s, ts, _, kind, side, price, qty, bids, asks, conn in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if book is None or s != symbol:
-                        symbol, book, gaps = s, Book(), 0
-                    gaps += kind in ("gap", "disconnected")
+                        symbol, book, gaps, last = s, Book(), 0, conn
+                    gaps += kind in ("gap", "disconnected") or conn != last
+                    last = conn
                     error = book.apply(kind, side, price, qty, ts, bids, asks, replace)
                     for c, v in zip(out, (book.ts, book.bids.top(depth), book.asks.top(depth), error, book.crossed(), gaps), strict=True):
                         c.append(v)

@@ -25,6 +25,42 @@ def weighted_slope(n: int = 5) -> Column:
     return ratio(F.aggregate(w, F.lit(0.0), lambda a, x: a + x["w"] * x["s"]), F.aggregate(w, F.lit(0.0), lambda a, x: a + x["w"]))
 
 
+def prepared(books: DataFrame, bids: str = "top_bids", asks: str = "top_asks", prefix: str = "") -> DataFrame:
+    """books with what a row's features and those of the row after it need of its levels, named after `prefix`."""
+    b = books.withColumns({f"{prefix}bid": first(bids, "price"), f"{prefix}bq": first(bids, "qty"), f"{prefix}ask": first(asks, "price"), f"{prefix}aq": first(asks, "qty")})
+    full = F.coalesce((F.size(bids) > 0) & (F.size(asks) > 0), F.lit(False))
+    return b.withColumns({f"{prefix}net{n}": F.when(full, depth_qty(bids, n) - depth_qty(asks, n)) for n in (1, 5, 10)})
+
+
+def measured(b: DataFrame, before: dict[str, Column]) -> DataFrame:
+    """b (from prepared, no prefix) with mid and the features that need no trades; `before` has ts_us, bq and net1, 5, 10 of the
+    instrument's row before, null after a gap."""
+    full = F.coalesce((F.size("top_bids") > 0) & (F.size("top_asks") > 0), F.lit(False))
+    bids, asks = depth_qty("top_bids", 5), depth_qty("top_asks", 5)
+    b = b.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
+    dt = (F.col("ts_us") - before["ts_us"]) * 1e-6
+    return b.withColumns(
+        {
+            **{f"ofi_{n}": F.col(f"net{n}") - before[f"net{n}"] for n in (1, 5, 10)},
+            "depth_imb": F.when(full, ratio(bids - asks, bids + asks)),
+            "microprice_dev": ratio(F.col("aq") * F.col("bid") + F.col("bq") * F.col("ask"), F.col("aq") + F.col("bq")) - F.col("mid"),
+            "queue_imb": ratio(F.col("bq"), F.col("bq") + F.col("aq")),
+            "spread": F.col("ask") - F.col("bid"),
+            "relative_spread": ratio(F.col("ask") - F.col("bid"), F.col("mid")),
+            "level_drain": F.when(dt >= EPS, F.try_divide(before["bq"] - F.col("bq"), dt)),
+            "weighted_mid_slope": F.when(full, weighted_slope()),
+        }
+    )
+
+
+def impact(price: Column, qty: Column) -> Column:
+    """How far the last trade was from mid, for each unit of it."""
+    return F.when((qty >= EPS) & (F.col("mid") >= EPS), (price - F.col("mid")) / qty)
+
+
+WORK = ["bid", "bq", "ask", "aq", "net1", "net5", "net10"]
+
+
 def extracted(books: DataFrame, trades: DataFrame | None = None, mu: float = MU, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
     """The eleven features and mid for every row of books (symbol, ts_us, seq, top_bids, top_asks, gap_id).
 
@@ -34,59 +70,52 @@ def extracted(books: DataFrame, trades: DataFrame | None = None, mu: float = MU,
         raise ValueError("the intensity needs alpha < beta")
     if "gap_id" not in books.columns:
         books = books.withColumn("gap_id", F.lit(0))
-    full = (F.size("top_bids") > 0) & (F.size("top_asks") > 0)
-    b = books.withColumns({"bid": first("top_bids", "price"), "bq": first("top_bids", "qty"), "ask": first("top_asks", "price"), "aq": first("top_asks", "qty"), "__full": F.coalesce(full, F.lit(False))})
-    b = b.withColumns({f"__net{n}": F.when(F.col("__full"), depth_qty("top_bids", n) - depth_qty("top_asks", n)) for n in (1, 5, 10)})
-    b = b.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
     w = W.partitionBy("symbol", "gap_id").orderBy("ts_us", "seq")
-    bids, asks = depth_qty("top_bids", 5), depth_qty("top_asks", 5)
-    dt = (F.col("ts_us") - F.lag("ts_us").over(w)) * 1e-6
-    b = b.withColumns(
-        {
-            **{f"ofi_{n}": F.col(f"__net{n}") - F.lag(f"__net{n}").over(w) for n in (1, 5, 10)},
-            "depth_imb": F.when(F.col("__full"), ratio(bids - asks, bids + asks)),
-            "microprice_dev": ratio(F.col("aq") * F.col("bid") + F.col("bq") * F.col("ask"), F.col("aq") + F.col("bq")) - F.col("mid"),
-            "queue_imb": ratio(F.col("bq"), F.col("bq") + F.col("aq")),
-            "spread": F.col("ask") - F.col("bid"),
-            "relative_spread": ratio(F.col("ask") - F.col("bid"), F.col("mid")),
-            "level_drain": F.when(dt >= EPS, F.try_divide(F.lag("bq").over(w) - F.col("bq"), dt)),
-            "weighted_mid_slope": F.when(F.col("__full"), weighted_slope()),
-        }
-    )
+    b = measured(prepared(books), {c: F.lag(c).over(w) for c in ("ts_us", "bq", "net1", "net5", "net10")})
     if trades is None:
         b = b.withColumns({"trade_intensity": F.lit(mu), "price_impact": F.lit(None).cast("double")})
     else:
         b = _with_trades(b, trades, mu, alpha, beta)
-    return b.drop("__full", "__net1", "__net5", "__net10", "bq", "aq", "bid", "ask")
+    return b.drop(*WORK)
+
+
+def kept_us(beta: float) -> int:
+    """How long a trade counts: a minute, or until nothing is left of it in a double."""
+    return int(min(BUFFER_S, 600 / beta) * 1_000_000)
+
+
+def near_trades(rows: DataFrame, trades: DataFrame, beta: float) -> DataFrame:
+    """(symbol, ts_us, seq, near): for each row the trades up to it that are at most kept_us old, each faded by its age.
+
+    Time is cut into buckets as long as trades count. A trade weighs more the later it is in its bucket, so that weights of a
+    bucket add up as running sums. A row takes the running sum at its place, and of the bucket before the sum less what had
+    run up at the moment that far back: it asks there, in the same sort. Every bucket of an instrument is dealt apart, and the cost does
+    not depend on how many trades a bucket has.
+    """
+    span = kept_us(beta)
+    at = lambda ts: F.floor(ts / F.lit(span))
+    none = F.lit(None).cast("bigint")
+    # Kinds at equal times: those that ask for what came before a time, then trades and rows by their seq.
+    ask = F.struct(F.lit(0).alias("kind"), (F.col("ts_us") - span).alias("t"), F.col("ts_us").alias("own_ts"))
+    own = F.struct(F.lit(1).alias("kind"), F.col("ts_us").alias("t"), F.col("ts_us").alias("own_ts"))
+    asked = rows.select("symbol", "seq", F.explode(F.array(ask, own)).alias("r")).select("symbol", "seq", "r.*", F.lit(1).alias("q"))
+    deals = trades.select("symbol", "seq", F.lit(1).alias("kind"), F.col("ts_us").alias("t"), none.alias("own_ts"), F.lit(0).alias("q"))
+    both = asked.unionByName(deals).withColumns({"bucket": at(F.col("t"))})
+    both = both.withColumn("weight", F.when(F.col("q") == 0, F.exp(beta * 1e-6 * (F.col("t") - F.col("bucket") * span))).otherwise(0.0))
+    by = W.partitionBy("symbol", "bucket")
+    run = by.orderBy("t", "kind", "seq", "q").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumns({"sofar": F.sum("weight").over(run), "all": F.sum("weight").over(by)}).where("q = 1")
+    sums = F.when(F.col("kind") == 1, F.col("sofar")).otherwise(F.col("all") - F.col("sofar"))
+    faded = sums * F.exp(-beta * 1e-6 * (F.col("own_ts") - F.col("bucket") * span))
+    return both.groupBy("symbol", F.col("own_ts").alias("ts_us"), "seq").agg(F.sum(faded).alias("near"))
 
 
 def _with_trades(b: DataFrame, trades: DataFrame, mu: float, alpha: float, beta: float) -> DataFrame:
-    """Trades and book rows in one sort: the last trade by a running last, the intensity by decayed sums over the last
-    minute. A trade's weight grows with its time since its own minute began, so that weights of one minute add up and a row
-    takes its own minute's sum and the one before, each faded to its time: even and odd minutes are summed apart."""
-    if beta * BUFFER_S > 600:
-        raise ValueError("beta is too large for weights of a minute")
-    minute = BUFFER_S * 1_000_000
-    both = b.select("symbol", "ts_us", "seq", F.lit(1).alias("__q"), F.lit(None).cast("struct<price:double,qty:double,ts_us:bigint>").alias("__t")).unionByName(
-        trades.select("symbol", "ts_us", "seq", F.lit(0).alias("__q"), F.struct(F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"), "ts_us").alias("__t"))
-    )
+    """b with the intensity of the trades near each row, and the impact of the last trade by (ts_us, seq)."""
+    deal = F.struct(F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"))
+    both = b.select("symbol", "ts_us", "seq", F.lit(1).alias("__q"), F.lit(None).cast("struct<price:double,qty:double>").alias("__t")).unionByName(trades.select("symbol", "ts_us", "seq", F.lit(0).alias("__q"), deal.alias("__t")))
     run = W.partitionBy("symbol").orderBy("ts_us", "seq", "__q").rowsBetween(W.unboundedPreceding, W.currentRow)
-    recent = W.partitionBy("symbol").orderBy("ts_us").rangeBetween(-minute, 0)
-    at = F.floor(F.col("ts_us") / F.lit(minute))
-    since = (F.col("ts_us") - at * minute) * 1e-6
-    both = both.withColumns({"__odd": at % 2 != 0, "__since": since, "__w": F.when(F.col("__q") == 0, F.exp(beta * since)).otherwise(0.0)})
-    # Trades of the same time that come after a row do not count.
-    after = W.partitionBy("symbol", "ts_us").orderBy("seq", "__q").rowsBetween(1, W.unboundedFollowing)
-    both = both.withColumns(
-        {
-            "__last": F.last("__t", ignorenulls=True).over(run),
-            "__later": F.coalesce(F.sum("__w").over(after), F.lit(0.0)),
-            **{f"__{n}": F.sum(F.when(F.col("__odd") == odd, F.col("__w")).otherwise(0.0)).over(recent) for n, odd in (("sum0", False), ("sum1", True))},
-        }
-    ).where("__q = 1")
-    own, before = F.when(F.col("__odd"), F.col("__sum1")).otherwise(F.col("__sum0")), F.when(F.col("__odd"), F.col("__sum0")).otherwise(F.col("__sum1"))
-    near = F.greatest(own - F.col("__later"), F.lit(0.0)) * F.exp(-beta * F.col("__since")) + before * F.exp(-beta * (F.col("__since") + BUFFER_S))
-    seen = both.select("symbol", "ts_us", "seq", "__last", (mu + alpha * near).alias("trade_intensity"))
-    out = b.join(seen, ["symbol", "ts_us", "seq"], "left")
-    t = F.col("__last")
-    return out.withColumn("price_impact", F.when((t["qty"] >= EPS) & (F.col("mid") >= EPS), (t["price"] - F.col("mid")) / t["qty"])).drop("__last")
+    last = both.withColumn("__t", F.last("__t", ignorenulls=True).over(run)).where("__q = 1").drop("__q")
+    out = b.join(last, ["symbol", "ts_us", "seq"], "left").join(near_trades(b.select("symbol", "ts_us", "seq"), trades, beta), ["symbol", "ts_us", "seq"], "left")
+    out = out.withColumns({"trade_intensity": mu + alpha * F.coalesce("near", F.lit(0.0)), "price_impact": impact(F.col("__t.price"), F.col("__t.qty"))})
+    return out.drop("__t", "near")

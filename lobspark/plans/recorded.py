@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 
 from lobspark.plans import views
 from lobspark.sources.feeds import FEEDS, OF_ONE_SYMBOL
+from lobspark.sources.shared import fresh_dir
 
-#: Ticks with rn, their number in the instrument, and all, their number. Sequence numbers jump at every seventh.
-_NUMBERED = "select *, row_number() over (partition by symbol order by seq) as rn, row_number() over (order by seq) as every from ({ticks}) t0"
+#: Ticks with rn, their number in the instrument, and, where a feed has one instrument, every, their number. Sequence numbers
+#: jump at every seventh.
+_NUMBERED = "select *, row_number() over (partition by symbol order by seq) as rn{every} from ({ticks}) t0"
+_EVERY = ", row_number() over (order by seq) as every"
+#: Feeds whose rules look at the message before: written to files and read from them.
+RULED = frozenset({"binance", "dukascopy", "gemini", "okx", "bybit"})
+FILES = 8
 
 _ISO = "date_format(timestamp_micros(ts_us), 'yyyy-MM-dd''T''HH:mm:ss.SSSSSS')"
 _MS = "ts_us div 1000"
@@ -56,9 +62,13 @@ _OUT = ("symbol", "kind", "ts_us", "side", "price", "qty", "is_buy", "bid", "bid
 
 def read_back(spark: SparkSession, ticks: DataFrame, feed: str) -> DataFrame:
     """Events of a feed's messages: the fields, and the best levels of snapshots."""
-    numbered = spark.sql(_NUMBERED.format(ticks="select * from {t}"), t=ticks)
     each = MESSAGES[feed]
+    numbered = spark.sql(_NUMBERED.format(ticks="select * from {t}", every=_EVERY if any("every" in m for m in each) else ""), t=ticks)
     raw = numbered.select(F.col("seq").alias("s"), F.posexplode(F.array(*map(F.expr, each))).alias("p", "value")).select((F.col("s") * len(each) + F.col("p")).alias("line"), "value")
+    if feed in RULED:
+        out = fresh_dir(spark, f"messages-{feed}")
+        raw.repartitionByRange(FILES, "line").sortWithinPartitions("line").select("value").write.text(out)
+        raw = spark.read.text(out)
     e = FEEDS[feed](raw, *(["X"] if feed in OF_ONE_SYMBOL else []), **({"levels": 1} if feed == "lobster_book" else {}))
     best = {n: F.get(c, F.lit(0))[f] for n, c, f in (("bid", "bids", "price"), ("bid_qty", "bids", "qty"), ("ask", "asks", "price"), ("ask_qty", "asks", "qty"))}
     return e.withColumns(best).select(*_OUT)
@@ -111,6 +121,6 @@ def expected(feed: str) -> str:
         "yahoo_chart": deal(up, sec, "false") + whole(up, sec, bid="price - 0.01::double", ask="price + 0.01::double", bid_qty="1000", ask_qty="1000"),
         "yahoo_quote": deal(up, sec, "false") + whole(up, sec, bid_qty="bid_qty * 100", ask_qty="ask_qty * 100"),
     }[feed]
-    numbered = _NUMBERED.format(ticks=views.ticks("duckdb")).replace("select *,", "select *, max(ts_us) over (order by seq) as max_ts,")
+    numbered = _NUMBERED.format(ticks=views.ticks("duckdb"), every=_EVERY).replace("select *,", "select *, max(ts_us) over (order by seq) as max_ts,")
     rounded = ", ".join(f"round({c}, 9) + 0.0 as {c}" if c in ("price", "qty", "bid", "bid_qty", "ask", "ask_qty") else c for c in _OUT)
     return f"with n as ({numbered}), e as ({' union all '.join(rows)}) select {rounded} from e"

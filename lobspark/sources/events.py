@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LEVELS = "array<struct<price:double,qty:double>>"
@@ -36,8 +38,9 @@ def gap(symbol: Column, ts_us: Column) -> Column:
     return _event("gap", symbol, ts_us)
 
 
-def disconnected() -> Column:
-    return _event("disconnected", F.lit(None), F.lit(None))
+def lost_connection(symbol: Column, ts_us: Column) -> Column:
+    """What an instrument knows of a cut of its feed."""
+    return _event("disconnected", symbol, ts_us)
 
 
 def level(price: Column, qty: Column) -> Column:
@@ -70,8 +73,17 @@ def held(levels: Column, empty: bool = False) -> Column:
 
 
 def with_line(raw: DataFrame) -> DataFrame:
-    """raw with `line`, the order of its messages; kept if it has one."""
-    return raw if "line" in raw.columns else raw.withColumn("line", F.monotonically_increasing_id())
+    """raw with `line`, the order of its messages; kept if it has one. Of files it is (path, start of the block, row in it),
+    as Spark packs files into partitions by size. Rows from elsewhere are in the order of their partitions; a stream must bring its own."""
+    if "line" in raw.columns:
+        return raw
+    if raw.isStreaming:
+        raise ValueError("a stream of messages needs `line`, their order: read it as captures")
+    row = F.monotonically_increasing_id()
+    try:
+        return raw.withColumn("line", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), row.alias("row")))
+    except AnalysisException:
+        return raw.withColumn("line", row)
 
 
 def flat(groups: Column) -> Column:
@@ -82,8 +94,9 @@ def flat(groups: Column) -> Column:
 def emitted(raw: DataFrame, events: Column, exchange: str) -> DataFrame:
     """One row for each event of each message: exchange, the event's fields, and seq: the message's line and the
     event's place in it. Neither is packed into the other, so neither has a limit."""
-    out = raw.select("line", F.posexplode(events).alias("__pos", "e"))
-    return out.select(F.lit(exchange).alias("exchange"), "e.*", F.struct(F.col("line").cast("bigint").alias("line"), F.col("__pos").alias("pos")).alias("seq"))
+    line = F.col("line") if isinstance(raw.schema["line"].dataType, T.StructType) else F.col("line").cast("bigint")
+    out = raw.select(line.alias("line"), F.posexplode(events).alias("__pos", "e"))
+    return out.select(F.lit(exchange).alias("exchange"), "e.*", F.struct("line", F.col("__pos").alias("pos")).alias("seq"))
 
 
 def sequenced(m: DataFrame, key: str) -> DataFrame:

@@ -76,15 +76,23 @@ def lobster_book(raw: DataFrame, symbol: str, levels: int = 10) -> DataFrame:
 
 
 def iex(raw: DataFrame) -> DataFrame:
-    """JSON lines: quotes (Q) and trades (T); blanks and comments are skipped; server-sent events may keep their prefix."""
+    """JSON lines: quotes (Q) and trades (T); blanks and comments are skipped. Server-sent events may keep their prefix, and hold
+    one message or an array of them."""
     clean = with_line(raw).withColumn("value", F.regexp_replace(F.trim("value"), r"^data:\s*", "")).where("value != '' and not startswith(value, '#')")
-    m = _json(clean, "messageType string, type string, symbol string, bidSize double, bidPrice double, askPrice double, askSize double, price double, size double, flags bigint, lastUpdated bigint, timestamp bigint")
-    kind, s = F.coalesce("m.messageType", "m.type"), F.col("m.symbol")
-    us = lambda a, b: _whole(F.coalesce(F.col(a), F.col(b), F.lit(0)))
-    tq, tt = us("m.lastUpdated", "m.timestamp"), us("m.timestamp", "m.lastUpdated")
-    quote = F.filter(F.array(F.when((F.col("m.bidPrice") > 0) & (F.col("m.bidSize") >= 0), delta(s, tq, "bid", F.col("m.bidPrice"), F.col("m.bidSize"))), F.when((F.col("m.askPrice") > 0) & (F.col("m.askSize") >= 0), delta(s, tq, "ask", F.col("m.askPrice"), F.col("m.askSize")))), lambda x: x.isNotNull())
-    deal = F.when((F.col("m.price") > 0) & (F.col("m.size") > 0), F.array(trade(s, tt, F.col("m.price"), F.col("m.size"), F.coalesce(F.col("m.flags").bitwiseAND(1) == 1, F.lit(False)))))
-    return emitted(m, F.when(kind == "Q", quote).when(kind == "T", F.coalesce(deal, none())).otherwise(none()), "iex")
+    clean = clean.withColumn("value", F.when(F.col("value").startswith("["), F.col("value")).otherwise(F.concat(F.lit("["), "value", F.lit("]"))))
+
+    def one(**f: Column) -> Column:
+        us = lambda *c: _whole(F.coalesce(*[f[x].try_cast("bigint") for x in c], F.lit(0)))
+        s, n = f["s"], {c: number(f[c]) for c in ("bp", "bs", "ap", "aq", "p", "q")}
+        side = lambda name, p, q: F.when((n[p] > 0) & (n[q] >= 0), delta(s, us("updated", "time"), name, n[p], n[q]))
+        quote = F.filter(F.array(side("bid", "bp", "bs"), side("ask", "ap", "aq")), lambda x: x.isNotNull())
+        buy = F.coalesce(f["flags"].try_cast("bigint").bitwiseAND(1) == 1, F.lit(False))
+        deal = F.when((n["p"] > 0) & (n["q"] > 0), F.array(trade(s, us("time", "updated"), n["p"], n["q"], buy)))
+        kind = F.coalesce(f["kind"], f["type"])
+        return F.when(kind == "Q", quote).when(kind == "T", F.coalesce(deal, none())).otherwise(none())
+
+    paths = {"kind": "messageType", "type": "type", "s": "symbol", "bp": "bidPrice", "bs": "bidSize", "ap": "askPrice", "aq": "askSize", "p": "price", "q": "size", "flags": "flags", "updated": "lastUpdated", "time": "timestamp"}
+    return _listed(clean, "iex", one, **paths)
 
 
 def dukascopy(raw: DataFrame, symbol: str, clamp: bool = True) -> DataFrame:

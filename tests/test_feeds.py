@@ -57,6 +57,26 @@ def test_iex(spark):
     t = {"type": "T", "symbol": "A", "price": 10.05, "size": 5, "flags": 1, "timestamp": 2_000_000_000}
     got = read(spark, "iex", "# comment", q, "data: " + json.dumps(t), {"messageType": "H"}, "")
     assert brief(got) == [("delta", "A", 1_000_000, "bid", 10.0, 0), ("delta", "A", 1_000_000, "ask", 10.1, 3), ("trade", "A", 2_000_000, None, 10.05, 5)] and got[2]["is_buy"]
+    assert brief(read(spark, "iex", "data: " + json.dumps([q, t]), "data: []", "data: [1, null]")) == brief(got)
+
+
+def test_order_over_files(spark, tmp_path):
+    """A small early file and a large later one: Spark packs the large one first, but lines follow files."""
+    for name, lines in {
+        "binance": [json.dumps({"e": "depthUpdate", "E": i, "s": "A", "U": i + 1, "u": i + 1, "b": [["1", "1"]], "a": [["2", "1"]]}) for i in range(1000)],
+        "dukascopy": [f"2023-01-{1 + (i >= 100):02d} 00:{i // 60 % 60:02d}:{i % 60:02d}.000,1.2,1.1,1,1" for i in range(1000)],
+        "gemini": [json.dumps({"type": "update", "timestampms": i, "socket_sequence": i, "events": [{"type": "change", "reason": "place", "price": "1", "remaining": "1", "side": "bid"}] * 2}) for i in range(1000)],
+        "okx": [json.dumps({"action": "update" if i else "snapshot", "arg": {"instId": "A"}, "data": [{"bids": [["1", "1"], ["2", "2"]], "asks": [], "ts": str(i), "seqId": i, "prevSeqId": i - 1}]}) for i in range(1000)],
+        "bybit": [json.dumps({"topic": "x", "type": "delta" if i else "snapshot", "ts": i, "data": {"s": "A", "b": [["1", "1"], ["2", "2"]], "a": [], "u": i}}) for i in range(1000)],
+    }.items():
+        at = tmp_path / name
+        at.mkdir()
+        (at / "1.txt").write_text("".join(f"{m}\n" for m in lines[:100]))
+        (at / "2.txt").write_text("".join(f"{m}\n" for m in lines[100:]))
+        events = FEEDS[name](spark.read.text(str(at)), *(["A"] if name in OF_ONE_SYMBOL else []))
+        kinds = {r.kind: r["count"] for r in events.groupBy("kind").count().collect()}
+        assert kinds == ({"delta": 2000} if name in ("binance", "dukascopy", "gemini") else {"snapshot": 1, "delta": 1998}), name
+        assert name != "dukascopy" or events.where("ts_us < 1672617600000000").count() == 200
 
 
 def test_dukascopy(spark):
