@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lobspark.operators.segments import before_segment, in_blocks, placed
+
 
 def finite(x: str) -> Column:
     c = F.col(x).cast("double")
@@ -43,14 +45,16 @@ def large_keys(df: DataFrame, keys: list[str], rows: int = 4_000_000) -> DataFra
 
 
 def rank_in_parts(df: DataFrame, keys: list[str], x: str, parts: int = 256) -> DataFrame:
-    """df with `r:<x>`, the average rank of x within keys, without any key in one task: rows are dealt by key and by which of
-    the key's approximate quantiles they lie between, ranked there, and moved up by the counts of the parts below."""
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("__cuts"))
-    rows = df.join(cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
-    sizes = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__m"))
-    below = sizes.withColumn("__below", F.coalesce(F.sum("__m").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("__r", average_rank(x, [*keys, "__part"])).join(below.drop("__m"), [*keys, "__part"])
-    return rows.withColumn(f"r:{x}", F.col("__r") + F.col("__below")).drop("__part", "__r", "__below")
+    """df with `r:<x>`, the average rank of x within keys, without any key in one task. Values are counted first, so that ties are one
+    row; distinct values are dealt by key and by which of the key's approximate quantiles they lie between, counts run up there
+    and on from the parts below, and rows take the rank of their value."""
+    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10 * parts).alias("__cuts"))
+    values = counts.join(cuts, keys).withColumn("__seg", F.size(F.filter("__cuts", lambda c: c < F.col(x)))).drop("__cuts")
+    below = before_segment(values, keys, {"__below": F.sum("__n")})
+    run = W.partitionBy(*keys, "__seg").orderBy(x).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranks = values.withColumn("__r", F.sum("__n").over(run) - (F.col("__n") - 1) / 2.0).join(below, [*keys, "__seg"])
+    return df.join(ranks.select(*keys, x, (F.col("__r") + F.col("__below")).alias(f"r:{x}")), [*keys, x])
 
 
 def spearman_in_parts(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) -> DataFrame:
@@ -80,10 +84,6 @@ def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[s
     long = wide.unpivot([*keys, *returns], signals, "indicator", "__x").where("__x is not null")
     names, types = [*keys, "indicator", "horizon", "ic", "n"], {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def ranked(v: np.ndarray) -> np.ndarray:
-        _, at, count = np.unique(v, return_inverse=True, return_counts=True)
-        return (np.cumsum(count) - (count - 1) / 2)[at]
-
     def score(key: tuple, t: pa.Table) -> pa.Table:
         x, out = t.column("__x").to_numpy(), []
         for h in returns:
@@ -91,10 +91,7 @@ def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[s
             ok = ~np.isnan(y)
             n = int(ok.sum())
             if n:
-                a, b = ranked(x[ok]), ranked(y[ok])
-                a, b = a - a.mean(), b - b.mean()
-                var = (a @ a) * (b @ b)
-                out.append((*(k.as_py() for k in key), h, float(a @ b / np.sqrt(var)) if n >= max(least, 2) and var > 0 else None, n))
+                out.append((*(k.as_py() for k in key), h, rank_correlation(x[ok], y[ok]) if n >= max(least, 2) else None, n))
         fields = [pa.field(c, t.schema.field(c).type) for c in [*keys, "indicator"]] + [pa.field("horizon", pa.string()), pa.field("ic", pa.float64()), pa.field("n", pa.int64())]
         return pa.table([pa.array([o[i] for o in out], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
@@ -163,61 +160,128 @@ def solved(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
 
 def ols(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """(keys, n, beta (constant first), ss_res): least squares by group; null beta if singular."""
-    sums = ols_sums(df, keys, y, xs)
-    k = len(xs) + 1
+    return solved_sums(ols_sums(df, keys, y, xs), keys, len(xs) + 1)
+
+
+def solved_sums(sums: DataFrame, keys: list[str], k: int, row: int | None = None) -> DataFrame:
+    """(keys, n, beta, ss_res) of ols_sums, and, if asked for, `inverse`: a row of the inverse of X'X."""
 
     def fit(batches):
         for b in batches:
-            betas, res = [], []
+            betas, res, rows = [], [], []
             for xtx, xty, yy in zip(b.column("xtx").to_pylist(), b.column("xty").to_pylist(), b.column("yy").to_pylist(), strict=True):
                 v = np.array(xty)
-                beta = solved(np.array(xtx).reshape(k, k), v)
-                betas.append(None if beta is None else beta.tolist())
-                res.append(None if beta is None else float(yy - beta @ v))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], b.column("n"), pa.array(betas, pa.list_(pa.float64())), pa.array(res, pa.float64())], [*keys, "n", "beta", "ss_res"])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in keys), "n long, beta array<double>, ss_res double"])
-    return sums.mapInArrow(fit, schema)
-
-
-def newey_west(x: np.ndarray, e: np.ndarray, lag: int) -> np.ndarray | None:
-    """HAC standard errors of the columns of x with Bartlett weights; None if too short or singular."""
-    n, k = x.shape
-    if n <= k + lag:
-        return None
-    inv = solved(x.T @ x, np.eye(k))
-    if inv is None:
-        return None
-    z = x * e[:, None]
-    s = z.T @ z
-    size = 1 << (2 * n - 1).bit_length()
-    f = np.fft.rfft(z, size, axis=0)
-    for i in range(k):
-        for j in range(k):  # all lags at once: correlations by FFT
-            g = np.fft.irfft(f[:, i] * np.conj(f[:, j]), size)[1 : lag + 1]
-            w = 1 - np.arange(1, lag + 1) / (lag + 1)
-            s[i, j] += w @ g
-            s[j, i] += w @ g
-    return np.sqrt(np.maximum(np.diag(inv @ s @ inv), 0.0))
-
-
-def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
-    return solved(x.T @ x, x.T @ y)
-
-
-def adf(y: np.ndarray, lags: int) -> float | None:
-    """Augmented Dickey-Fuller t-statistic with a constant and HAC errors."""
-    d = np.diff(y)
-    n = len(d) - lags
-    if n < lags + 4:
-        return None
-    x = np.column_stack([np.ones(n), y[lags:-1], *[d[lags - j : len(d) - j] for j in range(1, lags + 1)]])
-    t = d[lags:]
-    beta = fitted(x, t)
-    if beta is None:
-        return None
-    se = newey_west(x, t - x @ beta, max(lags, 1))
-    return float(beta[1] / se[1]) if se is not None and se[1] > 0 else None
+                found = solved(np.array(xtx).reshape(k, k), np.column_stack([v, np.eye(k)]))
+                betas.append(None if found is None else found[:, 0].tolist())
+                res.append(None if found is None else float(yy - found[:, 0] @ v))
+                rows.append(None if found is None or row is None else found[row, 1:].tolist())
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], b.column("n"), pa.array(betas, doubles), pa.array(res, pa.float64()), pa.array(rows, doubles)], [*keys, "n", "beta", "ss_res", "inverse"])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema if f.name in keys), "n long, beta array<double>, ss_res double, inverse array<double>"])
+    out = sums.mapInArrow(fit, schema)
+    return out if row is not None else out.drop("inverse")
+
+
+#: Places of a block of a series: whole steps of a rolling window, and at least as long as any lag.
+BLOCK = 63 * 128
+
+
+def lagged(u: np.ndarray, own: int, lag: int) -> float:
+    """sum of u_t u_(t-l) (1 - l / (lag + 1)) over l = 1..lag and the t from `own` on, by FFT."""
+    w = np.concatenate([[0.0], 1 - np.arange(1, lag + 1) / (lag + 1)])
+    size = 1 << (len(u) + lag).bit_length()
+    past = np.fft.irfft(np.fft.rfft(u, size) * np.fft.rfft(w, size), size)[: len(u)]
+    return float(u[own:] @ past[own:])
+
+
+def ranked(v: np.ndarray) -> np.ndarray:
+    """Average ranks."""
+    _, at, count = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2)[at]
+
+
+def rank_correlation(x: np.ndarray, y: np.ndarray) -> float | None:
+    a, b = ranked(x), ranked(y)
+    a, b = a - a.mean(), b - b.mean()
+    var = (a @ a) * (b @ b)
+    return float(a @ b / np.sqrt(var)) if var > 0 else None
+
+
+def series_facts(df: DataFrame, keys: list[str], order: list[str], xs: list[str], ys: dict[str, int], window: int, step: int, parts: int | None = None) -> DataFrame:
+    """(keys, feature, horizon, n, beta, nw_t, icir) for every x and y: slope, its t by HAC errors with Bartlett weights over the y's
+    lags, and the mean over deviation of rank correlations in sliding windows; finite pairs alone.
+
+    A pair's rows get their place among its finite rows, and are dealt in blocks of places, with the rows before that
+    lags reach and the rows after that windows reach. For a slope, HAC errors need one number a row, (x - mean x) times the
+    residual, and its lagged products, summed by block. No series is gathered.
+    """
+    if BLOCK % step or BLOCK < max([*ys.values(), window]):
+        raise ValueError("windows start at whole blocks, and a block is at least as long as a lag or a window")
+    base = df.select(*keys, *order, *[finite(c).alias(c) for c in dict.fromkeys([*xs, *ys])])
+    pairs = {f"i:{x}:{y}": F.col(x).isNotNull() & F.col(y).isNotNull() for x in xs for y in ys}
+    rows = placed(base, keys, order, pairs, **({} if parts is None else {"parts": parts, "least": 0}))
+    one = [F.struct(F.lit(x).alias("feature"), F.lit(y).alias("horizon"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(f"`i:{x}:{y}`").alias("i"), F.lit(lag).alias("lag")) for x in xs for y, lag in ys.items()]
+    long = rows.select(*keys, F.explode(F.array(*one)).alias("s")).select(*keys, "s.*").where("i is not null")
+    by = [*keys, "feature", "horizon"]
+    var, co = F.var_pop("x"), F.covar_pop("x", "y")
+    n = F.count(F.lit(1))
+    ok = (n >= 4) & (n * var >= 1e-12)
+    fits = long.groupBy(*by).agg(n.alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), var.alias("vx"), F.when(ok, F.try_divide(co, var)).alias("beta"))
+    rows = in_blocks(long, "i", BLOCK, F.col("lag"), window - step).join(fits, by)
+    u = (F.col("x") - F.col("mx")) * (F.col("y") - F.col("my") - F.col("beta") * (F.col("x") - F.col("mx")))
+    rows = rows.select(*by, "block", "i", "lag", "x", "y", u.alias("u"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def work(key: tuple, t: pa.Table) -> pa.Table:
+        i, x, y, u = (t.column(c).to_numpy() for c in ("i", "x", "y", "u"))
+        at = np.argsort(i)
+        i, x, y, u = i[at], x[at], y[at], u[at]
+        start = key[-1].as_py() * BLOCK
+        own, end = np.searchsorted(i, [start, start + BLOCK])
+        s = u[own:end] @ u[own:end] + 2 * lagged(u[:end], int(own), int(t.column("lag")[0].as_py())) if not np.isnan(u).any() else None
+        ics = [rank_correlation(x[a : a + window], y[a : a + window]) for a in range(int(own), int(end), step) if a + window <= len(i)]
+        out = [pa.array([k.as_py()], t.schema.field(c).type) for k, c in zip(key[:-1], by, strict=True)]
+        return pa.table([*out, pa.array([s], pa.float64()), pa.array([[r for r in ics if r is not None]], pa.list_(pa.float64()))], [*by, "s", "ics"])
+
+    done = rows.groupBy(*by, "block").applyInArrow(work, ", ".join(f"{c} {kinds[c]}" for c in by) + ", s double, ics array<double>")
+    sums = done.groupBy(*by).agg(F.sum("s").alias("s"), F.flatten(F.collect_list("ics")).alias("ics"))  # a number for each step of a series
+    mean = F.try_divide(F.aggregate("ics", F.lit(0.0), lambda a, r: a + r), F.size("ics"))
+    sd = F.sqrt(F.try_divide(F.aggregate("ics", F.lit(0.0), lambda a, r: a + (r - F.col("__m")) * (r - F.col("__m"))), F.size("ics") - 1))
+    out = fits.join(sums, by).withColumn("__m", F.when(F.size("ics") > 1, mean))
+    lag = F.element_at(F.create_map(*[v for y, k in ys.items() for v in (F.lit(y), F.lit(k))]), F.col("horizon"))
+    se = F.try_divide(F.sqrt(F.greatest("s", F.lit(0.0))), F.col("n") * F.col("vx"))
+    out = out.withColumns({"sd": F.when(F.size("ics") > 1, sd), "se": F.when(F.col("n") > 2 + lag, se)})
+    return out.select(*by, "n", "beta", F.when(F.col("se") > 0, F.try_divide("beta", "se")).alias("nw_t"), F.when(F.col("sd") > 0, F.try_divide("__m", "sd")).alias("icir"))
+
+
+def dickey_fuller(df: DataFrame, keys: list[str], order: list[str], xs: list[str], lags: int, parts: int | None = None, block: int = 1 << 16) -> DataFrame:
+    """(keys, feature, t): augmented Dickey-Fuller t with a constant and HAC errors, null if a series is too short or singular.
+
+    Differences and their lags are taken within blocks of places with a halo, the fit is sums of products, and the t
+    needs one number a row: the row of the inverse that belongs to the level, times the regressors and the residual.
+    """
+    base = df.select(*keys, *order, *[finite(c).alias(c) for c in xs])
+    rows = placed(base, keys, order, {f"i:{x}": F.col(x).isNotNull() for x in xs}, **({} if parts is None else {"parts": parts, "least": 0}))
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("x"), F.col(f"`i:{x}`").alias("i")) for x in xs])).alias("s")).select(*keys, "s.*").where("i is not null")
+    by, back = [*keys, "feature"], max(lags, 1)
+    w = W.partitionBy(*by, "block").orderBy("i")
+    cut = in_blocks(long, "i", block, lags + 1 + back).withColumn("own", F.floor(F.col("i") / block) == F.col("block"))
+    cut = cut.withColumn("y1", F.lag("x").over(w)).withColumn("d0", F.col("x") - F.col("y1"))
+    names = ["y1", *[f"d{k}" for k in range(1, lags + 1)]]
+    cut = cut.withColumns({f"d{k}": F.lag("d0", k).over(w) for k in range(1, lags + 1)}).withColumn("whole", F.col("i") > lags)
+    fits = solved_sums(ols_sums(cut.where("own and whole"), by, "d0", names), by, len(names) + 1, 1)
+    cut = cut.join(fits.select(*by, "n", "beta", "inverse"), by)
+    terms = [F.lit(1.0), *map(F.col, names)]
+    hat = sum((F.element_at("beta", j + 1) * c for j, c in enumerate(terms)), F.lit(0.0))
+    v = sum((F.element_at("inverse", j + 1) * c for j, c in enumerate(terms)), F.lit(0.0))
+    cut = cut.withColumn("u", F.when(F.col("whole"), v * (F.col("d0") - hat)))
+    past = sum((F.coalesce(F.lag("u", k).over(w), F.lit(0.0)) * (2 * (1 - k / (back + 1))) for k in range(1, back + 1)), F.lit(0.0))
+    cut = cut.withColumn("s", F.col("u") * (F.col("u") + past)).where("own and whole")
+    out = cut.groupBy(*by).agg(F.first("n").alias("n"), F.first("beta").alias("beta"), F.sum("s").alias("s"))
+    enough = (F.col("n") >= lags + 4) & (F.col("n") > len(names) + 1 + back) & (F.col("s") > 0)
+    found = out.select(*by, F.when(enough, F.try_divide(F.element_at("beta", 2), F.sqrt("s"))).alias("t"))
+    return long.select(*by).distinct().join(found, by, "left")
 
 
 def ljung_box(df: DataFrame, keys: list[str], order: list[str], x: str, lags: int = 20) -> DataFrame:

@@ -22,36 +22,12 @@ def summary(f: DataFrame) -> DataFrame:
     return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("first_ts"), F.max("ts_us").alias("last_ts"))
 
 
-def _long(f: DataFrame, features: list[str], returns: list[str]) -> DataFrame:
-    """(symbol, ts_us, seq, feature, horizon, x, y), finite pairs alone."""
-    base = f.select("symbol", "ts_us", "seq", *[finite(c).alias(c) for c in dict.fromkeys([*features, *returns])])
-    xs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in features]))
-    ys = F.explode(F.array(*[F.struct(F.lit(c).alias("horizon"), F.col(c).alias("y")) for c in returns]))
-    out = base.withColumn("f", xs).where("f.x is not null").withColumn("h", ys).where("h.y is not null")
-    return out.select("symbol", "ts_us", "seq", "f.feature", "f.x", "h.horizon", "h.y")
-
-
-def newey_west_t(f: DataFrame, features: list[str], returns: list[str]) -> DataFrame:
-    """(symbol, feature, horizon, beta, nw_t): slope with HAC errors, lags ten times the horizon. One feature and horizon of one instrument is a task's unit."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "seq"])
-        x, y = np.column_stack([np.ones(len(pdf)), pdf["x"]]), pdf["y"].to_numpy()
-        beta = stats.fitted(x, y) if len(y) >= 4 else None
-        se = stats.newey_west(x, y - x @ beta, 10 * HORIZON_S[pdf["horizon"].iloc[0]]) if beta is not None else None
-        row = pdf.iloc[0]
-        return pd.DataFrame([(row["symbol"], row["feature"], row["horizon"], None if beta is None else beta[1], beta[1] / se[1] if se is not None and se[1] > 0 else None)], columns=["symbol", "feature", "horizon", "beta", "nw_t"])
-
-    return _long(f, features, returns).groupBy("symbol", "feature", "horizon").applyInPandas(fit, "symbol string, feature string, horizon string, beta double, nw_t double")
-
-
 def ic_section(f: DataFrame, features: list[str], returns: list[str]) -> DataFrame:
-    """(symbol, feature, horizon, ic, n, icir, beta, nw_t)."""
+    """(symbol, feature, horizon, ic, n, icir, beta, nw_t): lags of the HAC errors are ten times the horizon."""
     keys = ["symbol", "feature", "horizon"]
-    long = _long(f, features, returns)
-    ic = stats.spearman(long, keys, "x", "y")
-    ir = stats.icir(stats.rolling_ic(long, keys, ["ts_us", "seq"], "x", "y", IC_WINDOW, IC_STEP), keys).drop("n")
-    return ic.join(ir, keys, "left").join(newey_west_t(f, features, returns), keys, "left")
+    ic = stats.ic_table(f, ["symbol"], features, returns, 2, None, stats.large_keys(f, ["symbol"])).withColumnRenamed("indicator", "feature")
+    facts = stats.series_facts(f, ["symbol"], ["ts_us", "seq"], features, {h: 10 * HORIZON_S[h] for h in returns}, IC_WINDOW, IC_STEP)
+    return ic.join(facts.drop("n"), keys, "left").select(*keys, "ic", "n", "icir", "beta", "nw_t")
 
 
 def decay_section(ic: DataFrame) -> DataFrame:
@@ -61,14 +37,7 @@ def decay_section(ic: DataFrame) -> DataFrame:
 
 def adf_section(f: DataFrame, features: list[str]) -> DataFrame:
     """(symbol, feature, t, stationary)."""
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(["ts_us", "seq"])["x"].to_numpy()
-        return pd.DataFrame([(pdf["symbol"].iloc[0], pdf["feature"].iloc[0], stats.adf(y, ADF_LAGS))], columns=["symbol", "feature", "t"])
-
-    base = f.select("symbol", "ts_us", "seq", *[finite(c).alias(c) for c in features])
-    long = base.withColumn("f", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in features]))).select("symbol", "ts_us", "seq", "f.feature", "f.x").where("x is not null")
-    return long.groupBy("symbol", "feature").applyInPandas(test, "symbol string, feature string, t double").withColumn("stationary", F.col("t") < ADF_CRITICAL)
+    return stats.dickey_fuller(f, ["symbol"], ["ts_us", "seq"], features, ADF_LAGS).withColumn("stationary", F.col("t") < ADF_CRITICAL)
 
 
 def chosen_features(f: DataFrame, features: list[str]) -> DataFrame:

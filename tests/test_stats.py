@@ -35,20 +35,76 @@ def test_least_squares_and_errors(spark):
     r = stats.ols(frame(spark, range(10), [2 * i + 1 for i in range(10)]), ["symbol"], "y", ["x"]).collect()[0]
     assert r.beta == pytest.approx([1, 2]) and r.ss_res == pytest.approx(0, abs=1e-8)
     assert stats.ols(frame(spark, [1] * 5, range(5)), ["symbol"], "y", ["x"]).collect()[0].beta is None
-    rng = np.random.default_rng(0)
-    x, e = np.column_stack([np.ones(60), rng.normal(size=60)]), rng.normal(size=60)
-    z, s, inv = x * e[:, None], np.zeros((2, 2)), np.linalg.inv(x.T @ x)
-    for lag in range(8):
-        g = z[lag:].T @ z[: 60 - lag]
-        s += g if lag == 0 else (1 - lag / 8) * (g + g.T)
-    assert stats.newey_west(x, e, 7) == pytest.approx(np.sqrt(np.diag(inv @ s @ inv)))
-    assert stats.newey_west(x, e, 58) is None and stats.solved(np.zeros((2, 2)), np.ones(2)) is None
+    assert stats.solved(np.zeros((2, 2)), np.ones(2)) is None
+
+
+def newey_west(x, e, lag):
+    """HAC standard errors, term by term."""
+    n, k = x.shape
+    if n <= k + lag:
+        return None
+    z, inv = x * e[:, None], np.linalg.inv(x.T @ x)
+    s = z.T @ z
+    for i in range(1, lag + 1):
+        g = z[i:].T @ z[: n - i]
+        s += (1 - i / (lag + 1)) * (g + g.T)
+    return np.sqrt(np.diag(inv @ s @ inv))
+
+
+def adf(y, lags):
+    d = np.diff(y)
+    n = len(d) - lags
+    if n < lags + 4:
+        return None
+    x = np.column_stack([np.ones(n), y[lags:-1], *[d[lags - j : len(d) - j] for j in range(1, lags + 1)]])
+    beta = np.linalg.solve(x.T @ x, x.T @ d[lags:])
+    se = newey_west(x, d[lags:] - x @ beta, max(lags, 1))
+    return None if se is None else beta[1] / se[1]
+
+
+def series(n, seed, symbol):
+    rng = np.random.default_rng(seed)
+    x = np.convolve(rng.normal(size=n + 4), [0.5, 0.3, 0.2, 0.1, 0.1], "valid")
+    y = 0.2 * x + np.convolve(rng.normal(size=n + 20), np.ones(21) / 9, "valid")
+    gone = rng.random((2, n)) < 0.02
+    t = np.sort(rng.integers(0, 3 * n, n))  # several rows of a time
+    return [(symbol, int(t[i]), i, None if gone[0, i] else float(round(x[i], 2)), float("nan") if gone[1, i] else float(y[i])) for i in range(n)]
+
+
+SERIES = {"long": series(20_000, 1, "long"), "short": series(400, 2, "short"), "tiny": series(9, 3, "tiny"), "flat": [("flat", i, i, 1.0, float(i % 7)) for i in range(300)]}
+
+
+@pytest.mark.parametrize("parts", [1, 64])
+def test_series_in_blocks(spark, parts):
+    """HAC errors, windows and Dickey-Fuller as on whole series, with one segment and with 64."""
+    df = spark.createDataFrame([r for rows in SERIES.values() for r in rows], COLS)
+    got = {r.symbol: r for r in stats.series_facts(df, ["symbol"], ["ts_us", "seq"], ["x"], {"y": 3000}, 252, 63, parts).collect()}
+    near = {r.symbol: r for r in stats.series_facts(df, ["symbol"], ["ts_us", "seq"], ["x"], {"y": 10}, 252, 63, parts).collect()}
+    walk = {r.symbol: r.t for r in stats.dickey_fuller(df, ["symbol"], ["ts_us", "seq"], ["x"], 5, parts, 1000).collect()}
+    assert got.keys() == near.keys() == walk.keys() == SERIES.keys()
+    for name, rows in SERIES.items():
+        pairs = np.array([(x, y) for *_, x, y in rows if x is not None and not math.isnan(y)])
+        x, y = np.column_stack([np.ones(len(pairs)), pairs[:, 0]]), pairs[:, 1]
+        ics = [stats.rank_correlation(pairs[a : a + 252, 0], pairs[a : a + 252, 1]) for a in range(0, len(pairs) - 251, 63)]
+        ics = [v for v in ics if v is not None]
+        assert near[name].n == len(pairs)
+        assert near[name].icir == (pytest.approx(np.mean(ics) / np.std(ics, ddof=1)) if len(ics) > 1 else None)
+        if name == "flat":
+            assert near[name].beta is None and near[name].nw_t is None and walk[name] is None
+            continue
+        beta = np.linalg.solve(x.T @ x, x.T @ y)
+        assert near[name].beta == pytest.approx(beta[1])
+        for r, lag in ((near, 10), (got, 3000)):
+            se = newey_west(x, y - x @ beta, lag)
+            assert r[name].nw_t == (None if se is None else pytest.approx(beta[1] / se[1], rel=1e-6)), (name, lag)
+        t = adf(np.array([v for *_, v, _ in rows if v is not None]), 5)
+        assert walk[name] == (None if t is None else pytest.approx(t, rel=1e-6)), name
 
 
 def test_time_series(spark):
     rng = np.random.default_rng(1)
     noise = rng.normal(size=400)
-    assert stats.adf(noise, 5) < -5 and stats.adf(np.cumsum(noise), 5) > -3.5 and stats.adf(noise[:6], 5) is None
+    assert adf(noise, 5) < -5 and adf(np.cumsum(noise), 5) > -3.5
     r = stats.ljung_box(frame(spark, noise, noise), ["symbol"], ["ts_us", "seq"], "x").collect()[0]
     c = noise - noise.mean()
     want = 400 * 402 * sum((c[k:] @ c[: 400 - k] / (c @ c)) ** 2 / (400 - k) for k in range(1, 21))
