@@ -391,13 +391,69 @@ fl as (select t.symbol, t.rn, sum(case when j.rn = 1 then j.signal else (1 - exp
 select symbol, ts_us, seq, round(signal, 6) + 0.0 as signal, round(filtered, 6) + 0.0 as filtered, (case when filtered > stddev_pop(filtered) over (partition by symbol) then 1 when filtered < -stddev_pop(filtered) over (partition by symbol) then -1 else 0 end)::int as position from sg join fl using (symbol, rn)""")
 
 
+def _orthogonal(xs: list[str], y: str, out: str) -> str:
+    """CTEs that take from y and from each x, in turn, what the x before it explain; the last is `out`."""
+    ctes = [f"{out}_0 as (select symbol, ts_us, seq, {', '.join(f'{c} - avg({c}) over (partition by symbol) as {c}' for c in [*xs, y])} from whole)"]
+    for i, x in enumerate(xs):
+        later = [*xs[i + 1 :], y]
+        ctes.append(f"{out}_{i + 1} as (select symbol, ts_us, seq, {', '.join(f'{c} - {x} * sum({c} * {x}) over (partition by symbol) / sum({x} * {x}) over (partition by symbol) as {c}' for c in later)} from {out}_{i})")
+    return ", ".join([*ctes, f"{out} as (select symbol, ts_us, seq, {y} as e from {out}_{len(xs)})"])
+
+
 # --- Backtests --------------------------------------------------------------------------------------
 
-CONFIG = backtest.Config(train_days=8, test_days=4, resample_s=1.0)
+#: depth_imb says the same as queue_imb, with which no fit is regular.
+CONFIG = backtest.Config(train_days=8, test_days=4, resample_s=1.0, features=("ofi_1", "depth_imb", "microprice_dev", "trade_intensity"))
 QUERIES["backtest"] = lambda spark, sf_dir: rounded(backtest.backtested(feature_table(spark, sf_dir), CONFIG))
 QUERIES["backtest_summary"] = lambda spark, sf_dir: rounded(backtest.summarised(backtest.backtested(feature_table(spark, sf_dir), CONFIG)))
 
 
+def _backtest_sql(c: backtest.Config) -> str:
+    """Windows joined by range, fits by orthogonal parts, z-scores in frames of the bar's length, decay as a weighted sum."""
+    day, xs, key = backtest.DAY_US, list(c.features), "symbol, window_idx"
+    train, test = int(c.train_days * day), int(c.test_days * day)
+    chains, z = [], []
+    for i, x in enumerate(xs):  # a regressor's beta: what is left of it beside the others, against the target
+        chains.append(_orthogonal([v for v in xs if v != x], x, f"q{i}").replace("symbol", key).replace("from whole", "from fit_rows"))
+        z.append(f"we.w{i} * case when stddev_pop({x}) over fr < 2.2e-16 then 0 else ({x} - avg({x}) over fr) / stddev_pop({x}) over fr end")
+    betas = ", ".join(f"b{i} as (select f.symbol, f.window_idx, sum(e * {c.target}) / sum(e * e) as b{i} from q{i} join fit_rows f using (symbol, window_idx, ts_us, seq) group by all)" for i in range(len(xs)))
+    sizes = " + ".join(f"abs(b{i})" for i in range(len(xs)))
+    order = "order by ts_us, seq"
+    by = f"partition by {key}"
+    whole = " and ".join(f"{x} is not null" for x in xs)
+    return f"""{_FT}, sy as (select symbol, min(ts_us) as t0, max(ts_us) as t1, (max(ts_us) - min(ts_us)) / 1e6::double / (count(*) - 1) as dt from ft group by symbol),
+sm as (select symbol, spread as median_spread from (select symbol, spread, row_number() over (partition by symbol order by spread) as rn, count(*) over (partition by symbol) as m from ft where spread > 0) where rn = m // 2 + 1),
+sp as (select sy.*, greatest(round({c.resample_s} / dt), 1)::bigint as skip, dt * greatest(round({c.resample_s} / dt), 1) as bar_s, {c.max_spread_multiple}::double * median_spread as max_spread from sy join sm using (symbol) where t1 - t0 >= {train + test}),
+wi as (select sp.*, unnest(range(0, (t1 - t0 - {train + test}) // {test} + 1))::int as window_idx from sp),
+al as (select ft.*, wi.window_idx, wi.skip, wi.bar_s, wi.max_spread, ft.ts_us - t0 - window_idx::bigint * {test} < {train} as is_train from ft join wi on wi.symbol = ft.symbol and ft.ts_us - t0 >= window_idx::bigint * {test} and ft.ts_us - t0 < window_idx::bigint * {test} + {train + test}),
+th as (select * from (select *, row_number() over ({by}, is_train {order}) - 1 as bar from al) where bar % skip = 0),
+ok as (select *, count(*) filter (is_train) over ({by}) as train_rows, count(*) filter (not is_train) over ({by}) as test_rows from th),
+us as (select * from ok where train_rows >= {c.least_train} and test_rows >= {c.least_test}),
+fit_rows as (select * from us where is_train and {whole} and {c.target} is not null), {', '.join(chains)}, {betas},
+we as (select {key}, {', '.join(f'b{i} / ({sizes}) as w{i}' for i in range(len(xs)))} from {' join '.join(['b0', *[f'b{i} using (symbol, window_idx)' for i in range(1, len(xs))]])}),
+zs as (select us.*, greatest(10, least(300, floor(1800 / bar_s)::int)) as size, row_number() over ({by} {order}) as rn from us where not is_train and {whole}),
+zr as (select zs.*, case when rn >= size then {' + '.join(z)} end as raw from zs join we using (symbol, window_idx) window fr as (partition by zs.symbol, zs.window_idx order by ts_us, seq rows between size - 1 preceding and current row)),
+zf as (select t.symbol, t.window_idx, t.ts_us, t.seq, sum(case when j.rn = t.size then j.raw else (1 - exp(-t.bar_s / {c.tau_star_s})) * j.raw end * exp(-t.bar_s / {c.tau_star_s} * (t.rn - j.rn))) as signal
+from zr t join zr j on j.symbol = t.symbol and j.window_idx = t.window_idx and j.rn <= t.rn and j.raw is not null where t.raw is not null group by all),
+sg as (select us.*, zf.signal from us left join zf using (symbol, window_idx, ts_us, seq) where not is_train),
+rk as (select {key}, {_RANKS.format(k=key, x='signal')} as rx, {_RANKS.format(k=key, x=c.target)} as ry from sg where signal is not null and {c.target} is not null),
+ic as (select {key}, coalesce(case when count(*) >= 2 and var_pop(rx) * var_pop(ry) > 0 then covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) end, 0) as oos_ic from rk group by all),
+sd as (select {key}, case when count(signal) > 1 then greatest(stddev_pop(signal), 1e-10) else 1.0 end::double as sigma from sg group by all),
+ps as (select sg.*, sd.sigma, k::double as k, case when coalesce(spread, 0) > max_spread then 0 when signal > k * sigma then 1 when signal < -k * sigma then -1 else 0 end as pos from sg join sd using (symbol, window_idx), (select unnest([{', '.join(map(str, c.thresholds))}]) as k)),
+pv as (select *, coalesce(lag(pos) over (partition by {key}, k {order}), 0) as prev from ps),
+pl as (select *, prev * coalesce({c.target}, 0) - abs(pos - prev) * (coalesce(spread, 0) / 2 + {c.fee}::double) as pnl, (pos <> prev)::int as moved from pv),
+cu as (select *, sum(pnl) over run as cum from pl window run as (partition by {key}, k {order} rows unbounded preceding)),
+dd as (select *, greatest(max(cum) over (partition by {key}, k {order} rows unbounded preceding), 0) - cum as down from cu),
+bt as (select {key}, k, any_value(sigma) as sigma, any_value(train_rows)::bigint as train_rows, any_value(test_rows)::bigint as test_rows, sum(moved)::bigint as n_trades, sum(pnl) as total_pnl_net,
+case when count(*) > 1 and stddev_pop(pnl) >= 1e-15 then avg(pnl) / stddev_pop(pnl) * sqrt(count(*)) else 0 end as period_sharpe, max(down) as max_drawdown, avg(moved) as turnover from dd group by all),
+res as (select bt.*, coalesce(oos_ic, 0) as oos_ic from bt left join ic using (symbol, window_idx))"""
+
+
+ORACLE_SQL["backtest"] = f"{_backtest_sql(CONFIG)} select symbol, window_idx, k, train_rows, test_rows, n_trades, {', '.join(f'round({n}, 6) + 0.0 as {n}' for n in ('sigma', 'total_pnl_net', 'period_sharpe', 'max_drawdown', 'turnover', 'oos_ic'))} from res"
+ORACLE_SQL["backtest_summary"] = f"""{_backtest_sql(CONFIG)} select symbol, k, count(*) as n_windows, round(avg(oos_ic), 6) + 0.0 as avg_oos_ic, round(sum(total_pnl_net), 6) + 0.0 as total_pnl_net, round(avg(period_sharpe), 6) + 0.0 as avg_sharpe,
+round(max(max_drawdown), 6) + 0.0 as max_drawdown, round(avg(turnover), 6) + 0.0 as avg_turnover, sum(n_trades)::bigint as n_trades from res group by symbol, k"""
+
+
 # --- Report and simulation --------------------------------------------------------------------------
 
 _FEATURES = ["ofi_1", "depth_imb", "microprice_dev", "queue_imb", "spread", "trade_intensity"]
@@ -424,15 +480,6 @@ ORACLE_SQL["report_regimes"] = ORACLE_SQL["stat_regime_ic"]
 _CHOSEN = [c for c in _FEATURES if c != "queue_imb"]
 
 
-def _orthogonal(xs: list[str], y: str, out: str) -> str:
-    """CTEs that take from y and from each x, in turn, what the x before it explain; the last is `out`."""
-    ctes = [f"{out}_0 as (select symbol, ts_us, seq, {', '.join(f'{c} - avg({c}) over (partition by symbol) as {c}' for c in [*xs, y])} from whole)"]
-    for i, x in enumerate(xs):
-        later = [*xs[i + 1 :], y]
-        ctes.append(f"{out}_{i + 1} as (select symbol, ts_us, seq, {', '.join(f'{c} - {x} * sum({c} * {x}) over (partition by symbol) / sum({x} * {x}) over (partition by symbol) as {c}' for c in later)} from {out}_{i})")
-    return ", ".join([*ctes, f"{out} as (select symbol, ts_us, seq, {y} as e from {out}_{len(xs)})"])
-
-
 _WHOLE = f", whole as (select symbol, ts_us, seq, r_300s, {', '.join(_CHOSEN)} from ft where {' and '.join(f'{c} is not null' for c in [*_CHOSEN, 'r_300s'])})"
 _VIF = [f"select w.symbol, '{x}' as feature, var_pop(w.{x}) / var_pop(v{i}.e) as vif from whole w join v{i} using (symbol, ts_us, seq) group by w.symbol" for i, x in enumerate(_CHOSEN)]
 ORACLE_SQL["report_vif"] = f"{_FT}{_WHOLE}, {', '.join(_orthogonal([c for c in _CHOSEN if c != x], x, f'v{i}') for i, x in enumerate(_CHOSEN))} select symbol, feature, round(vif, 6) as vif from ({' union all '.join(_VIF)})"

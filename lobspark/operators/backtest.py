@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobspark.operators.stats import average_rank, correlation, finite, ols
+from lobspark.operators.segments import placed
+from lobspark.operators.signals import decayed, position
+from lobspark.operators.stats import average_rank, correlation, finite, solved_sums
+from lobspark.sources.shared import settled
 
 FEATURES = ("ofi_1", "depth_imb", "microprice_dev", "queue_imb", "trade_intensity")
 DAY_US = 86_400_000_000
@@ -32,18 +33,6 @@ class Config:
     least_test: int = 10
 
 
-def zscore(x: str, window: int, keys: list[str], order: list[str]) -> Column:
-    """Rolling z-score: null until the window is full, 0 without deviation."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
-    sd = F.stddev_pop(x).over(w)
-    return F.when(F.count(x).over(w) == window, F.when(sd < 2.2e-16, 0.0).otherwise(F.try_divide(F.col(x) - F.avg(x).over(w), sd)))
-
-
-def position(signal: Column, k: Column, sigma: Column) -> Column:
-    """1, -1 or 0: long above k sigma, short below minus that."""
-    return F.when(signal > k * sigma, 1).when(signal < -k * sigma, -1).otherwise(0)
-
-
 def spans(features: DataFrame, c: Config) -> DataFrame:
     """(symbol, skip, bar_s, max_spread, median_spread, t0, t1): what holds for an instrument."""
     by = features.groupBy("symbol").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"), F.count(F.lit(1)).alias("n"))
@@ -59,78 +48,72 @@ def spans(features: DataFrame, c: Config) -> DataFrame:
 
 
 def windows(features: DataFrame, c: Config) -> DataFrame:
-    """features by window and part (train or test), thinned to bars: symbol, window_idx, part, ts_us, seq, bar, and the rest.
-    A row's windows follow from its time, so rows are exploded, not joined by range."""
+    """Test rows, thinned to bars: symbol, window_idx, ts_us, seq, bar_s, max_spread, train_rows, test_rows, beta, and the rest.
+
+    Every row is in one test window at most, and training windows are sums: time is cut into slots that both lengths are
+    whole numbers of, products of the regressors are summed by slot and by the place a row has in a bar, and a window adds up its
+    slots at the place where its first row stands. No row is copied. A window whose fit is singular has no beta.
+    """
     train, test = int(c.train_days * DAY_US), int(c.test_days * DAY_US)
-    rows = features.join(spans(features, c), "symbol")
+    g = math.gcd(train, test)
+    features = settled(features.select("symbol", "ts_us", "seq", *dict.fromkeys([*c.features, "spread", c.target])))
+    facts = spans(features, c).withColumn("last", F.floor((F.col("t1") - F.col("t0") - train - test) / F.lit(test)).cast("int"))  # the last window that ends by t1
+    rows = placed(features, ["symbol"], ["ts_us", "seq"], {"__place": F.lit(True)}).join(facts, "symbol")
     at = F.col("ts_us") - F.col("t0")
-    last = F.floor((F.col("t1") - F.col("t0") - train - test) / F.lit(test))  # the last window that ends by t1
-    low = F.greatest(F.lit(0), F.floor((at - train - test) / F.lit(test)) + 1)
-    high = F.least(last, F.floor(at / F.lit(test)))
-    rows = rows.withColumns({"__lo": low.cast("int"), "__hi": high.cast("int")}).where("__lo <= __hi").withColumn("window_idx", F.explode(F.sequence("__lo", "__hi")))
-    off = at - F.col("window_idx") * test
-    rows = rows.withColumn("part", F.when(off < train, "train").otherwise("test"))
-    w = W.partitionBy("symbol", "window_idx", "part").orderBy("ts_us", "seq")
-    rows = rows.withColumn("bar", F.row_number().over(w) - 1).where("bar % skip = 0")
-    counts = W.partitionBy("symbol", "window_idx")
-    rows = rows.withColumns({"train_rows": F.count(F.when(F.col("part") == "train", 1)).over(counts), "test_rows": F.count(F.when(F.col("part") == "test", 1)).over(counts)})
-    return rows.where((F.col("train_rows") >= c.least_train) & (F.col("test_rows") >= c.least_test)).drop("__lo", "__hi")
-
-
-class DecayFilter:
-    """Exponential smoothing in time: starts at the first value."""
-
-    def __init__(self, tau: float, dt: float) -> None:
-        import math
-
-        self.a, self.y = 1 - math.exp(-dt / tau), None
-
-    def __call__(self, x: float) -> float:
-        self.y = x if self.y is None else self.y + self.a * (x - self.y)
-        return self.y
+    rows = settled(rows.withColumn("slot", F.floor(at / F.lit(g))))
+    firsts = rows.groupBy("symbol", "slot").agg(F.min("__place").alias("first"))
+    of = facts.select("symbol", "skip", F.explode(F.sequence(F.lit(0), "last")).alias("window_idx"))
+    of = of.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit((train + test) // g - 1)))).withColumns({"slot": F.col("window_idx").cast("bigint") * (test // g) + F.col("k"), "is_train": F.col("k") < train // g})
+    starts = of.join(firsts, ["symbol", "slot"]).groupBy("symbol", "window_idx").agg(*[F.min(F.when(F.col("is_train") == t, F.col("first"))).alias(n) for n, t in (("train0", True), ("test0", False))])
+
+    names = ["__one", *c.features]
+    xs = {n: finite(n) if n != "__one" else F.lit(1.0) for n in names}
+    y = finite(c.target)
+    whole = y.isNotNull()
+    for x in xs.values():
+        whole = whole & x.isNotNull()
+    products = [xs[a] * xs[b] for a in names for b in names] + [x * y for x in xs.values()] + [y * y]
+    sums = rows.groupBy("symbol", "slot", (F.col("__place") % F.col("skip")).alias("phase")).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(whole, 1)).alias("n"), *[F.sum(F.when(whole, p)).alias(f"m{i}") for i, p in enumerate(products)])
+    own = of.where("is_train").join(starts, ["symbol", "window_idx"]).withColumn("phase", F.col("train0") % F.col("skip")).join(sums, ["symbol", "slot", "phase"])
+    total, k = [F.sum(f"m{i}") for i in range(len(products))], len(names)
+    fits = own.groupBy("symbol", "window_idx").agg(F.sum("rows").alias("train_rows"), F.sum("n").alias("n"), F.array(*total[: k * k]).alias("xtx"), F.array(*total[k * k : k * k + k]).alias("xty"), total[-1].alias("yy"))
+    known = fits.where(F.col("n") >= c.least_train)
+    solved = solved_sums(known.select("symbol", "window_idx", "n", "xtx", "xty", "yy"), ["symbol", "window_idx"], k).select("symbol", "window_idx", F.slice("beta", 2, k - 1).alias("beta"))
+    each = fits.select("symbol", "window_idx", "train_rows").where(F.col("train_rows") >= c.least_train).join(starts.select("symbol", "window_idx", "test0"), ["symbol", "window_idx"]).join(solved, ["symbol", "window_idx"], "left")
+
+    tests = rows.where(at >= train).withColumn("window_idx", F.floor((at - train) / F.lit(test)).cast("int")).where("window_idx <= last").join(each, ["symbol", "window_idx"]).where("(__place - test0) % skip = 0")
+    tests = tests.withColumn("test_rows", F.count(F.lit(1)).over(W.partitionBy("symbol", "window_idx"))).where(F.col("test_rows") >= c.least_test)
+    return tests.drop("__place", "slot", "t0", "t1", "last", "test0")
 
 
 def signals(rows: DataFrame, c: Config) -> DataFrame:
-    """Test rows with `signal`: z-scores of the features, weighted by the window's betas, smoothed. Rows with a feature missing have none and leave the state alone."""
-    feats = list(c.features)
-    fits = ols(rows.where("part = 'train'"), ["symbol", "window_idx"], c.target, feats).select("symbol", "window_idx", F.when(F.col("n") >= c.least_train, F.slice("beta", 2, len(feats))).alias("beta"))
-    test = rows.where("part = 'test'").join(fits, ["symbol", "window_idx"], "left")
-    cols = ["symbol", "window_idx", "ts_us", "seq", "bar_s", "spread", "max_spread", c.target, "train_rows", "test_rows", "beta", *feats]
-    base = test.select(*cols[:5], *[F.col(x).cast("double") for x in cols[5:8]], *cols[8:11], *[finite(f).alias(f) for f in feats])
-    tau, k = c.tau_star_s, len(feats)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, z, decay, weights, size = None, [], None, [], 10
-        for b in batches:
-            out = []
-            for s, w, dt, beta, *x in zip(*(b.column(n).to_pylist() for n in ["symbol", "window_idx", "bar_s", "beta", *feats]), strict=True):
-                if (s, w) != key:
-                    key, total = (s, w), sum(map(abs, beta)) if beta else 0.0
-                    weights = [v / total for v in beta] if total >= 1e-12 else [1 / k] * k
-                    size = max(10, min(300, int(1800 / dt)))
-                    z, decay = [deque(maxlen=size) for _ in range(k)], DecayFilter(tau, dt)
-                if None in x:
-                    out.append(None)
-                    continue
-                raw = 0.0
-                for q, v, weight in zip(z, x, weights, strict=True):
-                    q.append(v)
-                    if len(q) == size:
-                        mean = sum(q) / size
-                        sd = (sum((y - mean) ** 2 for y in q) / size) ** 0.5
-                        raw += weight * ((v - mean) / sd if sd >= 2.2e-16 else 0.0)
-                out.append(decay(raw) if len(z[0]) == size else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:-1]), pa.array(out, pa.float64())], names)
-
-    names = [*cols[:10], "signal"]
-    schema = f"symbol string, window_idx int, ts_us long, seq long, bar_s double, spread double, max_spread double, {c.target} double, train_rows long, test_rows long, signal double"
-    dealt = base.repartition("symbol", "window_idx").sortWithinPartitions("symbol", "window_idx", "ts_us", "seq")
-    return dealt.mapInArrow(run, schema)
+    """Test rows with `signal`: rolling z-scores of the features over half an hour (10 to 300 bars), weighted by the window's betas (equally
+    where there are none), smoothed. Rows with a feature missing have none and leave the others' alone."""
+    keys, k = ["symbol", "window_idx"], len(c.features)
+    rows = rows.withColumns({f"__x{i}": finite(f) for i, f in enumerate(c.features)})
+    rows = rows.withColumn("__whole", F.forall(F.array(*[F.col(f"__x{i}").isNotNull() for i in range(k)]), lambda x: x))
+    size = F.greatest(F.lit(10), F.least(F.lit(300), F.floor(F.try_divide(F.lit(1800.0), "bar_s"))))
+    run = W.partitionBy(*keys, "__whole").orderBy("ts_us", "seq")
+    # A frame of as many rows as the window is long: places are in units of its length, which is 300 at most.
+    unit = 1 << 20
+    rows = rows.withColumn("__size", size).withColumn("__at", F.call_function("div", (F.row_number().over(run) - 1).cast("bigint") * unit, F.col("__size")))
+    frame = W.partitionBy(*keys, "__whole").orderBy("__at").rangeBetween(unit // 600 - unit, 0)
+    total = F.aggregate("beta", F.lit(0.0), lambda a, b: a + F.abs(b))
+    weights = F.when(total >= 1e-12, F.transform("beta", lambda b: F.try_divide(b, total))).otherwise(F.array(*[F.lit(1.0 / k)] * k))
+    rows = rows.withColumn("__w", weights)
+    raw = F.lit(0.0)
+    for i in range(k):
+        x, sd = F.col(f"__x{i}"), F.stddev_pop(f"__x{i}").over(frame)
+        raw = raw + F.element_at("__w", i + 1) * F.when(sd >= 2.2e-16, F.try_divide(x - F.avg(x).over(frame), sd)).otherwise(0.0)
+    full = F.count(F.lit(1)).over(frame) == F.col("__size")
+    rows = rows.withColumn("raw", F.when(F.col("__whole") & full, raw))
+    need = rows.select(*keys, "ts_us", "seq", "bar_s", *[F.col(x).cast("double").alias(x) for x in ("spread", "max_spread", c.target)], "train_rows", "test_rows", "raw")
+    return decayed(need, keys, "raw", c.tau_star_s, "bar_s", "signal").drop("raw")
 
 
 def evaluated(sig: DataFrame, c: Config) -> DataFrame:
     """One row a (symbol, window_idx, k): oos_ic, sigma, trades, pnl, period_sharpe, drawdown, turnover."""
-    keys = ["symbol", "window_idx"]
+    keys, sig = ["symbol", "window_idx"], settled(sig)
     pairs = sig.where(F.col("signal").isNotNull()).select(*keys, "signal", finite(c.target).alias("y")).where("y is not null")
     ranked = pairs.withColumns({"rx": average_rank("signal", keys), "ry": average_rank("y", keys)})
     ic = ranked.groupBy(*keys).agg(F.coalesce(correlation("rx", "ry"), F.lit(0.0)).alias("oos_ic"))

@@ -6,18 +6,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobspark.operators import stats
-from lobspark.operators.backtest import position, zscore
 from lobspark.operators.folds import affine
 from lobspark.operators.stats import finite
 
 ORDER = ["ts_us", "seq"]
 
 
+def zscore(x: str, window: int, keys: list[str], order: list[str]) -> Column:
+    """Rolling z-score: null until the window is full, 0 without deviation."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
+    sd = F.stddev_pop(x).over(w)
+    return F.when(F.count(x).over(w) == window, F.when(sd < 2.2e-16, 0.0).otherwise(F.try_divide(F.col(x) - F.avg(x).over(w), sd)))
+
+
+def position(signal: Column, k: Column, sigma: Column) -> Column:
+    """1, -1 or 0: long above k sigma, short below minus that."""
+    return F.when(signal > k * sigma, 1).when(signal < -k * sigma, -1).otherwise(0)
+
+
 def weights(df: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:
     """(keys, constant, weights): betas of a least-squares fit over the sum of their sizes, the constant's apart. Keys
     whose fit is singular or all zero are left out."""
@@ -37,12 +48,12 @@ def combined(df: DataFrame, fitted: DataFrame, keys: list[str], features: list[s
     return rows.drop("weights", *[f"__{p}{i}" for i in range(len(features)) for p in ("x", "has")])
 
 
-def decayed(df: DataFrame, keys: list[str], signal: str, tau_s: float, dt_s: float, name: str = "filtered") -> DataFrame:
-    """df with the signal smoothed exponentially, from its first value on; rows without a signal have none and change nothing."""
-    a = 1 - float(np.exp(-dt_s / tau_s))
+def decayed(df: DataFrame, keys: list[str], signal: str, tau_s: float, dt_s: float | str, name: str = "filtered") -> DataFrame:
+    """df with the signal smoothed exponentially, from its first value on; rows without a signal have none and change nothing. dt_s
+    is the time between rows, or a column that holds it for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, y = None, None
+        last, y, a = None, None, 0.0
         for b in batches:
             ids = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
             x = b.column(signal).cast(pa.float64()).to_numpy(zero_copy_only=False)
@@ -53,6 +64,7 @@ def decayed(df: DataFrame, keys: list[str], signal: str, tau_s: float, dt_s: flo
                     continue
                 if ids[s] != last:
                     last, y = ids[s], None
+                    a = 1 - float(np.exp(-(b.column(dt_s)[s].as_py() if isinstance(dt_s, str) else dt_s) / tau_s))
                 at = s + np.flatnonzero(~np.isnan(x[s:e]))
                 if len(at) and y is None:
                     out[at[0]] = y = x[at[0]]

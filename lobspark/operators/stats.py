@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobspark.operators.segments import before_segment, in_blocks, placed
+from lobspark.sources.shared import settled
 
 
 def finite(x: str) -> Column:
@@ -220,7 +221,7 @@ def series_facts(df: DataFrame, keys: list[str], order: list[str], xs: list[str]
         raise ValueError("windows start at whole blocks, and a block is at least as long as a lag or a window")
     base = df.select(*keys, *order, *[finite(c).alias(c) for c in dict.fromkeys([*xs, *ys])])
     pairs = {f"i:{x}:{y}": F.col(x).isNotNull() & F.col(y).isNotNull() for x in xs for y in ys}
-    rows = placed(base, keys, order, pairs, **({} if parts is None else {"parts": parts, "least": 0}))
+    rows = settled(placed(settled(base), keys, order, pairs, **({} if parts is None else {"parts": parts, "least": 0})).drop(*order))
     one = [F.struct(F.lit(x).alias("feature"), F.lit(y).alias("horizon"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(f"`i:{x}:{y}`").alias("i"), F.lit(lag).alias("lag")) for x in xs for y, lag in ys.items()]
     long = rows.select(*keys, F.explode(F.array(*one)).alias("s")).select(*keys, "s.*").where("i is not null")
     by = [*keys, "feature", "horizon"]
@@ -262,7 +263,7 @@ def dickey_fuller(df: DataFrame, keys: list[str], order: list[str], xs: list[str
     needs one number a row: the row of the inverse that belongs to the level, times the regressors and the residual.
     """
     base = df.select(*keys, *order, *[finite(c).alias(c) for c in xs])
-    rows = placed(base, keys, order, {f"i:{x}": F.col(x).isNotNull() for x in xs}, **({} if parts is None else {"parts": parts, "least": 0}))
+    rows = settled(placed(settled(base), keys, order, {f"i:{x}": F.col(x).isNotNull() for x in xs}, **({} if parts is None else {"parts": parts, "least": 0})).drop(*order))
     long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).alias("x"), F.col(f"`i:{x}`").alias("i")) for x in xs])).alias("s")).select(*keys, "s.*").where("i is not null")
     by, back = [*keys, "feature"], max(lags, 1)
     w = W.partitionBy(*by, "block").orderBy("i")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lobspark import app
-from lobspark.operators import backtest, stats
+from lobspark.operators import backtest, signals, stats
 from lobspark.plans import report
 from lobspark.sources import files, sinks
 
@@ -154,8 +154,45 @@ def test_backtest_toy(spark):
 def test_positions(spark):
     r = spark.createDataFrame([(2.0,), (-2.0,), (0.5,)], "s double").select(backtest.position(app.F.col("s"), app.F.lit(1.5), app.F.lit(1.0))).collect()
     assert [x[0] for x in r] == [1, -1, 0]
-    f = backtest.DecayFilter(1.0, 0.1)
-    assert f(1.0) == 1.0 and f(1.0) == pytest.approx(1.0)
+    rows = spark.createDataFrame([("A", i, i, x, 0.1) for i, x in enumerate([None, 1.0, 1.0, 3.0, None, 3.0])] + [("B", 0, 0, 5.0, 0.2)], "symbol string, ts_us long, seq long, s double, dt double")
+    a = 1 - math.exp(-0.1)
+    want = [None, 1.0, 1.0, 1 + 2 * a, None, 3 - 2 * (1 - a) ** 2, 5.0]
+    for dt in (0.1, "dt"):
+        assert [r.filtered for r in signals.decayed(rows, ["symbol"], "s", 1.0, dt).orderBy("symbol", "seq").collect()] == [v if v is None else pytest.approx(v) for v in want]
+
+
+def slow_windows(rows, c):
+    """Test rows of each window with the fit of its training rows, one window after the other."""
+    rows = sorted(rows, key=lambda r: (r["ts_us"], r["seq"]))
+    t0, t1, day = rows[0]["ts_us"], rows[-1]["ts_us"], 86_400_000_000
+    train, test, out, w = int(c.train_days * day), int(c.test_days * day), {}, 0
+    skip = max(1, round(c.resample_s / ((t1 - t0) / 1e6 / (len(rows) - 1))))
+    while w * test + train + test <= t1 - t0:
+        off = [(r, r["ts_us"] - t0 - w * test) for r in rows]
+        fit, rest = [r for r, o in off if 0 <= o < train][::skip], [r for r, o in off if train <= o < train + test][::skip]
+        if len(fit) >= c.least_train and len(rest) >= c.least_test:
+            whole = [r for r in fit if all(r[n] is not None for n in (*c.features, c.target))]
+            x, y = np.array([[1.0, *(r[f] for f in c.features)] for r in whole]), np.array([r[c.target] for r in whole])
+            out[w] = ([r["seq"] for r in rest], len(fit), np.linalg.lstsq(x, y, rcond=None)[0][1:])
+        w += 1
+    return out
+
+
+@pytest.mark.parametrize("train,test,resample", [(14, 7, 300), (10, 4, 3 * 3600), (3, 6, 7200)])
+def test_windows_from_slot_sums(spark, train, test, resample):
+    rng = np.random.default_rng(7)
+    t = np.sort(rng.integers(0, 60 * 86_400_000_000, 2500))
+    rows = [{"symbol": "A", "ts_us": int(v), "seq": i, "ofi_1": float(rng.normal()), "depth_imb": None if rng.random() < 0.03 else float(rng.normal()), "spread": 0.01, "r_300s": float(rng.normal())} for i, v in enumerate(t)]
+    c = backtest.Config(train_days=train, test_days=test, resample_s=resample, features=("ofi_1", "depth_imb"))
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "symbol string, ts_us long, seq long, ofi_1 double, depth_imb double, spread double, r_300s double")
+    got = {}
+    for r in backtest.windows(df, c).orderBy("window_idx", "ts_us", "seq").collect():
+        seqs, n, beta = got.setdefault(r.window_idx, ([], r.train_rows, r.beta))
+        seqs.append(r.seq)
+    want = slow_windows(rows, c)
+    assert got.keys() == want.keys() and len(want) > 5
+    for w, (seqs, n, beta) in want.items():
+        assert got[w][0] == seqs and got[w][1] == n and got[w][2] == pytest.approx(beta, rel=1e-6, abs=1e-9)
 
 
 def feature_rows(n=250):
