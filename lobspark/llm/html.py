@@ -1,7 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into tags and text. Each text goes to its root-to-leaf tag path (block tags with their class
-and id); paths are nodes of a trie with links to their parents. Per path the length of the text, its
+A page is cut into tags and text. Each text goes to its root-to-leaf tag path (block tags with their class, without
+its numbers; ids, and the classes of a list's or table's items, only weigh, so that items are one path); paths are nodes of
+a trie with links to their parents. Per path the length of the text, its
 punctuation, the length within links and the number of texts are summed; the ratio of a path is text and
 punctuation outside links against its texts. Names and tags that tell what a part is for only weigh: the
 weights of a path's steps multiply. Weighed ratios are fused upwards, so that every node knows what its
@@ -9,8 +10,9 @@ paths hold, and the region of the content is the deepest node that holds nearly
 or main element on the way there; a headline next to the region opens it by one level or more. In the region
 weights count from the region down, so a wrapper's name has no say. A path is content if its smoothed ratio
 (its own, or a share of its neighbours', halved with each step in page order) times its weight reaches a
-share of the region's mean: adverts, comments, forms and link lists fall below it, short headings, bylines and
-paragraphs do not.
+share of the region's mean: adverts, comments, forms and bars of links fall below it, short headings, bylines,
+paragraphs, items and lists of references do not. Elements that share the content's path are told apart by what each holds
+in comparison with the largest. Inline elements are part of their block whatever their names.
 
 Null or empty pages give an empty text. Every page gives one row, repeated rows too; an empty table gives an
 empty result; nothing is shuffled. Tag soup, unclosed tags and cut-off pages are read as far as they go. Time is
@@ -36,7 +38,10 @@ MARK = re.compile(
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Items of lists and tables: one path a list, whatever their classes.
+ITEMS = frozenset("li dt dd tr td th tbody thead tfoot".split())
+NUMBER = re.compile(r"\d+")
 #: Tags whose content is text up to their end tag, none of it content.
 RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?|\Z", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noframes", "template", "svg")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,6 +79,10 @@ LINKS = 0.05
 #: Share of the region's mean ratio that a path must reach, and of a neighbour's ratio that smoothing hands on.
 LEAST_RATIO = 0.1
 HAND_ON = 0.5
+#: Share of the largest element's text below which one of the same path, before or after it, is no content.
+LEAST_ELEMENT = 0.1
+#: The same for one whose texts have no path in common with the largest's.
+STRANGER = 0.7
 
 
 @lru_cache(maxsize=1 << 14)
@@ -95,13 +104,15 @@ class Page:
 
     def __init__(self, html: str) -> None:
         self.parent, self.tag, self.weight = [0], [""], [1.0]
-        self.child: dict[tuple[int, str, str], int] = {}
-        self.stack: list[tuple[str, int, bool]] = []  # tag, path, whether it hides its text
+        self.child: dict[tuple[int, str, str, float], int] = {}
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, path, whether it hides its text, element
+        self.of, self.within = [0], [0]  # of elements: their path, and the element around them; parents first
         self.places: dict[str, list[int]] = {}  # where in the stack a tag is open
         self.holders: list[int] = []  # where in the stack a block is open
-        self.blocks: list[tuple[int, str, int]] = []  # path, text, characters within links
+        self.blocks: list[tuple[int, str, int, int]] = []  # path, text, characters within links, element
         self.open: list[str] = []
         self.path: int | None = None
+        self.element = 0
         self.linked = self.hidden = 0
         self._read(html)
 
@@ -109,7 +120,7 @@ class Page:
         if self.open:
             text = BLANK.sub(" ", "".join(self.open)).strip()
             if text and self.path is not None:
-                self.blocks.append((self.path, text, self.linked))
+                self.blocks.append((self.path, text, self.linked, self.element))
         self.open, self.path, self.linked = [], None, 0
 
     def _text(self, raw: str) -> None:
@@ -118,12 +129,12 @@ class Page:
         text = unescape(raw) if "&" in raw else raw
         self.open.append(text)
         if self.path is None and not text.isspace():
-            self.path = self.stack[-1][1] if self.stack else 0
+            self.path, self.element = (self.stack[-1][1], self.stack[-1][3]) if self.stack else (0, 0)
         if self.places.get("a"):
             self.linked += len(text.strip())
 
     def _pop(self) -> None:
-        tag, _, hides = self.stack.pop()
+        tag, _, hides, _ = self.stack.pop()
         self.places[tag].pop()
         self.hidden -= hides
         if tag in BLOCK:
@@ -152,23 +163,26 @@ class Page:
             self._text(" ")
         if tag in VOID:
             return
-        names = " ".join(next(filter(None, m.groups()), "") for m in NAMES.finditer(attrs)) if "=" in attrs else ""
-        path, hides = self.stack[-1][1] if self.stack else 0, tag in NEVER
+        path, hides, element = self.stack[-1][1] if self.stack else 0, tag in NEVER, self.stack[-1][3] if self.stack else 0
         if tag in BLOCK:
-            step = (path, tag, names)
+            named = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in NAMES.finditer(attrs)] if "=" in attrs else []
+            names = " ".join(v for _, v in named)
+            own = 1.0 if tag == "header" and not names and (self.places.get("article") or self.places.get("main")) else weight(tag, names)
+            classes = "" if tag in ITEMS else NUMBER.sub("", " ".join(v for k, v in named if k == "class"))
+            step = (path, tag, classes, own)
             if step not in self.child:
                 self.child[step] = len(self.parent)
-                own = 1.0 if tag == "header" and not names and (self.places.get("article") or self.places.get("main")) else weight(tag, names)
                 self.parent.append(path)
                 self.tag.append(tag)
                 self.weight.append(own)
             path = self.child[step]
+            self.of.append(path)
+            self.within.append(element)
+            element = len(self.of) - 1
             self.holders.append(len(self.stack))
-        elif names and not hides:  # part of a block, so no ratio of its own can tell
-            hides = weight(tag, names) <= 0.02
         self.hidden += hides
         self.places.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, path, hides))
+        self.stack.append((tag, path, hides, element))
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -204,7 +218,7 @@ def content(html: str | None, least: float = LEAST_RATIO) -> list[str]:
     parent, tag, n = page.parent, page.tag, len(page.parent)
     chars, marks, linked, times = ([0] * n for _ in range(4))
     order: dict[int, None] = {}  # paths with text, as they come
-    for path, text, link in page.blocks:
+    for path, text, link, _ in page.blocks:
         chars[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         linked[path] += min(link, len(text))
@@ -261,7 +275,7 @@ def content(html: str | None, least: float = LEAST_RATIO) -> list[str]:
     for i in places:
         if not within[i] and tag[i] not in HEADINGS:
             scale[i] *= BESIDE
-        if 2 * linked[i] > chars[i] and not (article or main) and tag[i] not in HEADINGS:
+        if 2 * linked[i] > chars[i] and not (article or main) and tag[i] not in HEADINGS and not (within[i] and tag[i] in ITEMS):
             scale[i] *= LINKS
     own = [scale[i] * ratio[i] for i in places]
     smooth = list(own)
@@ -271,7 +285,34 @@ def content(html: str | None, least: float = LEAST_RATIO) -> list[str]:
         smooth[k] = max(smooth[k], HAND_ON * smooth[k + 1])
     mean = sum(o * chars[i] for o, i in zip(own, places, strict=True)) / sum(chars[i] for i in places) if places else 0.0
     good = {i for i, o, s in zip(places, own, smooth, strict=True) if max(o, scale[i] * s) >= least * mean}
-    return [text for path, text, _ in page.blocks if path in good]
+    out = _elements(page, core) if not (article or main) else None
+    return [text for path, text, _, e in page.blocks if path in good and (out is None or e not in out)]
+
+
+def _elements(page: Page, core: int) -> set[int]:
+    """Elements beside the content that share its path: if one element of the core's path holds most of what they all hold, those before
+    and after it that hold little in comparison, and have no headline, are bars, adverts and footers."""
+    inside: list[int] = [0] * len(page.of)  # the core's element that an element is in
+    for e in range(1, len(page.of)):
+        inside[e] = inside[page.within[e]] or (e if page.of[e] == core else 0)
+    mass: dict[int, float] = {}
+    paths: dict[int, set[int]] = {}
+    titled = set()
+    for path, text, link, e in page.blocks:
+        if inside[e]:
+            mass[inside[e]] = mass.get(inside[e], 0.0) + (len(text) + 10 * len(PUNCTUATION.findall(text))) * (1 - min(link, len(text)) / len(text))
+            paths.setdefault(inside[e], set()).add(path)
+            if page.tag[path] in ("h1", "h2"):
+                titled.add(inside[e])
+    if len(mass) < 2:
+        return set()
+    most = max(mass.values())
+    if 2 * most < sum(mass.values()):
+        return set()
+    largest = paths[max(mass, key=lambda e: mass[e])]
+    kept = [e for e, m in mass.items() if m >= (LEAST_ELEMENT if paths[e] & largest else STRANGER) * most or e in titled]
+    gone = {e for e in mass if e < kept[0] or e > kept[-1]}
+    return {e for e in range(len(page.of)) if inside[e] in gone} if gone else set()
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:

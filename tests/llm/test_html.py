@@ -24,6 +24,21 @@ KEPT = {
 }
 
 
+LONG = f"<p>{P} {P}</p><p>{P}</p>"
+KEPT |= {
+    "items with ids": (f'<article>{LONG}<ul>{"".join(f"<li id=i{k}>Item {k}</li>" for k in range(14))}</ul>{LONG}</article>', [f"{P} {P}", P, *[f"Item {k}" for k in range(14)], f"{P} {P}", P]),
+    "rows with ids": (f'<div class="text"><h1>T</h1>{LONG}<table>{"".join(f"<tr id=r{k} class=odd{k}><td class=c{k}>Cell {k}</td></tr>" for k in range(10))}</table>{LONG}</div>', ["T", f"{P} {P}", P, *[f"Cell {k}" for k in range(10)], f"{P} {P}", P]),
+    "code with a comment": (f'<article>{LONG}<pre>x = 1 <span class="comment"># set x</span></pre></article>', [f"{P} {P}", P, "x = 1 # set x"]),
+    "words named like bars": (f"<article>{LONG}<p>Press <span class='menu'>File</span>, then <span class='login'>Log in</span>.</p></article>", [f"{P} {P}", P, "Press File, then Log in."]),
+    "references in a plain div": (f'<div class="text"><h1>T</h1>{LONG}<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></div>', ["T", f"{P} {P}", P, "One", "Two", "Three"]),
+}
+
+
+def test_plain_divs_are_told_apart_by_what_they_hold():
+    body = f'<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div><div>Buy now.</div><div><h1>Head</h1><p>{P * 5}</p><p>Short.</p></div><div>&copy; 2024, all rights reserved.</div>'
+    assert html.content(f"<body>{body}</body>") == ["Head", P * 5, "Short."]
+
+
 @pytest.mark.parametrize("name", KEPT)
 def test_kept(name):
     body, want = KEPT[name]
