@@ -1,7 +1,7 @@
 """Order books from level changes and snapshots.
 
-`reconstructed` folds events in order: dealt by instrument, sorted, read batch by batch with one book as
-the state of an instrument. `intervals` is the same for level changes alone as joins and windows, for
+`reconstructed` folds events in order: dealt by instrument, or by instrument and segment of time, sorted, read batch by batch
+with one book as the state. `intervals` is the same for level changes alone as joins and windows, for
 checks and for books of few levels. Both give one row for each event with the best `depth` levels.
 """
 
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lobspark.operators.segments import segmented
+
 EPS = 2.220446049250313e-16
 LEVELS = "array<struct<price:double,qty:double>>"
 STRETCH = 64
@@ -82,35 +84,86 @@ class Book:
         return (cost / filled if filled else 0.0), filled
 
 
-def reconstructed(events: DataFrame, depth: int = 10, mode: str = "delta") -> DataFrame:
+def reconstructed(events: DataFrame, depth: int = 10, mode: str = "delta", parts: int | None = None) -> DataFrame:
     """events (symbol, ts_us, seq, kind, side, price, qty, bids, asks) with the book after each: book_ts,
     top_bids, top_asks, dq_error (why the event was refused), crossed, gap_id (gaps so far). mode l1_replace is for feeds of best prices.
-    With `conn`, the number of an event's connection, a change of it counts as a gap: a cut feed starts the features of all instruments anew."""
+    With `conn`, the number of an event's connection, a change of it counts as a gap: a cut feed starts the features of all instruments anew.
+    With `parts` each instrument is cut into about so many segments of time, which are folded apart; see _starts. Not for l1_replace."""
     need = {"kind": F.lit("delta"), "bids": F.lit(None).cast(LEVELS), "asks": F.lit(None).cast(LEVELS), "conn": F.lit(0)}
-    base = events.withColumns({c: v for c, v in need.items() if c not in events.columns}).select("symbol", "ts_us", "seq", "kind", "side", "price", "qty", "bids", "asks", "conn")
-    replace = mode == "l1_replace"
+    fields = ["kind", "side", "price", "qty", "bids", "asks", "conn"]
+    base = events.withColumns({c: v for c, v in need.items() if c not in events.columns}).select("symbol", "ts_us", "seq", *fields)
+    replace, start = mode == "l1_replace", F.lit(None).cast("struct<gaps:bigint,book_ts:bigint>")
+    if parts is None:
+        base = base.withColumns({"__seg": F.lit(0), "start": start})
+    elif replace:
+        raise ValueError("a book of best prices alone is not cut into segments")
+    else:
+        base = segmented(base, ["symbol"], parts=parts, least=0).withColumn("start", start)
+        base = base.unionByName(_starts(base, fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = book = last = None
+        part = book = last = None
         gaps = 0
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
                 b = whole.slice(i, 2048)
                 out: list[list] = [[] for _ in range(6)]
-                for s, ts, _, kind, side, price, qty, bids, asks, conn in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if book is None or s != symbol:
-                        symbol, book, gaps, last = s, Book(), 0, conn
-                    gaps += kind in ("gap", "disconnected") or conn != last
+                real = []
+                for at, (s, ts, _, kind, side, price, qty, bids, asks, conn, seg, begin) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                    if book is None or (s, seg) != part:
+                        part, book, gaps, last = (s, seg), Book(), 0, conn
+                    if begin is not None:  # what the segments before leave
+                        book.apply("snapshot", None, None, None, ts, bids, asks)
+                        book.ts, gaps, last = begin["book_ts"], begin["gaps"], None
+                        continue
+                    gaps += kind in ("gap", "disconnected") or (last is not None and conn != last)
                     last = conn
                     error = book.apply(kind, side, price, qty, ts, bids, asks, replace)
+                    real.append(at)
                     for c, v in zip(out, (book.ts, book.bids.top(depth), book.asks.top(depth), error, book.crossed(), gaps), strict=True):
                         c.append(v)
                 kinds = [pa.int64(), _LEVELS, _LEVELS, pa.string(), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
+                own = b.take(pa.array(real, pa.int64())) if len(real) < b.num_rows else b
+                yield pa.RecordBatch.from_arrays([*own.columns[:4], *[pa.array(c, k) for c, k in zip(out, kinds, strict=True)]], names)
 
     names = ["symbol", "ts_us", "seq", "kind", "book_ts", "top_bids", "top_asks", "dq_error", "crossed", "gap_id"]
     schema = f"symbol string, ts_us long, seq {base.schema['seq'].dataType.simpleString()}, kind string, book_ts long, top_bids {LEVELS}, top_asks {LEVELS}, dq_error string, crossed boolean, gap_id long"
-    return base.repartition("symbol").sortWithinPartitions("symbol", "ts_us", "seq").mapInArrow(run, schema)
+    by = ["symbol", "__seg"]
+    order = [*by, F.col("start").isNull(), "ts_us", "seq"] if parts is not None else ["symbol", "ts_us", "seq"]
+    dealt = base.repartition(*by) if parts is not None else base.repartition("symbol")
+    return dealt.sortWithinPartitions(*order).select("symbol", "ts_us", "seq", *fields, "__seg", "start").mapInArrow(run, schema)
+
+
+def _starts(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """A row for each segment of an instrument (but the first): the book, gaps and book_ts that the segments before leave.
+
+    Of every level and segment the last quantity counts, of those since the segment's last snapshot, if it has one. It
+    stands at the start of the later segments up to the next one that changes the level or has a snapshot, itself included.
+    """
+    at = F.struct("ts_us", "seq")
+    price, qty = F.col("price"), F.col("qty")
+    valid = (F.col("kind") == "delta") & price.isNotNull() & ~F.isnan(price) & (F.abs(price) < float("inf")) & (qty >= 0)
+    facts = rows.withColumn("__was", F.lag("conn").over(W.partitionBy("symbol", "__seg").orderBy("ts_us", "seq")))
+    lost = F.col("kind").isin("gap", "disconnected") | F.coalesce(F.col("conn") != F.col("__was"), F.lit(False))
+    whole = F.col("kind") == "snapshot"
+    segs = facts.groupBy("symbol", "__seg").agg(F.count(F.when(lost, 1)).alias("lost"), F.max(F.when(valid | whole, F.col("ts_us"))).alias("ts"), F.min_by("conn", at).alias("c0"), F.max_by("conn", at).alias("c1"), F.min_by("kind", at).alias("k0"), F.max(F.when(whole, at)).alias("reset"))
+    order = W.partitionBy("symbol").orderBy("__seg")
+    before, later = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    # A cut between two segments counts with the later one, unless its first event is a gap itself, which counts there.
+    cut = F.coalesce((F.col("c0") != F.lag("c1").over(order)) & ~F.col("k0").isin("gap", "disconnected"), F.lit(False)).cast("int")
+    segs = segs.withColumn("cut", cut)
+    segs = segs.select("symbol", "__seg", "reset", (F.coalesce(F.sum("lost").over(before), F.lit(0)) + F.sum("cut").over(order.rowsBetween(W.unboundedPreceding, 0))).alias("gaps"), F.max("ts").over(before).alias("book_ts"), F.min(F.when(F.col("reset").isNotNull(), F.col("__seg"))).over(later).alias("void"), F.max("__seg").over(W.partitionBy("symbol")).alias("last"))
+    levels = lambda side: F.transform(F.coalesce(f"{side}s", F.array().cast(LEVELS)), lambda x: F.struct(F.lit(side).alias("side"), x["price"].alias("price"), x["qty"].alias("qty")))
+    one = F.array(F.struct("side", price.cast("double").alias("price"), qty.cast("double").alias("qty")))
+    changes = rows.where(valid | whole).select("symbol", "__seg", at.alias("at"), F.posexplode(F.when(whole, F.concat(levels("bid"), levels("ask"))).otherwise(one)).alias("pos", "l")).select("symbol", "__seg", "at", "pos", "l.*")
+    changes = changes.withColumn("side", F.when(F.col("side") == "bid", "bid").otherwise("ask")).join(segs.select("symbol", "__seg", "reset", "void", "last"), ["symbol", "__seg"]).where("reset is null or at >= reset")
+    ends = changes.groupBy("symbol", "side", "price", "__seg").agg(F.max_by("qty", F.struct("at", "pos")).alias("qty"), F.first("void").alias("void"), F.first("last").alias("last"))
+    upto = F.least(F.coalesce(F.lead("__seg").over(W.partitionBy("symbol", "side", "price").orderBy("__seg")), F.col("last")), F.coalesce("void", "last"))
+    held = ends.withColumn("upto", upto).where((F.col("qty") >= EPS) & (F.col("upto") > F.col("__seg"))).select("symbol", "side", "price", "qty", F.explode(F.sequence(F.col("__seg") + 1, "upto")).alias("__seg"))
+    books = held.groupBy("symbol", "__seg").agg(*[F.collect_list(F.when(F.col("side") == s, F.struct("price", "qty"))).alias(f"{s}s") for s in ("bid", "ask")])
+    begun = segs.where("__seg > 0").join(books, ["symbol", "__seg"], "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in rows.schema if f.name in ("ts_us", "seq", *fields)}
+    return begun.select("symbol", "__seg", *[v.alias(n) for n, v in none.items() if n not in ("bids", "asks")], "bids", "asks", F.struct("gaps", "book_ts").alias("start"))
 
 
 def intervals(deltas: DataFrame, depth: int = 10) -> DataFrame:

@@ -93,3 +93,23 @@ def test_asof_against_a_loop(spark):
         for h, us in (("a", 5), ("b", 0)):
             later = sorted((t, q, x) for s, t, q, x in rows if s == r.symbol and t >= r.ts_us + us)
             assert r[f"x_{h}"] == (later[0][2] if later else None)
+
+
+@pytest.mark.parametrize("parts", [2, 7, 64])
+def test_segments_give_the_same_books(spark, parts):
+    """All kinds of events, refused ones, gaps and cut connections; several rows of a time, an instrument with a single time."""
+    rng, rows, conn = random.Random(5), [], 1
+    lv = lambda lo: [{"price": lo + rng.randrange(8), "qty": float(rng.choice([0, 1, 2]))} for _ in range(3)]
+    for i in range(900):
+        conn += rng.random() < 0.02
+        kind = rng.choices(["delta", "snapshot", "gap", "trade", "disconnected"], [90, 2, 2, 4, 1])[0]
+        side = rng.choice(["bid", "ask"])
+        book_levels = (lv(90.0), lv(100.0)) if kind == "snapshot" else (None, None)
+        price = rng.choice([math.nan, None]) if rng.random() < 0.02 else (90.0 if side == "bid" else 100.0) + rng.randrange(9)
+        rows.append((rng.choice("AAAAB"), i // 4, (i, rng.randrange(3)), kind, side, price, rng.choice([-1.0, 0.0, 0.0, 1.0, 2.0, 5.0, None]), *book_levels, conn))
+    rows += [("C", 5, (i, 0), "delta", "bid", 50.0 + i, 1.0, None, None, 1) for i in range(5)]
+    level = "array<struct<price:double,qty:double>>"
+    df = spark.createDataFrame(rows, f"symbol string, ts_us long, seq struct<line:long,pos:int>, kind string, side string, price double, qty double, bids {level}, asks {level}, conn int").repartition(3)
+    key = lambda r: (r.symbol, r.ts_us, r.seq)
+    want = sorted(book.reconstructed(df).collect(), key=key)
+    assert sorted(book.reconstructed(df, parts=parts).collect(), key=key) == want and len(want) == 905 and want[0].gap_id == 0 and max(r.gap_id for r in want) > 20
