@@ -21,6 +21,7 @@ from lobspark.operators.folds import folded
 from lobspark.plans import report
 from lobspark.sources import files, sinks
 from lobspark.sources.feeds import FEEDS, OF_ONE_SYMBOL
+from lobspark.sources.shared import settled
 
 RETURNS = [f"r_{h}" for h in HORIZONS]
 
@@ -43,12 +44,14 @@ def ingest(spark: SparkSession, feed: str, path: str, out: str, symbol: str | No
     sinks.write_parquet(features(replay(spark, feed, path, symbol), mode), out)
 
 
-def read_features(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Feature CSVs as a table with an order of rows; files without a symbol take it from their name."""
+def read_features(spark: SparkSession, path: str, recursive: bool = True, most: int | None = None) -> DataFrame:
+    """Feature CSVs as a table with an order of rows, by file and place in it, read once; files without a symbol take it from their
+    name. With `most` a symbol with more rows is thinned to about so many."""
     f = files.feature_files(spark, path, recursive)
     # Below a folder that is read as a tree, equal file names are told apart by their folders.
     name = files.relative_symbol(path) if recursive else files.file_symbol()
-    return f.withColumns({"symbol": F.coalesce("symbol", name), "seq": F.monotonically_increasing_id()})
+    f = settled(f.withColumns({"symbol": F.coalesce("symbol", name), "seq": F.struct("file", F.monotonically_increasing_id().alias("row"))}))
+    return f if most is None else files.thinned(f, most)
 
 
 def price_bars(f: DataFrame) -> DataFrame:
@@ -69,6 +72,7 @@ def price_bars(f: DataFrame) -> DataFrame:
 
 def indicators(bars: DataFrame) -> DataFrame:
     """All 87 indicators for every row."""
+    bars = settled(bars)  # for frames and folds
     frames = bars.sparkSession.sql(framed_sql("select * from {bars}"), bars=bars)
     return frames.join(folded(bars, FOLDED), ["symbol", "ts_us", "seq"]).select("symbol", "ts_us", "seq", *NAMES)
 
@@ -106,6 +110,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--symbol")
     p.add_argument("--mode", default="delta", choices=["delta", "l1_replace"])
     p.add_argument("--paths", type=int, default=10)
+    p.add_argument("--most", type=int, help="rows of a symbol beyond which it is thinned")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("lobspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "ingest":
@@ -113,7 +118,7 @@ def main(args: list[str] | None = None) -> None:
     elif a.command == "simulate":
         sinks.write_csv(simulate(spark, a.paths), a.out)
     else:
-        f = read_features(spark, a.data)
+        f = read_features(spark, a.data, most=a.most)
         if a.command == "techanalysis":
             ic = techanalysis(f).persist()
             sinks.write_ic(ic, f"{a.out}/by_symbol")

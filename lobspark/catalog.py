@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lobspark.functions import registry
 from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
 from lobspark.operators import backtest, book, features, signals, simulate, stats
 from lobspark.operators.asof import HORIZONS, labelled
@@ -25,7 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A query over `events` that names no view in the session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.sql(text.replace(" from events", " from {events}"), events=table(spark, sf_dir, "events"))
 
 
@@ -100,6 +100,15 @@ def _oracle(name: str, ctes: list[str], value: str, joins: list[str]) -> None:
     ORACLE_SQL[f"ind_{name}"] = f"{', '.join([_B, *ctes])} select symbol, ts_us, seq, round({value}, {DIGITS.get(name, 6)}) + 0.0 as {name} from b {using}"
 
 
+
+
+def _sql_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two indicators by the table function that SQL users call."""
+    registry.register(spark)
+    return rounded(spark.sql("select * from indicator(table({b}) partition by symbol order by (ts_us, seq), 'ema_20, rsi_14')", b=bars(spark, sf_dir)))
+
+
+QUERIES["sql_indicator"] = _sql_indicators
 for _n in (5, 12, 20, 26, 50, 200):
     _oracle(f"ema_{_n}", [_ema(_n, "e")], "e", ["e"])
 _E2 = [_ema(20, "e"), _ema(20, "ee", "@e", 20, "e")]
@@ -112,6 +121,7 @@ _oracle("macd_hist", _MACD, "line - sg", ["ln", "sg"])
 _oracle("force_index_13", [_ema(13, "e", "@f")], "e", ["e"])
 for _n in (7, 14, 21):
     _oracle(f"rsi_{_n}", [_wilder(_n, "gg", "@g", 2), _wilder(_n, "ss", "@s", 2)], "case when gg is not null then 100 - 100 / (1 + case when ss > 1e-12 then gg / ss else 100 end) end", ["gg", "ss"])
+ORACLE_SQL["sql_indicator"] = f"select * from ({ORACLE_SQL['ind_ema_20']}) join ({ORACLE_SQL['ind_rsi_14']}) using (symbol, ts_us, seq)"
 _oracle("atr_14", [_wilder(14, "a", "@tr")], "a", ["a"])
 _oracle("natr_14", [_wilder(14, "a", "@tr")], "100 * a / p", ["a"])
 _KELTNER = [_wilder(20, "a", "@tr"), _ema(20, "e")]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-MICROS = {"spark": "unix_micros(cast(ts as timestamp))", "duckdb": "epoch_us(ts)"}
+#: Of a timestamp without a zone, so that the session's does not matter.
+MICROS = {"spark": "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))", "duckdb": "epoch_us(ts)"}
 
 
 def ticks(dialect: str) -> str:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from lobspark.app import indicators
+from lobspark.functions import registry
 from lobspark.functions.indicators import FOLDED, NAMES
 from lobspark.operators import folds
 
@@ -133,3 +134,19 @@ def test_blocks_of_a_long_instrument(spark):
         assert (np.isnan(a) == np.isnan(b)).all(), name
         assert np.nanmax(np.abs(a - b) / (1 + np.abs(a))) < 1e-9, name
     df.unpersist()
+
+
+def test_sql_users(spark, found):
+    rows, _ = found
+    df = spark.createDataFrame([("A", i, i, *[r[c] for c in ("p", "h", "l", "o", "v", "sp", "ofi")]) for i, r in enumerate(series())], "symbol string, ts_us long, seq long, p double, h double, l double, o double, v double, sp double, ofi double")
+    df.repartition(3).createOrReplaceTempView("some_bars")
+    registry.register(spark, "some_bars")
+    got = spark.sql("select * from indicator(table(some_bars) partition by symbol order by (ts_us, seq), 'kama_10, adx_14, hurst_100')").orderBy("seq").collect()
+    assert [tuple(r) for r in got] == [("A", i, i, r.kama_10, r.adx_14, r.hurst_100) for i, r in enumerate(sorted(rows, key=lambda r: r.seq))]
+    for name in ("zscore_20", "ema_20"):
+        assert [r[name] for r in spark.sql(f"select * from ind_{name}").orderBy("seq").collect()] == [r[name] for r in sorted(rows, key=lambda r: r.seq)]
+    for text, error in (("nothing", "no such indicator"), ("sma_10", "views")):
+        with pytest.raises(Exception, match=error):
+            spark.sql(f"select * from indicator(table(some_bars) partition by symbol order by (ts_us, seq), '{text}')").collect()
+    with pytest.raises(Exception, match="bars have no"):
+        spark.sql("select * from indicator(table(select 1 as p), 'ema_5')").collect()
