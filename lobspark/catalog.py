@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lobspark import app
 from lobspark.functions import registry
 from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
 from lobspark.operators import backtest, book, features, signals, simulate, stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.folds import folded
 from lobspark.plans import recorded, report, views
+from lobspark.sources import depth, sinks
+from lobspark.sources.shared import fresh_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +52,28 @@ for _feed in recorded.MESSAGES:
     ORACLE_SQL[f"feed_{_feed}"] = recorded.expected(_feed)
 
 
+#: Updates of three ids a tick; every fiftieth is not sent, and a snapshot comes after the tenth of the next fifty, held in the middle of the seventh.
+_PLACED = "select symbol, seq, ts_us, bid, ask, rn, rn % 50 as k, rn {div} 50 as part from (select *, row_number() over (partition by symbol order by seq) as rn from ({ticks}) t1) t2"
+
+
+def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of depth updates that wait for snapshots, are old, or follow a gap."""
+    placed = spark.sql(_PLACED.format(ticks="select * from {t}", div="div"), t=ticks(spark, sf_dir))
+    update = F.expr("""concat('{"e":"depthUpdate","E":', ts_us div 1000, ',"s":"', symbol, '","U":', 3 * rn, ',"u":', 3 * rn + 2, ',"b":[["', bid, '","1"]],"a":[]}')""")
+    whole = F.expr("""concat('{"s":"', symbol, '","lastUpdateId":', 3 * rn - 8, ',"bids":[],"asks":[["', ask, '","1"]]}')""")
+    sent = F.array(F.struct((F.col("seq") * 2).alias("line"), update.alias("value")), F.when(F.col("k") == 10, F.struct((F.col("seq") * 2 + 1).alias("line"), whole.alias("value"))))
+    raw = placed.where("k <> 0").select(F.explode(F.filter(sent, lambda x: x.isNotNull())).alias("m")).select("m.*")
+    return depth.outcomes(raw).select("symbol", "line", "at", "nth", "outcome")
+
+
+QUERIES["depth_outcomes"] = _depth
+ORACLE_SQL["depth_outcomes"] = f"""with t as ({_PLACED.format(ticks=views.ticks('duckdb'), div='//')}), s as (select upper(symbol) as symbol, part, 2 * seq + 1 as since from t where k = 10),
+m as (select upper(symbol) as symbol, 2 * seq as line, k, part, k >= 2 or part = 0 as waits, case when part = 0 then k else k - 1 end as place from t where k <> 0)
+select symbol, line, line as "at", 0::int as nth, case when k > 10 then 'accept' when waits then 'buffer' else 'gap' end as outcome from m
+union all select symbol, since, since, 0::int, 'snapshot' from s
+union all select symbol, line, s.since, place::int, case when k <= 6 then 'old' else 'accept' end from m join s using (symbol, part) where waits and k <= 10"""
+
+
 # --- Indicators -----------------------------------------------------------------------------------
 
 #: Means of 200 prices of four decimals can lie on halves of the sixth.
@@ -379,6 +404,24 @@ _WF = ", fp as (select *, row_number() over (partition by symbol order by ts_us,
 _stat("stat_walk_forward_ic", lambda d: signals.walk_forward_ic(d, ["symbol"], ["ofi_1", "queue_imb"], "r_300s", 500, 250),
       f"{_WF}, wl as (select symbol, step, 'ofi_1' as feature, ofi_1 as x, r_300s from wn union all select symbol, step, 'queue_imb', queue_imb, r_300s from wn), wi as (with {_spearman_sql('wl', 'symbol, step, feature', 'x', 'r_300s', _IC)}) select * from wi where ic is not null")
 
+def _index(d: DataFrame) -> DataFrame:
+    """Bars of a table without prices: an index of its returns."""
+    return app.price_bars(d.drop("mid")).select("symbol", "ts_us", "seq", "p", "h", "l", "o", "v", "sp")
+
+
+_stat("price_index", _index, """, s as (select symbol, ts_us, seq, abs(spread) as sp, abs(trade_intensity) as v, greatest(exp(coalesce(sum(ln(1 + greatest(0.1 * coalesce(r_1s, 0), -0.9999999999))) over (partition by symbol order by ts_us, seq rows between unbounded preceding and 1 preceding), 0)), 1e-10) as p from ft)
+select symbol, ts_us, seq, round(p, 6) as p, round(p + sp / 2, 6) as h, round(greatest(p - sp / 2, 1e-10), 6) as l, round(coalesce(lag(p) over (partition by symbol order by ts_us, seq), p), 6) as o, round(v, 6) as v, round(sp, 6) as sp from s""")
+
+
+def _sunk(d: DataFrame) -> DataFrame:
+    """Features written by date, exchange and symbol, and read back."""
+    out = fresh_dir(d.sparkSession, "features")
+    sinks.write_parquet(d.select("symbol", "ts_us", "seq", "mid", "ofi_1", "r_300s").withColumn("exchange", F.lit("recorded")), out)
+    return d.sparkSession.read.parquet(out).select("symbol", "exchange", F.col("date").cast("string").alias("date"), "ts_us", "seq", "mid", "ofi_1", "r_300s")
+
+
+_stat("sink_parquet", _sunk, "select symbol, 'recorded' as exchange, strftime(make_timestamp(ts_us), '%Y-%m-%d') as date, ts_us, seq, round(mid, 6) as mid, round(ofi_1, 6) + 0.0 as ofi_1, round(r_300s, 6) + 0.0 as r_300s from ft")
+
 _SIGNALS = ["ofi_1", "queue_imb"]
 
 
