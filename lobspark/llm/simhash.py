@@ -95,16 +95,17 @@ def route_bits(n: int, half: int = 2) -> int:
     return lead
 
 
-def met(fps: np.ndarray, flipped: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def met(fps: np.ndarray, flipped: np.ndarray, width: int, most: int, meetings: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Star links (positions in fps: the smallest on a variant, another) between those that meet on it: `flipped` holds each
-    one's bits that this route has used; the lower `width` bits still vary, by at most `most` in all."""
+    one's bits that this route has used; the lower `width` bits still vary, by at most `most` in all. With `meetings`, how many
+    others each met on its variants is added to that, and there are no links."""
     lead = 0
     while lead < width and len(fps) * sum(math.comb(width, c) for c in range(most + 1)) >> lead > SORT_ROWS:
         lead += 1
-    return _met(fps, np.arange(len(fps)), flipped, width, most, lead)
+    return _met(fps, np.arange(len(fps)), flipped, width, most, lead, meetings)
 
 
-def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: int, lead: int, meetings: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """fps: variants so far. who: whose. left: flips that each may still make. lead: bits to split by, so that few variants are held at once."""
     us, vs = [], []
     if lead:
@@ -137,6 +138,10 @@ def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: i
         v, w = v[order], w[order]
         if (v[1:] == v[:-1]).any():
             begins = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+            if meetings is not None:
+                size = np.diff(np.append(begins, len(v)))
+                np.add.at(meetings, w, np.repeat(size - 1, size))
+                continue
             head = np.repeat(np.minimum.reduceat(w, begins), np.diff(np.append(begins, len(v))))
             other = head != w
             pairs = np.unique(np.stack([head[other], w[other]]), axis=1)
@@ -187,7 +192,8 @@ def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int =
     """(u, v): links between the nodes of reps (node, fp, and table if there are several), a table's fp all
     different, of star links between fingerprints that meet on a variant: as a forest, those that hold each group
     together that chains of at most `radius` differing bits connect; as `first`, each node's link to the
-    smallest node that it met; as `across`, all between nodes whose `mark` in reps differs."""
+    node that it met of the largest `mark`, the smallest of equals; as `across`, all between nodes whose `mark` in reps differs;
+    as `meetings`, in place of links, (node, how many others it met on its variants)."""
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -197,10 +203,15 @@ def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int =
 
     def meet(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
         def run(key: tuple, t: pa.Table) -> pa.Table:
-            t = t.sort_by("node")
+            # Positions are in order of rank: links go to the first.
+            t = t.sort_by([("mark", "descending"), ("node", "ascending")] if out == "first" else "node")
             route, node, fp = (t.column(c).to_numpy() for c in ("route", "node", "fp"))
             fp = fp.view(np.uint64)
-            u, v = met(fp & np.uint64((1 << (bits - level)) - 1), half - spent(route, fp, level, bits), bits - level, half)
+            counted = np.zeros(len(fp), np.int64) if out == "meetings" else None
+            u, v = met(fp & np.uint64((1 << (bits - level)) - 1), half - spent(route, fp, level, bits), bits - level, half, counted)
+            if counted is not None:
+                some = np.flatnonzero(counted)
+                return pa.table({"u": node[some], "v": counted[some]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
             near = np.bitwise_count(fp[u] ^ fp[v]) <= radius
             u, v = u[near], v[near]
             if out == "forest":
