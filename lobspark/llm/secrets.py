@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lobspark.llm.common import settled
+
 #: The base patterns, with the least length of the part that counts.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -154,9 +156,12 @@ def thresholds(found: DataFrame, fdr: float, level: float) -> dict[int, int]:
 
 
 def scan(docs: DataFrame, text: str = "text", alpha: float = 1e-4, fdr: float = 0.02, level: float = 0.01) -> DataFrame:
-    """docs with `secrets`: array<struct<kind,s,e>> by start, then kind as in KINDS."""
-    least = thresholds(tokens(docs.select(text), text, alpha), fdr, level)
-    df = tokens(docs, text, alpha)
+    """docs with `secrets`: array<struct<kind,s,e>> by start, then kind as in KINDS. Texts are read twice, so that none is stored."""
+    return reported(tokens(docs, text, alpha), thresholds(tokens(docs.select(text), text, alpha), fdr, level))
+
+
+def reported(df: DataFrame, least: dict[int, int]) -> DataFrame:
+    """df (from tokens) with `secrets`: base spans, and the candidates that reach their class's threshold."""
     passed = " or ".join(f"x.class = {c} and x.bin >= {b}" for c, b in sorted(least.items())) or "false"
     df = df.withColumn("__random", F.expr(f"filter(__token, x -> {passed})"))
     each = ", ".join(f"transform(__{k}, x -> struct(x.s as s, {i} as o, x.e as e))" for i, k in enumerate(KINDS))
@@ -169,9 +174,10 @@ def joined(kinds: str) -> str:
     return f"array_join(transform(filter(secrets, x -> x.kind in ({kinds})), x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
 
 
-def digest(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, counts and spans of the base kinds, and all spans."""
-    found = scan(docs.select("doc_id", "text"), **options)
+def digest(docs: DataFrame, alpha: float = 1e-4, fdr: float = 0.02, level: float = 0.01) -> DataFrame:
+    """doc_id, counts and spans of the base kinds, and all spans. Texts are read once: spans and candidates are kept, which are small."""
+    marked = settled(tokens(docs.select("doc_id", "text"), "text", alpha).drop("text"))
+    found = reported(marked, thresholds(marked, fdr, level))
     counts = [F.expr(f"bigint(size(filter(secrets, x -> x.kind = '{k}')))").alias(f"n_{k}") for k in KINDS]
     base = ", ".join(repr(k) for k in KINDS[:3])
     return found.select("doc_id", *counts[:3], F.expr(f"sha2({joined(base)}, 256)").alias("base_sha256"), F.expr(joined(", ".join(map(repr, KINDS)))).alias("spans"), counts[3])
