@@ -1,9 +1,11 @@
 """Exact near-duplicate vectors by dual traversal of cover trees.
 
-Vectors are compared within their label (and number of components) only. The top of a label's tree is
-one level of at most CELLS cells about rows that hashes pick; every row goes to its nearest, and every
-cell keeps its exact covering radius. Pairs of cells that those radii keep apart are dropped. Cells are
-dealt by hash into blocks of about `block` rows; two blocks that may link, and each block with itself, are
+Vectors are compared within their label (and number of components) only. The top of a label's tree is made of nested
+levels: a cell of more than `block` rows that are not all alike is split into at most CELLS cells about rows of a bounded sample
+by hash, each picked as the farthest from those before; every row goes to its nearest, and every cell keeps its exact covering radius; and so on, until cells are blocks. Pairs of
+cells are made from the top down: only the children of a pair that its covering radii leave open are paired. What is then
+still larger than a block (copies, or rows below the last level) is dealt by hash into blocks of about `block` rows;
+two blocks that may link, and each block with itself, are
 one task, so that no label or cell, however large, is gathered in one place. In a task each block becomes a
 cover tree of nested levels whose radii halve: every node covers its rows within its level's radius of a
 centre row, and keeps the exact covering radius. The two trees are walked together, level by level:
@@ -27,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobspark.llm.common import in_batches, joined_small, min_components, settled
@@ -38,7 +39,8 @@ COSINE = 0.93
 RADII = (2.0, 1.0, 0.5, 0.25, 0.125)
 MARGIN = 1e-6
 BLOCK = 4096
-CELLS = 64
+#: Children of a cell, and levels of cells: a cell's number is its path, after a leading 1.
+CELLS, LEVELS = 64, 5
 #: Bits of a block's number in its cell.
 SUB = 32
 
@@ -197,33 +199,46 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return in_batches(vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>")), run, "vec_id long, label string, dim long, unit binary")
 
 
-def celled(units: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """label, dim, cell, row, unit and far, the distance from the cell's centre; and the centres (label, dim, cell, centre)."""
-    keys = ["label", "dim"]
-    sizes = settled(units.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    sizes = sizes.withColumns({"cells": F.least(F.lit(CELLS), F.ceil(F.col("n") / block)), "blocks": F.ceil(F.col("n") / block)})
-    sized = joined_small(units, sizes, keys, "inner")
-    # Some 16 times as many rows as cells, whatever the label's size; of these the first by hash.
-    u = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(1 << 30)) / float(1 << 30)
-    some = sized.where(u * F.col("n") < 16 * F.col("cells")).withColumn("cell", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(1), "row"), "row")) - 1)
-    centres = settled(some.where("cell < cells").select(*keys, "cell", F.col("unit").alias("centre")))
+def _split(rows: DataFrame, sizes: DataFrame, block: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """rows (label, dim, cell, row, unit) of the cells in sizes (with n) dealt to their children: label, dim, cell, row, unit and far, the distance
+    from the child's centre; and the centres (label, dim, cell, centre)."""
+    keys = ["label", "dim", "cell"]
+    blocks = F.ceil(F.col("n") / block)
+    sizes = sizes.select(*keys, "n", F.least(F.lit(fan), blocks).alias("cells"), blocks.alias("blocks"))
+    sized = joined_small(rows, sizes, keys, "inner")
+    # Some 16 times as many rows as children, whatever the cell's size; of these, one after the other, the farthest from all before.
+    h = F.xxhash64(F.lit(1), "cell", "row")
+    some = sized.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) * F.col("n") < 16 * F.col("cells")).select(*keys, "cells", h.alias("h"), "row", "unit")
+
+    def picked(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("row", "ascending")])
+        unit = t.column("unit").to_pylist()
+        x = np.frombuffer(b"".join(unit), np.float64).reshape(len(unit), -1)
+        chosen, gap = [0], chord(x @ x[0])
+        while len(chosen) < t.column("cells")[0].as_py() and gap.max() > RADII[-1]:
+            chosen.append(int(gap.argmax()))
+            gap = np.minimum(gap, chord(x @ x[chosen[-1]]))
+        same = [pa.array([k.as_py()] * len(chosen), kind) for k, kind in zip(key, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+        return pa.table([*same, pa.array(range(len(chosen)), pa.int64()), pa.array([unit[i] for i in chosen], pa.binary())], [*keys, "k", "centre"])
+
+    centres = settled(some.groupBy(*keys).applyInArrow(picked, "label string, dim long, cell long, k long, centre binary"))
     dealt = sized.select(*keys, F.pmod(F.xxhash64("row"), F.col("blocks")).alias("part"), "row", "unit")
     each = centres.join(sizes.select(*keys, "blocks"), keys).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
     def nearest(rows: pa.Table, heads: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({c: pa.array([], t) for c, t in zip(names, kinds, strict=True)})
-        dim = rows.column("dim")[0].as_py()
-        # A label of which no row was picked is one cell that is near to all.
-        cell, far = np.zeros(rows.num_rows, np.int64), np.full(rows.num_rows, 4.0)
+        dim, up = rows.column("dim")[0].as_py(), rows.column("cell")[0].as_py()
+        # A cell of which no row was picked has one child that is near to all.
+        cell, far = np.full(rows.num_rows, up * fan, np.int64), np.full(rows.num_rows, 4.0)
         if heads.num_rows:
-            heads = heads.sort_by("cell")
+            heads = heads.sort_by("k")
             c = np.frombuffer(b"".join(heads.column("centre").to_pylist()), np.float64).reshape(-1, dim)
             for k in range(0, rows.num_rows, 4096):
                 x = np.frombuffer(b"".join(rows.column("unit").slice(k, 4096).to_pylist()), np.float64).reshape(-1, dim)
                 dot = x @ c.T
                 best = dot.argmax(axis=1)
-                cell[k : k + 4096] = heads.column("cell").to_numpy()[best]
+                cell[k : k + 4096] = up * fan + heads.column("k").to_numpy()[best]
                 far[k : k + 4096] = chord(dot[np.arange(len(x)), best])
         return pa.table([rows.column("label"), rows.column("dim"), pa.array(cell), rows.column("row"), rows.column("unit"), pa.array(far)], names=names)
 
@@ -231,34 +246,65 @@ def celled(units: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     by = [*keys, "part"]
     each = each.select(*[F.col(c).alias(c) for c in each.columns])  # columns of its own, not those that it shares with the rows
     out = dealt.groupBy(*by).cogroup(each.groupBy(*by)).applyInArrow(nearest, "label string, dim long, cell long, row long, unit binary, far double")
-    return settled(out), centres
-
-
-def paired(cells: DataFrame, centres: DataFrame, cosine: float, block: int) -> DataFrame:
-    """(label, dim, cell, blocks, other, other_blocks): for each cell those that it may link with, itself among them."""
-    keys = ["label", "dim"]
-    stats = cells.groupBy(*keys, "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.max("far").alias("radius")).join(centres, [*keys, "cell"], "left")
+    return settled(out), centres.select("label", "dim", (F.col("cell") * fan + F.col("k")).alias("cell"), "centre")
+
+
+def celled(units: DataFrame, block: int, fan: int = CELLS) -> tuple[DataFrame, list[DataFrame]]:
+    """label, dim, cell, row and unit of every row in its last cell; and by level its nodes (label, dim, cell, n, radius, centre, whether it is split)."""
+    keys, done, levels = ["label", "dim", "cell"], [], []
+    rows, centres = units.select("label", "dim", F.lit(1).cast("long").alias("cell"), "row", "unit", F.lit(4.0).alias("far")), None
+    for level in range(LEVELS + 1):
+        nodes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+        nodes = nodes.withColumn("centre", F.lit(None).cast("binary")) if centres is None else nodes.join(centres, keys, "left")
+        nodes = settled(nodes.withColumn("split", (F.col("n") > block) & (F.col("radius") > RADII[-1]) & F.lit(level < LEVELS)))
+        levels.append(nodes)
+        open_ = nodes.where("split").select(*keys, "n")
+        if open_.isEmpty():
+            done.append(rows)
+            break
+        done.append(joined_small(rows, nodes.where("not split").select(*keys), keys, "left_semi"))
+        rows, centres = _split(rows.select("label", "dim", "cell", "row", "unit"), open_, block, fan)
+    cells = done[0]
+    for more in done[1:]:
+        cells = cells.unionByName(more)
+    return cells.select("label", "dim", "cell", "row", "unit"), levels
+
+
+def paired(levels: list[DataFrame], cosine: float, block: int, fan: int = CELLS) -> DataFrame:
+    """(label, dim, cell, blocks, other, other_blocks): for each last cell those that it may link with, itself among them."""
     limit = np.sqrt(2.0 - 2.0 * cosine) + MARGIN
+    facts = ["n", "radius", "centre", "split"]
+    node = lambda df, p: df.select("label", "dim", F.col("cell").alias(f"{p}cell"), *[F.col(c).alias(f"{p}{c}") for c in facts])
+    schema = ", ".join(f"{p}cell long, {p}n long, {p}radius double, {p}centre binary, {p}split boolean" for p in "ab")
 
-    def near(t: pa.Table) -> pa.Table:
-        t = t.sort_by("cell")
-        n, raw = t.num_rows, t.column("centre").to_pylist()
-        c = [None if x is None else np.frombuffer(x, np.float64) for x in raw]
-        r, cell, blocks = (t.column(x).to_numpy() for x in ("radius", "cell", "blocks"))
-        at = [(i, j) for i in range(n) for j in range(n) if i == j or c[i] is None or c[j] is None or chord(c[i] @ c[j]) - r[i] - r[j] <= limit]
-        i, j = (np.array(x) for x in zip(*at, strict=True))
-        return pa.table([t.column("label").take(pa.array(i)), t.column("dim").take(pa.array(i)), pa.array(cell[i]), pa.array(blocks[i]), pa.array(cell[j]), pa.array(blocks[j])], names=["label", "dim", "cell", "blocks", "other", "other_blocks"])
-
-    return stats.groupBy(*keys).applyInArrow(near, "label string, dim long, cell long, blocks long, other long, other_blocks long")
-
-
-def linked(units: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = b.column("acentre").to_pylist(), b.column("bcentre").to_pylist()
+            ra, rb, same = b.column("aradius").to_pylist(), b.column("bradius").to_pylist(), b.column("acell").to_numpy() == b.column("bcell").to_numpy()
+            keep = [i for i in range(b.num_rows) if same[i] or a[i] is None or c[i] is None or chord(np.frombuffer(a[i]) @ np.frombuffer(c[i])) - ra[i] - rb[i] <= limit]
+            yield b.take(pa.array(keep, pa.int64()))
+
+    first = levels[0]
+    pairs = node(first, "a").join(node(first, "b"), ["label", "dim"])  # a label's root with itself
+    for nodes in levels[1:]:
+        # Children in place of a split cell; others stay.
+        for p in "ab":
+            kids = node(nodes, p).withColumn("up", F.expr(f"{p}cell div {fan}"))
+            split = pairs.where(f"{p}split").withColumn("up", F.col(f"{p}cell")).drop(*[f"{p}{c}" for c in ("cell", *facts)])
+            pairs = split.join(kids, ["label", "dim", "up"]).drop("up").unionByName(pairs.where(f"not {p}split"))
+        order = ["label", "dim", *[f"{p}{c}" for p in "ab" for c in ("cell", *facts)]]
+        pairs = settled(in_batches(pairs.select(*order), near, f"label string, dim long, {schema}"))
+    blocks = lambda p: F.ceil(F.col(f"{p}n") / block)
+    return pairs.select("label", "dim", F.col("acell").alias("cell"), blocks("a").alias("blocks"), F.col("bcell").alias("other"), blocks("b").alias("other_blocks"))
+
+
+def linked(units: DataFrame, cosine: float = COSINE, block: int = BLOCK, fan: int = CELLS) -> DataFrame:
     """(row, n, root): partial link counts of rows, each tied to a root; from units (row, label, dim, unit)."""
     if np.sqrt(2 - 2 * cosine) - MARGIN < 2 * RADII[-1]:
         raise ValueError("the last level is too coarse for this threshold")
-    cells, centres = celled(units.where("unit is not null"), block)
+    cells, levels = celled(units.where("unit is not null"), block, fan)
     keys = ["label", "dim", "cell"]
-    pairs = joined_small(cells.drop("far"), paired(cells, centres, cosine, block), keys, "inner")
+    pairs = joined_small(cells, paired(levels, cosine, block, fan), keys, "inner")
     own = F.shiftleft("cell", SUB).bitwiseOR(F.pmod(F.xxhash64(F.lit(2), "row"), F.col("blocks")))
     pairs = pairs.withColumn("own", own).withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_blocks") - 1)))
     pairs = pairs.withColumn("__o", F.shiftleft("other", SUB).bitwiseOR(F.col("__k")))
@@ -288,11 +334,11 @@ def linked(units: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> Data
     return pairs.groupBy("label", "dim", "i", "j").applyInArrow(meet, "row long, n long, root long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, fan: int = CELLS) -> DataFrame:
     """vec_id, n_links, component_id and kept for every vector."""
     # Rows are told apart by a number of their own, checkpointed with them, as ids may be null or repeated.
     units = settled(prepared(vectors).withColumn("row", F.monotonically_increasing_id()))
-    found = settled(linked(units, cosine, block))
+    found = settled(linked(units, cosine, block, fan))
     links = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     comps = min_components(found.select(F.col("row").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "row")
     out = units.select("row", "vec_id").join(links, "row", "left").join(comps, "row", "left").withColumn("component", F.coalesce("component", "row"))

@@ -7,7 +7,7 @@ number them without gathering a bucket in one task, each bucket is dealt by hash
 about `chunk` rows, known from the histogram; a sub-bucket numbers its own pieces and leaves at most one
 short batch.
 
-Null and empty texts have no pieces and no rows. Repeated rows are packed one by one; ties go by id and
+Null and empty texts have no pieces and no rows, and so has an empty table. Repeated rows are packed one by one; ties go by id and
 piece. Other columns are ignored.
 """
 

@@ -6,7 +6,7 @@ homoglyphs and foreign digits to ASCII and drop invisible characters; of the res
 digits into digits and marked at/dot disguises into @ and dots; and of that, plain at and dot. An identifier in the rewritten text that touches a rewritten part and
 is not within a base span of its kind is added, as a span of the source text.
 
-Null texts count as empty. Whole texts are read, in time linear in their length. Repeated rows stay;
+Null texts count as empty. Whole texts are read, in time linear in their length. Repeated rows stay, an empty table gives no rows;
 other columns are ignored by `digest` and kept by `scan` and `redacted`.
 """
 

@@ -5,8 +5,9 @@ that failed. A policy is a named, versioned mask over the rules: a document is k
 mask is set. Ablations (what each rule alone removes, what would come back without it) are sums over
 bits of the ledger; no text is read again. Everything is a DataFrame expression on one row.
 
-Null texts count as empty, and fail `few_words`. Repeated rows stay; other columns are ignored;
-the number of words in a text has no limit.
+Null texts count as empty, and fail `few_words`. Repeated rows stay, each judged alone; an empty table gives no rows;
+other columns are ignored; the number of words in a text has no limit. A measure that equals a rule's limit passes. Windows
+of three words are told apart by their 64-bit hashes.
 """
 
 from __future__ import annotations

@@ -327,8 +327,8 @@ def test_covertree(spark):
             if low < comp[i]:
                 comp[i], changed = low, True
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, n_links string")
-    for block in (4096, 20):
-        got = rows(covertree.near_duplicates(df, block=block), "vec_id")
+    for block, fan in ((4096, 64), (20, 64), (10, 3)):  # one cell, one level of cells, several
+        got = rows(covertree.near_duplicates(df, block=block, fan=fan), "vec_id")
         assert len(got) == len(data)
         for i in got:
             assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(link.get(i, [])), comp[i], comp[i] == i)
@@ -340,15 +340,30 @@ def test_cells_that_lie_apart_are_not_compared(spark):
     base = np.eye(8)[rng.integers(0, 8, 400)] + 0.05 * rng.normal(size=(400, 8))
     df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int")
     units = covertree.prepared(df).withColumnRenamed("vec_id", "row")
-    cells, centres = covertree.celled(units, 20)
-    pairs = covertree.paired(cells, centres, 0.93, 20).collect()
-    n = cells.select("cell").distinct().count()
-    assert n > 8 and len(pairs) < n * n / 2 and {(p.cell, p.cell) for p in pairs} <= {(p.cell, p.other) for p in pairs}
+    for fan in (64, 4):
+        cells, levels = covertree.celled(units, 20, fan)
+        pairs = covertree.paired(levels, 0.93, 20, fan).collect()
+        n = cells.select("cell").distinct().count()
+        assert n > 8 and len(levels) > (1 if fan == 64 else 2)
+        assert cells.count() == 400 and cells.select("row").distinct().count() == 400
+        assert len(pairs) < n * n / 2 and {(p.cell, p.cell) for p in pairs} <= {(p.cell, p.other) for p in pairs}
     x = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in df.collect()}
     got = rows(covertree.near_duplicates(df, block=20), "vec_id")
     assert all(got[i].n_links == sum(j != i and x[i] @ x[j] >= 0.93 for j in x) for i in x)
 
 
+def test_pairs_of_cells_grow_with_the_rows(spark):
+    """Four times as many clusters of one label: pairs of cells about in proportion, not sixteen times as many."""
+    rng, sizes = np.random.default_rng(8), []
+    for n in (50, 200):
+        centres = rng.normal(size=(n, 16))
+        data = [(i, 1, (v := centres[i % n] + 0.02 * rng.normal(size=16)), v / np.linalg.norm(v)) for i in range(20 * n)]
+        units = spark.createDataFrame([(i, "1", 16, bytearray(u.tobytes())) for i, _, _, u in data], "row long, label string, dim long, unit binary")
+        _, levels = covertree.celled(units, 20, 8)
+        sizes.append(covertree.paired(levels, 0.93, 20, 8).count())
+    assert sizes[1] < 6 * sizes[0]
+
+
 # --- 6 -----------------------------------------------------------------------------------------------
 
 def test_permutation():
@@ -580,8 +595,25 @@ def test_nothing_and_repeated_rows(spark, name):
     twice = run(df.union(df)).collect()
     if name in ("secrets", "pii", "quality"):
         assert sorted(map(str, twice)) == sorted(map(str, once + once))
-    else:
-        assert len(twice) >= len(once)
+    elif name == "packing":  # the same pieces, each in a place of its own
+        pieces = lambda found: Counter((r.doc_id, r.piece, r.n_tokens) for r in found)
+        assert pieces(twice) == pieces(once + once) and len({(r.batch, r.slot) for r in twice}) == len(twice)
+    elif name == "mixing":  # one source of twice the size, which it takes whole
+        facts = lambda found, by: sorted((r.doc_id, r.size, r.source_size * by, r.target * by) for r in found)
+        assert facts(twice, 1) == facts(once + once, 2) and sum(r.taken for r in twice) == 2 * sum(r.taken for r in once)
+    else:  # every sequence once, of all tokens and ends of texts
+        assert sum(r.n_tokens for r in twice) == 2 * sum(r.n_tokens for r in once) and sorted(r.slot for r in twice) == list(range(len(twice)))
+
+
+def test_clashing_columns_of_redaction_and_pages(spark):
+    """Columns with the operators' own names stay as they are, or are left out."""
+    names = "doc_id long, text string, spans string, kind string, n_email long, start long, n_chars long"
+    df = spark.createDataFrame([(1, "mail a.b@c.org now", "s", "k", 7, 8, 18), (2, None, None, None, None, None, None)], names)
+    got = rows(pii.redacted(df, n_chars="n_chars"))
+    assert pii.redacted(df, n_chars="n_chars").columns == df.columns and got[1].text == pii.redact("mail a.b@c.org now") and "a.b" not in got[1].text
+    assert tuple(got[1])[2:6] == ("s", "k", 7, 8) and got[1].n_chars == len(got[1].text)
+    pages = spark.createDataFrame([(1, "u", "<p>Some text, here.</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [tuple(r) for r in html.extracted(pages).collect()] == [(1, "u", "Some text, here.", 16)]
 
 
 def test_statistics_of_the_battery(spark):

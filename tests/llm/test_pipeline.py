@@ -54,5 +54,20 @@ def test_stages_take_nulls_repeats_and_nothing(spark):
     odd = docs.limit(1).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as long) as n_chars")
     some = docs.union(docs).union(odd.to(docs.schema)).union(odd.to(docs.schema))
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, some, SF).count() >= 0 and stage(spark, docs.where("false"), SF).count() == 0
-    assert corpus_pipeline.distinct(spark, some, SF).where("text is not null").count() == corpus_pipeline.distinct(spark, docs, SF).count()
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    plain = ids(docs)
+    # Rules judge each row alone, and a row without a text has too few words.
+    good = ids(corpus_pipeline.good(spark, docs, SF))
+    assert good and ids(corpus_pipeline.good(spark, some, SF)) == good + good
+    # Of equal texts one row stays, and of those without a text one.
+    alone = ids(corpus_pipeline.distinct(spark, docs, SF))
+    assert ids(corpus_pipeline.distinct(spark, some, SF)) == alone + Counter([None])
+    # Personal data goes row by row.
+    assert ids(corpus_pipeline.private(spark, some, SF)) == plain + plain + Counter([None, None])
+    # The mix takes whole copies: equal rows equally often, and none of a row without words.
+    taken = ids(corpus_pipeline.mixture(spark, some, SF))
+    assert taken[None] == 0 and all(n % 2 == 0 for n in taken.values())
+    # Every row with words is cut into its pieces.
+    pieces = Counter((r.doc_id, r.piece) for r in corpus_pipeline.packs(spark, some, SF).collect())
+    assert pieces == Counter({k: 2 * n for k, n in Counter((r.doc_id, r.piece) for r in corpus_pipeline.packs(spark, docs, SF).collect()).items()})
