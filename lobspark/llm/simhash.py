@@ -105,7 +105,7 @@ def met(fps: np.ndarray, flipped: np.ndarray, width: int, most: int, meetings: n
     return _met(fps, np.arange(len(fps)), flipped, width, most, lead, meetings)
 
 
-def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: int, lead: int, meetings: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: int, lead: int, meetings: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """fps: variants so far. who: whose. left: flips that each may still make. lead: bits to split by, so that few variants are held at once."""
     us, vs = [], []
     if lead:

@@ -525,7 +525,7 @@ def test_ablations(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(ORACLE_SQL[name])
