@@ -277,7 +277,7 @@ ORACLE_SQL["book_fold"] = ORACLE_SQL["book_intervals"] = _BOOK_SQL
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.extracted(book.reconstructed(deltas(spark, sf_dir)))
+    return features.extracted(book.reconstructed(deltas(spark, sf_dir)), at_once=True)
 
 
 QUERIES["features"] = lambda spark, sf_dir: rounded(_features(spark, sf_dir).select("symbol", "ts_us", "seq", "mid", *[n for n in features.NAMES if n not in ("trade_intensity", "price_impact")]))
@@ -302,7 +302,7 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.sql(_KINDS.format(ticks="select * from {t}"), t=ticks(spark, sf_dir))
     levels = lambda s: F.when(F.col("kind") == "snapshot", F.array(F.struct(F.col(s).alias("price"), F.col(f"{s}_qty").alias("qty"))))
     b = book.reconstructed(e.withColumns({"bids": levels("bid"), "asks": levels("ask")})).where("kind in ('delta', 'snapshot') and dq_error is null")
-    return rounded(features.extracted(b).select("symbol", "ts_us", "seq", "gap_id", "mid", "spread", "relative_spread", "ofi_1", "level_drain"))
+    return rounded(features.extracted(b, at_once=True).select("symbol", "ts_us", "seq", "gap_id", "mid", "spread", "relative_spread", "ofi_1", "level_drain"))
 
 
 QUERIES["snapshots_and_gaps"] = _gaps

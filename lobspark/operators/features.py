@@ -32,9 +32,17 @@ def prepared(books: DataFrame, bids: str = "top_bids", asks: str = "top_asks", p
     return b.withColumns({f"{prefix}net{n}": F.when(full, depth_qty(bids, n) - depth_qty(asks, n)) for n in (1, 5, 10)})
 
 
-def measured(b: DataFrame, before: dict[str, Column]) -> DataFrame:
+def drain(lost: Column, dt: Column, at_once: bool = False) -> Column:
+    """What the best bid lost in a second. Between rows of one time there is none; with at_once it is what a division by zero
+    gives: infinite by the sign of the loss, NaN if nothing was lost."""
+    rate = F.when(dt >= EPS, F.try_divide(lost, dt))
+    inf = float("inf")
+    return rate.when(dt == 0, F.when(lost > 0, inf).when(lost < 0, -inf).when(lost == 0, float("nan"))) if at_once else rate
+
+
+def measured(b: DataFrame, before: dict[str, Column], at_once: bool = False) -> DataFrame:
     """b (from prepared, no prefix) with mid and the features that need no trades; `before` has ts_us, bq and net1, 5, 10 of the
-    instrument's row before, null after a gap."""
+    instrument's row before, null after a gap. at_once: see drain."""
     full = F.coalesce((F.size("top_bids") > 0) & (F.size("top_asks") > 0), F.lit(False))
     bids, asks = depth_qty("top_bids", 5), depth_qty("top_asks", 5)
     b = b.withColumn("mid", (F.col("bid") + F.col("ask")) / 2)
@@ -47,7 +55,7 @@ def measured(b: DataFrame, before: dict[str, Column]) -> DataFrame:
             "queue_imb": ratio(F.col("bq"), F.col("bq") + F.col("aq")),
             "spread": F.col("ask") - F.col("bid"),
             "relative_spread": ratio(F.col("ask") - F.col("bid"), F.col("mid")),
-            "level_drain": F.when(dt >= EPS, F.try_divide(before["bq"] - F.col("bq"), dt)),
+            "level_drain": drain(before["bq"] - F.col("bq"), dt, at_once),
             "weighted_mid_slope": F.when(full, weighted_slope()),
         }
     )
@@ -61,17 +69,17 @@ def impact(price: Column, qty: Column) -> Column:
 WORK = ["bid", "bq", "ask", "aq", "net1", "net5", "net10"]
 
 
-def extracted(books: DataFrame, trades: DataFrame | None = None, mu: float = MU, alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
+def extracted(books: DataFrame, trades: DataFrame | None = None, mu: float = MU, alpha: float = ALPHA, beta: float = BETA, at_once: bool = False) -> DataFrame:
     """The eleven features and mid for every row of books (symbol, ts_us, seq, top_bids, top_asks, gap_id).
 
-    Lags do not cross gaps; trades do. trades: symbol, ts_us, seq, price, qty; those up to a row, by (ts_us, seq), count.
+    Lags do not cross gaps; trades do. at_once: see drain. trades: symbol, ts_us, seq, price, qty; those up to a row, by (ts_us, seq), count.
     """
     if not 0 <= alpha < beta:
         raise ValueError("the intensity needs alpha < beta")
     if "gap_id" not in books.columns:
         books = books.withColumn("gap_id", F.lit(0))
     w = W.partitionBy("symbol", "gap_id").orderBy("ts_us", "seq")
-    b = measured(prepared(books), {c: F.lag(c).over(w) for c in ("ts_us", "bq", "net1", "net5", "net10")})
+    b = measured(prepared(books), {c: F.lag(c).over(w) for c in ("ts_us", "bq", "net1", "net5", "net10")}, at_once)
     if trades is None:
         b = b.withColumns({"trade_intensity": F.lit(mu), "price_impact": F.lit(None).cast("double")})
     else:
