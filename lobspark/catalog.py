@@ -13,6 +13,7 @@ from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
 from lobspark.operators import backtest, book, features, signals, simulate, stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.folds import folded
+from lobspark.operators.segments import lagged
 from lobspark.plans import recorded, report, views
 from lobspark.sources import depth, sinks
 from lobspark.sources.shared import fresh_dir
@@ -346,10 +347,18 @@ select t.symbol, t.ts_us, t.seq, round(n.i, 6) as trade_intensity, round((tr.pri
 
 # --- Statistics -------------------------------------------------------------------------------------
 
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """views.feature_rows, with the row before found in segments."""
+    t = lagged(ticks(spark, sf_dir).withColumn("net", F.expr("bid_qty - ask_qty")), ["symbol"], ["ts_us", "seq"], {"net1": "net"})
+    return t.selectExpr(
+        "symbol", "ts_us", "seq", "(bid + ask) / 2 as mid", "ask - bid as spread", "net - net1 as ofi_1", "(bid_qty - ask_qty) / (bid_qty + ask_qty) as depth_imb",
+        "(ask_qty * bid + bid_qty * ask) / (bid_qty + ask_qty) - (bid + ask) / 2 as microprice_dev", "bid_qty / (bid_qty + ask_qty) as queue_imb", "qty as trade_intensity",
+    )
+
+
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of ticks with forward returns."""
-    f = sql(spark, sf_dir, views.feature_rows("spark"))
-    return labelled(f, horizons=STRETCHED)
+    return labelled(feature_rows(spark, sf_dir), horizons=STRETCHED)
 
 
 _FT = f"with l as ({_labels_sql(STRETCHED).replace('round(', '(').replace(', 9)', ')')}), r as ({views.feature_rows('duckdb')}), ft as (select r.*, l.* exclude (symbol, ts_us, seq, mid, spread) from r join l using (symbol, ts_us, seq))"

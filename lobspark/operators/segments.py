@@ -14,12 +14,48 @@ from pyspark.sql import functions as F
 PARTS, LEAST = 64, 1 << 20
 
 
-def segmented(df: DataFrame, keys: list[str], time: str = "ts_us", parts: int = PARTS, least: int = LEAST) -> DataFrame:
-    """df with __seg, an instrument's segment: which of its approximate quantiles of time a row is after. Rows of one time are together."""
+def cut_points(df: DataFrame, keys: list[str], time: str = "ts_us", parts: int | None = None, least: int | None = None) -> DataFrame:
+    """(keys, __cuts, __top) of the instruments with more than `least` rows: approximate quantiles of time, each the time of some row, and the
+    last time. Of times as whole numbers below 2^53."""
+    parts, least = parts or PARTS, LEAST if least is None else least
     quantiles = F.percentile_approx(time, [i / parts for i in range(1, parts)], 10 * parts)
-    cuts = df.groupBy(*keys).agg(F.when(F.count(F.lit(1)) > least, quantiles).alias("__cuts"))
-    rows = df.join(cuts, keys)
-    return rows.withColumn("__seg", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(time))), F.lit(0))).drop("__cuts")
+    cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), quantiles.alias("__cuts"), F.max(time).alias("__top")).where(F.col("__n") > least).drop("__n")
+    # A row for `least` rows at least: small where that is large.
+    return F.broadcast(cuts) if least >= 1 << 16 else cuts
+
+
+def segment(time: str | Column, parts: int | None = None) -> Column:
+    """The segment of a time: how many of its instrument's __cuts it is after; 0 where there are none."""
+    t = F.col(time) if isinstance(time, str) else time
+    # One comparison a cut, which is compiled; filter() over the array is not.
+    return sum((F.when(F.get("__cuts", F.lit(i)) < t, 1).otherwise(0) for i in range((parts or PARTS) - 1)), F.lit(0))
+
+
+def segmented(df: DataFrame, keys: list[str], time: str = "ts_us", parts: int | None = None, least: int | None = None) -> DataFrame:
+    """df with __seg, an instrument's segment: which of its approximate quantiles of time a row is after. Rows of one time are together."""
+    return df.join(cut_points(df, keys, time, parts, least), keys, "left").withColumn("__seg", segment(time, parts)).drop("__cuts", "__top")
+
+
+def last_rows(rows: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """(keys, __seg, name): a value of the last row of each segment. First the last time, then, of the few rows there, the last one."""
+    by, t = [*keys, "__seg"], order[0]
+    tops = rows.groupBy(*by).agg(F.max(t).alias("__t"))
+    near = rows.select(*by, *order, value.alias(name)).join(tops, by).where(F.col(t) == F.col("__t"))
+    return near.groupBy(*by).agg(F.max_by(name, F.struct(*order)).alias(name))
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], parts: int | None = None, least: int | None = None) -> DataFrame:
+    """df with, for each name, a column's value in the instrument's row before; null in its first. The first row of a later segment takes
+    it from the last row of the segment before."""
+    least = LEAST if least is None else least
+    rows = segmented(df, keys, order[0], parts, least)
+    both = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    ends = last_rows(rows, keys, order, both, "__end")
+    ends = ends.select(*keys, "__seg", F.lag("__end").over(W.partitionBy(*keys).orderBy("__seg")).alias("__end")).where("__end is not null")
+    ends = F.broadcast(ends) if least >= 1 << 16 else ends  # of instruments in segments alone
+    rows = rows.withColumn("__lag", F.lag(both).over(W.partitionBy(*keys, "__seg").orderBy(*order))).join(ends, [*keys, "__seg"], "left")
+    before = F.coalesce("__lag", "__end")
+    return rows.withColumns({n: before[n] for n in columns}).drop("__seg", "__lag", "__end")
 
 
 def before_segment(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
@@ -29,7 +65,7 @@ def before_segment(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> D
     return own.select(*keys, "__seg", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
 
 
-def placed(df: DataFrame, keys: list[str], order: list[str], valid: dict[str, Column], parts: int = PARTS, least: int = LEAST) -> DataFrame:
+def placed(df: DataFrame, keys: list[str], order: list[str], valid: dict[str, Column], parts: int | None = None, least: int | None = None) -> DataFrame:
     """df with a column for each name in `valid`: the 0-based place of a row among its instrument's rows for which that holds, null
     where it does not. Running counts within segments, and counts of the segments before."""
     rows = segmented(df, keys, order[0], parts, least)
@@ -37,8 +73,8 @@ def placed(df: DataFrame, keys: list[str], order: list[str], valid: dict[str, Co
     counted = {f"__c{i}": F.count(F.when(c, 1)) for i, c in enumerate(valid.values())}
     before = before_segment(rows, keys, counted)
     rows = rows.withColumns({f"__r{i}": F.when(c, F.count(F.when(c, 1)).over(run) - 1) for i, c in enumerate(valid.values())})
-    out = rows.join(before, [*keys, "__seg"])
-    out = out.withColumns({n: F.col(f"__r{i}") + F.col(f"__c{i}") for i, n in enumerate(valid)})
+    out = rows.join(before, [*keys, "__seg"], "left")  # an instrument without a name is one segment
+    out = out.withColumns({n: F.col(f"__r{i}") + F.coalesce(f"__c{i}", F.lit(0)) for i, n in enumerate(valid)})
     return out.drop("__seg", *[f"__{p}{i}" for i in range(len(valid)) for p in ("r", "c")])
 
 
