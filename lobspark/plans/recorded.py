@@ -6,9 +6,12 @@ ticks alone, so the two share no code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lobspark.operators.segments import placed
 from lobspark.plans import views
 from lobspark.sources.feeds import FEEDS, OF_ONE_SYMBOL
 from lobspark.sources.shared import fresh_dir
@@ -19,7 +22,8 @@ _NUMBERED = "select *, row_number() over (partition by symbol order by seq) as r
 _EVERY = ", row_number() over (order by seq) as every"
 #: Feeds whose rules look at the message before: written to files and read from them.
 RULED = frozenset({"binance", "dukascopy", "gemini", "okx", "bybit"})
-FILES = 8
+#: As many files at least, and of so many lines at most or so.
+FILES, FILE_LINES = 8, 500_000
 
 _ISO = "date_format(timestamp_micros(ts_us), 'yyyy-MM-dd''T''HH:mm:ss.SSSSSS')"
 _MS = "ts_us div 1000"
@@ -63,11 +67,15 @@ _OUT = ("symbol", "kind", "ts_us", "side", "price", "qty", "is_buy", "bid", "bid
 def read_back(spark: SparkSession, ticks: DataFrame, feed: str) -> DataFrame:
     """Events of a feed's messages: the fields, and the best levels of snapshots."""
     each = MESSAGES[feed]
-    numbered = spark.sql(_NUMBERED.format(ticks="select * from {t}", every=_EVERY if any("every" in m for m in each) else ""), t=ticks)
+    numbered = ticks
+    for name, by in (("rn", ["symbol"]), ("every", ["__all"])):
+        if any(re.search(rf"\b{name}\b", m) for m in each):
+            numbered = placed(numbered.withColumn("__all", F.lit(0)), by, ["seq"], {"__place": F.lit(True)}).withColumn(name, (F.col("__place") + 1).cast("int")).drop("__place", "__all")
     raw = numbered.select(F.col("seq").alias("s"), F.posexplode(F.array(*map(F.expr, each))).alias("p", "value")).select((F.col("s") * len(each) + F.col("p")).alias("line"), "value")
     if feed in RULED:
         out = fresh_dir(spark, f"messages-{feed}")
-        raw.repartitionByRange(FILES, "line").sortWithinPartitions("line").select("value").write.text(out)
+        files = max(FILES, -(-ticks.count() * len(each) // FILE_LINES))
+        raw.repartitionByRange(files, "line").sortWithinPartitions("line").select("value").write.text(out)
         raw = spark.read.text(out)
     e = FEEDS[feed](raw, *(["X"] if feed in OF_ONE_SYMBOL else []), **({"levels": 1} if feed == "lobster_book" else {}))
     best = {n: F.get(c, F.lit(0))[f] for n, c, f in (("bid", "bids", "price"), ("bid_qty", "bids", "qty"), ("ask", "asks", "price"), ("ask_qty", "asks", "qty"))}

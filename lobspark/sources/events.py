@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lobspark.operators.segments import segmented
+
 LEVELS = "array<struct<price:double,qty:double>>"
 EVENT = f"struct<symbol:string,kind:string,ts_us:bigint,side:string,price:double,qty:double,is_buy:boolean,bids:{LEVELS},asks:{LEVELS},is_imputed:boolean,gap_flag:boolean>"
 FIELDS = ("symbol", "kind", "ts_us", "side", "price", "qty", "is_buy", "bids", "asks", "is_imputed", "gap_flag")
@@ -101,12 +103,31 @@ def emitted(raw: DataFrame, events: Column, exchange: str) -> DataFrame:
 
 def sequenced(m: DataFrame, key: str) -> DataFrame:
     """m (line, value, first, since, until, and key) with `before`: the largest `until` of earlier messages with the key,
-    for feeds whose numbers only grow, or the last one. Batches look back by a window over one key's messages; streams keep the
-    number in a state for each key, so a message that comes after later ones is held against those."""
+    for feeds whose numbers only grow, or the last one. Batches look back by a window over a block of one key's messages, and by a row
+    a block at the blocks before; streams keep the number in a state for each key, so a message that comes after later ones is held against those."""
     if m.isStreaming:
         return _stateful(m, key)
-    w = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return m.withColumn("before", F.when(F.col("grows"), F.max("until").over(w)).otherwise(F.last("until", ignorenulls=True).over(w)))
+    # Messages without a key are one key's.
+    m = m.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("\0")))
+    key = "__key"
+    part = _parts(m, key)
+    own = W.partitionBy(key, "__seg").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    rows = part.withColumn("before", F.when(F.col("grows"), F.max("until").over(own)).otherwise(F.last("until", ignorenulls=True).over(own)))
+    # What the parts before leave: a row a part.
+    at = F.col("line.row") if isinstance(m.schema["line"].dataType, T.StructType) else F.col("line")
+    ends = part.groupBy(key, "__seg").agg(F.max("until").alias("__most"), F.max_by("until", F.when(F.col("until").isNotNull(), at)).alias("__last"))
+    earlier = W.partitionBy(key).orderBy("__seg").rowsBetween(W.unboundedPreceding, -1)
+    parts = ends.select(key, "__seg", F.max("__most").over(earlier).alias("__most"), F.last("__last", ignorenulls=True).over(earlier).alias("__last"))
+    parts = parts.where("__most is not null")
+    out = rows.join(parts, [key, "__seg"], "left")
+    return out.withColumn("before", F.when(F.col("grows"), F.greatest("before", "__most")).otherwise(F.coalesce("before", "__last"))).drop("__key", "__seg", "__most", "__last")
+
+
+def _parts(m: DataFrame, key: str) -> DataFrame:
+    """m with __seg, parts of a key's messages that follow each other: blocks of files, or segments of line numbers."""
+    if isinstance(m.schema["line"].dataType, T.StructType):
+        return m.withColumn("__seg", F.struct("line.file", "line.start"))
+    return segmented(m, [key], "line")
 
 
 def _stateful(m: DataFrame, key: str) -> DataFrame:
