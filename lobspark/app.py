@@ -18,6 +18,7 @@ from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.book import reconstructed
 from lobspark.operators.features import extracted
 from lobspark.operators.folds import folded
+from lobspark.operators.segments import before_segment, lagged, segmented
 from lobspark.plans import report
 from lobspark.sources import files, sinks
 from lobspark.sources.feeds import FEEDS, OF_ONE_SYMBOL
@@ -59,15 +60,22 @@ def price_bars(f: DataFrame) -> DataFrame:
     That index is made of forward returns: it looks ahead where rows lie closer than a second."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("symbol").orderBy("ts_us", "seq")
+    keys, order = ["symbol"], ["ts_us", "seq"]
+    sp = F.coalesce(F.abs("spread"), F.lit(0.0))
     if "mid" in f.columns:
-        p = F.col("mid")
+        f = lagged(f.withColumn("p", F.col("mid")), keys, order, {"__p1": "p"})
     else:
+        # The index runs up within segments of time, and on from the segments before.
         step = F.log1p(F.greatest(0.1 * F.coalesce("r_1s", F.lit(0.0)), F.lit(-0.9999999999)))
-        p = F.greatest(F.exp(F.coalesce(F.sum(step).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))), F.lit(1e-10))
-    sp = F.coalesce(F.abs("spread"), F.lit(0.0))
-    b = f.withColumns({"p": p, "sp": sp, "v": F.coalesce(F.abs("trade_intensity"), F.lit(0.0)), "ofi": F.coalesce("ofi_1", F.lit(0.0))})
-    return b.select("symbol", "ts_us", "seq", "p", (F.col("p") + sp / 2).alias("h"), F.greatest(F.col("p") - sp / 2, F.lit(1e-10)).alias("l"), F.coalesce(F.lag("p").over(w), "p").alias("o"), "v", "sp", "ofi")
+        rows = segmented(f, keys).withColumn("__step", step)
+        before = before_segment(rows, keys, {"__before": F.sum("__step")})
+        run = W.partitionBy(*keys, "__seg").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("__run", F.sum("__step").over(run)).join(before, [*keys, "__seg"], "left")
+        level = F.coalesce("__run", F.lit(0.0)) + F.coalesce("__before", F.lit(0.0))
+        f = rows.withColumn("p", F.greatest(F.exp(level), F.lit(1e-10))).drop("__seg", "__run", "__before", "__step")
+        f = lagged(settled(f), keys, order, {"__p1": "p"})
+    b = f.withColumns({"sp": sp, "v": F.coalesce(F.abs("trade_intensity"), F.lit(0.0)), "ofi": F.coalesce("ofi_1", F.lit(0.0))})
+    return b.select("symbol", "ts_us", "seq", "p", (F.col("p") + sp / 2).alias("h"), F.greatest(F.col("p") - sp / 2, F.lit(1e-10)).alias("l"), F.coalesce("__p1", "p").alias("o"), "v", "sp", "ofi")
 
 
 def indicators(bars: DataFrame) -> DataFrame:

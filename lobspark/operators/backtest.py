@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lobspark.operators.segments import placed
 from lobspark.operators.signals import decayed, position
-from lobspark.operators.stats import average_rank, correlation, finite, solved_sums
+from lobspark.operators.stats import average_rank, correlation, finite, middle, solved_sums
 from lobspark.sources.shared import settled
 
 FEATURES = ("ofi_1", "depth_imb", "microprice_dev", "queue_imb", "trade_intensity")
@@ -41,8 +41,7 @@ def spans(features: DataFrame, c: Config) -> DataFrame:
     by = by.withColumn("skip", F.when(F.col("dt") > 0, F.greatest(F.round(c.resample_s / F.col("dt")), F.lit(1.0))).otherwise(1.0).cast("long"))
     # The upper median of the positive spreads.
     s = features.select("symbol", finite("spread").alias("s")).where("s > 0")
-    w = W.partitionBy("symbol")
-    s = s.withColumns({"rn": F.row_number().over(w.orderBy("s")), "m": F.count(F.lit(1)).over(w)}).where("rn = floor(m / 2) + 1").select("symbol", F.col("s").alias("median_spread"))
+    s = middle(s, ["symbol"], "s").select("symbol", F.col("s").alias("median_spread"))
     out = by.join(s, "symbol", "left").withColumn("median_spread", F.coalesce("median_spread", F.lit(float("inf"))))
     return out.select("symbol", "t0", "t1", "skip", (F.col("dt") * F.col("skip")).alias("bar_s"), "median_spread", (c.max_spread_multiple * F.col("median_spread")).alias("max_spread"))
 

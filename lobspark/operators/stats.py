@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobspark.operators.segments import before_segment, in_blocks, placed
+from lobspark.operators.segments import before_segment, in_blocks, placed, segmented
 from lobspark.sources.shared import settled
 
 
@@ -58,6 +58,19 @@ def rank_in_parts(df: DataFrame, keys: list[str], x: str, parts: int = 256) -> D
     return df.join(ranks.select(*keys, x, (F.col("__r") + F.col("__below")).alias(f"r:{x}")), [*keys, x])
 
 
+def middle(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, x): the upper median of each key's values. Values are counted first, and counts run up in parts, as in rank_in_parts."""
+    counts = df.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__n"))
+    values = segmented(counts, keys, x)
+    below = before_segment(values, keys, {"__below": F.sum("__n")})
+    run = W.partitionBy(*keys, "__seg").orderBy(x).rowsBetween(W.unboundedPreceding, W.currentRow)
+    total = counts.groupBy(*keys).agg(F.sum("__n").alias("__m"))
+    upto = values.withColumn("__upto", F.sum("__n").over(run)).join(below, [*keys, "__seg"]).join(total, keys)
+    upto = upto.withColumn("__upto", F.col("__upto") + F.col("__below"))
+    at = F.floor(F.col("__m") / 2) + 1
+    return upto.where((F.col("__upto") >= at) & (F.col("__upto") - F.col("__n") < at)).select(*keys, x)
+
+
 def spearman_in_parts(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2) -> DataFrame:
     """(keys, ic, n) as spearman gives, for keys of any size."""
     pairs = df.select(*keys, finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
@@ -113,17 +126,18 @@ def icir(df: DataFrame, keys: list[str], ic: str = "ic") -> DataFrame:
 
 def windowed(df: DataFrame, keys: list[str], order: list[str], window: int, step: int) -> DataFrame:
     """Rows with the window they are in: (window_idx, starting at window_idx * step), a row for each; only whole windows."""
-    by = W.partitionBy(*keys)
-    rows = df.withColumns({"__rn": F.row_number().over(by.orderBy(*order)) - 1, "__n": F.count(F.lit(1)).over(by)})
+    rows = placed(df, keys, order, {"__rn": F.lit(True)})
     first = F.greatest(F.lit(0), F.ceil((F.col("__rn") - window + 1) / step)).cast("int")
-    last = F.least(F.floor(F.col("__rn") / step), F.floor((F.col("__n") - window) / step)).cast("int")
-    return rows.where(F.col("__n") >= window).withColumns({"__a": first, "__b": last}).where("__a <= __b").withColumn("window_idx", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b", "__rn", "__n")
+    last = F.floor(F.col("__rn") / step).cast("int")
+    rows = rows.withColumns({"__a": first, "__b": last}).where("__a <= __b").withColumn("window_idx", F.explode(F.sequence("__a", "__b")))
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys, "window_idx")))
+    return rows.where(F.col("__n") == window).drop("__a", "__b", "__rn", "__n")
 
 
 def rolling_ic(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int, step: int, digits: int | None = None) -> DataFrame:
     """(keys, window_idx, center, ic): rank correlation in sliding windows of finite pairs."""
     pairs = df.select(*keys, *order, finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
-    out = spearman(windowed(pairs, keys, order, window, step), [*keys, "window_idx"], "x", "y", 2, digits)
+    out = spearman(windowed(settled(pairs), keys, order, window, step), [*keys, "window_idx"], "x", "y", 2, digits)
     return out.select(*keys, "window_idx", (F.col("window_idx") * step + window // 2).alias("center"), "ic")
 
 
@@ -286,11 +300,12 @@ def dickey_fuller(df: DataFrame, keys: list[str], order: list[str], xs: list[str
 
 
 def ljung_box(df: DataFrame, keys: list[str], order: list[str], x: str, lags: int = 20) -> DataFrame:
-    """(keys, n, q): n(n+2) sum rho_k^2 / (n-k), from lagged products in one window."""
-    by = W.partitionBy(*keys)
-    rows = df.select(*keys, *order, finite(x).alias("x")).where("x is not null").withColumn("c", F.col("x") - F.avg("x").over(by))
-    w = by.orderBy(*order)
-    rows = rows.select(*keys, "c", *[F.lag("c", k).over(w).alias(f"c{k}") for k in range(1, lags + 1)])
+    """(keys, n, q): n(n+2) sum rho_k^2 / (n-k), from lagged products in blocks of places with a halo of the rows that lags reach."""
+    base = settled(df.select(*keys, *order, finite(x).alias("x")).where("x is not null"))
+    means = base.groupBy(*keys).agg(F.avg("x").alias("__mean"))
+    rows = in_blocks(placed(base, keys, order, {"__i": F.lit(True)}), "__i", BLOCK, lags).join(means, keys).withColumn("c", F.col("x") - F.col("__mean"))
+    w = W.partitionBy(*keys, "block").orderBy("__i")
+    rows = rows.select(*keys, "block", "__i", "c", *[F.lag("c", k).over(w).alias(f"c{k}") for k in range(1, lags + 1)]).where(F.floor(F.col("__i") / BLOCK) == F.col("block"))
     sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c") * F.col("c")).alias("v"), *[F.coalesce(F.sum(F.col("c") * F.col(f"c{k}")), F.lit(0.0)).alias(f"g{k}") for k in range(1, lags + 1)])
     q = sum((F.pow(F.col(f"g{k}") / F.col("v"), 2) / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
     return sums.select(*keys, "n", F.when((F.col("v") > 0) & (F.col("n") > lags), F.col("n") * (F.col("n") + 2) * q).alias("q"))

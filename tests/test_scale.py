@@ -5,6 +5,7 @@ import pytest
 
 from lobspark import catalog
 from lobspark.operators import segments
+from lobspark.sources.events import sequenced
 
 from .conftest import sf
 
@@ -30,3 +31,51 @@ def same_as_sql(spark, name, folder):
 @pytest.mark.parametrize("name", ["snapshots_and_gaps", "features"])
 def test_rows_of_one_time(spark, repeated, name):
     same_as_sql(spark, name, repeated)
+
+
+@pytest.fixture
+def short(monkeypatch):
+    """Series of more than 40 rows are cut into segments."""
+    monkeypatch.setattr(segments, "LEAST", 40)
+    monkeypatch.setattr(segments, "PARTS", 6)
+
+
+def longest_run(df):
+    """Windows of the plan that have the rows of whole instruments, or of the whole table, in one task."""
+    lines = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.lstrip(" :+-").startswith("Window")]
+    return [line for line in lines if not any(part in line for part in ("__seg", "block", "window_idx"))]
+
+
+@pytest.mark.parametrize("name", ["labels", "labels_stretched", "sink_parquet"])
+def test_long_series_in_segments(spark, short, name):
+    same_as_sql(spark, name, sf())
+
+
+@pytest.mark.parametrize("name", ["feed_gemini", "feed_dukascopy", "feed_binance", "feed_okx", "feed_bybit"])
+def test_messages_in_blocks(spark, short, name):
+    same_as_sql(spark, name, sf())
+
+
+@pytest.mark.parametrize("grows", [True, False])
+def test_number_before_across_segments(spark, short, grows):
+    rows = [(i, i % 3 if i % 3 else None, None if i % 5 == 0 else (i * 37) % 101, grows) for i in range(400)]
+    got = sequenced(spark.createDataFrame(rows, "line long, k int, until long, grows boolean").repartition(3), "k").orderBy("line").collect()
+    last = {}
+    for line, k, until, _ in rows:
+        assert got[line].before == last.get(k)
+        if until is not None:
+            last[k] = max(last.get(k, 0), until) if grows else until
+
+
+def test_no_task_has_all_messages(spark, short):
+    assert not longest_run(catalog.QUERIES["feed_gemini"](spark, sf()))
+
+
+@pytest.mark.parametrize("name", ["stat_rolling_ic", "stat_icir", "stat_ljung_box", "price_index"])
+def test_statistics_in_segments(spark, short, name):
+    same_as_sql(spark, name, "/root/testdata/sf0.01" if name in ("stat_rolling_ic", "stat_icir") else sf())
+
+
+@pytest.mark.parametrize("name", ["stat_rolling_ic", "stat_ljung_box", "price_index", "labels"])
+def test_no_task_has_an_instrument(spark, short, name):
+    assert not longest_run(catalog.QUERIES[name](spark, sf()))
