@@ -151,14 +151,16 @@ def _met(fps: np.ndarray, who: np.ndarray, left: np.ndarray, width: int, most: i
 
 
 def routed(rows: DataFrame, old: int, new: int, bits: int, half: int) -> DataFrame:
-    """rows (route, node, fp, mark) of routes by `old` leading bits, dealt by `new` ones. A route is its table and
+    """rows (route, node, fp, and what else they hold) of routes by `old` leading bits, dealt by `new` ones. A route is its table and
     the leading bits of the variants that meet there."""
     masks = flips(new - old, half)
     costs = np.bitwise_count(masks).astype(np.int64)
+    names = ["route", "node", "fp", *(c for c in rows.columns if c not in ("route", "node", "fp"))]
+    kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            route, node, mark = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+            route, node = b.column(0).to_numpy(), b.column(1).to_numpy()
             fp = b.column(2).to_numpy().view(np.uint64)
             used = spent(route, fp, old, bits)
             own = (fp >> np.uint64(bits - new)) & np.uint64((1 << (new - old)) - 1)
@@ -166,9 +168,10 @@ def routed(rows: DataFrame, old: int, new: int, bits: int, half: int) -> DataFra
                 at = np.flatnonzero(used + c <= half)
                 if len(at):
                     to = route[at] << (new - old) | (own[at] ^ m).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(node[at]), pa.array(fp[at].view(np.int64)), mark.take(pa.array(at))], ["route", "node", "fp", "mark"])
+                    rest = [c.take(pa.array(at)) for c in b.columns[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(node[at]), pa.array(fp[at].view(np.int64)), *rest], names)
 
-    return in_batches(rows.select("route", "node", "fp", "mark"), run, "route long, node long, fp long, mark long", 1 << 14)
+    return in_batches(rows.select(*names), run, ", ".join(f"{c} {kinds[c]}" for c in names), 1 << 14)
 
 
 def middle(a: np.ndarray, b: np.ndarray, half: int) -> np.ndarray:
@@ -188,23 +191,27 @@ def spent(route: np.ndarray, fp: np.ndarray, level: int, bits: int) -> np.ndarra
     return np.bitwise_count((fp >> np.uint64(bits - level) if level else np.zeros_like(fp)) ^ head).astype(np.int64)
 
 
-def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int = BITS, tables: int = 1, out: str = "forest") -> DataFrame:
+def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int = BITS, tables: int = 1, out: str = "forest", most: int | None = None) -> DataFrame:
     """(u, v): links between the nodes of reps (node, fp, and table if there are several), a table's fp all
     different, of star links between fingerprints that meet on a variant: as a forest, those that hold each group
     together that chains of at most `radius` differing bits connect; as `first`, each node's link to the
-    node that it met of the largest `mark`, the smallest of equals; as `across`, all between nodes whose `mark` in reps differs;
-    as `meetings`, in place of links, (node, how many others it met on its variants)."""
+    node that it met of the largest `mark`, the smallest of equals; as `across`, all between nodes whose `mark` in reps differs,
+    to the node of a variant that has the largest `rank`, if reps has it, the smallest of equals;
+    as `meetings`, in place of links, (node, how many others it met on its variants).
+    With `most`, reps also has `prints`, an array of longs a node: of `first` and `across` those links are left whose prints differ in so many bits at most."""
     half = radius // 2
     if radius % 2:
         raise ValueError("the radius must be even")
     table = F.col("table").cast("long") if "table" in reps.columns else F.lit(0).cast("long")
     mark = F.col("mark") if "mark" in reps.columns else F.lit(None).cast("long")
+    held = [mark.alias("mark"), *(c for c in ("rank", "prints") if c in reps.columns)]
     lead = route_bits(-(-reps.count() // tables), half) if lead is None else lead
 
     def meet(level: int) -> Callable[[tuple, pa.Table], pa.Table]:
         def run(key: tuple, t: pa.Table) -> pa.Table:
             # Positions are in order of rank: links go to the first.
-            t = t.sort_by([("mark", "descending"), ("node", "ascending")] if out == "first" else "node")
+            first = [(c, "descending") for c in ("mark" if out == "first" else "rank",) if c in t.column_names and out in ("first", "across")]
+            t = t.sort_by([*first, ("node", "ascending")])
             route, node, fp = (t.column(c).to_numpy() for c in ("route", "node", "fp"))
             fp = fp.view(np.uint64)
             counted = np.zeros(len(fp), np.int64) if out == "meetings" else None
@@ -230,11 +237,15 @@ def links(reps: DataFrame, radius: int = 4, lead: int | None = None, bits: int =
                 marks = t.column("mark").to_numpy()
                 apart = marks[u] != marks[v]
                 u, v = np.unique(np.stack([u[apart], v[apart]]), axis=1)
+            if most is not None and len(u):
+                prints = t.column("prints").combine_chunks().flatten().to_numpy().reshape(len(fp), -1)
+                close = np.bitwise_count(prints[u] ^ prints[v]).sum(axis=1, dtype=np.int64) <= most
+                u, v = u[close], v[close]
             return pa.table({"u": node[u], "v": node[v]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
         return run
 
-    rows, level, found = routed(reps.select(table.alias("route"), "node", "fp", mark.alias("mark")), 0, lead, bits, half), lead, None
+    rows, level, found = routed(reps.select(table.alias("route"), "node", "fp", *held), 0, lead, bits, half), lead, None
     while True:
         full = rows.groupBy("route").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * ROUTE_ROWS).select("route")
         full = settled(full) if level < min(bits, MOST_LEAD) else None

@@ -96,3 +96,21 @@ def test_a_group_with_unlike_leads(spark):
         rows += [(g, " ".join(one)), (100 + g, " ".join(two))]
     want = near(dict(rows))
     assert [i for _, i, _ in _stage(spark, rows)] == sorted(i for i, j in want.items() if i == j)
+
+
+def test_pairs_are_held_against_all_bits_where_they_meet(spark):
+    """Of a group that meets on one table, only pairs near in all bits come out, tied to the node of the largest rank."""
+    from lobspark.llm import simhash
+
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        others = [r.getrandbits(40) if i % 3 else 7 << k % 3 for k in range(3)]  # every third alike, the others not
+        fp = 0x5A5A5A5A5A ^ (1 << i % 40)
+        rows.append((0, i, fp, i, 1000 - abs(i - 30), [fp, *others]))
+    reps = spark.createDataFrame(rows, "table int, node long, fp long, mark long, rank long, prints array<long>")
+    loose = {(x.u, x.v) for x in simhash.links(reps, 4, bits=40, tables=1, out="across").collect()}
+    near = lambda u, v: sum((a ^ b).bit_count() for a, b in zip(rows[u][5], rows[v][5], strict=True)) <= 20
+    tight = [(x.u, x.v) for x in simhash.links(reps, 4, bits=40, tables=1, out="across", most=20).collect()]
+    assert set(tight) == {p for p in loose if near(*p)} and 0 < len(set(tight)) < len(loose)
+    assert all(rows[u][4] > rows[v][4] or rows[u][4] == rows[v][4] and u < v for u, v in loose)
