@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +42,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, least: int = 2, dig
     return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
-def large_keys(df: DataFrame, keys: list[str], rows: int = 4_000_000) -> DataFrame | None:
+def large_keys(df: DataFrame, keys: list[str], rows: int = 16_000_000) -> DataFrame | None:
     """The keys with more than `rows` rows, or None if there are none: what ic_table has to rank in parts. Takes a pass over df."""
     found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select(*keys)
     return None if found.isEmpty() else found
@@ -82,9 +85,11 @@ def spearman_in_parts(df: DataFrame, keys: list[str], x: str, y: str, least: int
 def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[str], least: int = 10, digits: int | None = 9, large: DataFrame | None = None) -> DataFrame:
     """(keys, indicator, horizon, ic, n) for every signal and return that have pairs; null for fewer than `least`.
 
-    Rows are shuffled once for each signal, with all returns, and not for each pair of them; a task ranks one signal of
-    one key's rows, held as columns of doubles. Keys in `large` (from large_keys) are ranked in parts instead, so that none is
-    gathered; the results are the same.
+    Rows are read in chunks. Of each chunk and column the sorted values go to one task a key and column, a few packed bytes a
+    value; the ranks come back to the chunk in that order, where ranks of signals and returns meet row by row, as sums. A pair is ranked
+    among the rows that have both values: beside a column's ranks come, for each column of the other side that lacks values, by how much
+    its missing rows lower them. No task holds more of a key than a column or a chunk. Keys in `large` (from large_keys) are ranked
+    in parts instead, by value; the results are the same.
     """
     if large is not None:
         rounded = (lambda c: F.round(finite(c), digits)) if digits is not None else finite
@@ -94,23 +99,149 @@ def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[s
         rest = ic_table(df.join(F.broadcast(large), keys, "left_anti"), keys, signals, returns, least, digits)
         return rest.unionByName(split)
     r = (lambda c: F.round(finite(c), digits)) if digits is not None else finite
-    wide = df.select(*keys, *[r(c).alias(c) for c in dict.fromkeys([*returns, *signals])])
-    long = wide.unpivot([*keys, *returns], signals, "indicator", "__x").where("__x is not null")
-    names, types = [*keys, "indicator", "horizon", "ic", "n"], {f.name: f.dataType.simpleString() for f in df.schema}
-
-    def score(key: tuple, t: pa.Table) -> pa.Table:
-        x, out = t.column("__x").to_numpy(), []
-        for h in returns:
-            y = t.column(h).to_numpy()  # null as NaN
-            ok = ~np.isnan(y)
-            n = int(ok.sum())
-            if n:
-                out.append((*(k.as_py() for k in key), h, rank_correlation(x[ok], y[ok]) if n >= max(least, 2) else None, n))
-        fields = [pa.field(c, t.schema.field(c).type) for c in [*keys, "indicator"]] + [pa.field("horizon", pa.string()), pa.field("ic", pa.float64()), pa.field("n", pa.int64())]
-        return pa.table([pa.array([o[i] for o in out], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
-
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "indicator string, horizon string, ic double, n long"])
-    return long.groupBy(*keys, "indicator").applyInArrow(score, schema).select(*names)
+    # By place: a signal may be a return, too, and then is a column of either side.
+    wide = df.select(*keys, *[r(c).alias(f"__v{i}") for i, c in enumerate([*signals, *returns])])
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    by = ", ".join(f"{k} {types[k]}" for k in keys)
+    k, m, h = len(keys), len(signals), len(returns)
+    other = lambda j: range(m, m + h) if j < m else range(m)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 40
+        for nth, t in enumerate(_gathered(batches, CHUNK)):
+            codes = np.zeros(t.num_rows, np.int64)
+            for c in t.columns[:k]:
+                codes = np.unique(codes * (t.num_rows + 1) + c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(), return_inverse=True)[1]
+            order = np.argsort(codes, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+                own = t.take(pa.array(at))
+                values = [own.column(k + j).to_numpy() for j in range(m + h)]  # null as NaN
+                lacks = [np.isnan(v) for v in values]
+                out = []
+                for j, v in enumerate(values):
+                    place = np.argsort(v, kind="stable")[: len(v) - int(lacks[j].sum())]
+                    missing = {int(o): _packed(np.flatnonzero(lacks[o][place])) for o in other(j) if lacks[o].any()}
+                    out.append((j, _packed_values(v[place], digits), place.astype(np.uint16).tobytes(), list(missing), list(missing.values())))
+                n = len(out)
+                same = [pa.array([c[0].as_py()] * n, c.type) for c in own.columns[:k]]
+                cols = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.binary())))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([task + nth] * n, pa.int64()), *cols], [*keys, *names])
+
+    def rank(key: tuple, t: pa.Table) -> pa.Table:
+        runs = [_unpacked_values(b.as_py()) for b in t.column("run")]
+        sizes = np.array([len(v) for v in runs])
+        whole = np.concatenate(runs)
+        ends, total = np.cumsum(sizes), len(whole)
+        twice = _twice_ranks(whole)
+        lost: dict[int, list[np.ndarray]] = {}
+        for v, cols, at in zip(runs, t.column("lacking").to_pylist(), t.column("missing").to_pylist(), strict=True):
+            for o, b in zip(cols, at, strict=True):
+                lost.setdefault(o, []).append(v[_unpacked(b)])
+        lost = {o: np.sort(np.concatenate(v)) for o, v in lost.items()}
+        lost = {o: v for o, v in lost.items() if len(v)}
+        ranks, down = [], []
+        for v, e in zip(runs, ends, strict=True):
+            ranks.append(_packed(twice[e - len(v) : e]))
+            down.append([_packed(np.searchsorted(z, v) + np.searchsorted(z, v, "right")) for z in lost.values()])
+        n = t.num_rows
+        cols = [pa.array(ranks, pa.binary()), pa.array([total] * n, pa.int64()), pa.array([list(lost)] * n, pa.list_(pa.int32())), pa.array(down, pa.list_(pa.binary()))]
+        return pa.table([*(t.column(c) for c in [*keys, "chunk", "col", "place"]), *cols], [*keys, "chunk", "col", "place", "ranks", "total", "lacking", "down"])
+
+    def meet(key: tuple, t: pa.Table) -> pa.Table:
+        found, size, out = {}, 1, []
+        for j, place, ranks, total, lacking, down in zip(*(t.column(c).to_pylist() for c in ("col", "place", "ranks", "total", "lacking", "down")), strict=True):
+            place = np.frombuffer(place, np.uint16)
+            found[j] = (place, _unpacked(ranks) - total, {o: _unpacked(d) for o, d in zip(lacking, down, strict=True)})
+            size = max(size, int(place.max(initial=0)) + 1)
+
+        def column(j: int, o: int) -> np.ndarray:
+            place, ranks, down = found[j]
+            full = np.full(size, np.nan)
+            full[place] = ranks - down[o] if o in down else ranks
+            return full
+
+        ys = {(j, o): column(j, o) for j in range(m, m + h) for o in {-1, *found[j][2]}}
+        for i in range(m):
+            xs = {o: column(i, o) for o in {-1, *found[i][2]}}
+            for j in range(m, m + h):
+                x, y = xs[j if j in xs else -1], ys[j, i if (j, i) in ys else -1]
+                ok = ~(np.isnan(x) | np.isnan(y))
+                if ok.any():
+                    x, y = x[ok], y[ok]
+                    out.append((i, j - m, len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y))
+        same = [pa.array([c.as_py()] * len(out), t.schema.field(n).type) for c, n in zip(key, keys, strict=False)]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5]
+        return pa.table([*same, *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))], [*keys, "i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    names = ["chunk", "col", "run", "place", "lacking", "missing"]
+    runs = wide.mapInArrow(cut, f"{by}, chunk long, col int, run binary, place binary, lacking array<int>, missing array<binary>")
+    ranks = runs.groupBy(*keys, "col").applyInArrow(rank, f"{by}, chunk long, col int, place binary, ranks binary, total long, lacking array<int>, down array<binary>")
+    sums = ranks.groupBy(*keys, "chunk").applyInArrow(meet, f"{by}, i int, j int, n long, x double, y double, xx double, yy double, xy double")
+    sums = sums.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    # Twice the ranks, less a number that a column's rows share: equal ranks leave no more than what rounding does.
+    part = lambda a, b: F.col(a + b) - F.col(a) * F.col(b) / F.col("n")
+    varies = (part("x", "x") > 1e-11 * F.col("xx")) & (part("y", "y") > 1e-11 * F.col("yy"))
+    ic = F.when((F.col("n") >= max(least, 2)) & varies, part("x", "y") / F.sqrt(part("x", "x")) / F.sqrt(part("y", "y")))
+    named = lambda c, of: F.element_at(F.array(*map(F.lit, of)), F.col(c) + 1)
+    return sums.select(*keys, named("i", signals).alias("indicator"), named("j", returns).alias("horizon"), ic.alias("ic"), "n")
+
+
+#: Rows of a chunk; places in it are of two bytes.
+CHUNK = 1 << 16
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches' rows, `rows` at once."""
+    held, n = [], 0
+    for b in batches:
+        while b.num_rows:
+            held.append(b.slice(0, rows - n))
+            n, b = n + held[-1].num_rows, b.slice(rows - n)
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """Whole numbers in ascending order, as compressed differences."""
+    d = np.diff(v.astype(np.int64), prepend=np.int64(0))
+    return np.int64(len(d)).tobytes() + pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    n = int(np.frombuffer(b, np.int64, 1)[0])
+    if not n:
+        return np.zeros(0, np.int64)
+    d = pa.decompress(b[8:], 8 * n, "zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(d, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def _packed_values(v: np.ndarray, digits: int | None) -> bytes:
+    """Doubles in ascending order: as multiples of the last digit, if that gives just them, or as the numbers that their bits are, in their order."""
+    if digits is not None and (not len(v) or max(abs(v[0]), abs(v[-1])) < 2.0**52 / 10.0**digits):
+        whole = np.rint(v * 10.0**digits)
+        if np.array_equal(whole / 10.0**digits, v):
+            return int(digits).to_bytes(1, "little") + _packed(whole)
+    bits = (v + 0.0).view(np.int64)  # -0.0 is 0.0
+    return b"\xff" + _packed(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
+
+
+def _unpacked_values(b: bytes) -> np.ndarray:
+    v = _unpacked(b[1:])
+    return v / 10.0 ** b[0] if b[0] != 0xFF else (v ^ ((v >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
+
+
+def _twice_ranks(v: np.ndarray) -> np.ndarray:
+    """Twice the average rank of each value, a whole number."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(s))
+    out = np.empty(len(v), np.int64)
+    out[order] = np.repeat(first + last + 1, last - first)
+    return out
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

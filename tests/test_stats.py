@@ -257,3 +257,27 @@ def test_large_keys_are_ranked_in_parts(spark):
     got = sorted(stats.ic_table(df, ["symbol"], ["a", "r2"], ["r1", "r2"], large=large).collect(), key=key)
     assert [(*key(r), r.n) for r in got] == [(*key(r), r.n) for r in want] and len(got) == 12
     assert all((a.ic is None) == (b.ic is None) and (a.ic is None or abs(a.ic - b.ic) < 1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_ranks_of_chunks(spark, monkeypatch):
+    """Ranks of columns that are cut into chunks, with ties and nulls on either side, are those of whole columns; no task has a key's rows."""
+    import random
+
+    from lobspark.operators import stats
+
+    rng = random.Random(3)
+    value = lambda: rng.choice([None, float("nan"), float("-inf"), -0.0, 0.0, rng.gauss(0, 1), rng.gauss(0, 1) * 1e12, float(rng.randrange(4))])
+    rows = [(rng.choice(["s0", "s1", None]), value(), value() if i > 900 else None, 2.0, value(), None if i % 7 == 0 else float(rng.randrange(30))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "symbol string, a double, b double, c double, r1 double, r2 double").repartition(3)
+    monkeypatch.setattr(stats, "CHUNK", 100)
+    key = lambda r: (r.symbol or "", r.indicator, r.horizon)
+    for digits in (9, None):
+        found = stats.ic_table(df, ["symbol"], ["a", "b", "c"], ["r1", "r2"], digits=digits)
+        assert not any(name in found._jdf.queryExecution().optimizedPlan().toString() for name in ("Generate", "Expand"))  # no row a value
+        got = {key(r): (r.n, r.ic) for r in found.collect()}
+        assert len(got) == 18
+        for x in ("a", "b", "c"):
+            for y in ("r1", "r2"):
+                for r in stats.spearman(df, ["symbol"], x, y, 10, digits).collect():
+                    n, ic = got[r.symbol or "", x, y]
+                    assert n == r.n and (ic is None) == (r.ic is None) == (x == "c") and (ic is None or abs(ic - r.ic) < 1e-9)
