@@ -10,14 +10,14 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lobspark.functions.indicators import FOLDED, NAMES, framed_sql
+from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
 from lobspark.operators import backtest as bt
 from lobspark.operators import simulate as sim
 from lobspark.operators import stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.book import reconstructed
 from lobspark.operators.features import extracted
-from lobspark.operators.folds import folded
+from lobspark.operators.folds import WHOLE, folded
 from lobspark.operators.segments import before_segment, lagged, segmented
 from lobspark.plans import report
 from lobspark.sources import files, sinks
@@ -85,10 +85,27 @@ def indicators(bars: DataFrame) -> DataFrame:
     return frames.join(folded(bars, FOLDED), ["symbol", "ts_us", "seq"]).select("symbol", "ts_us", "seq", *NAMES)
 
 
+def indicator_ic(bars: DataFrame, names: list[str], returns: list[str]) -> DataFrame:
+    """(symbol, indicator, horizon, ic, n) of the named indicators of bars that have returns. Frames, folds by block and folds by instrument
+    are each ranked by themselves, beside the returns that pass through them: no indicators are joined."""
+    groups = [[n for n in names if n in FRAME], [n for n in names if n in FOLDED and n not in WHOLE], [n for n in names if n in WHOLE]]
+    groups = [g for g in groups if g]
+    bars = settled(bars) if len(groups) > 1 else bars
+    large, out = stats.large_keys(bars, ["symbol"]), None
+    for g in groups:
+        if g[0] in FRAME:
+            table = bars.sparkSession.sql(framed_sql("select * from {bars}", g, keep=returns), bars=bars)
+        else:
+            table = folded(bars, tuple(g), keep=tuple(returns))
+        found = stats.ic_table(table, ["symbol"], g, returns, large=large)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def techanalysis(f: DataFrame) -> DataFrame:
     """(symbol, indicator, horizon, ic, n) of a feature table."""
-    table = indicators(price_bars(f)).join(f.select("symbol", "ts_us", "seq", *RETURNS), ["symbol", "ts_us", "seq"])
-    return stats.ic_table(table, ["symbol"], list(NAMES), RETURNS, large=stats.large_keys(f, ["symbol"]))
+    bars = price_bars(f).join(f.select("symbol", "ts_us", "seq", *RETURNS), ["symbol", "ts_us", "seq"])
+    return indicator_ic(bars, list(NAMES), RETURNS)
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:

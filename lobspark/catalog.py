@@ -214,17 +214,11 @@ QUERIES["labels_stretched"] = lambda spark, sf_dir: rounded(_labels(spark, sf_di
 ORACLE_SQL["labels_stretched"] = _labels_sql(STRETCHED)
 
 
-def _signals(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    """Indicators with the four forward returns."""
-    frame = sql(spark, sf_dir, framed_sql(views.bars("spark"), [n for n in names if n in FRAME]))
-    out = frame.join(_labels(spark, sf_dir, STRETCHED).select("symbol", "ts_us", "seq", *[f"r_{h}" for h in HORIZONS]), ["symbol", "ts_us", "seq"])
-    folds = tuple(n for n in names if n in FOLDED)
-    return out.join(folded(bars(spark, sf_dir), folds), ["symbol", "ts_us", "seq"]) if folds else out
-
-
 def _ic(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
-    large = stats.large_keys(ticks(spark, sf_dir).select("symbol"), ["symbol"])
-    return stats.ic_table(_signals(spark, sf_dir, names), ["symbol"], names, [f"r_{h}" for h in HORIZONS], large=large)
+    """Indicators against the four forward returns."""
+    returns = [f"r_{h}" for h in HORIZONS]
+    table = bars(spark, sf_dir).join(_labels(spark, sf_dir, STRETCHED).select("symbol", "ts_us", "seq", *returns), ["symbol", "ts_us", "seq"])
+    return app.indicator_ic(table, names, returns)
 
 
 def _ic_sql(names: list[str]) -> str:
@@ -393,7 +387,7 @@ _stat("stat_vif", lambda d: stats.vif(d, ["symbol"], ["ofi_1", "spread"]), ", c
 
 
 def _ic_points(d: DataFrame) -> DataFrame:
-    return stats.ic_table(d, ["symbol"], ["ofi_1"], [f"r_{h}" for h in HORIZONS]).withColumn("tau", F.regexp_extract("horizon", "([0-9]+)", 1).cast("double"))
+    return stats.ic_table(d, ["symbol"], ["ofi_1"], [f"r_{h}" for h in HORIZONS], large=stats.large_keys(d, ["symbol"])).withColumn("tau", F.regexp_extract("horizon", "([0-9]+)", 1).cast("double"))
 
 
 def _decay(d: DataFrame) -> DataFrame:

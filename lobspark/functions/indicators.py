@@ -141,8 +141,9 @@ FOLDED = (
 NAMES = (*FRAME, *FOLDED)
 
 
-def framed_sql(base: str, names: list[str] | None = None, digits: int | None = None) -> str:
-    """A query over `base` (a query with the inputs) for frame indicators; layers that none of them needs are pruned by the engine."""
+def framed_sql(base: str, names: list[str] | None = None, digits: int | None = None, keep: list[str] | None = None) -> str:
+    """A query over `base` (a query with the inputs) for frame indicators, beside the columns of base in `keep`; layers that none of
+    them needs are pruned by the engine."""
     names = list(FRAME) if names is None else names
 
     def layer(columns: dict[str, str]) -> str:
@@ -153,5 +154,5 @@ def framed_sql(base: str, names: list[str] | None = None, digits: int | None = N
 
     return (
         f"with b0 as ({base}), b1 as (select b0.*{layer(LAYER1)} from b0), b2 as (select b1.*{layer(LAYER2)} from b1), b3 as (select b2.*{layer(LAYER3)} from b2) "
-        f"select symbol, ts_us, seq{''.join(f', {last(n)} as {n}' for n in names)} from b3"
+        f"select symbol, ts_us, seq{''.join(f', {c}' for c in keep or [])}{''.join(f', {last(n)} as {n}' for n in names)} from b3"
     )

@@ -271,31 +271,31 @@ BLOCK_ROWS, WARM = 1 << 17, 1 << 13
 WHOLE = frozenset({"supertrend_14"})
 
 
-def folded(bars: DataFrame, names: tuple[str, ...], partitions: int | None = None, rows: int = BLOCK_ROWS, warm: int = WARM) -> DataFrame:
-    """symbol, ts_us, seq and the named fold indicators, for every row of bars.
+def folded(bars: DataFrame, names: tuple[str, ...], partitions: int | None = None, rows: int = BLOCK_ROWS, warm: int = WARM, keep: tuple[str, ...] = ()) -> DataFrame:
+    """symbol, ts_us, seq, the columns of bars in `keep` and the named fold indicators, for every row of bars.
 
     Instruments of more than `rows` rows are dealt in blocks of time, each folded from `warm` rows before it; the rules in WHOLE
     go row by row all the same."""
-    base = bars.select(*INPUTS)
+    base = bars.select(*INPUTS, *keep)
     if base.groupBy("symbol").count().where(F.col("count") > rows).isEmpty():
-        return _folded(base, names, partitions)
+        return _folded(base, names, partitions, keep=keep)
     keys, apart = ["symbol", "ts_us", "seq"], tuple(n for n in names if n in WHOLE)
     rest = tuple(n for n in names if n not in WHOLE)
     if not rest:
-        return _folded(base, names, partitions)
+        return _folded(base, names, partitions, keep=keep)
     full = F.lit(True)
     for c in INPUTS[3:]:
         full = full & F.col(c).isNotNull() & ~F.isnan(c)
     cut = in_blocks(placed(base.where(full), ["symbol"], ["ts_us", "seq"], {"place": F.lit(True)}), "place", rows, warm)
-    found = _folded(cut.withColumn("own", F.floor(F.col("place") / rows) == F.col("block")), rest, None, ["block", "own"]).where("own").drop("own", "block")
-    out = found.unionByName(base.where(~full).select(*keys, *[F.lit(None).cast("double").alias(n) for n in rest]))
+    found = _folded(cut.withColumn("own", F.floor(F.col("place") / rows) == F.col("block")), rest, None, ["block", "own"], keep).where("own").drop("own", "block")
+    out = found.unionByName(base.where(~full).select(*keys, *keep, *[F.lit(None).cast("double").alias(n) for n in rest]))
     if apart:
-        out = out.join(_folded(base, apart, partitions), keys)
-    return out.select(*keys, *names)
+        out = out.join(_folded(base.select(*INPUTS), apart, partitions), keys)
+    return out.select(*keys, *keep, *names)
 
 
-def _folded(base: DataFrame, names: tuple[str, ...], partitions: int | None, extra: list[str] | None = None) -> DataFrame:
-    """The fold of each instrument, or, with block among the extra columns, of each block of one."""
+def _folded(base: DataFrame, names: tuple[str, ...], partitions: int | None, extra: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The fold of each instrument, or, with block among the extra columns, of each block of one. Extra columns and `keep` pass through."""
     extra, n = extra or [], len(INPUTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +313,10 @@ def _folded(base: DataFrame, names: tuple[str, ...], partitions: int | None, ext
                     at = a + np.flatnonzero(~np.isnan(sum(c[a:z] for c in cols.values())))
                     if len(at):
                         out[:, at] = state.run(names, **{n: c[at] for n, c in cols.items()})
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[n:], *(pa.array(x, pa.float64(), from_pandas=True) for x in out)], ["symbol", "ts_us", "seq", *extra, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *b.columns[n:], *(pa.array(x, pa.float64(), from_pandas=True) for x in out)], ["symbol", "ts_us", "seq", *extra, *keep, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
     by = ["symbol", *extra[:1]]
     dealt = base.repartition(partitions, *by) if partitions else base.repartition(*by)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in ("symbol", "ts_us", "seq", *extra)] + [f"{x} double" for x in names])
-    return dealt.sortWithinPartitions(*by, "ts_us", "seq").select(*INPUTS, *extra).mapInArrow(run, schema)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in ("symbol", "ts_us", "seq", *extra, *keep)] + [f"{x} double" for x in names])
+    return dealt.sortWithinPartitions(*by, "ts_us", "seq").select(*INPUTS, *extra, *keep).mapInArrow(run, schema)
