@@ -174,7 +174,8 @@ def ic_table(df: DataFrame, keys: list[str], signals: list[str], returns: list[s
         return pa.table([*same, *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))], [*keys, "i", "j", "n", "x", "y", "xx", "yy", "xy"])
 
     names = ["chunk", "col", "run", "place", "lacking", "missing"]
-    runs = wide.mapInArrow(cut, f"{by}, chunk long, col int, run binary, place binary, lacking array<int>, missing array<binary>")
+    # Kept, as a task that is run again may get its rows in another order, and a chunk's columns belong together.
+    runs = settled(wide.mapInArrow(cut, f"{by}, chunk long, col int, run binary, place binary, lacking array<int>, missing array<binary>"))
     ranks = runs.groupBy(*keys, "col").applyInArrow(rank, f"{by}, chunk long, col int, place binary, ranks binary, total long, lacking array<int>, down array<binary>")
     sums = ranks.groupBy(*keys, "chunk").applyInArrow(meet, f"{by}, i int, j int, n long, x double, y double, xx double, yy double, xy double")
     sums = sums.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
