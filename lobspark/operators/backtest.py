@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lobspark.operators.segments import placed
-from lobspark.operators.signals import decayed, position
+from lobspark.operators.signals import dealt, fading, position, schema_of, scored
 from lobspark.operators.stats import average_rank, correlation, finite, middle, solved_sums
 from lobspark.sources.shared import settled
 
@@ -87,27 +87,18 @@ def windows(features: DataFrame, c: Config) -> DataFrame:
 
 def signals(rows: DataFrame, c: Config) -> DataFrame:
     """Test rows with `signal`: rolling z-scores of the features over half an hour (10 to 300 bars), weighted by the window's betas (equally
-    where there are none), smoothed. Rows with a feature missing have none and leave the others' alone."""
+    where there are none), smoothed. Rows with a feature missing have none and leave the others' alone. A window's rows are sorted once
+    and read batch by batch; of its rows before, the fold keeps as many as a z-score reaches back."""
     keys, k = ["symbol", "window_idx"], len(c.features)
-    rows = rows.withColumns({f"__x{i}": finite(f) for i, f in enumerate(c.features)})
-    rows = rows.withColumn("__whole", F.forall(F.array(*[F.col(f"__x{i}").isNotNull() for i in range(k)]), lambda x: x))
-    size = F.greatest(F.lit(10), F.least(F.lit(300), F.floor(F.try_divide(F.lit(1800.0), "bar_s"))))
-    run = W.partitionBy(*keys, "__whole").orderBy("ts_us", "seq")
-    # A frame of as many rows as the window is long: places are in units of its length, which is 300 at most.
-    unit = 1 << 20
-    rows = rows.withColumn("__size", size).withColumn("__at", F.call_function("div", (F.row_number().over(run) - 1).cast("bigint") * unit, F.col("__size")))
-    frame = W.partitionBy(*keys, "__whole").orderBy("__at").rangeBetween(unit // 600 - unit, 0)
+    xs = [f"__x{i}" for i in range(k)]
+    size = F.greatest(F.lit(10), F.least(F.lit(300), F.floor(F.try_divide(F.lit(1800.0), "bar_s")))).cast("int")
     total = F.aggregate("beta", F.lit(0.0), lambda a, b: a + F.abs(b))
     weights = F.when(total >= 1e-12, F.transform("beta", lambda b: F.try_divide(b, total))).otherwise(F.array(*[F.lit(1.0 / k)] * k))
-    rows = rows.withColumn("__w", weights)
-    raw = F.lit(0.0)
-    for i in range(k):
-        x, sd = F.col(f"__x{i}"), F.stddev_pop(f"__x{i}").over(frame)
-        raw = raw + F.element_at("__w", i + 1) * F.when(sd >= 2.2e-16, F.try_divide(x - F.avg(x).over(frame), sd)).otherwise(0.0)
-    full = F.count(F.lit(1)).over(frame) == F.col("__size")
-    rows = rows.withColumn("raw", F.when(F.col("__whole") & full, raw))
-    need = rows.select(*keys, "ts_us", "seq", "bar_s", *[F.col(x).cast("double").alias(x) for x in ("spread", "max_spread", c.target)], "train_rows", "test_rows", "raw")
-    return decayed(need, keys, "raw", c.tau_star_s, "bar_s", "signal").drop("raw")
+    kept = [*keys, "ts_us", "seq", "bar_s", *[F.col(x).cast("double").alias(x) for x in ("spread", "max_spread", c.target)], "train_rows", "test_rows"]
+    need = rows.select(*kept, *[finite(f).alias(x) for f, x in zip(c.features, xs, strict=True)], weights.alias("__w"), size.alias("__size"))
+    score, fade = scored(keys, xs, "__w", "__size", "raw"), fading(keys, "raw", c.tau_star_s, "bar_s", "signal")
+    schema = schema_of(need, (*xs, "__w", "__size"), ("raw", "signal"))
+    return dealt(need, keys).mapInArrow(lambda batches: fade(score(batches)), schema).drop("raw")
 
 
 def evaluated(sig: DataFrame, c: Config) -> DataFrame:

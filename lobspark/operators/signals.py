@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,22 +48,86 @@ def combined(df: DataFrame, fitted: DataFrame, keys: list[str], features: list[s
     return rows.drop("weights", *[f"__{p}{i}" for i in range(len(features)) for p in ("x", "has")])
 
 
-def decayed(df: DataFrame, keys: list[str], signal: str, tau_s: float, dt_s: float | str, name: str = "filtered") -> DataFrame:
-    """df with the signal smoothed exponentially, from its first value on; rows without a signal have none and change nothing. dt_s
-    is the time between rows, or a column that holds it for each key."""
+#: What mapInArrow runs.
+Fold = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def runs(b: pa.RecordBatch, keys: list[str]) -> list[tuple[tuple, int, int]]:
+    """(key, start, end) of the stretches of a batch that share their key."""
+    if not b.num_rows:
+        return []
+    codes = [b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for k in keys]
+    cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), b.num_rows]
+    return [(tuple(b.column(k)[s].as_py() for k in keys), s, e) for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+def numbers(b: pa.RecordBatch, column: str) -> np.ndarray:
+    return b.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def moments(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Along the last axis, the mean of the values so far and the sum of their squared distances from it."""
+    means, squares = np.empty_like(x), np.empty_like(x)
+    mean, square = np.zeros(x.shape[:-1]), np.zeros(x.shape[:-1])
+    for j in range(x.shape[-1]):
+        off = x[..., j] - mean
+        mean = mean + off / (j + 1)
+        square = square + off * (x[..., j] - mean)
+        means[..., j], squares[..., j] = mean, square
+    return means, squares
+
+
+def rolling_moments(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of every w neighbours along the last axis. A frame is the end of one block of w values and the beginning of the
+    next, so the cost does not depend on w; equal values have no deviation, and values outside a frame do not touch it."""
+    n = x.shape[-1] - w + 1
+    blocks = np.concatenate([x, np.zeros((*x.shape[:-1], -x.shape[-1] % w))], axis=-1).reshape(*x.shape[:-1], -1, w)
+    flat = (*x.shape[:-1], -1)
+    head, head2 = (m.reshape(flat) for m in moments(blocks))
+    tail, tail2 = (m[..., ::-1].reshape(flat)[..., :n] for m in moments(blocks[..., ::-1]))
+    begun = np.arange(n) % w  # how much of a frame is in the next block
+    head, head2 = (np.where(begun > 0, m[..., w - 1 : w - 1 + n], 0.0) for m in (head, head2))
+    gap = np.where(begun > 0, head - tail, 0.0)
+    return tail + gap * (begun / w), np.sqrt((tail2 + head2 + gap * gap * (begun * (w - begun) / w)) / w)
+
+
+def scored(keys: list[str], xs: list[str], weights: str, size: str, name: str) -> Fold:
+    """For rows sorted by keys, a fold that puts `name` in the place of xs, weights and size: the weighed sum of the xs' z-scores over the key's
+    last `size` rows that have all of them. Null until there are as many, and in rows where one is missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, before, w, by = None, np.empty((len(xs), 0)), 1, np.empty(0)
+        for b in batches:
+            values, out = np.stack([numbers(b, x) for x in xs]), np.full(b.num_rows, np.nan)
+            for key, s, e in runs(b, keys):
+                if key != last:
+                    last, before, w = key, np.empty((len(xs), 0)), b.column(size)[s].as_py()
+                    by = np.array(b.column(weights)[s].as_py(), dtype=float)
+                at = s + np.flatnonzero(~np.isnan(values[:, s:e]).any(axis=0))
+                x = np.concatenate([before, values[:, at]], axis=1)
+                if len(at) and x.shape[1] >= w:
+                    with np.errstate(all="ignore"):
+                        mean, sd = rolling_moments(x, w)
+                        z = np.where(sd < 2.2e-16, 0.0, (x[:, w - 1 :] - mean) / sd)
+                    out[at[len(at) - z.shape[1] :]] = (by[:, None] * z).sum(axis=0)
+                before = x[:, max(0, x.shape[1] - w + 1) :]
+            rest = b.drop_columns([*xs, weights, size])
+            yield rest.append_column(name, pa.array(out, pa.float64(), from_pandas=True))
+
+    return run
+
+
+def fading(keys: list[str], signal: str, tau_s: float, dt_s: float | str, name: str) -> Fold:
+    """For rows sorted by keys, the fold of `decayed`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, y, a = None, None, 0.0
         for b in batches:
-            ids = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
-            x = b.column(signal).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            x = numbers(b, signal)
             out = np.full(len(x), np.nan)
-            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if s == e:
-                    continue
-                if ids[s] != last:
-                    last, y = ids[s], None
+            for key, s, e in runs(b, keys):
+                if key != last:
+                    last, y = key, None
                     a = 1 - float(np.exp(-(b.column(dt_s)[s].as_py() if isinstance(dt_s, str) else dt_s) / tau_s))
                 at = s + np.flatnonzero(~np.isnan(x[s:e]))
                 if len(at) and y is None:
@@ -74,8 +138,22 @@ def decayed(df: DataFrame, keys: list[str], signal: str, tau_s: float, dt_s: flo
                     y = out[at[-1]]
             yield b.append_column(name, pa.array(out, pa.float64(), from_pandas=True))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {name} double"
-    return df.repartition(*keys).sortWithinPartitions(*keys, *ORDER).mapInArrow(run, schema)
+    return run
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by keys, in order of time: what the folds here read."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+
+
+def schema_of(df: DataFrame, without: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without), *(f"{n} double" for n in more)])
+
+
+def decayed(df: DataFrame, keys: list[str], signal: str, tau_s: float, dt_s: float | str, name: str = "filtered") -> DataFrame:
+    """df with the signal smoothed exponentially, from its first value on; rows without a signal have none and change nothing. dt_s
+    is the time between rows, or a column that holds it for each key."""
+    return dealt(df, keys).mapInArrow(fading(keys, signal, tau_s, dt_s, name), schema_of(df, more=(name,)))
 
 
 def positions(df: DataFrame, keys: list[str], signal: str, k: float, name: str = "position") -> DataFrame:
