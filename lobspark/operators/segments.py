@@ -27,8 +27,10 @@ def cut_points(df: DataFrame, keys: list[str], time: str = "ts_us", parts: int |
 def segment(time: str | Column, parts: int | None = None) -> Column:
     """The segment of a time: how many of its instrument's __cuts it is after; 0 where there are none."""
     t = F.col(time) if isinstance(time, str) else time
-    # One comparison a cut, which is compiled; filter() over the array is not.
-    return sum((F.when(F.get("__cuts", F.lit(i)) < t, 1).otherwise(0) for i in range((parts or PARTS) - 1)), F.lit(0))
+    # Cuts are sorted, so halving steps find the place. One comparison a cut makes methods that are too long for the JVM to compile.
+    steps = [1 << i for i in reversed(range(((parts or PARTS) - 1).bit_length()))] or [1]
+    after = lambda i, step: i + F.when(F.get("__cuts", i + step - 1) < t, step).otherwise(0)
+    return F.when(F.col("__cuts").isNotNull(), F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), after)).otherwise(0)
 
 
 def segmented(df: DataFrame, keys: list[str], time: str = "ts_us", parts: int | None = None, least: int | None = None) -> DataFrame:
