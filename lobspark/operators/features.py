@@ -34,10 +34,9 @@ def prepared(books: DataFrame, bids: str = "top_bids", asks: str = "top_asks", p
 
 def drain(lost: Column, dt: Column, at_once: bool = False) -> Column:
     """What the best bid lost in a second. Between rows of one time there is none; with at_once it is what a division by zero
-    gives: infinite by the sign of the loss, NaN if nothing was lost."""
+    gives: infinite by the sign of the loss, NaN if nothing was lost, with the sign bit that the processor gives it, as the SQL's has."""
     rate = F.when(dt >= EPS, F.try_divide(lost, dt))
-    inf = float("inf")
-    return rate.when(dt == 0, F.when(lost > 0, inf).when(lost < 0, -inf).when(lost == 0, float("nan"))) if at_once else rate
+    return rate.when(dt == 0, lost * float("inf")) if at_once else rate
 
 
 def measured(b: DataFrame, before: dict[str, Column], at_once: bool = False) -> DataFrame:
