@@ -8,17 +8,18 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lobspark.functions.indicators import FOLDED, FRAME, NAMES, framed_sql
+from lobspark.functions.indicators import FOLDED, FRAME, NAMES, REACH, SUMS, block_sums_sql, framed_sql
 from lobspark.operators import backtest as bt
 from lobspark.operators import simulate as sim
 from lobspark.operators import stats
 from lobspark.operators.asof import HORIZONS, labelled
 from lobspark.operators.book import reconstructed
 from lobspark.operators.features import extracted
-from lobspark.operators.folds import WHOLE, folded
-from lobspark.operators.segments import before_segment, lagged, segmented
+from lobspark.operators.folds import BLOCK_ROWS, WHOLE, folded
+from lobspark.operators.segments import before_segment, in_blocks, lagged, placed, segmented
 from lobspark.plans import report
 from lobspark.sources import files, sinks
 from lobspark.sources.feeds import FEEDS, OF_ONE_SYMBOL
@@ -81,10 +82,25 @@ def price_bars(f: DataFrame) -> DataFrame:
 def indicators(bars: DataFrame) -> DataFrame:
     """All 87 indicators for every row."""
     bars = settled(bars)  # for frames and folds
-    frames = bars.sparkSession.sql(framed_sql("select * from {bars}"), bars=bars)
+    frames = framed(bars, list(FRAME), [])
     return frames.join(folded(bars, FOLDED), ["symbol", "ts_us", "seq"]).select("symbol", "ts_us", "seq", *NAMES)
 
 
+def framed(bars: DataFrame, names: list[str], keep: list[str], rows: int | None = None) -> DataFrame:
+    """symbol, ts_us, seq, the columns of bars in `keep` and the named frame indicators. Instruments of more than `rows` rows are dealt in blocks of
+    so many, each with the rows before it that frames reach, and running sums go on from the blocks before."""
+    spark, rows = bars.sparkSession, rows or BLOCK_ROWS
+    if bars.groupBy("symbol").count().where(F.col("count") > rows).isEmpty():
+        return spark.sql(framed_sql("select * from {bars}", names, keep=keep), bars=bars)
+    cut = in_blocks(placed(bars, ["symbol"], ["ts_us", "seq"], {"place": F.lit(True)}), "place", rows, REACH)
+    cut = settled(cut.withColumn("own", F.floor(F.col("place") / rows) == F.col("block")))
+    sums = spark.sql(block_sums_sql("select * from {cut}"), cut=cut)
+    before = W.partitionBy("symbol").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("symbol").alias("__s"), F.col("block").alias("__b"), *[F.sum(c).over(before).alias(f"off_{c}") for c in SUMS])  # a row a block
+    cut = cut.join(F.broadcast(settled(sums)), F.col("symbol").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
+    return spark.sql(framed_sql("select * from {cut}", names, keep=keep, blocks=True), cut=cut).where("own").drop("own")
+
+
 def indicator_ic(bars: DataFrame, names: list[str], returns: list[str]) -> DataFrame:
     """(symbol, indicator, horizon, ic, n) of the named indicators of bars that have returns. Frames, folds by block and folds by instrument
     are each ranked by themselves, beside the returns that pass through them: no indicators are joined."""
@@ -94,7 +110,7 @@ def indicator_ic(bars: DataFrame, names: list[str], returns: list[str]) -> DataF
     large, out = stats.large_keys(bars, ["symbol"]), None
     for g in groups:
         if g[0] in FRAME:
-            table = bars.sparkSession.sql(framed_sql("select * from {bars}", g, keep=returns), bars=bars)
+            table = framed(bars, g, returns)
         else:
             table = folded(bars, tuple(g), keep=tuple(returns))
         found = stats.ic_table(table, ["symbol"], g, returns, large=large)

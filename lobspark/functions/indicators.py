@@ -10,7 +10,7 @@ frames of those, and an indicator may use any of them. `rn` counts rows of the i
 
 from __future__ import annotations
 
-from lobspark.functions.frames import ALL, RUN, rows, safe, so_far
+from lobspark.functions.frames import ALL, KEY, RUN, rows, safe, so_far
 
 #: name -> SQL over the inputs.
 LAYER1: dict[str, str] = {
@@ -141,18 +141,46 @@ FOLDED = (
 NAMES = (*FRAME, *FOLDED)
 
 
-def framed_sql(base: str, names: list[str] | None = None, digits: int | None = None, keep: list[str] | None = None) -> str:
-    """A query over `base` (a query with the inputs) for frame indicators, beside the columns of base in `keep`; layers that none of
-    them needs are pruned by the engine."""
-    names = list(FRAME) if names is None else names
+#: Sums over all rows so far, by the column that they add up; in blocks they are a block's own and those of the blocks before.
+SUMS = ("v", "pv", "sv", "rv")
+#: Rows before a block that its frames reach: the longest has 200, and frames over lags less.
+REACH = 256
+
+
+def _layers(base: str, blocks: bool = False) -> str:
+    """`with` b0 to b3: base and its layers. With blocks, base also has place, block, own and, for each of SUMS, `off_<column>`."""
 
     def layer(columns: dict[str, str]) -> str:
-        return "".join(f", {sql} as {name}" for name, sql in columns.items())
+        return "".join(f", {blocked(sql) if blocks else sql} as {name}" for name, sql in columns.items())
+
+    first = LAYER1 | {"rn": "place + 1"} if blocks else LAYER1
+    first = {c: sql for c, sql in first.items() if not blocks or c != "n"}
+    return f"with b0 as ({base}), b1 as (select b0.*{layer(first)} from b0), b2 as (select b1.*{layer(LAYER2)} from b1), b3 as (select b2.*{layer(LAYER3)} from b2)"
+
+
+def blocked(sql: str) -> str:
+    """An expression over an instrument's rows as one over those of a block and the REACH rows before it."""
+    for c in SUMS:
+        run = f"sum(case when own then {c} end) over {so_far()}"
+        sql = sql.replace(f"sum({c}) over {so_far()}", f"coalesce(off_{c} + {run}, off_{c}, {run})")
+    return sql.replace(KEY, f"{KEY}, block")
+
+
+def block_sums_sql(base: str) -> str:
+    """(symbol, block, SUMS) of base (as for _layers, but without sums): what each block adds to the running sums."""
+    none = "".join(f", cast(null as double) as off_{c}" for c in SUMS)
+    return f"{_layers(f'select x.*{none} from ({base}) x', True)} select symbol, block{''.join(f', sum({c}) as {c}' for c in SUMS)} from b3 where own group by symbol, block"
+
+
+def framed_sql(base: str, names: list[str] | None = None, digits: int | None = None, keep: list[str] | None = None, blocks: bool = False) -> str:
+    """A query over `base` (a query with the inputs) for frame indicators, beside the columns of base in `keep`; layers that none of
+    them needs are pruned by the engine. With blocks, base is as _layers says, and rows are those of the blocks' own."""
+    names = list(FRAME) if names is None else names
 
     def last(name: str) -> str:
-        return f"({FRAME[name]})" if digits is None else f"round({FRAME[name]}, {digits})"
+        sql = blocked(FRAME[name]) if blocks else FRAME[name]
+        return f"({sql})" if digits is None else f"round({sql}, {digits})"
 
-    return (
-        f"with b0 as ({base}), b1 as (select b0.*{layer(LAYER1)} from b0), b2 as (select b1.*{layer(LAYER2)} from b1), b3 as (select b2.*{layer(LAYER3)} from b2) "
-        f"select symbol, ts_us, seq{''.join(f', {c}' for c in keep or [])}{''.join(f', {last(n)} as {n}' for n in names)} from b3"
-    )
+    own = ", own" if blocks else ""
+    found = f"select symbol, ts_us, seq{own}{''.join(f', {c}' for c in keep or [])}{''.join(f', {last(n)} as {n}' for n in names)} from b3"
+    return f"{_layers(base, blocks)} {found}"
