@@ -5,8 +5,8 @@ most r/2 bits. Every fingerprint therefore emits its ball of variants, and finge
 variants. A ball of radius 2 has 2081 variants; to ship them all would multiply the corpus, so a
 fingerprint is shipped once for each value that the leading bits of its variants take, and the rest of
 the ball is emitted where the variants of that route meet. With n fingerprints the routes have about
-log2(n) - 14 bits, l of them make 1 + l + l(l-1)/2 rows a fingerprint: 11 up to some 400,000 fingerprints,
-56 for 15 million, 254 for 50 billion. Routes that are still too full, as where a third of all
+log2(n) - 15 bits, l of them make 1 + l + l(l-1)/2 copies of a fingerprint, in packed runs of some six bytes each: 11 up to some 1,500,000
+fingerprints, 56 for 15 million, 301 for 50 billion. Routes that are still too full, as where a third of all
 fingerprints are much alike, are split by further bits; a variant has at most 2081 fingerprints within reach,
 so that ends.
 All that meet on one variant are within r of one another by the triangle inequality, so a star to one
@@ -185,7 +185,7 @@ def _joined(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def routed(rows: DataFrame, old: int, new: int, bits: int, half: int) -> DataFrame:
     """(route, n, run): n packed (node, fp) of rows (route, node, fp), or of such runs, of routes by `old` leading bits, dealt by `new`
-    ones. A route is its table and the leading bits of the variants that meet there. Packed, a row takes some eight bytes."""
+    ones. A route is its table and the leading bits of the variants that meet there. Packed, a row takes some six bytes."""
     masks = flips(new - old, half)
     costs = np.bitwise_count(masks).astype(np.int64)
     most = max(1 << 12, DEALT_ROWS // len(masks))
